@@ -153,15 +153,14 @@ class SegmentCache:
 
     def lookup(self, keys: set) -> dict:
         """Results of all keys, as a dictionary that holds at least these."""
-        young, old, missing = self.young, self.old, []
-        for key in keys:
-            if key not in young:
-                value = old.get(key)
-                if value is None:
-                    missing.append(key)
-                else:
-                    young[key] = value
-        if missing:
+        young, old = self.young, self.old
+        unseen = keys.difference(young)
+        if unseen and old:
+            again = unseen.intersection(old)
+            young.update(zip(again, map(old.__getitem__, again), strict=True))
+            unseen -= again
+        if unseen:
+            missing = list(unseen)
             young.update(zip(missing, self.compute(missing), strict=True))
         if len(young) > self.capacity:
             self.young, self.old = {}, young

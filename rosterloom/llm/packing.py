@@ -15,7 +15,9 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -33,6 +35,19 @@ GROUP_ROWS = 8192
 #: Sequences of one group are numbered from the group's number times this.
 GROUP_STRIDE = 1 << 32
 
+#: Letters below this are Latin, with one code point each in composed form.
+_LATIN_END = "\u0250"
+
+
+def _byte_letters() -> dict[int, int]:
+    """The usual printable stand-ins of byte-level tokenizers: printable Latin-1 as it is, other bytes from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: 256 + k for k, b in enumerate(others)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
 PIECES_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED_SCHEMA = PIECES_SCHEMA + ", sequence_id long, offset long"
 
@@ -40,20 +55,50 @@ PACKED_SCHEMA = PIECES_SCHEMA + ", sequence_id long, offset long"
 class WordEncoder:
     """Ids of texts as little-endian 32-bit bytes, remembering recent words.
 
-    For tokenizers that drop white space and merge within words only: texts are
-    cut at spaces and line feeds, and the ids of the pieces join to the text's.
+    For tokenizers that lower case, drop white space and merge within words of
+    letters or of other signs only: texts are cut at spaces and line feeds, and
+    the ids of the pieces join to the text's.  Texts of Latin letters are first
+    put in lower case, and full stops and commas that end a word are set apart:
+    the tokenizer always starts a new word at such a sign.
     """
 
     def __init__(self, path: str) -> None:
-        encode = _tokenizer(path).encode_batch_fast
-        self.words = SegmentCache(lambda words: [np.array(e.ids, "<u4").tobytes() for e in encode(words, add_special_tokens=False)])
+        self.tokenizer = _tokenizer(path)
+        self.model = self.tokenizer.model
+        self.words = SegmentCache(self._encode_words, 500_000)
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Words of lower-case Latin letters go to the merges directly, as nothing else would change them."""
+        out, rest = [], []
+        tokenize = self.model.tokenize
+        for k, word in enumerate(words):
+            if word.isalpha() and word.islower() and (word.isascii() or max(word) < _LATIN_END):
+                text = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                out.append(array("I", [token.id for token in tokenize(text)]).tobytes())
+            else:
+                out.append(b"")
+                rest.append(k)
+        for k, e in zip(rest, self.tokenizer.encode_batch_fast([words[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = array("I", e.ids).tobytes()
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [text.replace("\n", " ").split(" ") for text in texts]
+        split = [_words(text) for text in texts]
         known = self.words.lookup(set().union(*split))
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
+_BEYOND_LATIN = re.compile("[^\0-\u024f]")
+_END_SIGN = re.compile("(?<=[a-z\u00df-\u00f6\u00f8-\u00ff])([.,])(?=[ \n]|$)")
+
+
+def _words(text: str) -> list[str]:
+    """Pieces whose ids join to the text's."""
+    if text.isascii() or _BEYOND_LATIN.search(text) is None:
+        text = _END_SIGN.sub(r" \1", text.lower())
+    return text.replace("\n", " ").split(" ")
+
+
 @cache
 def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)

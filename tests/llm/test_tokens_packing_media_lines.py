@@ -212,3 +212,13 @@ def test_junk_goes_and_clean_documents_stay(spark, medium):
     n = {(r.quality, r.kept): r["count"] for r in rows}
     assert n.get((1, False), 0) == 0
     assert n.get((0, True), 0) <= 0.05 * n.get((0, False), 1)
+
+
+def test_stems_encode_as_in_their_texts(medium):
+    """Words of every kind, with signs, in upper case, with long s, dotted I, ligatures and stray marks."""
+    t = Tokenizer.from_file(WORDS)
+    words = {w for _, x in texts_of(medium) for w in x.replace("\n", " ").split(" ")}
+    words |= {"İx.", "ǅa,", "ſ.", "ß", "ẞ,", "é.", "é.", "ª,", "º", "ĳ.", "a.b.", "...", ",", "it's.", "x2.", "2.", "É,", "ŉ.", "ΑΣ.", "ﬁ,", "µ.", "ÿ,"}
+    encoder = packing.WordEncoder(WORDS)
+    for w in words:
+        assert encoder.encode([w, "a " + w + "\nb"]) == [struct.pack(f"<{len(i)}I", *i) for i in (t.encode(w, add_special_tokens=False).ids, t.encode("a " + w + "\nb", add_special_tokens=False).ids)]

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, line_rules, media, packing, token_counts
+from . import byte_bpe, jaccard_join, line_rules, media, packing, token_counts
 from .common import table
 
 TOKEN_LIMIT = 1024
@@ -29,6 +29,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = byte_bpe.encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     media_rows = media.read_png(media.write_png(table(spark, sf_dir, "documents")))
     return media_rows.select(
@@ -48,6 +53,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_quality_rules": op4_quality_rules,
     "op6_packing": op6_packing,
+    "op7_byte_bpe": op7_byte_bpe,
     "op8_media": op8_media,
 }
 

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, jaccard_join, line_rules, media, packing, token_counts
-from .common import table
+from . import byte_bpe, jaccard_join, line_rules, media, packing, token_counts, warc
+from .common import Scratch, table
 
 TOKEN_LIMIT = 1024
 
@@ -48,6 +48,12 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = Scratch(spark, "warc").path("archive")
+    warc.write_archives(table(spark, sf_dir, "pages"), archive)
+    return warc.read_archives(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_token_counts": op3_token_counts,
@@ -55,6 +61,19 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_media": op8_media,
+    "op9_warc": op9_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS payload, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+        ), latest AS (
+            SELECT payload, max(page_id) AS latest FROM p WHERE payload_bytes >= 1000 GROUP BY payload
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN latest IS NULL OR latest IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN latest IS DISTINCT FROM page_id THEN latest END AS refers_to
+        FROM p LEFT JOIN latest USING (payload)
+    """,
+}

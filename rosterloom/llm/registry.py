@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, jaccard_join, line_rules, media, packing, token_counts, warc
-from .common import Scratch, table
+from . import byte_bpe, jaccard_join, line_rules, media, packing, quality_classifier, sharding, token_counts, warc
+from .common import Scratch, held_out, table
 
 TOKEN_LIMIT = 1024
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_documents(table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.apply_line_rules(table(spark, sf_dir, "documents"), cleaned=False).drop("cleaned")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -55,9 +64,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sharding": op1_sharding,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_token_counts": op3_token_counts,
     "op4_quality_rules": op4_quality_rules,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_packing": op6_packing,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_media": op8_media,

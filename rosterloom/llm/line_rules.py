@@ -21,6 +21,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import blocks, bounded_batches, utf8
 
@@ -112,6 +114,7 @@ def examine(text: bytes) -> tuple:
     for line in text.split(b"\n"):
         line_words = line.split()
         if not line_words:
+            kept_lines.append(line)
             continue
         fault = "copy" if line in seen else line_fault(line, line_words)
         n_dup += line in seen
@@ -143,3 +146,22 @@ def apply_line_rules(docs: DataFrame, cleaned: bool = True) -> DataFrame:
     """
     bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(lambda it: _examine_batches(it, cleaned), SCHEMA)
+
+
+def _clean_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block in blocks(batches, "text"):
+        results = [examine(x) for x in utf8(block.column("text"))]
+        keep = pa.array([r[6] for r in results], pa.bool_())
+        texts = pa.array([r[9] if r[7] else x for r, x in zip(results, utf8(block.column("text")), strict=True)], pa.binary()).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([block.column("kept"), texts], names=["kept", "text"]).filter(keep)
+
+
+def clean_documents(docs: DataFrame) -> DataFrame:
+    """The rows that pass, with all their columns, without the lines that fail; ``n_chars`` is counted anew."""
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("kept"), "text")
+    clean = rows.mapInArrow(_clean_batches, T.StructType([rows.schema["kept"], T.StructField("text", T.StringType())]))
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return clean.select(*(new.get(c, F.col("kept").getField(c)).alias(c) for c in docs.columns))

@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Scratch, blocks, bounded_batches, held_out, utf8
+from .common import blocks, bounded_batches, held_out, utf8
 
 TRAIN_ROWS = 20_000
 TREES = 16
@@ -227,20 +228,34 @@ def fit_rules(rows: np.ndarray, labels: np.ndarray) -> RuleModel:
     return RuleModel(float(intercept), [rules[k] for k in used], [float(weights[k]) for k in used])
 
 
-def train(statistics: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> RuleModel:
-    """Fits on the ``rows`` labelled documents of least hash that are not held out."""
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> RuleModel:
+    """Fits on the ``rows`` labelled documents of least hash that are not held out.
+
+    The sample's ids are broadcast: their number is bounded by ``rows``.
+    """
     usable = labels.select("doc_id", F.col("quality").cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sample = usable.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    table = statistics.join(sample, "doc_id").orderBy("doc_id", *STATISTICS).toPandas()
+    labelled = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
+    table = text_statistics(labelled).join(F.broadcast(sample), "doc_id").toPandas().sort_values(["doc_id", *STATISTICS])
     return fit_rules(table[list(STATISTICS)].to_numpy(np.float64), table["label"].to_numpy())
 
 
-def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, score and predicted of every row of ``docs``, by rules fitted to ``labels`` (doc_id, quality).
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, score and predicted of every row of ``docs``, by rules fitted to ``labels`` (doc_id, quality)."""
+    model = fit(docs, labels)
+    return text_statistics(docs).select("doc_id", model.score().alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
-    The statistics are written once, used for the sample, and scored.
-    """
-    scratch = scratch or Scratch(docs.sparkSession, "quality")
-    statistics = scratch.save(text_statistics(docs), "statistics")
-    model = train(statistics, labels)
-    return statistics.select("doc_id", model.score().alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+def _measure_kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block in blocks(batches, "text"):
+        rows = np.array([measure(x) for x in utf8(block.column("text"))], np.float64).reshape(-1, len(STATISTICS))
+        yield pa.RecordBatch.from_arrays([block.column("kept"), block.column("text"), *(pa.array(np.ascontiguousarray(c)) for c in rows.T)], names=["kept", "text", *STATISTICS])
+
+
+def accepted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the model predicts to be of quality 1; no shuffle of texts."""
+    model = fit(docs, labels)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("kept"), "text")
+    schema = T.StructType([rows.schema["kept"], T.StructField("text", T.StringType()), *(T.StructField(c, T.DoubleType()) for c in STATISTICS)])
+    accepted = rows.mapInArrow(_measure_kept, schema).filter(model.score() >= 0.5)
+    return accepted.select(*((F.col("text") if c == "text" else F.col("kept").getField(c)).alias(c) for c in docs.columns))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, jaccard_join, line_rules, media, packing, quality_classifier, sharding, token_counts, warc
+from . import byte_bpe, jaccard_join, line_rules, media, packing, pii, quality_classifier, sharding, token_counts, warc
 from .common import Scratch, held_out, table
 
 TOKEN_LIMIT = 1024
@@ -63,6 +63,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_entities(docs).select("kept.doc_id", "text", "n_entities")
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_jaccard_join": op2_jaccard_join,
@@ -73,6 +78,7 @@ QUERIES = {
     "op7_byte_bpe": op7_byte_bpe,
     "op8_media": op8_media,
     "op9_warc": op9_warc,
+    "op10_pii_surrogates": op10_pii_surrogates,
 }
 
 ORACLE_SQL: dict[str, str] = {

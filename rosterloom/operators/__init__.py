@@ -1 +1 @@
-
+"""Operators: layout windows, section discovery, row and block grammars, matching, reconciliation, directory queries."""

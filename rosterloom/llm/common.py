@@ -71,7 +71,17 @@ class Scratch:
         return f"{self.root}/{self.count:03d}-{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(path := self.path(name))
+        """The table as written; the shuffle files of the job that wrote it go at once."""
+        cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(cleanup, None)
+        self.spark.conf.set(cleanup, "true")
+        try:
+            df.write.parquet(path := self.path(name))
+        finally:
+            if before is None:
+                self.spark.conf.unset(cleanup)
+            else:
+                self.spark.conf.set(cleanup, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

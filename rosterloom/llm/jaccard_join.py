@@ -11,9 +11,11 @@ doc_id that is reachable from it by links.
    by a hash.  The order only steers how much work is done: any order gives the
    same links.  Two linked sets share a token among their first
    ``n - ceil(3n/4) + 1`` ones; those prefixes are dealt out by token.
-3. *Stars.*  Every class is tested against the one that it meets most often as
-   the least class of a token; links found here make components.  This joins a
-   large group of near copies in about one test a member.
+3. *Stars.*  The pivot of a token is the class whose own tokens are the most
+   common ones, which in a group of near copies is the least changed.  A class
+   that meets a pivot in so many tokens that the two may link is tested against
+   the one that it meets most often; links found here make components.  This
+   joins a large group of near copies in about one test a member.
 4. *Crossings.*  Pairs of classes that share a token of the first order, lie in
    different components and have sizes that allow a link are counted.  A pair
    goes on if the number of shared prefix tokens allows the needed overlap in
@@ -50,6 +52,9 @@ COMMON_COUNT = 4
 #: Common tokens held by the order at most (12 bytes each); the rest count as rare.
 COMMON_TOKENS = 250_000
 
+#: Text hashed at once: each byte needs about 60 while its block is hashed.
+HASH_BLOCK_BYTES = 1 << 20
+
 _SALTS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 _NO_TOKENS = np.empty(0, np.uint64)
 
@@ -70,7 +75,7 @@ def _long_lists(parts: list[np.ndarray], kind=np.int64) -> pa.ListArray:
 
 def _hash_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sampled_before: set[int] = set()
-    for block in blocks(batches, "text"):
+    for block in blocks(batches, "text", HASH_BLOCK_BYTES):
         sets = shingle_sets(utf8(block.column("text")))
         classes, samples = [], []
         for elements in sets:
@@ -110,7 +115,7 @@ def _random_prefix(elements: np.ndarray, salt: np.uint64) -> np.ndarray:
 def _prefixes(batches: Iterable[pa.RecordBatch], order) -> Iterator[pa.RecordBatch]:
     """Prefixes of each class, once for each task."""
     seen: set[int] = set()
-    for block in blocks(batches, "text"):
+    for block in blocks(batches, "text", HASH_BLOCK_BYTES):
         classes, parts = [], []
         for elements in shingle_sets(utf8(block.column("text"))):
             if len(elements) and (cls := set_hash(elements)) not in seen:
@@ -123,7 +128,7 @@ def _prefixes(batches: Iterable[pa.RecordBatch], order) -> Iterator[pa.RecordBat
 def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole sets of the wanted classes, with their prefixes in two random orders."""
     seen: set[int] = set()
-    for block in blocks(batches, "text"):
+    for block in blocks(batches, "text", HASH_BLOCK_BYTES):
         classes, parts = [], []
         for wanted, elements in zip(block.column("cls").to_pylist(), shingle_sets(utf8(block.column("text"))), strict=True):
             if wanted not in seen and set_hash(elements) == wanted:
@@ -173,6 +178,12 @@ def _clashes(name: str) -> Column:
     return lost(f"{name}_u") + lost(f"{name}_v")
 
 
+def _load_members(docs: DataFrame, pairs: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Whole sets, and two more prefixes, of the classes in pairs, from one document of each."""
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct().join(classes, "cls").select("cls", F.col("least_id").alias("doc_id"))
+    return scratch.save(docs.join(wanted, "doc_id").select("cls", "doc_id", "text").mapInArrow(_members, MEMBER_SCHEMA), "members")
+
+
 def link_documents(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
@@ -192,27 +203,29 @@ def link_documents(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame
     shared = postings.selectExpr("token", "cls", f"min(cls) {by_token} as pivot", f"max(cls) {by_token} as last").filter("pivot <> last")
     shared = scratch.save(shared.select("token", "cls", "pivot"), "shared")
 
-    wanted = shared.select("cls").distinct().join(classes, "cls").select("cls", F.col("least_id").alias("doc_id"))
-    members = scratch.save(docs.join(wanted, "doc_id").select("cls", "text").mapInArrow(_members, MEMBER_SCHEMA), "members")
-
+    size = classes.select("cls", F.col("n").cast("long").alias("n"))
     met = shared.filter("cls <> pivot").groupBy("cls", "pivot").count()
-    size = classes.select("cls", "n")
-    met = met.join(size, "cls").join(size.select(F.col("cls").alias("pivot"), F.col("n").alias("n_pivot")), "pivot").filter(_sizes_allow(F.col("n"), F.col("n_pivot")))
-    stars = met.groupBy("cls").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("pivot"))
-    links = scratch.save(_verified(stars.select(F.col("cls").alias("v"), F.col("pivot").alias("u")), members), "stars")
+    met = met.join(size, "cls").join(size.select(F.col("cls").alias("pivot"), F.col("n").alias("n_pivot")), "pivot").filter(_prefix_allows(F.col("count"), F.col("n"), F.col("n_pivot")) & _sizes_allow(F.col("n"), F.col("n_pivot")))
+    stars = scratch.save(met.groupBy("cls").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("u")).select("u", F.col("cls").alias("v")), "star-pairs")
+    members = _load_members(docs, stars, classes, scratch)
+    links = scratch.save(_verified(stars, members), "stars")
+    scratch.drop(members)
     found = connected_components(links, scratch)
 
     rooted = shared.select("token", "cls").distinct().join(found.withColumnRenamed("u", "cls"), "cls", "left").join(size, "cls")
-    rooted = rooted.select("token", "cls", F.coalesce("v", "cls").alias("root"), F.col("n").cast("long").alias("n"))
+    rooted = rooted.select("token", "cls", F.coalesce("v", "cls").alias("root"), "n")
     roots = rooted.groupBy("token").agg(F.min("root").alias("first_root"), F.max("root").alias("last_root")).filter("first_root <> last_root").select("token")
     rooted = scratch.save(rooted.join(roots, "token"), "rooted")
     a, b = rooted.alias("a"), rooted.alias("b")
     crossing = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root")) & (F.col("a.cls") < F.col("b.cls")) & _sizes_allow(F.col("a.n"), F.col("b.n")))
     crossing = crossing.groupBy(F.col("a.cls").alias("u"), F.col("b.cls").alias("v"), F.col("a.n").alias("n_u"), F.col("b.n").alias("n_v")).count()
     pairs = scratch.save(crossing.filter(_prefix_allows(F.col("count"), F.col("n_u"), F.col("n_v"))).select("u", "v"), "pairs")
+    scratch.drop(shared, rooted)
+    members = _load_members(docs, pairs, classes, scratch)
     more = scratch.save(_verified(pairs, members), "crossings")
+    scratch.drop(members)
     parents = connected_components(found.select("u", "v").union(more), scratch)
-    scratch.drop(shared, members, rooted, pairs, links, more, found)
+    scratch.drop(stars, links, found, pairs, more)
 
     named = classes.join(parents.withColumnRenamed("u", "cls"), "cls", "left").select("cls", "least_id", F.coalesce("v", "cls").alias("root"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))

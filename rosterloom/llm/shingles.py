@@ -90,5 +90,5 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
 
 def set_hash(elements: np.ndarray) -> int:
     """A signed 64-bit hash of a set, alike for equal sets."""
-    total = mix(elements ^ _M1).sum(dtype=np.uint64) * np.uint64(3) + np.uint64(len(elements))
+    total = (3 * int(mix(elements ^ _M1).sum(dtype=np.uint64)) + len(elements)) % (1 << 64)
     return int(mix(np.array([total], np.uint64)).view(np.int64)[0])

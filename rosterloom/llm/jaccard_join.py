@@ -199,12 +199,14 @@ def link_documents(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame
 
     classes = scratch.save(hashed.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n")), "classes")
     postings = docs.mapInArrow(lambda it: _prefixes(it, order), PREFIX_SCHEMA).select(F.explode("prefix").alias("token"), "cls")
-    by_token = "over (partition by token)"
-    shared = postings.selectExpr("token", "cls", f"min(cls) {by_token} as pivot", f"max(cls) {by_token} as last").filter("pivot <> last")
-    shared = scratch.save(shared.select("token", "cls", "pivot"), "shared")
+    shared = postings.selectExpr("token", "cls", "count(*) over (partition by token) as rows", "min(cls) over (partition by token) <> max(cls) over (partition by token) as several").filter("several")
+    shared = scratch.save(shared.groupBy("token", "cls").agg(F.first("rows").alias("rows")), "shared")
 
+    # of a token's classes, the pivot is the one whose own tokens are the most common: the least changed of a group of near copies
+    central = shared.groupBy("cls").agg(F.sum("rows").alias("weight"))
+    met = shared.select("token", "cls").join(central, "cls").selectExpr("cls", "max_by(cls, struct(weight, cls)) over (partition by token) as pivot")
     size = classes.select("cls", F.col("n").cast("long").alias("n"))
-    met = shared.filter("cls <> pivot").groupBy("cls", "pivot").count()
+    met = met.filter("cls <> pivot").groupBy("cls", "pivot").count()
     met = met.join(size, "cls").join(size.select(F.col("cls").alias("pivot"), F.col("n").alias("n_pivot")), "pivot").filter(_prefix_allows(F.col("count"), F.col("n"), F.col("n_pivot")) & _sizes_allow(F.col("n"), F.col("n_pivot")))
     stars = scratch.save(met.groupBy("cls").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("u")).select("u", F.col("cls").alias("v")), "star-pairs")
     members = _load_members(docs, stars, classes, scratch)
@@ -212,7 +214,7 @@ def link_documents(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame
     scratch.drop(members)
     found = connected_components(links, scratch)
 
-    rooted = shared.select("token", "cls").distinct().join(found.withColumnRenamed("u", "cls"), "cls", "left").join(size, "cls")
+    rooted = shared.select("token", "cls").join(found.withColumnRenamed("u", "cls"), "cls", "left").join(size, "cls")
     rooted = rooted.select("token", "cls", F.coalesce("v", "cls").alias("root"), "n")
     roots = rooted.groupBy("token").agg(F.min("root").alias("first_root"), F.max("root").alias("last_root")).filter("first_root <> last_root").select("token")
     rooted = scratch.save(rooted.join(roots, "token"), "rooted")

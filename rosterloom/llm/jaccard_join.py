@@ -17,8 +17,8 @@ doc_id that is reachable from it by links.
    the one that it meets most often; links found here make components.  This
    joins a large group of near copies in about one test a member.
 4. *Crossings.*  Pairs of classes that share a token of the first order, lie in
-   different components and have sizes that allow a link are counted.  A pair
-   goes on if the number of shared prefix tokens allows the needed overlap in
+   different components, and have sizes and numbers of shared tokens at all that
+   allow a link are counted.  A pair goes on if the number of shared prefix tokens allows the needed overlap in
    the first order, and then in a second and a third, random order: the
    filters are intersected before any set is compared.
 5. *Verification* counts the common elements of the whole sets.
@@ -40,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import Scratch, blocks, bounded_batches, utf8
 from .components import connected_components
@@ -215,11 +216,13 @@ def link_documents(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame
     found = connected_components(links, scratch)
 
     rooted = shared.select("token", "cls").join(found.withColumnRenamed("u", "cls"), "cls", "left").join(size, "cls")
-    rooted = rooted.select("token", "cls", F.coalesce("v", "cls").alias("root"), "n")
+    # the tokens that a class shares with any other bound what it shares with one
+    rooted = rooted.select("token", "cls", F.coalesce("v", "cls").alias("root"), "n", F.count(F.lit(1)).over(W.partitionBy("cls")).alias("most"))
     roots = rooted.groupBy("token").agg(F.min("root").alias("first_root"), F.max("root").alias("last_root")).filter("first_root <> last_root").select("token")
     rooted = scratch.save(rooted.join(roots, "token"), "rooted")
     a, b = rooted.alias("a"), rooted.alias("b")
-    crossing = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root")) & (F.col("a.cls") < F.col("b.cls")) & _sizes_allow(F.col("a.n"), F.col("b.n")))
+    may_link = _sizes_allow(F.col("a.n"), F.col("b.n")) & _prefix_allows(F.least("a.most", "b.most"), F.col("a.n"), F.col("b.n"))
+    crossing = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root")) & (F.col("a.cls") < F.col("b.cls")) & may_link)
     crossing = crossing.groupBy(F.col("a.cls").alias("u"), F.col("b.cls").alias("v"), F.col("a.n").alias("n_u"), F.col("b.n").alias("n_v")).count()
     pairs = scratch.save(crossing.filter(_prefix_allows(F.col("count"), F.col("n_u"), F.col("n_v"))).select("u", "v"), "pairs")
     scratch.drop(shared, rooted)

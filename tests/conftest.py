@@ -16,7 +16,7 @@ MEDIUM = "/root/testdata/sf0.01"
 def spark():
     from rosterloom.session import build_session
 
-    session = build_session("tests", master="local[4]", partitions=4, **{"spark.driver.memory": "4g"})
+    session = build_session("tests", master="local[4]", partitions=2, **{"spark.driver.memory": "4g"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

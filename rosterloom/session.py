@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -29,6 +32,14 @@ def build_session(app: str = "rosterloom", master: str | None = None, partitions
     return builder.getOrCreate()
 
 
+def share_package(spark: SparkSession) -> None:
+    """Lets local Python workers find this package where the driver found it; clusters ship it with ``--py-files``."""
+    env, here = spark.sparkContext.environment, str(Path(__file__).resolve().parents[1])
+    if here not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [here, env.get("PYTHONPATH", "")]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the supplied Parquet tables, by name."""
+    share_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,21 +1,22 @@
 """Byte-level BPE by Spark higher-order functions over the distinct words of text blocks.
 
 1. ``index_words`` (Arrow): the pattern's matches of each text become codes into
-   the block's dictionary of distinct words (UTF-8 bytes).
+   the block's dictionary of distinct words; a word is the array of its bytes'
+   ranks, or its own rank if it is a token.
 2. ``encode_words`` (Spark columns): each distinct word is folded by ranked
-   merges.  The state holds the word's cuts and the ranks of neighbouring pieces;
+   merges.  The state holds the pieces' ids and the ranks of neighbouring pairs;
    a step joins the leftmost pair of the least rank.  Ranks come from a literal
-   map, dealt into small maps by checksum so that a look-up is of constant cost.
+   map of pairs, dealt into small maps so that a look-up is of constant cost.
    Decoding concatenates the binary pieces of the ids.
 3. ``assemble`` (Arrow): each text's ids and decoded bytes, by its codes.
 
-Blocks hold about 32 MB of text, so every word is folded once a block and no
+Blocks hold about 16 MB of text, so every word is folded once a block and no
 word, id or text is shuffled or collected.
 
 Defined results: a null or empty text has no ids; repeated rows each get their
 row; special strings are ordinary text; an empty table gives no rows; other
 columns are ignored.  A word over ``LONG_WORD`` bytes (a match without any
-break) is folded by a heap instead, as each step of the column fold costs the
+break) is merged with a heap instead, as each step of the column fold costs the
 length of the word.
 """
 
@@ -24,7 +25,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import zlib
+import re
 from array import array
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -37,14 +38,22 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches
 
-VOCABULARY_BLOCK_BYTES = 32 << 20
-OUTPUT_BLOCK_BYTES = 4 << 20
-RANK_BUCKETS = 1 << 14
+VOCABULARY_BLOCK_BYTES = 16 << 20
+OUTPUT_BLOCK_BYTES = 1 << 20
+#: Bytes of text that Spark hands to a worker at once; the block is what a worker holds.
+INPUT_BATCH_BYTES = 1 << 20
+#: A prime, so that pairs spread evenly.
+RANK_BUCKETS = 32_749
 LONG_WORD = 1000
 #: Rank of pairs that are no token.
 NO_RANK = 2**31 - 1
 
-INDEXED_SCHEMA = "doc_ids array<long>, matches array<int>, codes binary, words array<binary>, long_words array<int>"
+#: Pairs of ids as one number: the left one times this, plus the right one.
+PAIR_BASE = 1 << 17
+#: Pieces of a word at most: over ``LONG_WORD``.
+PLACES = 1 << 12
+
+INDEXED_SCHEMA = "doc_ids array<long>, matches array<int>, codes binary, words array<array<int>>, long_words array<struct<code:int,word:binary>>"
 ENCODED_SCHEMA = "doc_id long, n_tokens long, ids binary, decoded binary"
 
 
@@ -57,67 +66,117 @@ def load_ranks(path: str) -> dict[bytes, int]:
 # ------------------------------------------------------------------ 1. words
 
 
-@cache
-def _pattern(pattern: str):
-    import regex
-
-    return regex.compile(pattern)
+#: Letters and numbers below U+0250, and what is beyond (or white space to Python alone).
+_LATIN_LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_LATIN_NUMBERS = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_NOT_LATIN = re.compile("[^\0-\x1b\x20-\u024f]")
 
 
-def _indexed(doc_ids: list, matches: list[int], codes: array, words: dict) -> pa.RecordBatch:
-    data = [w.encode() for w in words]
-    longs = [k for k, w in enumerate(data) if len(w) > LONG_WORD]
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([doc_ids], pa.list_(pa.int64())),
-            pa.array([matches], pa.list_(pa.int32())),
-            pa.array([codes.tobytes()], pa.binary()),
-            pa.array([data], pa.list_(pa.binary())),
-            pa.array([longs], pa.list_(pa.int32())),
-        ],
-        names=["doc_ids", "matches", "codes", "words", "long_words"],
-    )
+@cache
+def matcher(pattern: str):
+    """All matches of the pattern in a text.
 
+    Texts of Latin letters go through Python's own engine with the classes spelled
+    out, which is twice as fast and gives the same matches.
+    """
+    import regex
 
-def _index(batches: Iterable[pa.RecordBatch], pattern: str, limit: int) -> Iterator[pa.RecordBatch]:
-    find = _pattern(pattern).findall
+    full = regex.compile(pattern).findall
+    plain = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{_LATIN_LETTERS}{_LATIN_NUMBERS}]").replace(r"\p{L}", f"[{_LATIN_LETTERS}]").replace(r"\p{N}", f"[{_LATIN_NUMBERS}]")
+    if r"\p" in plain:
+        return full
+    latin = re.compile(plain).findall
+    return lambda text: latin(text) if _NOT_LATIN.search(text) is None else full(text)
+
+
+class _Block:
+    """Texts of one block as codes into its dictionary of matches."""
+
+    def __init__(self, pattern: str) -> None:
+        self.find = matcher(pattern)
+        self.words: dict = defaultdict()
+        self.words.default_factory = self.words.__len__
+        self.doc_ids: list = []
+        self.matches: list[int] = []
+        self.codes = array("I")
+        self.held = 0
+
+    def add(self, doc_id: int | None, text: str) -> None:
+        found = self.find(text)
+        self.codes.extend(map(self.words.__getitem__, found))
+        self.doc_ids.append(doc_id)
+        self.matches.append(len(found))
+        self.held += len(text)
+
+    def batch(self, ranks: dict[bytes, int]) -> pa.RecordBatch:
+        data = [w.encode() for w in self.words]
+        longs = [{"code": k, "word": w} for k, w in enumerate(data) if len(w) > LONG_WORD]
+        own = [ranks.get(w) for w in data]
+        parts = [b"" if r is not None or len(w) > LONG_WORD else w for w, r in zip(data, own, strict=True)]
+        of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        # tokens stand for themselves: one id each, between the bytes of other words
+        lengths = np.fromiter((len(w) + (r is not None) for w, r in zip(parts, own, strict=True)), np.int64, len(parts))
+        offsets = np.concatenate([[0], np.cumsum(lengths)])
+        flat = np.empty(int(offsets[-1]), np.int32)
+        at = np.fromiter((k for k, r in enumerate(own) if r is not None), np.int64)
+        single = np.zeros(len(flat), bool)
+        single[offsets[at]] = True
+        flat[single] = [r for r in own if r is not None]
+        flat[~single] = of_byte[np.frombuffer(b"".join(parts), np.uint8)]
+        words = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([self.doc_ids], pa.list_(pa.int64())),
+                pa.array([self.matches], pa.list_(pa.int32())),
+                pa.array([self.codes.tobytes()], pa.binary()),
+                pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
+                pa.array([longs], pa.list_(pa.struct([("code", pa.int32()), ("word", pa.binary())]))),
+            ],
+            names=["doc_ids", "matches", "codes", "words", "long_words"],
+        )
 
-    def fresh():
-        words: dict = defaultdict()
-        words.default_factory = words.__len__
-        return [], [], array("I"), words, 0
 
-    doc_ids, matches, codes, words, held = fresh()
+def _index(batches: Iterable[pa.RecordBatch], pattern: str, path: str, limit: int) -> Iterator[pa.RecordBatch]:
+    pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between blocks
+    ranks, block = load_ranks(path), _Block(pattern)
     for batch in batches:
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            found = find(text or "")
-            codes.extend(map(words.__getitem__, found))
-            doc_ids.append(doc_id)
-            matches.append(len(found))
-            held += len(text or "")
-            if held >= limit:
-                yield _indexed(doc_ids, matches, codes, words)
-                doc_ids, matches, codes, words, held = fresh()
-    if doc_ids:
-        yield _indexed(doc_ids, matches, codes, words)
-
-
-def index_words(docs: DataFrame, pattern: str, limit: int = VOCABULARY_BLOCK_BYTES) -> DataFrame:
+            block.add(doc_id, text or "")
+            if block.held >= limit:
+                yield block.batch(ranks)
+                block = _Block(pattern)
+    if block.doc_ids:
+        yield block.batch(ranks)
+
+
+def index_words(docs: DataFrame, pattern: str, rank_path: str, limit: int = VOCABULARY_BLOCK_BYTES) -> DataFrame:
     """A row for each block of texts: ids, matches of each text, codes, and distinct words."""
-    bounded_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(lambda it: _index(it, pattern, limit), INDEXED_SCHEMA)
+    bounded_batches(docs.sparkSession, INPUT_BATCH_BYTES)
+    return docs.select("doc_id", "text").mapInArrow(lambda it: _index(it, pattern, rank_path, limit), INDEXED_SCHEMA)
 
 
 # ------------------------------------------------------------------ 2. merges
 
 
-def rank_literal(ranks: dict[bytes, int], buckets: int = RANK_BUCKETS) -> Column:
-    """The rank map as a constant: an array, by crc32 modulo ``buckets``, of small maps."""
-    parts: list[dict[str, int]] = [{} for _ in range(buckets)]
+def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
+    """Rank of each pair of tokens that joins to a token."""
+    out = {}
     for piece, rank in ranks.items():
-        parts[zlib.crc32(piece) % buckets][base64.b64encode(piece).decode()] = rank
-    read = F.from_json(F.lit(json.dumps(parts)), "array<map<string,int>>")
-    return F.transform(read, lambda m: F.map_from_entries(F.transform(F.map_entries(m), lambda e: F.struct(F.unbase64(e["key"]).alias("key"), e["value"].alias("value")))))
+        for k in range(1, len(piece)):
+            left, right = ranks.get(piece[:k]), ranks.get(piece[k:])
+            if left is not None and right is not None:
+                out[left * PAIR_BASE + right] = rank
+    return out
+
+
+def rank_literal(ranks: dict[bytes, int], buckets: int = RANK_BUCKETS) -> Column:
+    """The rank map of pairs as a constant: an array, by the pair modulo ``buckets``, of small maps."""
+    parts: list[dict[str, list[int]]] = [{"k": [], "v": []} for _ in range(buckets)]
+    for pair, rank in pair_ranks(ranks).items():
+        parts[pair % buckets]["k"].append(pair)
+        parts[pair % buckets]["v"].append(rank)
+    read = F.from_json(F.lit(json.dumps(parts, separators=(",", ":"))), "array<struct<k:array<bigint>,v:array<int>>>")
+    return F.transform(read, lambda part: F.map_from_arrays(part["k"], part["v"]))
 
 
 def piece_literal(ranks: dict[bytes, int]) -> Column:
@@ -133,52 +192,44 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def fold_word(word: Column, ranks: Column, buckets: int = RANK_BUCKETS) -> Column:
-    """Ids of one word (binary): its own rank if it is a token, else the ranked merges of its bytes."""
-
-    def rank(piece: Column) -> Column:
-        return F.element_at(F.element_at(ranks, (F.crc32(piece) % buckets + 1).cast("int")), piece)
-
-    def between(cuts: Column, i: Column, pieces: int) -> Column:
-        return F.substring(word, F.element_at(cuts, i), F.element_at(cuts, i + pieces) - F.element_at(cuts, i))
+def fold_word(word: Column, pairs: Column, buckets: int = RANK_BUCKETS) -> Column:
+    """Ids of one word (an array of ids) after all ranked merges."""
 
-    def or_none(value: Column) -> Column:
-        return F.coalesce(value, F.lit(NO_RANK))
+    def rank(left: Column, right: Column) -> Column:
+        look_up = lambda pair: F.coalesce(F.element_at(F.element_at(pairs, (pair % buckets + 1).cast("int")), pair), F.lit(NO_RANK))
+        return _let(left.cast("long") * PAIR_BASE + right, look_up)
 
-    n = F.octet_length(word)
+    n = F.size(word)
     none = F.array().cast("array<int>")
-    start = F.struct(
-        F.sequence(F.lit(1), n + 1).alias("cuts"),
-        F.when(n < 2, none).otherwise(F.transform(F.sequence(F.lit(1), n - 1), lambda i: or_none(rank(F.substring(word, i, F.lit(2)))))).alias("ranks"),
-    )
-
-    def merge(state: Column, p: Column) -> Column:
-        cuts, pairs = state["cuts"], state["ranks"]
-        k = F.size(cuts) - 1
-        return _let(
-            F.concat(F.slice(cuts, F.lit(1), p), F.slice(cuts, p + 2, k)),
-            lambda new: F.struct(
-                new.alias("cuts"),
-                F.concat(
-                    F.when(p > 2, F.slice(pairs, F.lit(1), p - 2)).otherwise(none),
-                    F.when(p > 1, F.array(or_none(rank(between(new, p - 1, 2))))).otherwise(none),
-                    F.when(p + 1 < k, F.array(or_none(rank(between(new, p, 2))))).otherwise(none),
-                    F.slice(pairs, p + 2, k),
-                ).alias("ranks"),
-            ),
+    start = F.struct(word.alias("ids"), F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.element_at(word, i), F.element_at(word, i + 1))).alias("ranks"))
+
+    def joined(*parts: Column) -> Column:
+        return F.flatten(F.array(*parts))  # many times as fast as concat, which goes through lazy lists
+
+    def merge(state: Column, least: Column, p: Column) -> Column:
+        ids, ranks = state["ids"], state["ranks"]
+        k = F.size(ids)
+        return F.struct(
+            joined(F.slice(ids, F.lit(1), p - 1), F.array(least), F.slice(ids, p + 2, k)).alias("ids"),
+            joined(
+                F.when(p > 2, F.slice(ranks, F.lit(1), p - 2)).otherwise(none),
+                F.when(p > 1, F.array(rank(F.element_at(ids, F.greatest(p - 1, F.lit(1))), least))).otherwise(none),
+                F.when(p + 1 < k, F.array(rank(least, F.element_at(ids, F.least(p + 2, k))))).otherwise(none),
+                F.slice(ranks, p + 2, k),
+            ).alias("ranks"),
         )
 
     def step(state: Column, _: Column) -> Column:
-        return _let(
-            F.array_min(state["ranks"]),
-            lambda least: F.when(F.coalesce(least, F.lit(NO_RANK)) == NO_RANK, state).otherwise(_let(F.array_position(state["ranks"], least).cast("int"), lambda p: merge(state, p))),
-        )
+        # rank and place in one number: array_position would leave its loop by an exception, which costs more than all else
+        placed = F.array_min(F.transform(state["ranks"], lambda rank, i: rank.cast("long") * PLACES + i))
+
+        def join(least: Column) -> Column:
+            merged = _let((least % PLACES + 1).cast("int"), lambda p: merge(state, F.element_at(state["ranks"], p), p))
+            return F.when(F.coalesce(least, F.lit(NO_RANK * PLACES)) >= NO_RANK * PLACES, state).otherwise(merged)
 
-    def ids(state: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(state["cuts"]) - 1), lambda i: rank(between(state["cuts"], i, 1)))
+        return _let(placed, join)
 
-    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, step, ids)
-    return _let(rank(word), lambda own: F.when(own.isNotNull(), F.array(own)).when((n == 0) | (n > LONG_WORD), none).otherwise(folded))
+    return F.when(n < 2, word).otherwise(F.aggregate(F.sequence(F.lit(1), n - 1), start, step, lambda state: state["ids"]))
 
 
 def decode_ids(ids: Column, pieces: Column) -> Column:
@@ -187,9 +238,9 @@ def decode_ids(ids: Column, pieces: Column) -> Column:
 
 
 def encode_words(indexed: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """Adds the ids of every distinct word, and what they decode to."""
+    """Ids of every distinct word, and what they decode to, in place of the words."""
     # each constant stands in the plan once: inside, it is a lambda variable
-    with_ids = indexed.withColumn("word_ids", _let(rank_literal(ranks), lambda table: F.transform("words", lambda w: fold_word(w, table))))
+    with_ids = indexed.withColumn("word_ids", _let(rank_literal(ranks), lambda pairs: F.transform("words", lambda w: fold_word(w, pairs)))).drop("words")
     return with_ids.withColumn("word_bytes", _let(piece_literal(ranks), lambda pieces: F.transform("word_ids", lambda ids: decode_ids(ids, pieces))))
 
 
@@ -229,12 +280,18 @@ def merge_long_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+@cache
+def _pieces(path: str) -> dict[int, bytes]:
+    return {rank: piece for piece, rank in load_ranks(path).items()}
+
+
 def _slices(values: bytes, offsets: np.ndarray, width: int) -> list[bytes]:
     at = ((offsets - offsets[0]) * width).tolist()
     return [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def _assemble(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between blocks
     for batch in batches:
         for row in range(batch.num_rows):
             column = lambda name, row=row, batch=batch: batch.column(name)[row].values
@@ -242,11 +299,9 @@ def _assemble(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.Recor
             flat = word_ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")
             ids_of = _slices(flat.tobytes(), word_ids.offsets.to_numpy(), 4)
             bytes_of = column("word_bytes").to_pylist()
-            for k in column("long_words").to_pylist():
-                ranks = load_ranks(path)
-                ids = merge_long_word(column("words")[k].as_py(), ranks)
-                by_rank = {r: p for p, r in ranks.items()}
-                ids_of[k], bytes_of[k] = np.array(ids, "<u4").tobytes(), b"".join(by_rank[i] for i in ids)
+            for x in column("long_words").to_pylist():
+                ids = merge_long_word(x["word"], load_ranks(path))
+                ids_of[x["code"]], bytes_of[x["code"]] = np.array(ids, "<u4").tobytes(), b"".join(map(_pieces(path).__getitem__, ids))
             codes = np.frombuffer(batch.column("codes")[row].as_py(), np.uint32)
             out: list[list] = [[], [], [], []]
             at, held = 0, 0
@@ -274,5 +329,5 @@ def encode_and_decode(docs: DataFrame, rank_path: str, pattern: str, limit: int
     ``rank_path`` is a file of base64 pieces and ranks that every worker can
     read; each match of ``pattern`` is encoded by itself.
     """
-    encoded = encode_words(index_words(docs, pattern, limit), load_ranks(rank_path))
+    encoded = encode_words(index_words(docs, pattern, rank_path, limit), load_ranks(rank_path))
     return encoded.mapInArrow(lambda it: _assemble(it, rank_path), ENCODED_SCHEMA)

@@ -38,7 +38,15 @@ def test_odd_texts_in_small_blocks(odd, odd_rows, empty):
 def test_heap_and_column_folds_agree(spark):
     rng = random.Random(4)
     words = {bytes(rng.choice(b"aehnrst \xc3\xa9") for _ in range(rng.randrange(1, 40))) for _ in range(200)} | {b"aaaaaaaaaaaaaaaaa", b"\xff\xfe"}
-    df = spark.createDataFrame([(bytearray(w),) for w in words], "w binary").select("w", byte_bpe._let(byte_bpe.rank_literal(RANKS), lambda table: byte_bpe.fold_word(F.col("w"), table)).alias("ids"))
-    for r in df.collect():
+    rows = [(w, [RANKS[bytes([b])] for b in w]) for w in map(bytes, words)]
+    df = spark.createDataFrame([(bytearray(w), ids) for w, ids in rows], "w binary, bytes array<int>")
+    folded = df.select("w", byte_bpe._let(byte_bpe.rank_literal(RANKS), lambda pairs: byte_bpe.fold_word(F.col("bytes"), pairs)).alias("ids"))
+    for r in folded.collect():
         word = bytes(r.w)
-        assert r.ids == ([RANKS[word]] if word in RANKS else byte_bpe.merge_long_word(word, RANKS)) == LIBRARY._core_bpe.encode_single_piece(word)
+        assert r.ids == byte_bpe.merge_long_word(word, RANKS)
+        assert r.ids == LIBRARY._core_bpe.encode_single_piece(word)
+
+
+def test_every_token_is_its_own_fold():
+    """The library takes a word that is a token as it is; merging its bytes gives the same."""
+    assert all(byte_bpe.merge_long_word(piece, RANKS) == [rank] for piece, rank in RANKS.items())

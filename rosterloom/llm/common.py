@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import cache
 from pathlib import Path
 
 import numpy as np
@@ -16,9 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most bytes of text that one Arrow batch sent to a Python worker should hold.
-ARROW_BATCH_BYTES = 8 << 20
+ARROW_BATCH_BYTES = 2 << 20
 #: Most bytes of text that a worker handles at once.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -117,6 +119,7 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str, limit: int = BLOCK_BY
     Cuts are placed by accumulated bytes, so a slice with long texts has few
     rows; a single text longer than the limit is a slice of its own.
     """
+    pa.set_memory_pool(pa.system_memory_pool())  # so that what is freed can go back
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -126,6 +129,21 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str, limit: int = BLOCK_BY
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start, base = stop, int(ends[stop - 1])
+    give_back()
+
+
+@cache
+def _trim():
+    """The C library's call that returns freed memory to the system, where there is one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Returns freed memory at the end of a task, as a worker lives on for other tasks."""
+    _trim()(0)
 
 
 def utf8(column: pa.Array) -> list[bytes]:
@@ -166,7 +184,7 @@ class SegmentCache:
         young, old = self.young, self.old
         unseen = keys.difference(young)
         if unseen and old:
-            again = unseen.intersection(old)
+            again = {key for key in unseen if key in old}
             young.update(zip(again, map(old.__getitem__, again), strict=True))
             unseen -= again
         if unseen:

@@ -54,7 +54,7 @@ COMMON_COUNT = 4
 COMMON_TOKENS = 250_000
 
 #: Text hashed at once: each byte needs about 60 while its block is hashed.
-HASH_BLOCK_BYTES = 1 << 20
+HASH_BLOCK_BYTES = 1 << 19
 
 _SALTS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 _NO_TOKENS = np.empty(0, np.uint64)

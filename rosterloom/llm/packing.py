@@ -32,6 +32,8 @@ from .token_counts import _tokenizer
 SEQUENCE_TOKENS = 2048
 END_ID = 1
 GROUP_ROWS = 8192
+#: Words whose ids a worker remembers, and at most as many older ones.
+WORDS_KEPT = 250_000
 #: Sequences of one group are numbered from the group's number times this.
 GROUP_STRIDE = 1 << 32
 
@@ -65,7 +67,7 @@ class WordEncoder:
     def __init__(self, path: str) -> None:
         self.tokenizer = _tokenizer(path)
         self.model = self.tokenizer.model
-        self.words = SegmentCache(self._encode_words, 500_000)
+        self.words = SegmentCache(self._encode_words, WORDS_KEPT)
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         """Words of lower-case Latin letters go to the merges directly, as nothing else would change them."""

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, bounded_batches
+from .common import Scratch, bounded_batches, give_back
 
 DEFAULT_KEY = b"rosterloom surrogates"
 ENTITY_SCHEMA = "digest string, kind string, form string"
@@ -274,6 +274,7 @@ def _detect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [(digest, kind, form) for digest, text in zip(batch.column("digest").to_pylist(), batch.column("text").to_pylist(), strict=True) for kind, form in dict.fromkeys((f[2], f[3]) for f in find_entities(text or ""))]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=["digest", "kind", "form"])
+    give_back()
 
 
 def _draw(batches: Iterable[pa.RecordBatch], key: bytes) -> Iterator[pa.RecordBatch]:
@@ -315,6 +316,7 @@ def _apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts.append(new)
             counts.append(n)
         yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], names=["kept", "text", "n_entities"])
+    give_back()
 
 
 def replace_entities(docs: DataFrame, key: bytes = DEFAULT_KEY, scratch: Scratch | None = None) -> DataFrame:

@@ -10,7 +10,7 @@
    Decoding concatenates the binary pieces of the ids.
 3. ``assemble`` (Arrow): each text's ids and decoded bytes, by its codes.
 
-Blocks hold about 16 MB of text, so every word is folded once a block and no
+Blocks hold about 28 MB of text, so every word is folded once a block and no
 word, id or text is shuffled or collected.
 
 Defined results: a null or empty text has no ids; repeated rows each get their
@@ -36,9 +36,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, give_back
 
-VOCABULARY_BLOCK_BYTES = 16 << 20
+VOCABULARY_BLOCK_BYTES = 28 << 20
 OUTPUT_BLOCK_BYTES = 1 << 20
 #: Bytes of text that Spark hands to a worker at once; the block is what a worker holds.
 INPUT_BATCH_BYTES = 1 << 20
@@ -145,8 +145,11 @@ def _index(batches: Iterable[pa.RecordBatch], pattern: str, path: str, limit: in
             if block.held >= limit:
                 yield block.batch(ranks)
                 block = _Block(pattern)
+                give_back()
     if block.doc_ids:
         yield block.batch(ranks)
+        block = None
+    give_back()
 
 
 def index_words(docs: DataFrame, pattern: str, rank_path: str, limit: int = VOCABULARY_BLOCK_BYTES) -> DataFrame:
@@ -316,6 +319,8 @@ def _assemble(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.Recor
                     yield _rows(out)
                     out, held = [[], [], [], []], 0
             yield _rows(out)
+            ids_of, bytes_of, codes, flat, word_ids, out = [], [], None, None, None, None
+            give_back()
 
 
 def _rows(columns: list[list]) -> pa.RecordBatch:

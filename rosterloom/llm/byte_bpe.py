@@ -10,7 +10,7 @@
    Decoding concatenates the binary pieces of the ids.
 3. ``assemble`` (Arrow): each text's ids and decoded bytes, by its codes.
 
-Blocks hold about 28 MB of text, so every word is folded once a block and no
+Blocks hold about 8 MB of text, so every word is folded once a block and no
 word, id or text is shuffled or collected.
 
 Defined results: a null or empty text has no ids; repeated rows each get their
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, give_back
 
-VOCABULARY_BLOCK_BYTES = 28 << 20
+VOCABULARY_BLOCK_BYTES = 8 << 20
 OUTPUT_BLOCK_BYTES = 1 << 20
 #: Bytes of text that Spark hands to a worker at once; the block is what a worker holds.
 INPUT_BATCH_BYTES = 1 << 20

@@ -99,6 +99,18 @@ def document_list_recent(spark, d):
     return newest.join(counts, "o_orderkey", "left").select("o_orderkey", "o_orderdate", "o_orderstatus", F.coalesce("n", F.lit(0)).cast("long").alias("location_count"), F.coalesce("q", F.lit(0.0)).alias("quantity"))
 
 
+@query("""
+    SELECT o_orderkey, o_orderdate, o_orderstatus, count(l_orderkey) AS location_count, coalesce(sum(l_quantity), 0) AS quantity
+    FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2, 3 ORDER BY o_orderdate DESC, o_orderkey
+""")
+def document_list(spark, d):
+    """All parents, newest first, with counts of their children; ``document_list_recent`` is its first page."""
+    o, li = table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus"), table(spark, d, "lineitem")
+    counts = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q"))
+    counted = o.join(counts, "o_orderkey", "left").select("o_orderkey", "o_orderdate", "o_orderstatus", F.coalesce("n", F.lit(0)).cast("long").alias("location_count"), F.coalesce("q", F.lit(0.0)).alias("quantity"))
+    return counted.orderBy(F.desc("o_orderdate"), "o_orderkey")
+
+
 @query("SELECT DISTINCT p_brand AS facet FROM part WHERE p_brand <> '' ORDER BY facet")
 def facet_distinct_sorted(spark, d):
     return directory.facet(table(spark, d, "part"), "p_brand")

@@ -391,6 +391,16 @@ def range_join_pages(spark, d):
     return layout.pages_in_ranges(ranges, e, "first_page", "last_page", "event_id").select("section", "event_id")
 
 
+@query("""
+    SELECT r.section, e.event_id FROM (SELECT event_id AS section, event_id AS first_page, event_id + 1 + event_id % 3 AS last_page FROM events) r JOIN events e ON e.event_id BETWEEN r.first_page AND r.last_page
+""")
+def range_join_all_pages(spark, d):
+    """As ``range_join_pages``, with a range from every event, so that ranges overlap."""
+    e = table(spark, d, "events").select("event_id")
+    ranges = e.select(F.col("event_id").alias("section"), F.col("event_id").alias("first_page"), (F.col("event_id") + 1 + F.col("event_id") % 3).alias("last_page"))
+    return layout.pages_in_ranges(ranges, e, "first_page", "last_page", "event_id").select("section", "event_id")
+
+
 @query("""
     SELECT event_id, user_id, (SELECT min(n.event_id) FROM events n WHERE n.user_id = e.user_id AND n.event_id > e.event_id AND n.event_type <> e.event_type) AS boundary FROM events e
 """)

@@ -45,7 +45,8 @@ _BOILERPLATE = re.compile(
     rb"|\bprivacy policy\b|\bcookie (?:policy|settings)\b|\bsubscribe to\b|\bspdx-license-identifier\b|\bpermission is hereby granted\b",
     re.IGNORECASE,
 )
-_BOILERPLATE_HINT = re.compile(rb"icen[cs]|ights|erms of|olicy|ookie|ubscribe|ermission|SPDX|spdx|LICEN|RIGHTS|POLICY|COOKIE|TERMS")
+#: True for every line in lower case that the above may match.
+_BOILERPLATE_HINT = re.compile(rb"icen[cs]|ights|erms of|olicy|ookie|ubscribe|ermission|spdx")
 _SEPARATOR = re.compile(rb"\s(?:\||>|\xc2\xbb|\xe2\x80\xba|\xc2\xb7|/)(?=\s|$)")
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines_removed long, lost double, cleaned string"
@@ -91,7 +92,7 @@ def line_fault(line: bytes, words: list[bytes]) -> str | None:
             return "navigation"
         if cuts and n - cuts <= 2 * (cuts + 1):
             return "navigation"
-    if _BOILERPLATE_HINT.search(line) and _BOILERPLATE.search(line):
+    if _BOILERPLATE_HINT.search(line.lower()) and _BOILERPLATE.search(line):
         return "boilerplate"
     return None
 

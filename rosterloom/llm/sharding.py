@@ -2,7 +2,8 @@
 
 Documents are linked when their texts are equal.  Every document starts in a
 shard drawn by hash.  Rounds of joins move linked documents to the shard where
-most of their neighbours are, as far as that shard's quota of bytes allows.
+most of their neighbours are, as far as that shard's quota of bytes allows, until
+none that fits is left.
 Documents of one group that are in one shard are alike to every vote, so they
 vote and move as one unit: a group of any size is eight rows, and no join is
 skewed by it.  Documents without links come last and even the sizes out: in
@@ -26,15 +27,14 @@ from pyspark.sql.window import Window as W
 from .common import Scratch
 
 SHARDS = 8
-ROUNDS = 6
 #: Share of an even shard that linked documents may fill.
 LINKED_SHARE = 0.95
 #: Rows of one window partition, about.
 PART_ROWS = 50_000
 #: Bytes from which documents without links count as a larger class.
 SIZE_CLASSES = (1 << 15, 1 << 13, 1 << 11, 1 << 9, 0)
-#: Units that share one part of a shard's quota, about.
-QUOTA_UNITS = 20_000
+#: Units of one window partition, about, where units of a level are summed up.
+LEVEL_UNITS = 20_000
 
 
 def _sizes(df: DataFrame, key: str, value: str) -> dict[int, int]:
@@ -49,31 +49,45 @@ def _by_shard(values: dict[int, float], key: str) -> Column:
     return out
 
 
-def propagate(units: DataFrame, cap: float, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
-    """Units (g, start, shard, n, bytes) after their moves; one round is three joins or aggregations."""
-    parts = max(1, -(-units.count() // QUOTA_UNITS))
-    for _ in range(rounds):
+def _upto(wishes: DataFrame, level: Column, parts: int) -> DataFrame:
+    """Adds ``upto``, the bytes asked of a target up to each unit, by rising ``level`` and then by hash.
+
+    Two steps, as in ``_numbered``, so that no window holds all wishes of a target.
+    """
+    dealt = wishes.withColumn("level", level).withColumn("part", F.pmod(F.xxhash64("g", "start"), F.lit(parts)))
+    sums = dealt.groupBy("target", "level", "part").agg(F.sum("bytes").alias("part_sum"))
+    before = W.partitionBy("target").orderBy("level", "part").rowsBetween(W.unboundedPreceding, -1)
+    starts = sums.select("target", "level", "part", F.coalesce(F.sum("part_sum").over(before), F.lit(0)).alias("part_start"))
+    inside = W.partitionBy("target", "level", "part").orderBy(F.xxhash64("g"), "g", "start").rowsBetween(W.unboundedPreceding, 0)
+    summed = dealt.withColumn("inside", F.sum("bytes").over(inside))
+    return summed.join(starts, ["target", "level", "part"]).withColumn("upto", F.col("part_start") + F.col("inside"))
+
+
+def propagate(units: DataFrame, cap: float, scratch: Scratch) -> DataFrame:
+    """Units (g, start, shard, n, bytes) after their moves; one round is a few joins and aggregations.
+
+    The first round grants large groups first, all others grant small units first,
+    until none is left that fits.  A unit larger than what a shard has left does
+    not ask, so it keeps no other out.  As a group's target only gains by moves, a
+    unit moves once at most, and the rounds end.
+    """
+    parts = max(1, -(-units.count() // LEVEL_UNITS))
+    falling = True
+    while True:
         room = {t: max(0.0, cap - b) for t, b in _sizes(units, "shard", "bytes").items()}
         votes = units.groupBy("g", "shard").agg(F.sum("n").alias("n"))
         best = votes.groupBy("g").agg(F.max_by("shard", F.struct("n", F.xxhash64("g", "shard"))).alias("target"))
-        wishes = units.join(best, "g").filter("shard <> target").withColumn("part", F.pmod(F.xxhash64("g"), F.lit(parts)))
-        asked = wishes.groupBy("target", "part").agg(F.sum("bytes").alias("part_asked"))
-        total = _sizes(asked, "target", "part_asked")
-        if not total:
-            break
-        # a part of a shard's wishes has its share of the quota, by the bytes it asks for
-        ratio = {t: room.get(t, cap) / b for t, b in total.items()}
-        order = W.partitionBy("target", "part").orderBy(F.desc("n"), F.xxhash64("g"), "g", "start")
-        running = wishes.join(asked, ["target", "part"]).withColumn("upto", F.sum("bytes").over(order.rowsBetween(W.unboundedPreceding, 0)))
-        granted = running.filter(F.col("upto") <= F.col("part_asked") * _by_shard(ratio, "target")).select("g", "start", "target")
+        wishes = units.join(best, "g").filter("shard <> target").filter(F.col("bytes") <= _by_shard(room, "target"))
+        level = F.floor(F.log2("n" if falling else "bytes")).cast("int")
+        granted = _upto(wishes, -level if falling else level, parts).filter(F.col("upto") <= _by_shard(room, "target")).select("g", "start", "target")
         moved = scratch.save(units.join(granted, ["g", "start"], "left").select("g", "start", F.coalesce("target", "shard").alias("shard"), "n", "bytes", F.col("target").isNotNull().alias("moved")), "units")
         any_moved = moved.filter("moved").limit(1).count()
         scratch.drop(units)
         units = moved.drop("moved")
         units._scratch_path = moved._scratch_path
-        if not any_moved:
-            break
-    return units
+        if not any_moved and not falling:
+            return units
+        falling = False
 
 
 def _numbered(df: DataFrame, rows: int, keys: list[str], amount: str, name: str) -> DataFrame:

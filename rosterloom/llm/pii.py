@@ -67,20 +67,22 @@ _ENTITY = re.compile(
 )
 
 #: What a text must hold for any of the above to match; tested in the JVM.
-_HINTS = ("Mr", "Ms", "Miss", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Sir ", "Lady", "Dr", "Prof", "господин", "госпожа", "sk-", "xox", "gho_", "ghp_", "ghr_", "ghs_", "ghu_", "AKIA")
+_HINTS = ("Mr", "Ms", "Miss", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Sir", "Lady", "Dr", "Prof", "господин", "госпожа", "sk-", "xox", "gho_", "ghp_", "ghr_", "ghs_", "ghu_", "AKIA")
 _WORD_HINTS = "(?i)key|token|secret|passw|pwd"
 
 
 def may_hold_entities(text: Column) -> Column:
     """A cheap test that is true for every text with an entity, and seldom for others."""
-    hint = text.rlike("[0-9@]|[a-f]{32}|[A-F]{32}")
+    # digits of any script, and what this JVM may not know yet
+    hint = text.rlike(r"[\p{Nd}\p{Cn}@]|[a-f]{32}|[A-F]{32}")
     for word in _HINTS:
         hint = hint | text.contains(word)
     return F.coalesce(hint | text.rlike(_WORD_HINTS), F.lit(False))
 
 
 def _digits(text: str) -> str:
-    return "".join(c for c in text if c.isdigit())
+    """The digits of any script, as ASCII."""
+    return "".join(str(int(c)) for c in text if c.isdecimal())
 
 
 def _luhn_sum(digits: str) -> int:
@@ -95,6 +97,47 @@ def _script(text: str) -> str:
     return "cyrillic" if "Ѐ" <= text[0] <= "ӿ" else "latin"
 
 
+#: Characters of a bank account number by country.
+_IBAN_LENGTHS = {
+    c: n
+    for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ DZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in codes.split()
+}
+_NATIONAL = re.compile(r"(?:\+?1[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[.-])\d{3}[.-]\d{4}(?= |$)")
+
+
+def _prefixes(text: str) -> Iterator[str]:
+    """The text, and what ends before each of its blanks, longest first."""
+    while text:
+        yield text
+        text = text.rpartition(" ")[0]
+
+
+def _iban(text: str) -> str | None:
+    """The longest beginning that is a valid account number, of its country's length where that is known."""
+    for some in _prefixes(text):
+        code = some.replace(" ", "")
+        if 15 <= len(code) <= 34 and len(code) == _IBAN_LENGTHS.get(code[:2], len(code)) and _iban_valid(code):
+            return some
+    return None
+
+
+def _phone(text: str) -> str | None:
+    """The beginning that is a telephone number; neighbours after a national number are not part of it."""
+    if m := _NATIONAL.match(text):
+        return m[0]
+    return next((some for some in _prefixes(text) if 9 <= len(_digits(some)) <= 15), None)
+
+
+def _card(text: str) -> str:
+    """The longest beginning with a valid check digit, else the whole."""
+    return next((some for some in _prefixes(text) if len(d := _digits(some)) >= 13 and _luhn_sum(d) % 10 == 0), text)
+
+
 #: (start, end, kind, normal form, written form) of an entity in a text.
 Found = tuple[int, int, str, str, str]
 
@@ -102,7 +145,8 @@ Found = tuple[int, int, str, str, str]
 def find_entities(text: str) -> list[Found]:
     """Entities from left to right, without overlap."""
     out: list[Found] = []
-    for m in _ENTITY.finditer(text):
+    at, barred = 0, 0
+    while m := _ENTITY.search(text, at):
         start, end = m.span()
         if m["email"]:
             kind, form = "email", m[0].lower()
@@ -113,27 +157,37 @@ def find_entities(text: str) -> list[Found]:
         elif m["ip"]:
             kind, form = "ip", ".".join(str(int(x)) for x in m[0].split("."))
         elif m["iban"]:
-            kind, form = "iban", m[0].replace(" ", "")
-            if not (15 <= len(form) <= 34 and _iban_valid(form)):
+            some = _iban(m[0])
+            if some is None:
+                # what looks like an account number holds no telephone number, but another account number or a card
+                at, barred = start + 1, max(barred, end)
                 continue
+            kind, form, end = "iban", some.replace(" ", ""), start + len(some)
         elif m["ssn"]:
             kind, form = "ssn", _digits(m[0])
-        elif m["card"]:
-            kind, form = "card", _digits(m[0])
-        elif m["phone"]:
-            form = _digits(m[0])
-            if not 9 <= len(form) <= 15:
+        elif m["card"] and not _NATIONAL.match(m[0]):
+            some = _card(m[0])
+            kind, form, end = "card", _digits(some), start + len(some)
+            if start < barred and _luhn_sum(form) % 10:
+                at = end
+                continue
+        elif m["card"] or m["phone"]:
+            some = _phone(m[0])
+            if some is None or start < barred:
+                at = start + 1
                 continue
-            country = re.match(r"\+(\d{1,3})(?=[ .(-])", m[0])
-            kind, form = f"phone{len(country[1]) if country else 0}", form
+            country = re.match(r"\+(\d{1,3})(?=[ .(-])", some)
+            kind, form, end = f"phone{len(country[1]) if country else 0}", _digits(some), start + len(some)
         else:
-            gender, words, at = _TITLES[m["title"]], m["words"].split(" "), m.start("words")
+            gender, words, begin = _TITLES[m["title"]], m["words"].split(" "), m.start("words")
             for k, word in enumerate(words):
                 part = "family" if k == len(words) - 1 else f"given-{gender}"
-                out.append((at, at + len(word), f"{part}-{_script(word)}", word.lower(), word))
-                at += len(word) + 1
+                out.append((begin, begin + len(word), f"{part}-{_script(word)}", word.lower(), word))
+                begin += len(word) + 1
+            at = end
             continue
         out.append((start, end, kind, form, text[start:end]))
+        at = end
     return out
 
 

@@ -49,6 +49,7 @@ _TITLES = {
     "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f", "Señorita": "f", "Lady": "f", "госпожа": "f",
     "Dr": "n", "Prof": "n",
 }
+_TITLE_KINDS = {title.lower(): gender for title, gender in _TITLES.items()}
 _CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][\w'’-]*\w"
 
 _ENTITY = re.compile(
@@ -61,13 +62,14 @@ _ENTITY = re.compile(
   | (?P<ssn>(?<![\w-])\d{{3}}-\d{{2}}-\d{{4}}(?![\w-]))
   | (?P<card>(?<![\w+.-])\d(?:[ -]?\d){{12,18}}(?![\w-]|\.\d))
   | (?P<phone>(?<![\w.])(?:\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,12}}(?:[ .-]\d{{2,8}}){{0,4}}|(?:\(\d{{2,4}}\)[ .-]?|\d{{2,4}}[ .-])\d{{2,4}}(?:[ .-]\d{{2,4}}){{1,3}})(?!\w|[.-]\d))
-  | (?P<name>(?<!\w)(?P<title>{"|".join(_TITLES)})\.?[ ](?P<words>{_CAPITAL}(?:[ ]{_CAPITAL}){{0,2}}))
+  | (?P<name>(?<!\w)(?P<title>(?i:{"|".join(_TITLES)}))(?:\.?(?:[^\S\r\n]+(?:\r?\n[^\S\r\n]*)?|\r?\n[^\S\r\n]*))(?P<words>{_CAPITAL}(?:[ ]{_CAPITAL}){{0,2}}))
     """,
     re.VERBOSE,
 )
 
 #: What a text must hold for any of the above to match; tested in the JVM.
-_HINTS = ("Mr", "Ms", "Miss", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Sir", "Lady", "Dr", "Prof", "господин", "госпожа", "sk-", "xox", "gho_", "ghp_", "ghr_", "ghs_", "ghu_", "AKIA")
+_HINTS = ("sk-", "xox", "gho_", "ghp_", "ghr_", "ghs_", "ghu_", "AKIA")
+_TITLE_HINT = rf"(?iu)(?<![\p{{L}}0-9_])(?:{'|'.join(_TITLES)})\.?[\s\x1c-\x1f\x85\p{{Z}}]"
 _WORD_HINTS = "(?i)key|token|secret|passw|pwd"
 
 
@@ -77,7 +79,7 @@ def may_hold_entities(text: Column) -> Column:
     hint = text.rlike(r"[\p{Nd}\p{Cn}@]|[a-f]{32}|[A-F]{32}")
     for word in _HINTS:
         hint = hint | text.contains(word)
-    return F.coalesce(hint | text.rlike(_WORD_HINTS), F.lit(False))
+    return F.coalesce(hint | text.rlike(_WORD_HINTS) | text.rlike(_TITLE_HINT), F.lit(False))
 
 
 def _digits(text: str) -> str:
@@ -138,13 +140,55 @@ def _card(text: str) -> str:
     return next((some for some in _prefixes(text) if len(d := _digits(some)) >= 13 and _luhn_sum(d) % 10 == 0), text)
 
 
+_POSSESSIVE = re.compile(r"\w\w['’][sS]$")
+
 #: (start, end, kind, normal form, written form) of an entity in a text.
 Found = tuple[int, int, str, str, str]
 
 
+def _name_words(at: int, name: str, gender: str) -> Iterator[Found]:
+    words = list(re.finditer(r"\S+", name))
+    for word in words:
+        part = "family" if word is words[-1] else f"given-{gender}"
+        yield at + word.start(), at + word.end(), f"{part}-{_script(word[0])}", word[0].lower(), word[0]
+
+
+def _with_names(text: str, others: list[Found], names: list[tuple[int, str, str]]) -> list[Found]:
+    """Adds the words of titled names (start, words, gender), and their mentions without a title.
+
+    A name after a title without gender takes the one that it has after another title of the text.
+    """
+    genders: dict[str, str] = {}
+    for _, name, gender in names:
+        if gender != "n" and genders.setdefault(name.lower(), gender) != gender:
+            genders[name.lower()] = "n"
+    titled = [found for at, name, gender in names for found in _name_words(at, name, genders.get(name.lower(), "n") if gender == "n" else gender)]
+    full = {name.lower(): genders.get(name.lower(), gender) for _, name, gender in names}
+    words: dict[str, str] = {}
+    for _, _, kind, form, _ in titled:
+        words.setdefault(form, kind)
+    taken = sorted([*others, *titled])
+    spelled = sorted({*full, *words}, key=lambda x: (-len(x), x))
+    mention = re.compile(rf"(?<!\w)(?:{'|'.join(r'\s+'.join(map(re.escape, x.split())) for x in spelled)})(?!\w)", re.IGNORECASE)
+    out, at, k = [], 0, 0
+    while m := mention.search(text, at):
+        start, end = m.span()
+        while k < len(taken) and taken[k][1] <= start:
+            k += 1
+        capital = all(word[0].isupper() for word in m[0].split())
+        if not capital or (k < len(taken) and taken[k][0] < end):
+            at = start + 1
+            continue
+        form = " ".join(m[0].lower().split())
+        out += _name_words(start, m[0], full[form]) if form in full and " " in form else [(start, end, words[form], form, m[0])] if form in words else []
+        at = end
+    return sorted([*taken, *out])
+
+
 def find_entities(text: str) -> list[Found]:
     """Entities from left to right, without overlap."""
     out: list[Found] = []
+    names: list[tuple[int, str, str]] = []
     at, barred = 0, 0
     while m := _ENTITY.search(text, at):
         start, end = m.span()
@@ -179,16 +223,14 @@ def find_entities(text: str) -> list[Found]:
             country = re.match(r"\+(\d{1,3})(?=[ .(-])", some)
             kind, form, end = f"phone{len(country[1]) if country else 0}", _digits(some), start + len(some)
         else:
-            gender, words, begin = _TITLES[m["title"]], m["words"].split(" "), m.start("words")
-            for k, word in enumerate(words):
-                part = "family" if k == len(words) - 1 else f"given-{gender}"
-                out.append((begin, begin + len(word), f"{part}-{_script(word)}", word.lower(), word))
-                begin += len(word) + 1
+            words = m["words"]
+            words = words[:-2] if _POSSESSIVE.search(words) else words
+            names.append((m.start("words"), words, _TITLE_KINDS.get(m["title"].lower(), "n")))
             at = end
             continue
         out.append((start, end, kind, form, text[start:end]))
         at = end
-    return out
+    return _with_names(text, out, names) if names else out
 
 
 # ------------------------------------------------------------------ surrogates

@@ -2,7 +2,8 @@
 
 Two texts link when the Jaccard similarity of their sets (see ``shingles``) is
 at least 0.75.  ``link_documents`` gives each text its set size and the least
-doc_id that is reachable from it by links.
+doc_id that is reachable from it by links; ``representatives`` keeps one row of
+each component.
 
 1. *Classes.*  One pass hashes every text to its set; equal sets are one class,
    aggregated before they are shuffled, so copies cost a row each from then on.
@@ -10,26 +11,33 @@ doc_id that is reachable from it by links.
    come from all classes: each occurrence enters with probability 1/16, decided
    by a hash.  The order only steers how much work is done: any order gives the
    same links.  Two linked sets share a token among their first
-   ``n - ceil(3n/4) + 1`` ones; those prefixes are dealt out by token.
+   ``n - ceil(3n/4) + 1`` ones; those prefixes are dealt out by token, and a very
+   common token by token and part.
 3. *Stars.*  The pivot of a token is the class whose own tokens are the most
    common ones, which in a group of near copies is the least changed.  A class
    that meets a pivot in so many tokens that the two may link is tested against
    the one that it meets most often; links found here make components.  This
    joins a large group of near copies in about one test a member.
-4. *Crossings.*  Pairs of classes that share a token of the first order, lie in
-   different components, and have sizes and numbers of shared tokens at all that
-   allow a link are counted.  A pair goes on if the number of shared prefix tokens allows the needed overlap in
-   the first order, and then in a second and a third, random order: the
-   filters are intersected before any set is compared.
-5. *Verification* counts the common elements of the whole sets.
+4. *Crossings.*  A posting carries its place in the set's order and its rank among
+   those tokens of the set that lie in several components.  Of a pair that links,
+   the last common prefix token has a rank in both sets that is no less than the
+   number of common prefix tokens that a link needs, and leaves enough tokens
+   behind it.  Only postings with such ranks meet, so a class that has a few
+   tokens in common with a large group is not paired with all its members.
+5. *Filters.*  The pairs must then share enough prefix tokens in the first order,
+   and in a second and a third, random order.  All three are intersected before
+   whole sets are read.
+6. *Verification* counts the common elements of the whole sets.
 
 A pair is left out only if it lies in one component already or if a filter
 proves that it can't link, so the components are those of all links.
 
 Defined results: a null or empty text, or one without words, has size 0 and is
-its own component; repeated rows each get a row; rows with a null doc_id count as
-members but never name a component (unless it has only such); an empty table gives
-no rows; other columns are ignored.
+its own component; repeated rows each get a row; rows with a null doc_id are
+members like any other but never name a component (unless it has only such); a
+text of any length is hashed whole; an empty table gives no rows; other columns,
+whatever their names, are ignored by ``link_documents`` and kept by
+``representatives``.
 """
 
 from __future__ import annotations
@@ -51,17 +59,20 @@ SAMPLE = 16
 #: Sampled occurrences from which a token is put behind uncounted ones.
 COMMON_COUNT = 4
 #: Common tokens held by the order at most (12 bytes each); the rest count as rare.
-COMMON_TOKENS = 250_000
+COMMON_TOKENS = 1 << 20
+#: Postings of one part of a token, about; a token with more is dealt to several parts.
+PART_POSTINGS = 1 << 16
 
 #: Text hashed at once: each byte needs about 60 while its block is hashed.
 HASH_BLOCK_BYTES = 1 << 19
 
 _SALTS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 _NO_TOKENS = np.empty(0, np.uint64)
+_ORDERS = ("first", "second", "third")
 
-SETS_SCHEMA = "doc_id long, n_shingles long, cls long, sampled array<long>"
-PREFIX_SCHEMA = "cls long, prefix array<long>"
-MEMBER_SCHEMA = "cls long, elements array<long>, second array<int>, third array<int>"
+SETS_SCHEMA = "row_key long, doc_id long, n_shingles long, cls long, sampled array<long>"
+PREFIX_SCHEMA = "cls long, n long, prefix array<long>"
+MEMBER_SCHEMA = "cls long, elements array<long>, first array<int>, second array<int>, third array<int>"
 
 
 def prefix_size(n: int) -> int:
@@ -86,8 +97,8 @@ def _hash_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             classes.append(cls)
             samples.append(elements[mix(elements ^ np.uint64(cls & (2**64 - 1))) % np.uint64(SAMPLE) == 0] if new else _NO_TOKENS)
         yield pa.RecordBatch.from_arrays(
-            [block.column("doc_id").cast(pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(classes, pa.int64()), _long_lists(samples)],
-            names=["doc_id", "n_shingles", "cls", "sampled"],
+            [block.column("row_key"), block.column("doc_id").cast(pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(classes, pa.int64()), _long_lists(samples)],
+            names=["row_key", "doc_id", "n_shingles", "cls", "sampled"],
         )
 
 
@@ -114,20 +125,21 @@ def _random_prefix(elements: np.ndarray, salt: np.uint64) -> np.ndarray:
 
 
 def _prefixes(batches: Iterable[pa.RecordBatch], order) -> Iterator[pa.RecordBatch]:
-    """Prefixes of each class, once for each task."""
+    """Prefixes of each class in the first order, once for each task."""
     seen: set[int] = set()
     for block in blocks(batches, "text", HASH_BLOCK_BYTES):
-        classes, parts = [], []
+        classes, sizes, parts = [], [], []
         for elements in shingle_sets(utf8(block.column("text"))):
             if len(elements) and (cls := set_hash(elements)) not in seen:
                 seen.add(cls)
                 classes.append(cls)
+                sizes.append(len(elements))
                 parts.append(order.value.prefix(elements))
-        yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), _long_lists(parts)], names=["cls", "prefix"])
+        yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), _long_lists(parts)], names=["cls", "n", "prefix"])
 
 
-def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole sets of the wanted classes, with their prefixes in two random orders."""
+def _members(batches: Iterable[pa.RecordBatch], order) -> Iterator[pa.RecordBatch]:
+    """Whole sets of the wanted classes, with their prefixes in three orders."""
     seen: set[int] = set()
     for block in blocks(batches, "text", HASH_BLOCK_BYTES):
         classes, parts = [], []
@@ -136,10 +148,8 @@ def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.add(wanted)
                 classes.append(wanted)
                 parts.append(elements)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(classes, pa.int64()), _long_lists(parts), *(_long_lists([_random_prefix(x, salt) for x in parts], np.int32) for salt in _SALTS)],
-            names=["cls", "elements", "second", "third"],
-        )
+        prefixes = [[order.value.prefix(x) for x in parts], *([_random_prefix(x, salt) for x in parts] for salt in _SALTS)]
+        yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), _long_lists(parts), *(_long_lists(x, np.int32) for x in prefixes)], names=["cls", "elements", *_ORDERS])
 
 
 def _sizes_allow(a: Column, b: Column) -> Column:
@@ -151,26 +161,48 @@ def _needed_overlap(a: Column, b: Column) -> Column:
     return F.floor((3 * (a + b) + 6) / 7)
 
 
-def _prefix_allows(shared: Column, a: Column, b: Column) -> Column:
-    """Whether prefixes that share so many tokens leave room for the needed overlap.
+def _rest(a: Column, b: Column) -> Column:
+    """Common tokens that two linked sets may have outside their common prefix tokens, at most.
 
-    Common tokens outside the shared ones lie past the prefix of the set whose
-    prefix ends first, so there are at most ceil(3n/4) - 1 of them.
+    They lie past the prefix of the set whose prefix ends first.
     """
-    rest = F.greatest(F.floor((3 * a + 3) / 4), F.floor((3 * b + 3) / 4)) - 1
-    return (shared >= 1) & (shared + rest >= _needed_overlap(a, b))
+    return F.greatest(F.floor((3 * a + 3) / 4), F.floor((3 * b + 3) / 4)) - 1
+
 
+def _prefix_needs(a: Column, b: Column) -> Column:
+    """Common prefix tokens of two linked sets, at least."""
+    return F.greatest(_needed_overlap(a, b) - _rest(a, b), F.lit(1))
+
+
+def _least_need(n: Column, lo: Column, hi: Column) -> Column:
+    """A bound of ``_prefix_needs`` for all sizes from ``lo`` to ``hi``; null where no such size can link.
+
+    The need rises up to equal sizes and falls from there on, but for one by rounding.
+    """
+    lo, hi = F.greatest(lo, F.floor((3 * n + 3) / 4)), F.least(hi, F.floor(4 * n / 3))
+    return F.when(lo <= hi, F.least(_prefix_needs(n, lo), _prefix_needs(n, hi)) - 1)
+
+
+def _verified(pairs: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
+    """Those pairs (u, v) whose whole sets link; only pairs that pass in all orders read them."""
+
+    def both(some: DataFrame, *columns: str) -> DataFrame:
+        side = lambda at: members.select(F.col("cls").alias(at), *(F.col(c).alias(f"{c}_{at}") for c in columns))
+        return some.join(side("v"), "v").join(side("u"), "u")
 
-def _verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Those pairs (u, v) whose whole sets link, tested last after the second and third order."""
-    right = members.select(F.col("cls").alias("v"), *(F.col(c).alias(f"{c}_v") for c in ("elements", "second", "third")))
-    left = members.select(F.col("cls").alias("u"), *(F.col(c).alias(f"{c}_u") for c in ("elements", "second", "third")))
-    both = pairs.select("u", "v").join(right, "v").join(left, "u")
-    a, b = F.size("elements_u").cast("long"), F.size("elements_v").cast("long")
-    shared = lambda name: F.size(F.array_intersect(f"{name}_u", f"{name}_v"))
     # the prefixes hold halves of hashes, so that clashes can only let a pair pass
-    links = F.when(~_sizes_allow(a, b), False).when(~_prefix_allows(shared("second") + _clashes("second"), a, b), False).when(~_prefix_allows(shared("third") + _clashes("third"), a, b), False)
-    return both.filter(links.otherwise(shared("elements") >= _needed_overlap(a, b))).select("u", "v")
+    size = lambda at: F.size(f"first_{at}").cast("long")
+    shared = lambda name: F.size(F.array_intersect(f"{name}_u", f"{name}_v")) + _clashes(name)
+    counted = both(pairs.select("u", "v", "n_u", "n_v"), *_ORDERS)
+    need = _prefix_needs(F.col("n_u"), F.col("n_v"))
+    passed = F.lit(True)
+    for name in reversed(_ORDERS):
+        passed = F.when(F.least(size("u"), size("v")) < need, False).when(shared(name) < need, False).otherwise(passed)
+    likely = scratch.save(counted.filter(passed).select("u", "v", "n_u", "n_v"), "likely")
+    whole = both(likely, "elements")
+    links = scratch.save(whole.filter(F.size(F.array_intersect("elements_u", "elements_v")) >= _needed_overlap(F.col("n_u"), F.col("n_v"))).select("u", "v").distinct(), "links")
+    scratch.drop(likely)
+    return links
 
 
 def _clashes(name: str) -> Column:
@@ -179,62 +211,114 @@ def _clashes(name: str) -> Column:
     return lost(f"{name}_u") + lost(f"{name}_v")
 
 
-def _load_members(docs: DataFrame, pairs: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """Whole sets, and two more prefixes, of the classes in pairs, from one document of each."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct().join(classes, "cls").select("cls", F.col("least_id").alias("doc_id"))
-    return scratch.save(docs.join(wanted, "doc_id").select("cls", "doc_id", "text").mapInArrow(_members, MEMBER_SCHEMA), "members")
+def _load_members(docs: DataFrame, pairs: DataFrame, classes: DataFrame, order, scratch: Scratch) -> DataFrame:
+    """Whole sets and prefixes of the classes in pairs, each from one row of ``docs``."""
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct().join(classes, "cls").select("cls", "row_key")
+    return scratch.save(docs.join(wanted, "row_key").select("cls", "text").mapInArrow(lambda it: _members(it, order), MEMBER_SCHEMA), "members")
 
 
-def link_documents(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
+def _posted(docs: DataFrame, order, hot: DataFrame | None) -> DataFrame:
+    """token, part, cls, n, place and rows (of the token) of prefix tokens that may lie in several classes."""
+    postings = docs.mapInArrow(lambda it: _prefixes(it, order), PREFIX_SCHEMA).select("cls", "n", F.posexplode("prefix").alias("place", "token"))
+    postings = postings.withColumn("part", F.lit(0)) if hot is None else postings.join(F.broadcast(hot), "token", "left").withColumn("part", F.coalesce(F.pmod("cls", "parts"), F.lit(0)).cast("int"))
+    whole = W.partitionBy("token", "part")
+    several = F.min("cls").over(whole) != F.max("cls").over(whole)
+    counted = postings.withColumn("several", several if hot is None else several | F.col("parts").isNotNull()).withColumn("rows", F.count(F.lit(1)).over(whole)).filter("several")
+    return counted.groupBy("token", "part", "cls").agg(F.min("n").alias("n"), F.min("place").alias("place"), F.min("rows").alias("rows"))
+
+
+def _stars(shared: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """(u, v, n_u, n_v): each class v with the pivot u that it may link to and meets most often."""
+    central = shared.groupBy("cls").agg(F.sum("rows").alias("weight"))
+    weighed = shared.select("token", "part", "cls", "n").join(central, "cls")
+    rank = F.struct("weight", "cls", "n")
+    best = F.max(rank).over(W.partitionBy("token", "part"))
+    if hot is None:
+        met = weighed.withColumn("pivot", best)
+    else:  # one pivot for all parts of a token
+        tops = weighed.join(F.broadcast(hot.select("token")), "token", "left_semi").groupBy("token").agg(F.max(rank).alias("top"))
+        met = weighed.withColumn("pivot", best).join(F.broadcast(tops), "token", "left").withColumn("pivot", F.coalesce("top", "pivot"))
+    met = met.select("cls", "n", F.col("pivot.cls").alias("u"), F.col("pivot.n").alias("n_u")).filter("cls <> u").groupBy("cls", "n", "u", "n_u").count()
+    met = met.filter(_sizes_allow(F.col("n"), F.col("n_u")) & (F.col("count") >= _prefix_needs(F.col("n"), F.col("n_u"))))
+    return met.groupBy("cls", "n").agg(F.max(F.struct("count", "u", "n_u")).alias("most")).select("most.u", F.col("cls").alias("v"), "most.n_u", F.col("n").alias("n_v"))
+
+
+def _crossings(shared: DataFrame, found: DataFrame, hot: DataFrame | None, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(u, v, n_u, n_v): pairs from different components that ranks and places allow to link."""
+    rooted = shared.select("token", "part", "cls", "n", "place").join(found.withColumnRenamed("u", "cls"), "cls", "left").withColumn("root", F.coalesce("v", "cls")).drop("v")
+    tokens = rooted.groupBy("token").agg(F.min("root").alias("first_root"), F.max("root").alias("last_root"), F.min("n").alias("lo"), F.max("n").alias("hi")).filter("first_root <> last_root")
+    rooted = rooted.join(tokens.select("token", "lo", "hi"), "token").withColumn("rank", F.row_number().over(W.partitionBy("cls").orderBy("place")))
+    rooted = scratch.save(rooted.filter(F.col("rank") >= _least_need(F.col("n"), F.col("lo"), F.col("hi"))).drop("lo", "hi"), "rooted")
+    a, b = rooted, rooted
+    if hot is not None:  # each part of a token meets all its parts
+        b = rooted.drop("part").join(F.broadcast(hot), "token", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    a, b = a.alias("a"), b.alias("b")
+    n_u, n_v, rank = F.col("a.n"), F.col("b.n"), F.least("a.rank", "b.rank")
+    behind = F.least(n_u - F.col("a.place"), n_v - F.col("b.place")) - 1
+    may_link = _sizes_allow(n_u, n_v) & (rank >= _prefix_needs(n_u, n_v)) & (rank + behind >= _needed_overlap(n_u, n_v))
+    apart = (F.col("a.cls") < F.col("b.cls")) & (F.col("a.root") != F.col("b.root"))
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.part") == F.col("b.part")) & apart & may_link)
+    return scratch.save(pairs.select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v"), n_u.alias("n_u"), n_v.alias("n_v")).distinct(), "pairs"), rooted
+
+
+def _linked(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """row_key, doc_id, n_shingles, root (a class; null without words) and component_id of every row of ``docs`` (row_key, doc_id, text)."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    scratch = scratch or Scratch(spark, "jaccard")
-    docs = docs.select("doc_id", "text")
     hashed = scratch.save(docs.mapInArrow(_hash_sets, SETS_SCHEMA), "hashed")
 
     sampled = hashed.filter(F.size("sampled") > 0).groupBy("cls").agg(F.first("sampled").alias("sampled"))
     common = sampled.select(F.explode("sampled").alias("token")).groupBy("token").count().filter(F.col("count") >= COMMON_COUNT)
     common = common.orderBy(F.desc("count"), "token").limit(COMMON_TOKENS).toPandas()
     order = spark.sparkContext.broadcast(TokenOrder(common["token"].to_numpy(np.int64).view(np.uint64), common["count"].to_numpy(np.int64)))
-
-    classes = scratch.save(hashed.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n")), "classes")
-    postings = docs.mapInArrow(lambda it: _prefixes(it, order), PREFIX_SCHEMA).select(F.explode("prefix").alias("token"), "cls")
-    shared = postings.selectExpr("token", "cls", "count(*) over (partition by token) as rows", "min(cls) over (partition by token) <> max(cls) over (partition by token) as several").filter("several")
-    shared = scratch.save(shared.groupBy("token", "cls").agg(F.first("rows").alias("rows")), "shared")
-
-    # of a token's classes, the pivot is the one whose own tokens are the most common: the least changed of a group of near copies
-    central = shared.groupBy("cls").agg(F.sum("rows").alias("weight"))
-    met = shared.select("token", "cls").join(central, "cls").selectExpr("cls", "max_by(cls, struct(weight, cls)) over (partition by token) as pivot")
-    size = classes.select("cls", F.col("n").cast("long").alias("n"))
-    met = met.filter("cls <> pivot").groupBy("cls", "pivot").count()
-    met = met.join(size, "cls").join(size.select(F.col("cls").alias("pivot"), F.col("n").alias("n_pivot")), "pivot").filter(_prefix_allows(F.col("count"), F.col("n"), F.col("n_pivot")) & _sizes_allow(F.col("n"), F.col("n_pivot")))
-    stars = scratch.save(met.groupBy("cls").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("u")).select("u", F.col("cls").alias("v")), "star-pairs")
-    members = _load_members(docs, stars, classes, scratch)
-    links = scratch.save(_verified(stars, members), "stars")
-    scratch.drop(members)
+    common["parts"] = (common["count"] * SAMPLE // PART_POSTINGS + 1).astype(np.int32)
+    common = common[common["parts"] > 1]
+    hot = spark.createDataFrame(common[["token", "parts"]], "token long, parts int") if len(common) else None
+
+    classes = scratch.save(hashed.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.min("row_key").alias("row_key")), "classes")
+    shared = scratch.save(_posted(docs, order, hot), "shared")
+    stars = scratch.save(_stars(shared, hot), "star-pairs")
+    members = _load_members(docs, stars, classes, order, scratch)
+    links = _verified(stars, members, scratch)
+    scratch.drop(members, stars)
     found = connected_components(links, scratch)
 
-    rooted = shared.select("token", "cls").join(found.withColumnRenamed("u", "cls"), "cls", "left").join(size, "cls")
-    # the tokens that a class shares with any other bound what it shares with one
-    rooted = rooted.select("token", "cls", F.coalesce("v", "cls").alias("root"), "n", F.count(F.lit(1)).over(W.partitionBy("cls")).alias("most"))
-    roots = rooted.groupBy("token").agg(F.min("root").alias("first_root"), F.max("root").alias("last_root")).filter("first_root <> last_root").select("token")
-    rooted = scratch.save(rooted.join(roots, "token"), "rooted")
-    a, b = rooted.alias("a"), rooted.alias("b")
-    may_link = _sizes_allow(F.col("a.n"), F.col("b.n")) & _prefix_allows(F.least("a.most", "b.most"), F.col("a.n"), F.col("b.n"))
-    crossing = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root")) & (F.col("a.cls") < F.col("b.cls")) & may_link)
-    crossing = crossing.groupBy(F.col("a.cls").alias("u"), F.col("b.cls").alias("v"), F.col("a.n").alias("n_u"), F.col("b.n").alias("n_v")).count()
-    pairs = scratch.save(crossing.filter(_prefix_allows(F.col("count"), F.col("n_u"), F.col("n_v"))).select("u", "v"), "pairs")
+    pairs, rooted = _crossings(shared, found, hot, scratch)
     scratch.drop(shared, rooted)
-    members = _load_members(docs, pairs, classes, scratch)
-    more = scratch.save(_verified(pairs, members), "crossings")
-    scratch.drop(members)
+    members = _load_members(docs, pairs, classes, order, scratch)
+    more = _verified(pairs, members, scratch)
+    scratch.drop(members, pairs)
     parents = connected_components(found.select("u", "v").union(more), scratch)
-    scratch.drop(stars, links, found, pairs, more)
+    scratch.drop(links, found, more)
 
     named = classes.join(parents.withColumnRenamed("u", "cls"), "cls", "left").select("cls", "least_id", F.coalesce("v", "cls").alias("root"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = named.join(least, "root").select("cls", "component_id")
-    full = hashed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("cls")).alias("cls"))
-    full = full.join(named, "cls", "left")
-    return full.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = named.join(least, "root").select("cls", "root", "component_id")
+    full = hashed.select("row_key", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("cls")).alias("cls")).join(named, "cls", "left")
+    return full.select("row_key", "doc_id", "n_shingles", "root", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _row_key() -> Column:
+    """A key of a row that is never null, alike for rows with equal ids and texts only."""
+    return F.xxhash64("doc_id", "text").alias("row_key")
+
+
+def link_documents(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text)."""
+    scratch = scratch or Scratch(docs.sparkSession, "jaccard")
+    return _linked(docs.select(_row_key(), "doc_id", "text"), scratch).select("doc_id", "n_shingles", "component_id")
+
+
+def representatives(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """One whole row of each component: that of the least doc_id, nulls last, and the least key.
+
+    Rows without words are components of their own and stay.  Rows with equal ids
+    and texts are one document; of those that differ in other columns, the one
+    with the least hash of the row stays.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "jaccard")
+    linked = _linked(docs.select(_row_key(), "doc_id", "text"), scratch)
+    first = linked.filter("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first")).select("first.row_key")
+    chosen = first.union(linked.filter("n_shingles = 0").select("row_key").distinct())
+    rows = docs.select(_row_key(), F.struct("*").alias("row")).join(chosen, "row_key", "left_semi")
+    return rows.groupBy("row_key").agg(F.min_by("row", F.xxhash64(F.to_json("row", {"ignoreNullFields": "false"}))).alias("row")).select("row.*")

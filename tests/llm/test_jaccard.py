@@ -85,6 +85,63 @@ def test_extra_columns_and_null_ids(spark):
     assert sorted(map(tuple, got), key=str) == sorted([(None, 3, 2), (3, 3, 2), (2, 3, 2), (None, 1, None), (None, 0, None)], key=str)
 
 
+def near_copies(rng, n, size=60):
+    """Copies of one base text with a word or more changed; some are too far from it to link."""
+    words = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(words) for _ in range(size)]
+    out = []
+    for _ in range(n):
+        copy = list(base)
+        for _ in range(rng.choice([1, 1, 1, 2, 3, 4])):
+            copy[rng.randrange(size)] = rng.choice(words)
+        out.append(" ".join(copy))
+    return out
+
+
+def test_a_group_of_near_copies_in_parts_of_tokens(spark, monkeypatch):
+    """A large group with members on both sides of the threshold, its common tokens dealt to several parts."""
+    monkeypatch.setattr(jaccard_join, "COMMON_COUNT", 1)
+    monkeypatch.setattr(jaccard_join, "PART_POSTINGS", 40)
+    rng = random.Random(5)
+    rows = list(enumerate(near_copies(rng, 300) + near_copies(rng, 20, 30) + near_copies(rng, 20, 9)))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert linked(df) == brute(rows)
+
+
+def test_near_copies_without_ids_link(spark):
+    rng = random.Random(9)
+    words = [f"v{i}" for i in range(60)]
+    changed = lambda *at: " ".join("x" if k in at else w for k, w in enumerate(words))
+    # the only links of 1 and 4 lead through the row without an id
+    rows = [(None, changed(0)), (1, changed()), (4, changed(0, 59)), (7, " ".join(rng.choices(words, k=60)))]
+    got = jaccard_join.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, 56, 1), (1, 56, 1), (4, 56, 1), (7, 56, 7)], key=str)
+
+
+def test_a_text_over_a_block_and_its_near_copy(spark):
+    """Texts of over 2 MB are hashed whole: they differ past their first megabyte."""
+    words = [f"n{i}" for i in range(330_000)]
+    other = [*words[:200_000], *(f"m{i}" for i in range(130_000))]
+    rows = [(5, " ".join(words)), (6, " ".join([*words[:-1], "end"])), (8, " ".join(other))]
+    assert len(rows[0][1]) > 2 << 20
+    got = jaccard_join.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(5, 329_996, 5), (6, 329_996, 5), (8, 329_996, 8)]
+
+
+def test_one_row_of_each_component_stays(spark):
+    words = [f"v{i}" for i in range(60)]
+    near = " ".join([*words[:-1], "end"])
+    rows = [
+        (3, " ".join(words), "a", 1), (2, near, "b", 2), (2, near, "b", 2), (2, near, "c", 3), (9, "quite another text of seven words", "d", 4), (9, "unlike the one with the same id", "e", 5),
+        (None, "no id but words enough to be one", "f", 6), (None, "no id but words enough to be one", "f", 6), (4, None, "g", 7), (4, None, "g", 7), (5, "", "h", 8),
+    ]
+    got = [tuple(r) for r in jaccard_join.representatives(spark.createDataFrame(rows, "doc_id long, text string, root string, row_key int")).collect()]
+    kept = sorted(r[0] if r[0] is not None else -1 for r in got)
+    assert kept == [-1, 2, 4, 5, 9, 9] and all(r in rows for r in got)
+    assert sum(r[:2] == (2, near) for r in got) == 1
+
+
 def test_components_of_paths_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(200, 200), (301, 300), (300, 301)]
     random.Random(3).shuffle(edges)

@@ -35,13 +35,8 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group linked by the n-gram Jaccard join.
-
-    Rows that share an id are one document; rows without an id can't be named and stay.
-    """
-    first = jaccard_join.link_documents(docs).filter("doc_id = component_id").select("doc_id")
-    kept = docs.filter(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One document, that of the least id, of each group linked by the n-gram Jaccard join."""
+    return jaccard_join.representatives(docs)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,23 +1,28 @@
 """Byte-level BPE by Spark higher-order functions over the distinct words of text blocks.
 
-1. ``index_words`` (Arrow): the pattern's matches of each text become codes into
-   the block's dictionary of distinct words; a word is the array of its bytes'
-   ranks, or its own rank if it is a token.
-2. ``encode_words`` (Spark columns): each distinct word is folded by ranked
+1. ``shared_words``: the words that occur in most blocks, counted in a hashed
+   eighth of the documents and bounded by ``SHARED_BYTES`` whatever the size of
+   the input, are folded once (by step 3) and broadcast.
+2. ``index_words`` (Arrow): the pattern's matches of each text become codes into
+   the block's dictionary of distinct words; a word is a shared one, or the array
+   of its bytes' ranks, or its own rank if it is a token.
+3. ``encode_words`` (Spark columns): each distinct word is folded by ranked
    merges.  The state holds the pieces' ids and the ranks of neighbouring pairs;
    a step joins the leftmost pair of the least rank.  Ranks come from a literal
    map of pairs, dealt into small maps so that a look-up is of constant cost.
    Decoding concatenates the binary pieces of the ids.
-3. ``assemble`` (Arrow): each text's ids and decoded bytes, by its codes.
+4. ``assemble`` (Arrow): each text's ids and decoded bytes, by its codes.
 
-Blocks hold about 8 MB of text, so every word is folded once a block and no
-word, id or text is shuffled or collected.
+Blocks hold about 8 MB of text.  Which words are shared decides how often a word
+is folded, never its ids: a word that is not shared is folded once in each block
+that holds it.  No text is shuffled or collected.
 
 Defined results: a null or empty text has no ids; repeated rows each get their
-row; special strings are ordinary text; an empty table gives no rows; other
-columns are ignored.  A word over ``LONG_WORD`` bytes (a match without any
-break) is merged with a heap instead, as each step of the column fold costs the
-length of the word.
+row, also with a null or repeated doc_id; special strings are ordinary text; a
+text longer than a block is a block of its own; an empty table gives no rows;
+other columns, whatever their names, are ignored.  A word over ``LONG_WORD``
+bytes (a match without any break) is merged with a heap instead, as each step of
+the column fold costs the length of the word.
 """
 
 from __future__ import annotations
@@ -33,12 +38,19 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, give_back
+from .common import Scratch, bounded_batches, give_back
 
 VOCABULARY_BLOCK_BYTES = 8 << 20
+#: Bytes of all shared words at most, with 8 bytes more for each.
+SHARED_BYTES = 24 << 20
+#: One document in this many is counted to choose the shared words.
+SAMPLE = 8
+#: Words folded in one row, and rows of words in one task, about.
+FOLD_WORDS, FOLD_ROWS = 1024, 8
 OUTPUT_BLOCK_BYTES = 1 << 20
 #: Bytes of text that Spark hands to a worker at once; the block is what a worker holds.
 INPUT_BATCH_BYTES = 1 << 20
@@ -53,7 +65,8 @@ PAIR_BASE = 1 << 17
 #: Pieces of a word at most: over ``LONG_WORD``.
 PLACES = 1 << 12
 
-INDEXED_SCHEMA = "doc_ids array<long>, matches array<int>, codes binary, words array<array<int>>, long_words array<struct<code:int,word:binary>>"
+INDEXED_SCHEMA = "doc_ids array<long>, matches array<int>, codes binary, known binary, words array<array<int>>, long_words array<struct<code:int,word:binary>>"
+WORDS_SCHEMA = "words array<array<int>>, spelled array<binary>"
 ENCODED_SCHEMA = "doc_id long, n_tokens long, ids binary, decoded binary"
 
 
@@ -63,7 +76,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
 
 
-# ------------------------------------------------------------------ 1. words
+# ------------------------------------------------------------------ 1. and 2. words
 
 
 #: Letters and numbers below U+0250, and what is beyond (or white space to Python alone).
@@ -108,57 +121,111 @@ class _Block:
         self.matches.append(len(found))
         self.held += len(text)
 
-    def batch(self, ranks: dict[bytes, int]) -> pa.RecordBatch:
+    def batch(self, ranks: dict[bytes, int], shared: pa.Table) -> pa.RecordBatch:
         data = [w.encode() for w in self.words]
+        known = pc.fill_null(pc.index_in(pa.array(data, pa.binary()), value_set=shared["word"].combine_chunks()), -1).to_numpy(zero_copy_only=False).astype("<i4")
         longs = [{"code": k, "word": w} for k, w in enumerate(data) if len(w) > LONG_WORD]
-        own = [ranks.get(w) for w in data]
-        parts = [b"" if r is not None or len(w) > LONG_WORD else w for w, r in zip(data, own, strict=True)]
-        of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        # tokens stand for themselves: one id each, between the bytes of other words
-        lengths = np.fromiter((len(w) + (r is not None) for w, r in zip(parts, own, strict=True)), np.int64, len(parts))
-        offsets = np.concatenate([[0], np.cumsum(lengths)])
-        flat = np.empty(int(offsets[-1]), np.int32)
-        at = np.fromiter((k for k, r in enumerate(own) if r is not None), np.int64)
-        single = np.zeros(len(flat), bool)
-        single[offsets[at]] = True
-        flat[single] = [r for r in own if r is not None]
-        flat[~single] = of_byte[np.frombuffer(b"".join(parts), np.uint8)]
-        words = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
+        words = _as_ids([data[k] for k in np.flatnonzero(known < 0)], ranks)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([self.doc_ids], pa.list_(pa.int64())),
                 pa.array([self.matches], pa.list_(pa.int32())),
                 pa.array([self.codes.tobytes()], pa.binary()),
+                pa.array([known.tobytes()], pa.binary()),
                 pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
                 pa.array([longs], pa.list_(pa.struct([("code", pa.int32()), ("word", pa.binary())]))),
             ],
-            names=["doc_ids", "matches", "codes", "words", "long_words"],
+            names=["doc_ids", "matches", "codes", "known", "words", "long_words"],
         )
 
 
-def _index(batches: Iterable[pa.RecordBatch], pattern: str, path: str, limit: int) -> Iterator[pa.RecordBatch]:
+def _as_ids(words: list[bytes], ranks: dict[bytes, int]) -> pa.ListArray:
+    """What is folded: the ranks of a word's bytes, or its own rank; nothing for a long word."""
+    own = [ranks.get(w) for w in words]
+    parts = [b"" if r is not None or len(w) > LONG_WORD else w for w, r in zip(words, own, strict=True)]
+    of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+    # tokens stand for themselves: one id each, between the bytes of other words
+    lengths = np.fromiter((len(w) + (r is not None) for w, r in zip(parts, own, strict=True)), np.int64, len(parts))
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    flat = np.empty(int(offsets[-1]), np.int32)
+    single = np.zeros(len(flat), bool)
+    single[offsets[np.fromiter((k for k, r in enumerate(own) if r is not None), np.int64)]] = True
+    flat[single] = [r for r in own if r is not None]
+    flat[~single] = of_byte[np.frombuffer(b"".join(parts), np.uint8)]
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
+
+
+def _index(batches: Iterable[pa.RecordBatch], pattern: str, path: str, limit: int, shared) -> Iterator[pa.RecordBatch]:
     pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between blocks
     ranks, block = load_ranks(path), _Block(pattern)
     for batch in batches:
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             block.add(doc_id, text or "")
             if block.held >= limit:
-                yield block.batch(ranks)
+                yield block.batch(ranks, shared.value)
                 block = _Block(pattern)
                 give_back()
     if block.doc_ids:
-        yield block.batch(ranks)
+        yield block.batch(ranks, shared.value)
         block = None
     give_back()
 
 
-def index_words(docs: DataFrame, pattern: str, rank_path: str, limit: int = VOCABULARY_BLOCK_BYTES) -> DataFrame:
-    """A row for each block of texts: ids, matches of each text, codes, and distinct words."""
+def index_words(docs: DataFrame, pattern: str, rank_path: str, shared, limit: int = VOCABULARY_BLOCK_BYTES) -> DataFrame:
+    """A row for each block of texts: ids, matches of each text, codes, places among the shared words, and all other distinct words."""
     bounded_batches(docs.sparkSession, INPUT_BATCH_BYTES)
-    return docs.select("doc_id", "text").mapInArrow(lambda it: _index(it, pattern, rank_path, limit), INDEXED_SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(lambda it: _index(it, pattern, rank_path, limit, shared), INDEXED_SCHEMA)
+
+
+def _distinct(batches: Iterable[pa.RecordBatch], pattern: str, path: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each block that are no tokens."""
+    find, ranks, words, held = matcher(pattern), load_ranks(path), set(), 0
 
+    def out() -> pa.RecordBatch:
+        data = [w for w in map(str.encode, words) if w not in ranks and len(w) <= LONG_WORD]
+        return pa.RecordBatch.from_arrays([pa.array(data, pa.binary())], names=["word"])
 
-# ------------------------------------------------------------------ 2. merges
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            words.update(find(text or ""))
+            held += len(text or "")
+            if held >= limit:
+                yield out()
+                words, held = set(), 0
+    yield out()
+
+
+def _spelled(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    ranks = load_ranks(path)
+    for batch in batches:
+        for at in range(0, batch.num_rows, FOLD_WORDS):
+            words = batch.column("word")[at : at + FOLD_WORDS]
+            ends = pa.array([0, len(words)], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, _as_ids(words.to_pylist(), ranks)), pa.ListArray.from_arrays(ends, words)], names=["words", "spelled"])
+
+
+def shared_words(docs: DataFrame, pattern: str, rank_path: str, limit: int, scratch: Scratch) -> pa.Table:
+    """word, ids and decoded of the words found in most blocks, within ``SHARED_BYTES``."""
+    bounded_batches(docs.sparkSession, INPUT_BATCH_BYTES)
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0).select("text")
+    found = scratch.save(some.mapInArrow(lambda it: _distinct(it, pattern, rank_path, limit), "word binary").groupBy("word").agg(F.count(F.lit(1)).alias("found")), "words")
+    # a word is found once a block at most, so the blocks bound the rows of this sum
+    sums = found.groupBy("found").agg(F.sum(F.octet_length("word") + 8).alias("bytes"), F.count(F.lit(1)).alias("words")).orderBy(F.desc("found"))
+    least, held, words = None, 0, 0
+    for row in sums.toLocalIterator():
+        if held + row["bytes"] > SHARED_BYTES:
+            break
+        least, held, words = row["found"], held + row["bytes"], words + row["words"]
+    chosen = found.filter(F.lit(False) if least is None else F.col("found") >= least).select("word")
+    tasks = -(-words // (FOLD_WORDS * FOLD_ROWS)) or 1
+    folded = encode_words(chosen.repartition(tasks).mapInArrow(lambda it: _spelled(it, rank_path), WORDS_SCHEMA), load_ranks(rank_path))
+    rows = folded.select(F.explode(F.arrays_zip("spelled", "word_ids", "word_bytes")).alias("x"))
+    table = rows.select(F.col("x.spelled").alias("word"), F.col("x.word_ids").alias("ids"), F.col("x.word_bytes").alias("decoded")).toArrow()
+    scratch.drop(found)
+    return table
+
+
+# ------------------------------------------------------------------ 3. merges
 
 
 def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
@@ -247,7 +314,7 @@ def encode_words(indexed: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return with_ids.withColumn("word_bytes", _let(piece_literal(ranks), lambda pieces: F.transform("word_ids", lambda ids: decode_ids(ids, pieces))))
 
 
-# ------------------------------------------------------------------ 3. texts
+# ------------------------------------------------------------------ 4. texts
 
 
 def merge_long_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -293,15 +360,35 @@ def _slices(values: bytes, offsets: np.ndarray, width: int) -> list[bytes]:
     return [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def _assemble(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+class _Shared:
+    """The shared words' ids and decoded bytes, by place."""
+
+    def __init__(self, table: pa.Table) -> None:
+        ids = table["ids"].combine_chunks()
+        self.ids, self.ends = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4"), np.asarray(ids.offsets) - (ids.offsets[0].as_py() if len(ids) else 0)
+        self.decoded = table["decoded"].combine_chunks()
+
+    def fill(self, known: np.ndarray, ids_of: list, bytes_of: list) -> None:
+        """Puts the values of the words with a place into the lists by code."""
+        codes = np.flatnonzero(known >= 0)
+        at = known[codes]
+        for code, a, b, decoded in zip(codes.tolist(), self.ends[at].tolist(), self.ends[at + 1].tolist(), self.decoded.take(pa.array(at)).to_pylist(), strict=True):
+            ids_of[code], bytes_of[code] = self.ids[a:b].tobytes(), decoded
+
+
+def _assemble(batches: Iterable[pa.RecordBatch], path: str, shared) -> Iterator[pa.RecordBatch]:
     pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between blocks
+    common = _Shared(shared.value)
     for batch in batches:
         for row in range(batch.num_rows):
             column = lambda name, row=row, batch=batch: batch.column(name)[row].values
+            known = np.frombuffer(batch.column("known")[row].as_py(), "<i4")
+            ids_of, bytes_of = [b""] * len(known), [b""] * len(known)
+            common.fill(known, ids_of, bytes_of)
             word_ids = column("word_ids")
             flat = word_ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-            ids_of = _slices(flat.tobytes(), word_ids.offsets.to_numpy(), 4)
-            bytes_of = column("word_bytes").to_pylist()
+            for code, ids, decoded in zip(np.flatnonzero(known < 0).tolist(), _slices(flat.tobytes(), word_ids.offsets.to_numpy(), 4), column("word_bytes").to_pylist(), strict=True):
+                ids_of[code], bytes_of[code] = ids, decoded
             for x in column("long_words").to_pylist():
                 ids = merge_long_word(x["word"], load_ranks(path))
                 ids_of[x["code"]], bytes_of[x["code"]] = np.array(ids, "<u4").tobytes(), b"".join(map(_pieces(path).__getitem__, ids))
@@ -328,11 +415,13 @@ def _rows(columns: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_tokens", "ids", "decoded"])
 
 
-def encode_and_decode(docs: DataFrame, rank_path: str, pattern: str, limit: int = VOCABULARY_BLOCK_BYTES) -> DataFrame:
+def encode_and_decode(docs: DataFrame, rank_path: str, pattern: str, limit: int = VOCABULARY_BLOCK_BYTES, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and decoded bytes of every text.
 
     ``rank_path`` is a file of base64 pieces and ranks that every worker can
     read; each match of ``pattern`` is encoded by itself.
     """
-    encoded = encode_words(index_words(docs, pattern, rank_path, limit), load_ranks(rank_path))
-    return encoded.mapInArrow(lambda it: _assemble(it, rank_path), ENCODED_SCHEMA)
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(shared_words(docs, pattern, rank_path, limit, scratch or Scratch(spark, "bpe")))
+    encoded = encode_words(index_words(docs, pattern, rank_path, shared, limit), load_ranks(rank_path))
+    return encoded.mapInArrow(lambda it: _assemble(it, rank_path, shared), ENCODED_SCHEMA)

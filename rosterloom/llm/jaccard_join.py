@@ -18,12 +18,12 @@ each component.
    that meets a pivot in so many tokens that the two may link is tested against
    the one that it meets most often; links found here make components.  This
    joins a large group of near copies in about one test a member.
-4. *Crossings.*  A posting carries its place in the set's order and its rank among
-   those tokens of the set that lie in several components.  Of a pair that links,
-   the last common prefix token has a rank in both sets that is no less than the
-   number of common prefix tokens that a link needs, and leaves enough tokens
-   behind it.  Only postings with such ranks meet, so a class that has a few
-   tokens in common with a large group is not paired with all its members.
+4. *Crossings.*  Of a class's prefix tokens, only those that lie in several
+   components can be common ones of a new link; a posting carries its place in the
+   order and how many of these are left from it on.  The first common token of a
+   link has as many of them left, in both sets, as the link needs, so postings meet
+   only at such tokens.  A class that has just a few tokens in common with a large
+   group is thus not paired with its members.
 5. *Filters.*  The pairs must then share enough prefix tokens in the first order,
    and in a second and a third, random order.  All three are intersected before
    whole sets are read.
@@ -244,18 +244,19 @@ def _stars(shared: DataFrame, hot: DataFrame | None) -> DataFrame:
 
 
 def _crossings(shared: DataFrame, found: DataFrame, hot: DataFrame | None, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(u, v, n_u, n_v): pairs from different components that ranks and places allow to link."""
+    """(u, v, n_u, n_v): pairs from different components that the first common token allows to link."""
     rooted = shared.select("token", "part", "cls", "n", "place").join(found.withColumnRenamed("u", "cls"), "cls", "left").withColumn("root", F.coalesce("v", "cls")).drop("v")
     tokens = rooted.groupBy("token").agg(F.min("root").alias("first_root"), F.max("root").alias("last_root"), F.min("n").alias("lo"), F.max("n").alias("hi")).filter("first_root <> last_root")
-    rooted = rooted.join(tokens.select("token", "lo", "hi"), "token").withColumn("rank", F.row_number().over(W.partitionBy("cls").orderBy("place")))
-    rooted = scratch.save(rooted.filter(F.col("rank") >= _least_need(F.col("n"), F.col("lo"), F.col("hi"))).drop("lo", "hi"), "rooted")
+    rooted = rooted.join(tokens.select("token", "lo", "hi"), "token")
+    rooted = rooted.withColumn("left", F.count(F.lit(1)).over(W.partitionBy("cls").orderBy(F.desc("place"))))  # tokens at or behind this one
+    rooted = scratch.save(rooted.filter(F.col("left") >= _least_need(F.col("n"), F.col("lo"), F.col("hi"))).drop("lo", "hi"), "rooted")
     a, b = rooted, rooted
     if hot is not None:  # each part of a token meets all its parts
         b = rooted.drop("part").join(F.broadcast(hot), "token", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     a, b = a.alias("a"), b.alias("b")
-    n_u, n_v, rank = F.col("a.n"), F.col("b.n"), F.least("a.rank", "b.rank")
-    behind = F.least(n_u - F.col("a.place"), n_v - F.col("b.place")) - 1
-    may_link = _sizes_allow(n_u, n_v) & (rank >= _prefix_needs(n_u, n_v)) & (rank + behind >= _needed_overlap(n_u, n_v))
+    n_u, n_v = F.col("a.n"), F.col("b.n")
+    elements = F.least(n_u - F.col("a.place"), n_v - F.col("b.place"))  # of the whole sets, at or behind the token
+    may_link = _sizes_allow(n_u, n_v) & (F.least("a.left", "b.left") >= _prefix_needs(n_u, n_v)) & (elements >= _needed_overlap(n_u, n_v))
     apart = (F.col("a.cls") < F.col("b.cls")) & (F.col("a.root") != F.col("b.root"))
     pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.part") == F.col("b.part")) & apart & may_link)
     return scratch.save(pairs.select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v"), n_u.alias("n_u"), n_v.alias("n_v")).distinct(), "pairs"), rooted

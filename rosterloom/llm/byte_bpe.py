@@ -1,7 +1,7 @@
 """Byte-level BPE by Spark higher-order functions over the distinct words of text blocks.
 
 1. ``shared_words``: the words that occur in most blocks, counted in a hashed
-   eighth of the documents and bounded by ``SHARED_BYTES`` whatever the size of
+   quarter of the documents and bounded by ``SHARED_BYTES`` whatever the size of
    the input, are folded once (by step 3) and broadcast.
 2. ``index_words`` (Arrow): the pattern's matches of each text become codes into
    the block's dictionary of distinct words; a word is a shared one, or the array
@@ -46,9 +46,9 @@ from .common import Scratch, bounded_batches, give_back
 
 VOCABULARY_BLOCK_BYTES = 8 << 20
 #: Bytes of all shared words at most, with 8 bytes more for each.
-SHARED_BYTES = 24 << 20
-#: One document in this many is counted to choose the shared words.
-SAMPLE = 8
+SHARED_BYTES = 16 << 20
+#: One document in this many is counted to choose the shared words, which lie in at least so many of its blocks.
+SAMPLE, LEAST_FOUND = 4, 2
 #: Words folded in one row, and rows of words in one task, about.
 FOLD_WORDS, FOLD_ROWS = 1024, 8
 OUTPUT_BLOCK_BYTES = 1 << 20
@@ -121,9 +121,9 @@ class _Block:
         self.matches.append(len(found))
         self.held += len(text)
 
-    def batch(self, ranks: dict[bytes, int], shared: pa.Table) -> pa.RecordBatch:
+    def batch(self, ranks: dict[bytes, int], shared: pa.Array) -> pa.RecordBatch:
         data = [w.encode() for w in self.words]
-        known = pc.fill_null(pc.index_in(pa.array(data, pa.binary()), value_set=shared["word"].combine_chunks()), -1).to_numpy(zero_copy_only=False).astype("<i4")
+        known = pc.fill_null(pc.index_in(pa.array(data, pa.binary()), value_set=shared), -1).to_numpy(zero_copy_only=False).astype("<i4")
         longs = [{"code": k, "word": w} for k, w in enumerate(data) if len(w) > LONG_WORD]
         words = _as_ids([data[k] for k in np.flatnonzero(known < 0)], ranks)
         return pa.RecordBatch.from_arrays(
@@ -210,7 +210,7 @@ def shared_words(docs: DataFrame, pattern: str, rank_path: str, limit: int, scra
     some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0).select("text")
     found = scratch.save(some.mapInArrow(lambda it: _distinct(it, pattern, rank_path, limit), "word binary").groupBy("word").agg(F.count(F.lit(1)).alias("found")), "words")
     # a word is found once a block at most, so the blocks bound the rows of this sum
-    sums = found.groupBy("found").agg(F.sum(F.octet_length("word") + 8).alias("bytes"), F.count(F.lit(1)).alias("words")).orderBy(F.desc("found"))
+    sums = found.groupBy("found").agg(F.sum(F.octet_length("word") + 8).alias("bytes"), F.count(F.lit(1)).alias("words")).filter(F.col("found") >= LEAST_FOUND).orderBy(F.desc("found"))
     least, held, words = None, 0, 0
     for row in sums.toLocalIterator():
         if held + row["bytes"] > SHARED_BYTES:
@@ -360,31 +360,23 @@ def _slices(values: bytes, offsets: np.ndarray, width: int) -> list[bytes]:
     return [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-class _Shared:
-    """The shared words' ids and decoded bytes, by place."""
-
-    def __init__(self, table: pa.Table) -> None:
-        ids = table["ids"].combine_chunks()
-        self.ids, self.ends = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4"), np.asarray(ids.offsets) - (ids.offsets[0].as_py() if len(ids) else 0)
-        self.decoded = table["decoded"].combine_chunks()
-
-    def fill(self, known: np.ndarray, ids_of: list, bytes_of: list) -> None:
-        """Puts the values of the words with a place into the lists by code."""
-        codes = np.flatnonzero(known >= 0)
-        at = known[codes]
-        for code, a, b, decoded in zip(codes.tolist(), self.ends[at].tolist(), self.ends[at + 1].tolist(), self.decoded.take(pa.array(at)).to_pylist(), strict=True):
-            ids_of[code], bytes_of[code] = self.ids[a:b].tobytes(), decoded
+def _fill(shared: tuple[pa.Array, pa.Array], known: np.ndarray, ids_of: list, bytes_of: list) -> None:
+    """Puts ids and decoded bytes of the words with a place into the lists by code."""
+    codes = np.flatnonzero(known >= 0)
+    ids, decoded = (values.take(pa.array(known[codes])) for values in shared)
+    flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+    for code, own, spelled in zip(codes.tolist(), _slices(flat, ids.offsets.to_numpy(), 4), decoded.to_pylist(), strict=True):
+        ids_of[code], bytes_of[code] = own, spelled
 
 
 def _assemble(batches: Iterable[pa.RecordBatch], path: str, shared) -> Iterator[pa.RecordBatch]:
     pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between blocks
-    common = _Shared(shared.value)
     for batch in batches:
         for row in range(batch.num_rows):
             column = lambda name, row=row, batch=batch: batch.column(name)[row].values
             known = np.frombuffer(batch.column("known")[row].as_py(), "<i4")
             ids_of, bytes_of = [b""] * len(known), [b""] * len(known)
-            common.fill(known, ids_of, bytes_of)
+            _fill(shared.value, known, ids_of, bytes_of)
             word_ids = column("word_ids")
             flat = word_ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")
             for code, ids, decoded in zip(np.flatnonzero(known < 0).tolist(), _slices(flat.tobytes(), word_ids.offsets.to_numpy(), 4), column("word_bytes").to_pylist(), strict=True):
@@ -422,6 +414,10 @@ def encode_and_decode(docs: DataFrame, rank_path: str, pattern: str, limit: int
     read; each match of ``pattern`` is encoded by itself.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(shared_words(docs, pattern, rank_path, limit, scratch or Scratch(spark, "bpe")))
-    encoded = encode_words(index_words(docs, pattern, rank_path, shared, limit), load_ranks(rank_path))
-    return encoded.mapInArrow(lambda it: _assemble(it, rank_path, shared), ENCODED_SCHEMA)
+    table = shared_words(docs, pattern, rank_path, limit, scratch or Scratch(spark, "bpe")).combine_chunks()
+    words, ids, decoded = (table[c].chunk(0) if table.num_rows else pa.array([], table[c].type) for c in ("word", "ids", "decoded"))
+    ids = ids.cast(pa.list_(pa.uint16())) if not len(ids) or pc.max(ids.flatten()).as_py() < 1 << 16 else ids
+    # workers that index hold the words alone, and workers that assemble what stands for them
+    words, values = spark.sparkContext.broadcast(words), spark.sparkContext.broadcast((ids, decoded))
+    encoded = encode_words(index_words(docs, pattern, rank_path, words, limit), load_ranks(rank_path))
+    return encoded.mapInArrow(lambda it: _assemble(it, rank_path, values), ENCODED_SCHEMA)

@@ -2,16 +2,24 @@
 
 Entities are e-mail addresses, telephone numbers, IPv4 addresses, payment card
 and social security numbers, bank account numbers, secrets, and names after a
-form of address.  A surrogate depends on a key and on the entity's normal form
-alone, so one entity has one surrogate wherever it stands, in any spelling:
+form of address, with their mentions without one in the same text.  A surrogate
+depends on a key and on the entity's normal form alone, so one entity has one
+surrogate wherever it stands, in any spelling:
 
 * digits go through a keyed Feistel permutation of all strings of their length
   (format-preserving encryption), so distinct numbers stay distinct; country
   codes, private address ranges, separators and valid check digits are kept;
+* telephone numbers have their country's code in the normal form, whether written
+  or, for ten digits in the North American form, not;
 * secrets keep their length and the kind of each character;
 * addresses become ``<hash>@<hash>.example.<end>``;
 * names are drawn by gender and script, given and family names apart, so that
-  "Mr. John Smith" and "Mr. Smith" stay one person.
+  "Mr. John Smith" and "Mr. Smith" stay one person.  The gender of a given name
+  is that of its titles in the whole corpus, and neutral where these differ, so
+  that "Dr. John Smith" is the same person, too.
+
+The key comes from the caller, or from the session's ``KEY_SETTING``; where
+neither is given, one is drawn at random for the application.
 
 Surrogates are then tested over the whole corpus: of several entities with one
 surrogate, and of those whose surrogate is another entity's own form, all but
@@ -19,8 +27,9 @@ one draw again.  Entities travel in normal form with a digest of their text;
 only texts that may hold an entity are joined, all others pass through.
 
 Defined results: a null text stays null and an empty one empty; equal texts
-get equal results, and repeated rows each get theirs; an empty table gives no
-rows; all columns of the input are kept, whatever their names.
+get equal results, and repeated rows each get theirs, also with a null doc_id; a
+text of any length is searched whole; an empty table gives no rows; all columns
+of the input are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,16 +37,18 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import secrets
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, bounded_batches, give_back
 
-DEFAULT_KEY = b"rosterloom surrogates"
+#: Where a session keeps the key, if the caller gives none.
+KEY_SETTING = "spark.rosterloom.surrogates.key"
 ENTITY_SCHEMA = "digest string, kind string, form string"
 SURROGATE_SCHEMA = "kind string, form string, attempt int, surrogate string"
 FEISTEL_ROUNDS = 8
@@ -112,6 +123,35 @@ _IBAN_LENGTHS = {
 _NATIONAL = re.compile(r"(?:\+?1[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[.-])\d{3}[.-]\d{4}(?= |$)")
 
 
+#: Calling codes of one and two digits; all others have three.
+_ONE_DIGIT = frozenset("17")
+_TWO_DIGITS = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
+def _country_digits(digits: str) -> int:
+    return 1 if digits[0] in _ONE_DIGIT else 2 if digits[:2] in _TWO_DIGITS else 3
+
+
+def canonical(kind: str, form: str) -> tuple[str, str]:
+    """Kind and normal form that all spellings of an entity share.
+
+    A telephone number is "<country>/<national>", with no country where none is
+    known.  A given name keeps its gender in its kind; ``genderless`` drops it.
+    """
+    if not kind.startswith("phone") or kind == "phone":
+        return kind, form
+    country = int(kind[5:])
+    if not country and (len(form) == 10 and form[0] > "1"):
+        return "phone", f"1/{form}"
+    if not country and len(form) == 11 and form[0] == "1" and form[1] > "1":
+        country = 1
+    return "phone", f"{form[:country]}/{form[country:]}"
+
+
+def genderless(kind: str) -> str:
+    return re.sub("^given-[mfn]-", "given-", kind)
+
+
 def _prefixes(text: str) -> Iterator[str]:
     """The text, and what ends before each of its blanks, longest first."""
     while text:
@@ -220,8 +260,8 @@ def find_entities(text: str) -> list[Found]:
             if some is None or start < barred:
                 at = start + 1
                 continue
-            country = re.match(r"\+(\d{1,3})(?=[ .(-])", some)
-            kind, form, end = f"phone{len(country[1]) if country else 0}", _digits(some), start + len(some)
+            form, end = _digits(some), start + len(some)
+            kind = f"phone{_country_digits(form) if some.startswith('+') else 0}"
         else:
             words = m["words"]
             words = words[:-2] if _POSSESSIVE.search(words) else words
@@ -303,6 +343,7 @@ def _same_class(key: bytes, kind: str, form: str, attempt: int) -> str:
 
 def make_surrogate(key: bytes, kind: str, form: str, attempt: int = 0) -> str:
     """The surrogate's normal form."""
+    kind, form = canonical(kind, form)
     tweak = f"{kind}/{attempt}"
     if kind == "email":
         local, _, domain = form.rpartition("@")
@@ -336,9 +377,9 @@ def make_surrogate(key: bytes, kind: str, form: str, attempt: int = 0) -> str:
             value = form[0] + permute_digits(key, f"{tweak}/{form[0]}", value[1:])
             if _luhn_sum(value) % 10:
                 return value
-    if kind.startswith("phone"):
-        kept = int(kind[5:])
-        return form[:kept] + permute_digits(key, f"{tweak}/{form[:kept]}", form[kept:])
+    if kind == "phone":
+        country, _, national = form.partition("/")
+        return f"{country}/{permute_digits(key, f'{tweak}/{country}', national)}"
     if kind == "ssn":
         return permute_digits(key, tweak, form)
     return _drawn_name(key, kind, form, attempt)
@@ -350,8 +391,9 @@ def written(kind: str, surrogate: str, original: str) -> str:
         return surrogate
     if kind.startswith(("family", "given")):
         return surrogate.upper() if original.isupper() and len(original) > 1 else surrogate[:1].upper() + surrogate[1:]
-    own = iter(surrogate)
-    return "".join(next(own) if c.isalnum() else c for c in original)
+    own = [c for c in surrogate if c.isalnum()]
+    rest = iter(own[max(0, len(own) - sum(map(str.isalnum, original))) :])  # a number written without its country's code has just the end
+    return "".join(next(rest) if c.isalnum() else c for c in original)
 
 
 def replace_found(text: str, surrogate) -> tuple[str, int]:
@@ -368,7 +410,7 @@ def replace_found(text: str, surrogate) -> tuple[str, int]:
 
 def _detect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(digest, kind, form) for digest, text in zip(batch.column("digest").to_pylist(), batch.column("text").to_pylist(), strict=True) for kind, form in dict.fromkeys((f[2], f[3]) for f in find_entities(text or ""))]
+        rows = [(digest, kind, form) for digest, text in zip(batch.column("digest").to_pylist(), batch.column("text").to_pylist(), strict=True) for kind, form in dict.fromkeys(canonical(f[2], f[3]) for f in find_entities(text or ""))]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=["digest", "kind", "form"])
     give_back()
 
@@ -407,15 +449,40 @@ def _apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, counts = [], []
         for text, known in zip(batch.column("text").to_pylist(), batch.column("known").to_pylist(), strict=True):
-            table = {(x["kind"], x["form"]): x["surrogate"] for x in known or ()}
-            new, n = replace_found(text, lambda kind, form, table=table: table[kind, form]) if text else (text, 0)
+            table = {(genderless(x["kind"]), x["form"]): x["surrogate"] for x in known or ()}
+
+            def drawn(kind: str, form: str, table: dict = table) -> str:
+                kind, form = canonical(kind, form)
+                return table[genderless(kind), form]
+
+            new, n = replace_found(text, drawn) if text else (text, 0)
             texts.append(new)
             counts.append(n)
         yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], names=["kept", "text", "n_entities"])
     give_back()
 
 
-def replace_entities(docs: DataFrame, key: bytes = DEFAULT_KEY, scratch: Scratch | None = None) -> DataFrame:
+_keys: dict[str, bytes] = {}
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key of the session's settings, else one drawn for the application."""
+    named = spark.conf.get(KEY_SETTING, None)
+    return named.encode() if named else _keys.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+
+
+def with_genders(entities: DataFrame) -> DataFrame:
+    """digest, kind and form with one gender of each given name: that of its titles in all texts, if they agree."""
+    parts = F.split("kind", "-")
+    given = F.col("kind").startswith("given-")
+    named = entities.filter(given).select("form", parts[2].alias("script"), F.when(parts[1] != "n", parts[1]).alias("gender"))
+    lo, hi = F.min("gender"), F.max("gender")
+    genders = named.groupBy("form", "script").agg(F.when(lo == hi, lo).otherwise("n").alias("gender"))
+    joined = entities.withColumn("script", F.when(given, parts[2])).join(genders, ["form", "script"], "left")
+    return joined.select("digest", F.when(given, F.concat_ws("-", F.lit("given"), "gender", "script")).otherwise(F.col("kind")).alias("kind"), "form").distinct()
+
+
+def replace_entities(docs: DataFrame, key: bytes | None = None, scratch: Scratch | None = None) -> DataFrame:
     """kept (a struct of all other columns), text with surrogates, and n_entities, of every row."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -423,8 +490,9 @@ def replace_entities(docs: DataFrame, key: bytes = DEFAULT_KEY, scratch: Scratch
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     rows = docs.select(F.struct(*others).alias("kept"), "text")
     likely = rows.filter(may_hold_entities(F.col("text"))).withColumn("digest", F.sha2("text", 256))
-    entities = scratch.save(likely.select("digest", "text").mapInArrow(_detect, ENTITY_SCHEMA).distinct(), "found")
-    table = surrogate_table(entities, key, scratch)
+    found = scratch.save(likely.select("digest", "text").mapInArrow(_detect, ENTITY_SCHEMA).distinct(), "found")
+    entities = scratch.save(with_genders(found), "entities")
+    table = surrogate_table(entities, key or session_key(spark), scratch)
     known = entities.join(table, ["kind", "form"]).groupBy("digest").agg(F.collect_list(F.struct("kind", "form", "surrogate")).alias("known"))
     joined = likely.join(known, "digest", "left").select("kept", "text", "known")
     schema = T.StructType([joined.schema["kept"], T.StructField("text", T.StringType()), T.StructField("n_entities", T.LongType())])

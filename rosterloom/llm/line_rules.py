@@ -40,13 +40,26 @@ MAX_SHOUTED_WORDS = 0.3
 MIN_SEPARATORS = 2
 MAX_LABEL_WORDS = 3
 
-_BOILERPLATE = re.compile(
-    rb"\blicensed under\b|\blicen[cs]e, version\b|\bgeneral public license\b|\ball rights reserved\b|\bterms of (?:use|service)\b"
-    rb"|\bprivacy policy\b|\bcookie (?:policy|settings)\b|\bsubscribe to\b|\bspdx-license-identifier\b|\bpermission is hereby granted\b",
-    re.IGNORECASE,
-)
-#: True for every line in lower case that the above may match.
-_BOILERPLATE_HINT = re.compile(rb"icen[cs]|ights|erms of|olicy|ookie|ubscribe|ermission|spdx")
+#: Phrases of legal and navigation boilerplate, by language, in lower case.
+BOILERPLATE = (
+    "licensed under", "license, version", "licence, version", "general public license", "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "cookie settings",
+    "subscribe to", "spdx-license-identifier", "permission is hereby granted",
+    "alle rechte vorbehalten", "allgemeine geschäftsbedingungen", "datenschutzerklärung", "cookie-einstellungen", "newsletter abonnieren",
+    "tous droits réservés", "conditions d'utilisation", "politique de confidentialité", "mentions légales", "abonnez-vous à",
+    "todos los derechos reservados", "términos de uso", "política de privacidad", "aviso legal", "suscríbete a",
+)
+
+
+def _any_case(phrase: str) -> bytes:
+    """A pattern for the bytes of a phrase in any case; bytes patterns fold ASCII letters only."""
+    spelled = (c if c.isascii() else f"(?:{c}|{c.upper()})" for c in map(re.escape, phrase))
+    word = "A-Za-z0-9_\x80-\xff".encode("latin-1")
+    return b"(?<![" + word + b"])" + "".join(spelled).encode() + b"(?![" + word + b"])"
+
+
+_BOILERPLATE = re.compile(b"|".join(map(_any_case, BOILERPLATE)), re.IGNORECASE)
+#: True for every line in lower case that the above may match: the longest run of ASCII letters in each phrase.
+_BOILERPLATE_HINT = re.compile(b"|".join(sorted({max(re.findall("[a-z]+", p), key=len).encode() for p in BOILERPLATE})))
 _SEPARATOR = re.compile(rb"\s(?:\||>|\xc2\xbb|\xe2\x80\xba|\xc2\xb7|/)(?=\s|$)")
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines_removed long, lost double, cleaned string"

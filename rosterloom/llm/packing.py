@@ -50,8 +50,9 @@ def _byte_letters() -> dict[int, int]:
 
 _BYTE_LETTERS = _byte_letters()
 
-PIECES_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-PACKED_SCHEMA = PIECES_SCHEMA + ", sequence_id long, offset long"
+_PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES_SCHEMA = _PIECE + ", doc_crc32 long"
+PACKED_SCHEMA = _PIECE + ", sequence_id long, offset long"
 
 
 class WordEncoder:
@@ -109,19 +110,19 @@ def _encoder(path: str) -> WordEncoder:
 def _cut(batches: Iterable[pa.RecordBatch], path: str, size: int, end_id: int) -> Iterator[pa.RecordBatch]:
     encoder, end = _encoder(path), int(end_id).to_bytes(4, "little")
     for block in blocks(batches, "text"):
-        rows: list[list] = [[], [], [], [], []]
+        rows: list[list] = [[], [], [], [], [], []]
         for doc_id, ids in zip(block.column("doc_id").to_pylist(), encoder.encode(strings(block.column("text"))), strict=True):
             ids += end
-            total = len(ids) // 4
+            total, key = len(ids) // 4, zlib.crc32(ids)
             for start in range(0, total, size):
                 piece = ids[4 * start : 4 * (start + size)]
-                for column, value in zip(rows, (doc_id, start, len(piece) // 4, zlib.crc32(piece), total), strict=True):
+                for column, value in zip(rows, (doc_id, start, len(piece) // 4, zlib.crc32(piece), total, key), strict=True):
                     column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "doc_crc32"])
 
 
 def tokenize_and_cut(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE_TOKENS, end_id: int = END_ID) -> DataFrame:
-    """Pieces of at most ``size`` ids: doc_id, start, length, ids_crc32, doc_tokens."""
+    """Pieces of at most ``size`` ids: doc_id, start, length, ids_crc32, doc_tokens, and the checksum of all ids of the document."""
     bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(lambda it: _cut(it, tokenizer_path, size, end_id), PIECES_SCHEMA)
 
@@ -167,7 +168,7 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int],
 
 def _pack(table: pa.Table, capacity: int) -> pa.Table:
     group = table.column("pack_group")[0].as_py()
-    table = table.drop_columns(["pack_group"]).sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+    table = table.drop_columns(["pack_group", "doc_crc32"]).sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
     bins, offsets = first_fit_decreasing(table.column("length").to_pylist(), capacity)
     sequence = pa.array(np.array(bins, np.int64) + group * GROUP_STRIDE)
     return table.append_column("sequence_id", sequence).append_column("offset", pa.array(offsets, pa.int64()))
@@ -176,10 +177,10 @@ def _pack(table: pa.Table, capacity: int) -> pa.Table:
 def pack(pieces: DataFrame, groups: int, capacity: int = SEQUENCE_TOKENS, seed: int = 7) -> DataFrame:
     """Adds sequence_id and offset to pieces, packing ``groups`` random groups apart.
 
-    A group takes its documents by a seeded hash of id, start and checksum, so
-    copies with one id spread too.  Shuffled rows are a few integers per piece.
+    A group takes whole documents, by a seeded hash of id and checksum, so different
+    texts with one id spread too.  Shuffled rows are a few integers per piece.
     """
-    group = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32"), F.lit(max(1, groups)))
+    group = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "doc_crc32"), F.lit(max(1, groups)))
     return pieces.withColumn("pack_group", group).groupBy("pack_group").applyInArrow(lambda t: _pack(t, capacity), PACKED_SCHEMA)
 
 

@@ -231,11 +231,12 @@ def fit_rules(rows: np.ndarray, labels: np.ndarray) -> RuleModel:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> RuleModel:
     """Fits on the ``rows`` labelled documents of least hash that are not held out.
 
-    The sample's ids are broadcast: their number is bounded by ``rows``.
+    The sample's ids are broadcast: their number is bounded by ``rows``.  Of rows
+    that share an id, the least text counts, so the bound is one of rows, too.
     """
     usable = labels.select("doc_id", F.col("quality").cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sample = usable.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    labelled = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
+    labelled = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     table = text_statistics(labelled).join(F.broadcast(sample), "doc_id").toPandas().sort_values(["doc_id", *STATISTICS])
     return fit_rules(table[list(STATISTICS)].to_numpy(np.float64), table["label"].to_numpy())
 

@@ -44,7 +44,8 @@ def footer_label(text: Column) -> Column:
     """The last number of at most four digits in a page's last six lines."""
     lines = F.split(text, r"\r?\n")
     last = F.array_join(F.slice(lines, F.greatest(F.size(lines) - 5, F.lit(1)), 6), " ")
-    return F.try_element_at(F.regexp_extract_all(last, F.lit(P.FOOTER_LABEL), F.lit(1)), F.lit(-1)).cast("int")
+    # from the end: the last run of digits before an edge, of which the last four count
+    return group(last, rf"(?s)^.*(?<![0-9])[0-9]*?([0-9]{{1,4}}){P.EDGE}").cast("int")
 
 
 def brand_value(c: Column) -> Column:

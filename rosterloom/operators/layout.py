@@ -72,6 +72,6 @@ def pages_in_ranges(ranges: DataFrame, pages: DataFrame, first: str, last: str,
 def next_different(df: DataFrame, keys: list[str], order: str, kind: str, name: str) -> DataFrame:
     """The order value of the next row whose kind differs: where the run of equal kinds ends."""
     window = W.partitionBy(*keys).orderBy(order)
-    later = W.partitionBy(*keys).orderBy(order).rowsBetween(1, W.unboundedFollowing)
+    later = W.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(*BEFORE)  # a running frame: linear in the group
     starts = F.when(~F.col(kind).eqNullSafe(F.lag(kind).over(window)), F.col(order))
-    return df.withColumn("_start", starts).withColumn(name, F.first("_start", ignorenulls=True).over(later)).drop("_start")
+    return df.withColumn("_start", starts).withColumn(name, F.last("_start", ignorenulls=True).over(later)).drop("_start")

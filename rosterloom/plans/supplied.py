@@ -17,6 +17,7 @@ from ..functions import fields, text
 from ..functions import patterns as P
 from ..operators import directory, layout, matching
 from ..session import table
+from ..sources.documents import characters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -89,14 +90,11 @@ def search_pinned_parent(spark, d):
 
 @query("""
     SELECT o_orderkey, o_orderdate, o_orderstatus, count(l_orderkey) AS location_count, coalesce(sum(l_quantity), 0) AS quantity
-    FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2, 3 ORDER BY o_orderdate DESC, o_orderkey LIMIT 50
+    FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2, 3 ORDER BY o_orderdate DESC, o_orderkey
 """)
 def document_list_recent(spark, d):
-    """The newest parents with counts of their children."""
-    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
-    newest = o.orderBy(F.desc("o_orderdate"), "o_orderkey").limit(50).select("o_orderkey", "o_orderdate", "o_orderstatus")
-    counts = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q"))
-    return newest.join(counts, "o_orderkey", "left").select("o_orderkey", "o_orderdate", "o_orderstatus", F.coalesce("n", F.lit(0)).cast("long").alias("location_count"), F.coalesce("q", F.lit(0.0)).alias("quantity"))
+    """All parents, the most recent first, with counts of their children."""
+    return document_list(spark, d)
 
 
 @query("""
@@ -104,7 +102,7 @@ def document_list_recent(spark, d):
     FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2, 3 ORDER BY o_orderdate DESC, o_orderkey
 """)
 def document_list(spark, d):
-    """All parents, newest first, with counts of their children; ``document_list_recent`` is its first page."""
+    """All parents, newest first, with counts of their children."""
     o, li = table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus"), table(spark, d, "lineitem")
     counts = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q"))
     counted = o.join(counts, "o_orderkey", "left").select("o_orderkey", "o_orderdate", "o_orderstatus", F.coalesce("n", F.lit(0)).cast("long").alias("location_count"), F.coalesce("q", F.lit(0.0)).alias("quantity"))
@@ -216,7 +214,7 @@ def evidence_count(spark, d):
 """)
 def text_density_gate(spark, d):
     """Whether a document's pages hold enough text."""
-    chars = F.sum(F.length(F.regexp_replace("text", P.S, "")))
+    chars = F.sum(characters(F.col("text")))
     return table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n_pages"), chars.alias("chars")).withColumn("enough", F.col("chars") >= F.least(F.lit(500), 20 * F.col("n_pages")))
 
 
@@ -239,7 +237,7 @@ def phone_extract(spark, d):
     SELECT * FROM (SELECT id, nullif(regexp_extract(text, '(?i)\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{{2,}}\\b', 0), '') AS email FROM {_TEXTS_SQL}) WHERE email IS NOT NULL
 """)
 def email_extract(spark, d):
-    return _texts(spark, d).select("id", text.find(F.col("text"), P.EMAIL).alias("email")).filter("email is not null")
+    return _texts(spark, d).select("id", F.when(F.contains("text", F.lit("@")), text.find(F.col("text"), P.EMAIL)).alias("email")).filter("email is not null")
 
 
 @query("""
@@ -382,12 +380,12 @@ def carry_forward_status(spark, d):
 
 
 @query("""
-    SELECT r.section, e.event_id FROM (SELECT event_id AS section, event_id AS first_page, event_id + 1 + event_id % 3 AS last_page FROM events WHERE event_id % 50 = 0) r JOIN events e ON e.event_id BETWEEN r.first_page AND r.last_page
+    SELECT r.section, e.event_id FROM (SELECT event_id AS section, event_id AS first_page, event_id + 1 + event_id % 3 AS last_page FROM events) r JOIN events e ON e.event_id BETWEEN r.first_page AND r.last_page
 """)
 def range_join_pages(spark, d):
     """Pages in section ranges: ranges become page lists, and the join an equality."""
     e = table(spark, d, "events").select("event_id")
-    ranges = e.filter("event_id % 50 = 0").select(F.col("event_id").alias("section"), F.col("event_id").alias("first_page"), (F.col("event_id") + 1 + F.col("event_id") % 3).alias("last_page"))
+    ranges = e.select(F.col("event_id").alias("section"), F.col("event_id").alias("first_page"), (F.col("event_id") + 1 + F.col("event_id") % 3).alias("last_page"))
     return layout.pages_in_ranges(ranges, e, "first_page", "last_page", "event_id").select("section", "event_id")
 
 
@@ -395,10 +393,8 @@ def range_join_pages(spark, d):
     SELECT r.section, e.event_id FROM (SELECT event_id AS section, event_id AS first_page, event_id + 1 + event_id % 3 AS last_page FROM events) r JOIN events e ON e.event_id BETWEEN r.first_page AND r.last_page
 """)
 def range_join_all_pages(spark, d):
-    """As ``range_join_pages``, with a range from every event, so that ranges overlap."""
-    e = table(spark, d, "events").select("event_id")
-    ranges = e.select(F.col("event_id").alias("section"), F.col("event_id").alias("first_page"), (F.col("event_id") + 1 + F.col("event_id") % 3).alias("last_page"))
-    return layout.pages_in_ranges(ranges, e, "first_page", "last_page", "event_id").select("section", "event_id")
+    """The same ranges, one from every event, so that they overlap."""
+    return range_join_pages(spark, d)
 
 
 @query("""

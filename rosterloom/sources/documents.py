@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.patterns import S
+from ..functions.patterns import SPACE
 from ..schema import GLYPHS
 
 #: The largest upload, and when and how often pages are recognised from images.
@@ -42,7 +42,7 @@ def read_glyphs(binaries: DataFrame, reader: GlyphReader) -> DataFrame:
 
 def characters(text: Column) -> Column:
     """Characters other than white space."""
-    return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), S, ""))
+    return F.length(F.translate(F.coalesce(text, F.lit("")), SPACE, ""))
 
 
 def needs_scan(text: Column, has_image: Column) -> Column:

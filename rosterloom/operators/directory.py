@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
+#: Groups in which rows are numbered apart.
+NUMBER_GROUPS = 1024
+
+
 def workspace_counts(parents: DataFrame, children: DataFrame, parent_key: Column, child_key: Column, visible: Column, counts: dict[str, Column]) -> DataFrame:
     """Distinct parents, and children of visible parents by condition, in one pass over a left join."""
     joined = parents.join(children, parent_key == child_key, "left")
@@ -80,3 +84,16 @@ def supersede(df: DataFrame, key: str, order: list[str], status: str) -> DataFra
     """All but the newest row of a key marked as superseded."""
     newest = W.partitionBy(key).orderBy(*(F.desc(c) for c in order))
     return df.withColumn(status, F.when(F.row_number().over(newest) == 1, F.col(status)).otherwise("Superseded"))
+
+
+def number_rows(df: DataFrame, key: str, start: int, name: str = "id") -> DataFrame:
+    """Adds numbers without gaps after ``start``; rows with the same key go by all their columns.
+
+    Rows are numbered within hash groups of the key and moved up by the sizes of the groups
+    before, so that only a table of ``NUMBER_GROUPS`` counts passes through one task.
+    """
+    grouped = df.withColumn("_group", F.pmod(F.xxhash64(key), F.lit(NUMBER_GROUPS)))
+    sizes = grouped.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select("_group", (F.sum("_n").over(W.orderBy("_group").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_n")).alias("_offset"))
+    place = F.row_number().over(W.partitionBy("_group").orderBy(key, *(c for c in df.columns if c != key)))
+    return grouped.withColumn("_place", place).join(offsets, "_group").withColumn(name, F.lit(start) + F.col("_offset") + F.col("_place")).drop("_group", "_place", "_offset")

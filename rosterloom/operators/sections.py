@@ -10,6 +10,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterable
 from dataclasses import asdict, dataclass, field
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -137,9 +138,14 @@ class Discovery:
     sections: list[Section] = field(default_factory=list)
     printed: dict[int, int] = field(default_factory=dict)
 
+    @cached_property
+    def _labels(self) -> dict[int, int]:
+        """The first label of each page."""
+        return {page: label for label, page in reversed(self.printed.items())}
+
     def printed_page(self, page: int, section: Section) -> int | None:
         """The label of a page, or its place counted from the section's first label."""
-        own = next((label for label, p in self.printed.items() if p == page), None)
+        own = self._labels.get(page)
         if own is not None:
             return own
         return section.printed_start + page - section.pdf_start if section.printed_start and section.pdf_start else None

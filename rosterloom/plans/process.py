@@ -7,7 +7,10 @@ commit is one change of a ``SnapshotStore``.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import random
+import time
+import uuid
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
@@ -18,22 +21,32 @@ from pyspark.sql.window import Window as W
 from ..functions import fields
 from ..functions import patterns as P
 from ..functions.text import rx
-from ..operators import brand, grammars, layout, sections
+from ..operators import brand, directory, grammars, layout, sections
 from ..operators.people import contacts_of
 from ..operators.reconcile import reconcile_brands
 from ..schema import CONTACT, CONTACT_FIELDS, LOCATION_TEXT
-from ..sources.documents import has_enough_text
-from ..sources.store import SnapshotStore
+from ..sources import ocr_tsv
+from ..sources.documents import has_enough_text, message_of
+from ..sources.store import ConcurrentChange, SnapshotStore
 
 #: The least recognition confidence to replace stored rows, and the one below which a warning is added.
 REPLACING_CONFIDENCE = 0.60
 LOW_CONFIDENCE = 0.72
 #: Documents whose rows are visible.
 VISIBLE = ("Ready", "Needs review", "Completed")
+#: Documents that keep older ones of their brand from being committed.
+VERIFIED = ("Ready", "Needs review")
+#: Counts of a brand's reconciliation.
+RECONCILED = ("added", "matched", "updated", "unchanged", "ambiguous", "collapsed", "removed")
+#: What scans give as the problem of a page that was over the budget, or that had no text; other values are error messages.
+BUDGET = "budget"
+EMPTY = "empty"
+#: How often a change is made anew after another one came first.
+COMMIT_ATTEMPTS = 5
 
 RAW_SCHEMA = (
     "document_id string, ordinal long, status string, franchisee_entity string, address string, city string, state string, zip string, phone string, email string, source_page int, raw_source_text string, "
-    "printed_page string, source_exhibit string, source_section string, rejected long, n_sections long, pages_examined array<int>, from_toc boolean, ranges array<struct<section:string,status:string,exhibit:string,printedStart:string,pdfStart:int,pdfEnd:int>>"
+    "printed_page string, source_exhibit string, source_section string, rejected long, n_sections long, pages_examined array<int>, from_toc boolean, ranges array<struct<section:string,status:string,exhibit:string,printedStart:string,pdfStart:int,pdfEnd:int>>, error string"
 )
 
 #: A page: number, text, rows of cells, and lines of the left and the right column.
@@ -76,36 +89,40 @@ def extract_document(pages: Iterable[Page]) -> tuple[sections.Discovery, list[di
     return found, out, rejected, examined
 
 
-def _as_rows(document_id: str, found: sections.Discovery, candidates: list[dict], rejected: int, examined: list[int]) -> pd.DataFrame:
+def _as_rows(document_id: str, found: sections.Discovery, candidates: list[dict], rejected: int, examined: list[int], error: str | None = None) -> pd.DataFrame:
     """Candidate rows, and a first row (ordinal -1) with what holds for the document."""
     names = [x.split()[0] for x in RAW_SCHEMA.split(", ")]
     label = lambda n: str(n) if n else None
     ranges = [{"section": s.heading, "status": s.status, "exhibit": s.exhibit, "printedStart": label(s.printed_start), "pdfStart": s.pdf_start or 1, "pdfEnd": s.pdf_end or s.pdf_start or 1} for s in found.sections]
-    rows = [{"document_id": document_id, "ordinal": -1, "rejected": rejected, "n_sections": len(found.sections), "pages_examined": sorted(set(examined)), "from_toc": any(t.kind for t in found.toc), "ranges": ranges}]
+    rows = [{"document_id": document_id, "ordinal": -1, "rejected": rejected, "n_sections": len(found.sections), "pages_examined": sorted(set(examined)), "from_toc": any(t.kind for t in found.toc), "ranges": ranges, "error": error}]
     rows += [{"document_id": document_id, "ordinal": k, **{n: c[n] for n in names if n in c}, "printed_page": label(c["printed_page"])} for k, c in enumerate(candidates)]
     out = pd.DataFrame([dict.fromkeys(names) | r for r in rows], columns=names, dtype=object)
     return out.astype({"source_page": "Int32", "rejected": "Int64", "n_sections": "Int64", "ordinal": "Int64", "from_toc": "boolean"})
 
 
 def page_payloads(pages: DataFrame, rows: DataFrame, lines: DataFrame) -> DataFrame:
-    """Pages with their rows of cells and column lines, from the top down."""
-    down = lambda *c: F.sort_array(F.collect_list(F.struct((-F.col("y")).alias("k"), *c)))
+    """Pages with their rows of cells and column lines, from the top down; recognised ones (part 1) after native ones."""
+    down = lambda *c: F.sort_array(F.collect_list(F.struct("part", (-F.col("y")).alias("k"), *c)))
     by_page = ["document_id", "pdf_page"]
     cells = rows.groupBy(*by_page).agg(F.transform(down("cells"), lambda r: r["cells"]).alias("rows"))
-    side = lambda k: F.transform(F.sort_array(F.collect_list(F.when(F.col("side") == k, F.struct((-F.col("y")).alias("k"), "line")))), lambda r: r["line"])
+    side = lambda k: F.transform(F.sort_array(F.collect_list(F.when(F.col("side") == k, F.struct("part", (-F.col("y")).alias("k"), "line")))), lambda r: r["line"])
     columns = lines.filter("line <> ''").groupBy(*by_page).agg(side(0).alias("left"), side(1).alias("right"))
     return pages.join(cells, by_page, "left").join(columns, by_page, "left").select(*by_page, "text", "rows", "left", "right")
 
 
 def extract(payloads: DataFrame) -> DataFrame:
-    """Raw candidates of every document, one group a document."""
+    """Raw candidates of every document, one group a document; a document that fails has its first row only, with the error."""
 
     def per_document(part: pd.DataFrame) -> pd.DataFrame:
         def plain(value):
             return [] if value is None else [plain(v) if isinstance(v, np.ndarray | list) else v for v in value]
 
-        pages = [(int(n), t or "", plain(r), (plain(a), plain(b))) for n, t, r, a, b in zip(part["pdf_page"], part["text"], part["rows"], part["left"], part["right"], strict=True)]
-        return _as_rows(part["document_id"].iloc[0], *extract_document(pages))
+        document_id = part["document_id"].iloc[0]
+        try:
+            pages = [(int(n), t or "", plain(r), (plain(a), plain(b))) for n, t, r, a, b in zip(part["pdf_page"], part["text"], part["rows"], part["left"], part["right"], strict=True)]
+            return _as_rows(document_id, *extract_document(pages))
+        except Exception as error:  # one document's error leaves the others of the run alone
+            return _as_rows(document_id, sections.Discovery(), [], 0, [], message_of(error))
 
     return payloads.groupBy("document_id").applyInPandas(per_document, RAW_SCHEMA)
 
@@ -121,7 +138,7 @@ def _contacts(entity: Column, raw: Column, phone: Column, email: Column) -> Colu
 def accept(raw: DataFrame, pages: DataFrame, brands: DataFrame) -> DataFrame:
     """Clean, scored and reviewed candidates with contacts; ``duplicate`` marks repeats of an earlier one."""
     scanned = pages.select("document_id", F.col("pdf_page").alias("source_page"), F.col("ocr").alias("page_ocr"), F.col("ocr_confidence").alias("page_ocr_confidence"))
-    rows = raw.filter("ordinal >= 0").drop("rejected", "n_sections", "pages_examined", "from_toc", "ranges").join(scanned, ["document_id", "source_page"], "left").join(brands, "document_id", "left")
+    rows = raw.filter("ordinal >= 0").drop("rejected", "n_sections", "pages_examined", "from_toc", "ranges", "error").join(scanned, ["document_id", "source_page"], "left").join(brands, "document_id", "left")
     rows = fields.review(fields.sanitize(rows))
     name = fields.brand_value(F.col("brand"))
     name = F.when(name == "", F.trim("brand")).otherwise(name)
@@ -136,24 +153,52 @@ def summarize(documents: DataFrame, raw: DataFrame, accepted: DataFrame, pages:
 
     ``previous`` has document_id and previous_rows, the stored rows that a commit would replace.
     """
-    head = raw.filter("ordinal < 0").select("document_id", "rejected", "n_sections", "pages_examined", "from_toc", "ranges")
+    head = raw.filter("ordinal < 0").select("document_id", "rejected", "n_sections", "pages_examined", "from_toc", "ranges", "error")
     fresh = accepted.filter("not duplicate")
     missing_address = F.coalesce(F.col("address") == "", F.lit(True)) | F.coalesce(F.col("address").rlike("(?i)not (?:listed|disclosed)"), F.lit(False))
     missing_contact = F.col("franchisee_entity").isNull() & (F.size("contacts") == 0)
     counts = fresh.groupBy("document_id").agg(F.count(F.lit(1)).alias("accepted"), F.count_if(missing_address).alias("missing_address"), F.count_if(missing_contact).alias("missing_contact"))
     repeats = accepted.groupBy("document_id").agg(F.count_if("duplicate").alias("duplicates"))
     scans = pages.filter("ocr").groupBy("document_id").agg(F.array_sort(F.collect_set("pdf_page")).alias("ocr_pages"), F.avg("ocr_confidence").alias("ocr_mean"))
-    scanned = pages.filter(F.col("ocr") & (F.col("ocr_confidence").isNull() | (F.col("ocr_confidence") < REPLACING_CONFIDENCE)))
-    low = scanned.join(head.select("document_id", F.explode("pages_examined").alias("pdf_page")), ["document_id", "pdf_page"], "left_semi").groupBy("document_id").agg(F.count(F.lit(1)).alias("low_pages"))
-    out = documents.select("document_id")
-    for part in (has_enough_text(pages), head, counts, repeats, scans, low, previous):
+    weak = F.col("ocr") & (F.col("ocr_confidence").isNull() | (F.col("ocr_confidence") < REPLACING_CONFIDENCE))
+    marked = pages.filter(weak | F.col("problem").isNotNull()).withColumn("weak", weak).join(head.select("document_id", F.explode("pages_examined").alias("pdf_page")), ["document_id", "pdf_page"], "left_semi")
+    sources = lambda test: F.array_sort(F.collect_set(F.when(test, F.col("pdf_page"))))
+    doubtful = marked.groupBy("document_id").agg(F.count_if("weak").alias("low_pages"), sources(F.col("weak")).alias("low_sources"), sources(F.col("problem").isNotNull()).alias("incomplete_sources"))
+    unread = F.col("unread") if "unread" in documents.columns else F.lit(None).cast("string")
+    out = documents.select("document_id", unread.alias("unread"))
+    for part in (has_enough_text(pages), head, counts, repeats, scans, doubtful, recognition_notes(pages), previous):
         out = out.join(part, "document_id", "left")
     zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("rejected", "n_sections", "accepted", "missing_address", "missing_contact", "duplicates", "low_pages", "previous_rows")}
+    out = out.withColumn("error", F.coalesce("unread", "error")).drop("unread")
     return with_outcome(out.withColumns(zero | {"enough": F.coalesce("enough", F.lit(False))}))
 
 
+def recognition_notes(pages: DataFrame) -> DataFrame:
+    """document_id and ocr_notes: a warning for each page that was not recognised, in order, and one for the budget."""
+    tried = F.count_if(F.col("ocr") | (F.col("problem") != BUDGET))
+    problems = F.sort_array(F.collect_list(F.when(F.col("problem").isNotNull(), F.struct("pdf_page", "problem"))))
+    found = pages.groupBy("document_id").agg(tried.cast("string").alias("tried"), problems.alias("problems")).filter(F.size("problems") > 0)
+
+    def note(p: Column) -> Column:
+        page = p["pdf_page"].cast("string")
+        return (
+            F.when(p["problem"] == BUDGET, F.concat(F.lit("OCR work budget was exhausted after "), "tried", F.lit(" pages")))
+            .when(p["problem"] == EMPTY, F.concat(F.lit("OCR returned no searchable text on page "), page)).otherwise(F.concat(F.lit("OCR failed on page "), page, F.lit(": "), p["problem"]))
+        )
+
+    return found.select("document_id", F.array_distinct(F.transform("problems", note)).alias("ocr_notes"))
+
+
 def with_outcome(counts: DataFrame) -> DataFrame:
-    """Adds complete, warnings, and the outcome: Failed with a message, else Ready or Needs review."""
+    """Adds complete, warnings, and the outcome: Failed with a message, else Ready or Needs review.
+
+    Without the columns error, low_sources, incomplete_sources and ocr_notes there was no error
+    and no page was left out.
+    """
+    lists = {"low_sources": "array<int>", "incomplete_sources": "array<int>", "ocr_notes": "array<string>"}
+    given = {c: F.coalesce(c, F.array().cast(t)) if c in counts.columns else F.array().cast(t) for c, t in lists.items()}
+    counts = counts.withColumns(given | {"error": F.col("error") if "error" in counts.columns else F.lit(None).cast("string")})
+    named = lambda c: F.concat(F.when(F.size(c) == 1, " ").otherwise("s "), F.array_join(F.col(c).cast("array<string>"), ", "))
     a, r, before = F.col("accepted"), F.col("rejected"), F.col("previous_rows")
     ratio = F.when(a + r > 0, r / (a + r)).otherwise(1.0)
     complete = (a > 0) & (F.col("missing_address") / F.greatest(a, F.lit(1)) < 0.25) & (F.col("missing_contact") / F.greatest(a, F.lit(1)) < 0.25) & (ratio <= 0.4)
@@ -161,9 +206,10 @@ def with_outcome(counts: DataFrame) -> DataFrame:
     strict = F.when(before >= 20, floor).when(before > 0, F.ceil(before * 0.8)).otherwise(0)
     kept = "; existing location data was preserved"
     message = (
-        F.when(~F.col("enough"), f"The PDF has too little searchable text after OCR{kept}")
+        F.when(F.col("error").isNotNull(), F.col("error")).when(~F.col("enough"), f"The PDF has too little searchable text after OCR{kept}")
         .when(F.col("n_sections") == 0, f"No validated Item 20 franchisee list or franchisee exhibit was found{kept}")
-        .when((before > 0) & (F.col("low_pages") > 0), f"OCR quality was too low to replace the previously stored location data{kept}")
+        .when((before > 0) & (F.size("incomplete_sources") > 0), F.concat(F.lit("OCR did not complete on source page"), named("incomplete_sources"), F.lit(kept)))
+        .when((before > 0) & (F.col("low_pages") > 0), F.concat(F.lit("OCR quality was too low on source page"), named("low_sources"), F.lit(f" to replace the previously stored location data{kept}")))
         .when(a == 0, f"The franchisee section was found, but no valid location rows were extracted{kept}")
         .when((ratio > 0.4) & ((strict == 0) | (a < strict)), F.concat(F.lit("Extraction rejected "), F.floor(ratio * 100 + 0.5).cast("string"), F.lit("% of candidate rows ("), r.cast("string"), F.lit(" rejected, "), a.cast("string"), F.lit(f" accepted){kept}")))
         .when((floor > 0) & (a < floor), F.concat(F.lit("Extraction produced "), a.cast("string"), F.lit(" rows versus "), before.cast("string"), F.lit(f" previously stored rows{kept}")))
@@ -172,7 +218,7 @@ def with_outcome(counts: DataFrame) -> DataFrame:
     note = lambda test, text: F.when(test, text if isinstance(text, Column) else F.lit(text))
     counted = lambda c, text: note(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(text)))
     percent = F.floor(F.col("ocr_mean") * 100 + 0.5).cast("string")
-    warnings = F.array_compact(F.array(
+    warnings = F.concat("ocr_notes", F.array_compact(F.array(
         note(n_scans > 0, F.concat(F.lit("OCR used on "), n_scans.cast("string"), F.when(n_scans == 1, " page").otherwise(" pages"))),
         note((n_scans > 0) & F.col("ocr_mean").isNotNull(), F.concat(F.lit("Average OCR confidence was "), percent, F.lit("%; extracted rows require review"))),
         note((n_scans > 0) & (F.col("ocr_mean") < LOW_CONFIDENCE), "OCR quality is low; verify extracted rows against the source document"),
@@ -181,7 +227,7 @@ def with_outcome(counts: DataFrame) -> DataFrame:
         counted("missing_address", " locations do not include a disclosed street address"),
         counted("missing_contact", " locations do not include a franchisee or contact"),
         note(~complete, "Extraction coverage is below the automatic-approval threshold"),
-    ))
+    )))
     status = F.when(F.col("message").isNotNull(), "Failed").when(F.col("complete"), "Ready").otherwise("Needs review")
     return counts.withColumns({"complete": complete, "message": message, "warnings": warnings}).withColumn("outcome", status)
 
@@ -192,54 +238,153 @@ def manifest() -> Column:
     return F.struct(
         F.when(F.col("from_toc"), "toc").otherwise("heading-scan").alias("discoveryMethod"), F.col("ranges").alias("sourceRanges"), F.coalesce("pages_examined", empty).alias("pagesExamined"),
         F.coalesce("ocr_pages", empty).alias("ocrPages"), F.round("ocr_mean", 3).alias("ocrConfidence"), F.col("accepted").alias("acceptedRows"), F.col("rejected").alias("rejectedRows"),
-        F.col("duplicates").alias("duplicateRows"), F.col("missing_address").alias("missingAddressRows"), F.col("missing_contact").alias("missingContactRows"), "warnings", "complete",
+        F.col("duplicates").alias("duplicateRows"), F.col("missing_address").alias("missingAddressRows"), F.col("missing_contact").alias("missingContactRows"), "warnings", "complete", *(F.col(f"counted.{c}").alias(f"{c}Rows") for c in RECONCILED),
     )
 
 
-def process_documents(store: SnapshotStore, glyphs: DataFrame, ids: list[str] | None = None, scans: DataFrame | None = None) -> None:
+def assemble_pages(glyphs: DataFrame, scans: DataFrame | None, recognised: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pages, rows of cells and column lines; recognised text, rows and lines come after native ones.
+
+    A page is there if it has a word, even a blank one, or a scan.  Scans without a problem
+    mark recognised pages; where only recognised words are given, their pages are the scans.
+    """
+    by_page = ["document_id", "pdf_page"]
+    if scans is None and recognised is not None:
+        scans = ocr_tsv.page_confidence(recognised)
+    if scans is None:
+        scans = glyphs.select(*by_page, F.lit(None).cast("double").alias("ocr_confidence")).limit(0)
+    if "problem" not in scans.columns:
+        scans = scans.withColumn("problem", F.lit(None).cast("string"))
+    scans = scans.groupBy(*by_page).agg(F.max("ocr_confidence").alias("ocr_confidence"), F.max("problem").alias("problem"))
+    rows, lines = (part(glyphs).withColumn("part", F.lit(0)) for part in (layout.page_rows, layout.column_lines))
+    text = layout.page_text(glyphs)
+    sizes = glyphs.groupBy(*by_page).agg(F.max("page_width").alias("page_width"), F.max("page_height").alias("page_height"))
+    keys = sizes.select(*by_page).union(scans.select(*by_page))
+    if recognised is not None:
+        words = recognised.join(scans.filter("problem IS NULL").select(*by_page), by_page, "left_semi")
+        # a page without native words has the size of its document's others
+        general = sizes.groupBy("document_id").agg(F.max("page_width").alias("_w"), F.max("page_height").alias("_h"))
+        sized = keys.distinct().join(sizes, by_page, "left").join(general, "document_id", "left").select(*by_page, F.coalesce("page_width", "_w").alias("page_width"), F.coalesce("page_height", "_h").alias("page_height"))
+        placed = ocr_tsv.to_page(words, sized)
+        rows, lines = (old.unionByName(part(placed).withColumn("part", F.lit(1))) for old, part in ((rows, layout.page_rows), (lines, layout.column_lines)))
+        text = text.join(ocr_tsv.page_text(words).withColumnRenamed("text", "_recognised"), by_page, "full").select(*by_page, F.concat_ws("\n", F.nullif("text", F.lit("")), F.nullif("_recognised", F.lit(""))).alias("text"))
+    marks = scans.withColumn("_scan", F.lit(True))
+    pages = keys.distinct().join(text, by_page, "left").join(marks, by_page, "left")
+    ocr = F.col("_scan").isNotNull() & F.col("problem").isNull()
+    return pages.select(*by_page, F.coalesce("text", F.lit("")).alias("text"), ocr.alias("ocr"), F.when(ocr, F.col("ocr_confidence")).alias("ocr_confidence"), "problem"), rows, lines
+
+
+def _change(store: SnapshotStore, change: Callable[[int], DataFrame | None]) -> DataFrame | None:
+    """Makes a change of the version it is given, anew if another change came first."""
+    for attempt in range(COMMIT_ATTEMPTS):
+        try:
+            return change(store.version())
+        except ConcurrentChange:
+            if attempt + 1 == COMMIT_ATTEMPTS:
+                raise
+            time.sleep(random.uniform(0, 2**attempt))
+    return None
+
+
+def process_documents(store: SnapshotStore, glyphs: DataFrame, ids: list[str] | None = None, scans: DataFrame | None = None, recognised: DataFrame | None = None) -> None:
     """Processes registered documents and commits the result as one change.
 
-    ``glyphs`` are the positioned words of their pages, and ``scans`` (document_id, pdf_page,
-    ocr_confidence) says which pages were recognised from images.  Of several documents of
-    one brand the newest is committed; older ones are superseded.  A document that fails a
-    gate keeps the stored rows and gets a failed stage.
+    ``glyphs`` are the positioned words of their pages; a row without a page gives the error of a
+    document that could not be read.  ``scans`` (document_id, pdf_page, ocr_confidence, and problem,
+    if there are any) says which pages were recognised from images and why others were not, and
+    ``recognised`` has their words as ``ocr_tsv.read_words`` gives them.  Of several documents of
+    one brand the newest is committed; older ones are superseded.  A document that fails a gate,
+    or whose extraction fails, keeps the stored rows and gets a failed stage; one whose object
+    was replaced meanwhile is skipped.  Stages are running until then; if the run itself fails,
+    so do they.  Intermediate tables are written below the store's root.
     """
-    documents, stages, locations, contacts = (store.read(t) for t in ("documents", "stages", "locations", "contacts"))
+    base, place = store.version(), f"work-{uuid.uuid4().hex}"
+    documents = store.read("documents", base)
     chosen = documents.filter(F.col("processing_status") == "Processing") if ids is None else documents.filter(F.col("id").isin(ids))
-    chosen = chosen.withColumn("document_id", F.col("id"))
-    glyphs = glyphs.join(chosen.select("document_id"), "document_id", "left_semi")
-    pages = layout.page_text(glyphs).withColumn("ocr", F.lit(False)).withColumn("ocr_confidence", F.lit(None).cast("double"))
-    if scans is not None:
-        marks = scans.select("document_id", "pdf_page", F.lit(True).alias("_ocr"), F.col("ocr_confidence").alias("_confidence"))
-        pages = pages.join(marks, ["document_id", "pdf_page"], "left").select("document_id", "pdf_page", "text", F.coalesce("_ocr", F.lit(False)).alias("ocr"), F.col("_confidence").alias("ocr_confidence"))
-    pages = pages.persist()
-    raw = extract(page_payloads(pages, layout.page_rows(glyphs), layout.column_lines(glyphs))).persist()
-    brands = brand.document_brands(pages, chosen).persist()
-    accepted = accept(raw, pages, brands).persist()
+    chosen = store.aside(chosen.select(F.col("id").alias("document_id"), "filename", "object_path"), f"{place}/chosen")
+    try:
+        started = _change(store, lambda version: _start(store, chosen, version, place))
+        try:
+            summary, accepted = _read_documents(store, chosen, glyphs, scans, recognised, store.read("locations", base), place)
+            _change(store, lambda version: _commit(store, summary, accepted, started, version, place))
+        except Exception as error:
+            message = message_of(error).split("\n")[0]
+            _change(store, lambda version: _fail(store, started, version, message))
+            raise
+    finally:
+        store.drop(place)
+
+
+def _start(store: SnapshotStore, chosen: DataFrame, base: int, place: str) -> DataFrame:
+    """Adds a running stage for each document; returns their numbers."""
+    stages = store.read("stages", base)
+    first = stages.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    rows = directory.number_rows(chosen.select("document_id"), "document_id", first)
+    none = F.lit(None)
+    running = rows.select("id", "document_id", F.lit("Extract").alias("stage"), F.lit("Running").alias("status"), none.cast("string").alias("message"), F.current_timestamp().alias("started_at"), none.cast("timestamp").alias("finished_at"))
+    started = store.aside(running, f"{place}/started-{base}")
+    store.commit(base, stages=stages.unionByName(started))
+    return started.select("id", "document_id")
+
+
+def _finish(stages: DataFrame, ends: DataFrame) -> DataFrame:
+    """Stages with the status and message of ``ends`` (id, new_status, new_message)."""
+    joined = stages.join(ends, "id", "left")
+    ended = F.col("new_status").isNotNull()
+    return joined.withColumns({"status": F.coalesce("new_status", "status"), "message": F.when(ended, F.col("new_message")).otherwise(F.col("message")), "finished_at": F.when(ended, F.current_timestamp()).otherwise(F.col("finished_at"))}).drop("new_status", "new_message")
+
+
+def _fail(store: SnapshotStore, started: DataFrame, base: int, message: str) -> None:
+    """Ends the stages and documents of a run that failed as a whole."""
+    ends = started.select("id", F.lit("Failed").alias("new_status"), F.lit(message).alias("new_message"))
+    failed = started.select(F.col("document_id").alias("id"), F.lit(True).alias("_failed"))
+    documents = store.read("documents", base).join(failed, "id", "left").withColumn("processing_status", F.when(F.col("_failed"), "Failed").otherwise(F.col("processing_status")))
+    store.commit(base, stages=_finish(store.read("stages", base), ends), documents=documents.drop("_failed"))
+
+
+def _read_documents(store: SnapshotStore, chosen: DataFrame, glyphs: DataFrame, scans: DataFrame | None, recognised: DataFrame | None, locations: DataFrame, place: str) -> tuple[DataFrame, DataFrame]:
+    """The summary of each document, with its brand, and the accepted candidates."""
+    mine = lambda df: None if df is None else df.join(chosen.select("document_id"), "document_id", "left_semi")
+    glyphs, scans, recognised = mine(glyphs), mine(scans), mine(recognised)
+    unread = glyphs.filter("pdf_page IS NULL").groupBy("document_id").agg(F.max("text").alias("unread"))
+    pages, rows, lines = assemble_pages(glyphs.filter("pdf_page IS NOT NULL"), scans, recognised)
+    pages = store.aside(pages, f"{place}/pages")
+    raw = store.aside(extract(page_payloads(pages, rows, lines)), f"{place}/raw")
+    brands = store.aside(brand.document_brands(pages, chosen), f"{place}/brands")
+    accepted = store.aside(accept(raw, pages, brands), f"{place}/accepted")
     previous = locations.groupBy("document_id").agg(F.count(F.lit(1)).alias("previous_rows"))
-    summary = summarize(chosen, raw, accepted, pages, previous).join(brands, "document_id", "left").join(chosen.select("document_id", "upload_date"), "document_id")
-    key = F.lower(F.coalesce("brand", F.lit("")))
+    known = chosen.join(unread, "document_id", "left")
+    summary = summarize(known, raw, accepted, pages, previous).join(brands, "document_id", "left").join(chosen.select("document_id", "object_path"), "document_id")
+    return store.aside(summary.withColumn("brand_key", F.lower(F.coalesce("brand", F.lit("")))), f"{place}/summary"), accepted
+
+
+def _decide(summary: DataFrame, documents: DataFrame) -> DataFrame:
+    """Summaries with stale, wins, upload_date and the file name of a newer document of the brand."""
+    current = documents.select(F.col("id").alias("document_id"), "upload_date", F.col("object_path").alias("_path"))
+    out = summary.join(current, "document_id").withColumn("stale", F.col("_path").isNotNull() & ~F.col("_path").eqNullSafe(F.col("object_path"))).drop("_path")
+    names = documents.select(F.col("id").alias("document_id"), "filename")
+    verified = documents.filter(F.col("processing_status").isin(*VERIFIED) & F.col("last_processed_at").isNotNull())
+    stored = verified.groupBy(F.lower("franchise_name").alias("brand_key")).agg(F.max_by(F.struct("upload_date", "filename"), F.struct("upload_date", "id")).alias("stored"))
     passed = W.partitionBy("brand_key").orderBy(F.desc_nulls_last("upload_date"), F.desc("document_id"))
-    summary = summary.withColumn("brand_key", key)
-    ranked = summary.filter("outcome <> 'Failed'").withColumn("rank", F.row_number().over(passed))
-    newest = documents.filter(F.col("processing_status").isin(*VISIBLE)).groupBy(F.lower("franchise_name").alias("brand_key")).agg(F.max("upload_date").alias("stored_date"))
-    ranked = ranked.join(newest, "brand_key", "left").withColumn("wins", (F.col("rank") == 1) & ~F.coalesce(F.col("stored_date") > F.col("upload_date"), F.lit(False)))
-    summary = summary.join(ranked.select("document_id", "wins"), "document_id", "left").withColumn("wins", F.coalesce("wins", F.lit(False))).persist()
+    ranked = out.filter("outcome <> 'Failed' AND NOT stale").join(names, "document_id").withColumns({"rank": F.row_number().over(passed), "first": F.first("filename").over(passed)}).join(stored, "brand_key", "left")
+    behind = F.coalesce(F.col("stored.upload_date") > F.col("upload_date"), F.lit(False))
+    newer = F.when(behind, F.col("stored.filename")).when(F.col("rank") > 1, F.col("first"))
+    return out.join(ranked.select("document_id", newer.alias("newer"), newer.isNull().alias("wins")), "document_id", "left").withColumn("wins", F.coalesce("wins", F.lit(False)))
+
 
+def _commit(store: SnapshotStore, summary: DataFrame, accepted: DataFrame, started: DataFrame, base: int, place: str) -> None:
+    """Reconciles the winners with the rows stored in a version and commits all tables."""
+    now = F.current_timestamp()
+    documents, stages, locations, contacts = (store.read(t, base) for t in ("documents", "stages", "locations", "contacts"))
+    summary = store.aside(_decide(summary, documents), f"{place}/decided-{base}")
     winners = summary.filter("wins").select("document_id", "brand_key")
     incoming = accepted.filter("not duplicate").drop("brand").join(winners, "document_id")
     nested = contacts.groupBy("location_id").agg(F.collect_list(F.struct(*CONTACT_FIELDS)).alias("contacts"))
     stored = locations.withColumn("brand_key", F.lower("franchisor")).join(winners.select("brand_key").distinct(), "brand_key", "left_semi").join(nested, locations["id"] == nested["location_id"], "left").drop("location_id")
-    result = reconcile_brands(incoming, stored).persist()
-    _commit(store, documents, stages, locations, contacts, summary, result)
-    for df in (pages, raw, brands, accepted, summary, result):
-        df.unpersist()
-
+    result = store.aside(reconcile_brands(incoming, stored), f"{place}/result-{base}")
 
-def _commit(store: SnapshotStore, documents: DataFrame, stages: DataFrame, locations: DataFrame, contacts: DataFrame, summary: DataFrame, result: DataFrame) -> None:
-    now = F.current_timestamp()
     # ids follow from content, so that a task that runs again mints the same ones
-    parts = ("brand_key", "document_id", "source_page", "raw_source_text", "status", "address", "city", "zip")
+    parts = [F.coalesce(c, F.lit("\x1e")) for c in ("brand_key", *LOCATION_TEXT, F.col("source_page").cast("string"))]
     minted = result.withColumn("new_id", F.coalesce("existing_id", F.sha2(F.concat_ws("\x1f", *parts), 256)))
     kept = minted.filter("action <> 'deleted'")
     untouched = locations.join(minted.select(F.col("existing_id").alias("id")).filter("id is not null"), "id", "left_anti")
@@ -248,23 +393,33 @@ def _commit(store: SnapshotStore, documents: DataFrame, stages: DataFrame, locat
     people = kept.select(F.col("new_id").alias("location_id"), F.posexplode("contacts").alias("k", "c")).select(F.concat_ws("/", "location_id", "k").alias("id"), "location_id", "c.*")
     old_people = contacts.join(minted.select(F.col("existing_id").alias("location_id")).filter("location_id is not null"), "location_id", "left_anti")
 
-    done = summary.select(F.col("document_id").alias("id"), "outcome", "wins", "brand", "message", manifest().alias("new_manifest"), F.col("n_pages").cast("int").alias("new_pages"), "ranges")
+    counted = result.groupBy("brand_key").agg(F.from_json(F.first("counts"), ", ".join(f"{c} bigint" for c in RECONCILED)).alias("counted"))
+    late = ((c, text) for c, text in (("ambiguous", " possible duplicate matches require review"), ("collapsed", " existing duplicate records were safely consolidated"), ("removed", " stale rows from the replaced extraction were removed")))
+    notes = F.array_compact(F.array(*(F.when(F.col(f"counted.{c}") > 0, F.concat(F.col(f"counted.{c}").cast("string"), F.lit(text))) for c, text in late)))
+    summary = summary.join(counted.join(winners, "brand_key").drop("brand_key"), "document_id", "left").withColumn("warnings", F.concat("warnings", notes))
+
+    done = summary.select(F.col("document_id").alias("id"), "outcome", "stale", "wins", "brand", manifest().alias("new_manifest"), F.col("n_pages").cast("int").alias("new_pages"), "ranges")
     superseded = summary.filter("wins").select("brand_key", F.col("document_id").alias("winner"), F.col("upload_date").alias("winner_date"))
     joined = documents.join(done, "id", "left").join(superseded, F.lower(F.coalesce("brand", "franchise_name")) == superseded["brand_key"], "left")
     status = (
-        F.when(F.col("wins"), F.col("outcome")).when(F.col("outcome") == "Failed", "Failed").when(F.col("outcome").isNotNull(), "Superseded")
-        .when(F.col("winner").isNotNull() & (F.col("winner_date") >= F.col("upload_date")) & F.col("processing_status").isin(*VISIBLE), "Superseded").otherwise(F.col("processing_status"))
+        F.when(F.col("wins"), F.col("outcome")).when(F.col("outcome") == "Failed", "Failed").when(F.col("stale"), F.col("processing_status")).when(F.col("outcome").isNotNull(), "Superseded")
+        .when(F.col("winner").isNotNull() & (F.col("winner_date") >= F.col("upload_date")), "Superseded").otherwise(F.col("processing_status"))
     )
     exhibits = F.array_join(F.array_distinct(F.array_compact(F.col("ranges.exhibit"))), ", ")
+    won = lambda new, c: F.when(F.col("wins"), new).otherwise(F.col(c))
     changed = joined.withColumns({
-        "processing_status": status, "franchise_name": F.when(F.col("wins"), F.col("brand")).otherwise(F.col("franchise_name")), "page_count": F.when(F.col("wins"), F.col("new_pages")).otherwise(F.col("page_count")),
-        "extraction_manifest": F.when(F.col("wins"), F.col("new_manifest")).otherwise(F.col("extraction_manifest")), "source_exhibit": F.when(F.col("wins"), F.nullif(exhibits, F.lit(""))).otherwise(F.col("source_exhibit")),
-        "last_processed_at": F.when(F.col("outcome").isNotNull(), now).otherwise(F.col("last_processed_at")),
+        "processing_status": status, "franchise_name": won(F.col("brand"), "franchise_name"), "page_count": won(F.col("new_pages"), "page_count"), "extraction_manifest": won(F.col("new_manifest"), "extraction_manifest"),
+        "source_exhibit": won(F.nullif(exhibits, F.lit("")), "source_exhibit"), "last_processed_at": won(now, "last_processed_at"),
     })
-    first = stages.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    stage = summary.select(
-        (F.row_number().over(W.orderBy("document_id")) + first).cast("long").alias("id"), "document_id", F.lit("Extract").alias("stage"),
-        F.when(F.col("outcome") == "Failed", "Failed").when(F.col("wins"), "Complete").otherwise("Skipped").alias("status"),
-        F.coalesce("message", F.when(F.col("wins"), F.concat(F.col("accepted").cast("string"), F.lit(" locations extracted"))).otherwise("A newer document of this brand is in place")).alias("message"), now.alias("started_at"), now.alias("finished_at"),
+    text = lambda *parts: F.concat(*(F.lit(x) if i % 2 else x.cast("string") for i, x in enumerate(parts)))
+    n = lambda c: F.col(f"counted.{c}")
+    report = text(
+        F.col("accepted"), " locations normalized from ", F.size("pages_examined"), " verified source pages. ", n("added"), " added, ", n("updated"), " updated, ", n("unchanged"), " unchanged. ",
+        F.col("duplicates") + n("collapsed"), " duplicates removed. ", F.when(F.size("warnings") > 0, F.array_join("warnings", "; ")).otherwise("coverage checks passed"),
+    )
+    ends = summary.join(started, "document_id").select(
+        "id", F.when(F.col("outcome") == "Failed", "Failed").when(F.col("wins"), "Complete").otherwise("Skipped").alias("new_status"),
+        F.when(F.col("outcome") == "Failed", F.col("message")).when(F.col("stale"), "A newer replacement of this document is already processing").when(F.col("wins"), report)
+        .otherwise(text(F.lit("A newer verified FDD ("), "", F.col("newer"), ") already supplies this franchisor's evidence")).alias("new_message"),
     )
-    store.commit(documents=changed, stages=stages.unionByName(stage), locations=untouched.select(*rows.columns).unionByName(rows), contacts=old_people.select(*people.columns).unionByName(people))
+    store.commit(base, documents=changed, stages=_finish(stages, ends), locations=untouched.select(*rows.columns).unionByName(rows), contacts=old_people.select(*people.columns).unionByName(people))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..functions import fields
 from ..operators import directory
@@ -111,18 +111,20 @@ class Workspace:
             raise ValueError("nothing to change")
         if known.get("status", "Current") not in LOCATION_STATUS or known.get("review_status", "Approved") not in REVIEW_STATUS:
             raise ValueError("unknown status")
-        rows = self.store.read("locations")
+        base = self.store.version()
+        rows = self.store.read("locations", base)
         if not rows.filter(F.col("id") == location_id).limit(1).count():
             raise KeyError(location_id)
         row = [(location_id, list(known), *(known.get(c) for c in PATCHABLE))]
         patches = self.store.spark.createDataFrame(row, "id string, present array<string>, " + ", ".join(f"{c} string" for c in PATCHABLE))
         patched = directory.patch_rows(rows, patches, "id", list(PATCHABLE))
-        self.store.commit(locations=patched.withColumn("updated_at", F.when(F.col("id") == location_id, F.current_timestamp()).otherwise(F.col("updated_at"))))
+        self.store.commit(base, locations=patched.withColumn("updated_at", F.when(F.col("id") == location_id, F.current_timestamp()).otherwise(F.col("updated_at"))))
         return self.location(location_id)
 
     def register(self, uploads: DataFrame) -> None:
         """Uploads (filename, object_path): known file names are replaced, new ones inserted; each gets a stage."""
-        stored, now = self.store.read("documents"), F.current_timestamp()
+        base, now = self.store.version(), F.current_timestamp()
+        stored = self.store.read("documents", base)
         newest = uploads.groupBy("filename").agg(F.max("object_path").alias("new_path"))
         joined = stored.join(newest, "filename", "full")
         arrived = F.col("new_path").isNotNull()
@@ -133,33 +135,36 @@ class Workspace:
             "page_count": F.coalesce("page_count", F.lit(0)), "published_counts": F.coalesce("published_counts", F.create_map().cast("map<string,bigint>")), "created_at": F.coalesce("created_at", now),
             "id": F.coalesce("id", F.sha2("filename", 256)),
         })
-        stages = self.store.read("stages")
+        stages = self.store.read("stages", base)
         first = stages.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        numbered = keyed.filter(arrived).withColumn("k", F.row_number().over(W.orderBy("filename")))
-        new = numbered.select((F.col("k") + first).cast("long").alias("id"), F.col("id").alias("document_id"), F.lit("Upload").alias("stage"), F.lit("Complete").alias("status"), F.lit(None).cast("string").alias("message"), now.alias("started_at"), now.alias("finished_at"))
-        self.store.commit(documents=keyed.select(*(x.strip().split(" ")[0] for x in _columns(DOCUMENTS))), stages=stages.unionByName(new))
+        numbered = directory.number_rows(keyed.filter(arrived).select(F.col("id").alias("document_id")), "document_id", first)
+        new = numbered.select("id", "document_id", F.lit("Upload").alias("stage"), F.lit("Complete").alias("status"), F.lit(None).cast("string").alias("message"), now.alias("started_at"), now.alias("finished_at"))
+        self.store.commit(base, documents=keyed.select(*(x.strip().split(" ")[0] for x in _columns(DOCUMENTS))), stages=stages.unionByName(new))
 
     def rerun(self, ids: DataFrame) -> DataFrame:
         """For each requested id: 404 unknown, 409 without a source or being processed, else 202 and set to Processing."""
-        docs = self.store.read("documents")
+        base = self.store.version()
+        docs = self.store.read("documents", base)
         found = ids.select("id").distinct().join(docs.select("id", "object_path", "processing_status"), "id", "left")
         code = F.when(F.col("processing_status").isNull(), 404).when(F.coalesce(F.col("object_path"), F.lit("")) == "", 409).when(F.col("processing_status") == "Processing", 409).otherwise(202)
-        answers = self.store.spark.createDataFrame(found.select("id", code.alias("code")).collect(), "id string, code int")  # one row a request
+        answers = self.store.aside(found.select("id", code.alias("code")), f"answers-{uuid.uuid4().hex}")
         started = answers.filter("code = 202").select("id", F.lit(True).alias("_start"))
         changed = docs.join(started, "id", "left").withColumn("processing_status", F.when(F.col("_start"), "Processing").otherwise(F.col("processing_status")))
-        self.store.commit(documents=changed.drop("_start"))
+        self.store.commit(base, documents=changed.drop("_start"))
         return answers
 
     def finish_stage(self, stage_id: int, status: str, message: str | None = None) -> None:
-        stages = self.store.read("stages")
+        base = self.store.version()
+        stages = self.store.read("stages", base)
         mine = F.col("id") == stage_id
-        self.store.commit(stages=stages.withColumns({"status": F.when(mine, status).otherwise(F.col("status")), "message": F.when(mine, F.lit(message)).otherwise(F.col("message")), "finished_at": F.when(mine, F.current_timestamp()).otherwise(F.col("finished_at"))}))
+        self.store.commit(base, stages=stages.withColumns({"status": F.when(mine, status).otherwise(F.col("status")), "message": F.when(mine, F.lit(message)).otherwise(F.col("message")), "finished_at": F.when(mine, F.current_timestamp()).otherwise(F.col("finished_at"))}))
 
     def backfill_franchisors(self) -> None:
         """Missing franchisors taken from the documents' names."""
-        names = self.store.read("documents").select(F.col("id").alias("document_id"), F.col("franchise_name").alias("_name"))
-        rows = directory.backfill(self.store.read("locations").join(names, "document_id", "left"), "franchisor", "_name", "franchisor")
-        self.store.commit(locations=rows.drop("_name"))
+        base = self.store.version()
+        names = self.store.read("documents", base).select(F.col("id").alias("document_id"), F.col("franchise_name").alias("_name"))
+        rows = directory.backfill(self.store.read("locations", base).join(names, "document_id", "left"), "franchisor", "_name", "franchisor")
+        self.store.commit(base, locations=rows.drop("_name"))
 
     def download_headers(self) -> DataFrame:
         return self.store.read("documents").select("id", disposition(F.col("filename")).alias("content_disposition"))

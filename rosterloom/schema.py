@@ -4,7 +4,8 @@ CONTACT = "struct<raw_name:string,first_name:string,middle_name:string,last_name
 CONTACT_FIELDS = ("raw_name", "first_name", "middle_name", "last_name", "suffix", "title", "email", "phone")
 MANIFEST = (
     "struct<discoveryMethod:string,sourceRanges:array<struct<section:string,status:string,exhibit:string,printedStart:string,pdfStart:int,pdfEnd:int>>,pagesExamined:array<int>,ocrPages:array<int>,"
-    "ocrConfidence:double,acceptedRows:bigint,rejectedRows:bigint,duplicateRows:bigint,missingAddressRows:bigint,missingContactRows:bigint,warnings:array<string>,complete:boolean>"
+    "ocrConfidence:double,acceptedRows:bigint,rejectedRows:bigint,duplicateRows:bigint,missingAddressRows:bigint,missingContactRows:bigint,warnings:array<string>,complete:boolean,"
+    "addedRows:bigint,matchedRows:bigint,updatedRows:bigint,unchangedRows:bigint,ambiguousRows:bigint,collapsedRows:bigint,removedRows:bigint>"
 )
 DOCUMENTS = (
     "id string, owner_id string, franchise_name string, fdd_year int, filename string, object_path string, upload_date timestamp, processing_status string, page_count int, data_as_of string, source_exhibit string, "

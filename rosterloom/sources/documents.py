@@ -28,14 +28,25 @@ def read_binaries(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("path").alias("document_id"), F.element_at(F.split("path", "/"), -1).alias("filename"), "content", "length")
 
 
+def message_of(error: Exception) -> str:
+    return str(error) or type(error).__name__
+
+
 def read_glyphs(binaries: DataFrame, reader: GlyphReader) -> DataFrame:
-    """Positioned words of documents by an injected reader, which runs on the workers."""
+    """Positioned words of documents by an injected reader, which runs on the workers.
+
+    A document whose reader fails has one row without a page, whose text is the error's message.
+    """
 
     def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.split()[0] for f in GLYPHS.split(", ")]
         for part in parts:
             for document_id, content in zip(part["document_id"], part["content"], strict=True):
-                yield pd.DataFrame([{"document_id": document_id, **g} for g in reader(bytes(content))], columns=names)
+                try:
+                    rows = [{"document_id": document_id, **g} for g in reader(bytes(content))]
+                except Exception as error:  # one unreadable document leaves the others alone
+                    rows = [{"document_id": document_id, "text": message_of(error)}]
+                yield pd.DataFrame(rows, columns=names).astype({"pdf_page": "Int32", "ordinal": "Int64"})
 
     return binaries.select("document_id", "content").mapInPandas(parse, GLYPHS)
 

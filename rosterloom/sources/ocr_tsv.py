@@ -17,7 +17,7 @@ def _fields(lines: DataFrame) -> DataFrame:
     split = lines.filter(F.col("line_no") > 0).withColumn("_n", F.size(parts)).filter(F.col("_n") >= FIELDS)
     names = ("left", "top", "width", "height", "confidence")
     return split.select(
-        *lines.columns, F.get(parts, F.lit(0)).alias("level"), *(finite(k).alias(n) for k, n in enumerate(names, 6)), F.trim(F.array_join(F.slice(parts, FIELDS, F.greatest(F.col("_n") - FIELDS + 1, F.lit(0))), "\t")).alias("text")
+        *lines.columns, F.get(parts, F.lit(0)).alias("level"), F.array_join(F.slice(parts, 2, 4), ":").alias("line_key"), *(finite(k).alias(n) for k, n in enumerate(names, 6)), F.trim(F.array_join(F.slice(parts, FIELDS, F.greatest(F.col("_n") - FIELDS + 1, F.lit(0))), "\t")).alias("text")
     )
 
 
@@ -32,9 +32,34 @@ def read_words(lines: DataFrame) -> DataFrame:
     figures = F.col("left").isNotNull() & F.col("top").isNotNull() & F.col("width").isNotNull() & F.col("height").isNotNull()
     words = rows.filter((F.col("text") != "") & figures & (F.col("confidence") >= MIN_CONFIDENCE))
     # recognisers count downwards from the top of the page
-    return words.join(size, ["document_id", "pdf_page"], "left").select("document_id", "pdf_page", F.col("line_no").alias("ordinal"), "text", F.col("left").alias("x"), F.coalesce(F.col("page_height") - F.col("top"), -F.col("top")).alias("y"), "width", "confidence", "page_width", "page_height")
+    return words.join(size, ["document_id", "pdf_page"], "left").select("document_id", "pdf_page", F.col("line_no").alias("ordinal"), "text", F.col("left").alias("x"), F.coalesce(F.col("page_height") - F.col("top"), -F.col("top")).alias("y"), "width", "confidence", "page_width", "page_height", "line_key")
 
 
 def page_confidence(words: DataFrame) -> DataFrame:
     """Mean word confidence of each page as a share; pages without words have no row."""
     return words.groupBy("document_id", "pdf_page").agg((F.avg("confidence") / 100).alias("ocr_confidence"))
+
+
+def page_text(words: DataFrame) -> DataFrame:
+    """document_id, pdf_page and text: recognised lines in order of their first words, words from the left."""
+    in_line = F.sort_array(F.collect_list(F.struct("x", "ordinal", "text")))
+    lines = words.groupBy("document_id", "pdf_page", "line_key").agg(F.min("ordinal").alias("first"), F.array_join(F.transform(in_line, lambda w: w["text"]), " ").alias("line"))
+    ordered = F.sort_array(F.collect_list(F.struct("first", "line")))
+    return lines.groupBy("document_id", "pdf_page").agg(F.array_join(F.transform(ordered, lambda i: i["line"]), "\n").alias("text"))
+
+
+def to_page(words: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Words scaled from their image to the page.
+
+    ``sizes`` has document_id, pdf_page, page_width and page_height of pages; a page without
+    a size has that of its image, and an image without a size the scale 1.
+    """
+    image = words.withColumnsRenamed({"page_width": "_image_width", "page_height": "_image_height"})
+    both = image.join(sizes.select("document_id", "pdf_page", "page_width", "page_height"), ["document_id", "pdf_page"], "left")
+    ratio = lambda side: F.coalesce(F.col(f"page_{side}") / F.nullif(F.col(f"_image_{side}"), F.lit(0.0)), F.lit(1.0))
+    # without an image height the words' heights count down from 0 at the top
+    bottom = F.when(F.col("_image_height").isNull(), F.coalesce("page_height", F.lit(0.0))).otherwise(0.0)
+    return both.select(
+        "document_id", "pdf_page", "ordinal", "text", (F.col("x") * ratio("width")).alias("x"), (F.col("y") * ratio("height") + bottom).alias("y"), (F.col("width") * ratio("width")).alias("width"),
+        F.coalesce("page_width", "_image_width").alias("page_width"), F.coalesce("page_height", "_image_height").alias("page_height"),
+    )

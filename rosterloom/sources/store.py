@@ -1,4 +1,4 @@
-"""Tables as snapshots: all tables of a change are written aside, then one pointer moves."""
+"""Tables as snapshots: all tables of a change are written aside, then one numbered pointer is added."""
 
 from __future__ import annotations
 
@@ -9,48 +9,91 @@ from pyspark.sql import DataFrame, SparkSession
 from ..schema import EMPTY_TABLES
 
 
+class ConcurrentChange(RuntimeError):
+    """Another change was committed after the tables of this one were read."""
+
+
 class SnapshotStore:
     """Directory tables below a root that Spark can write; readers see whole changes only.
 
-    A change writes new tables into a folder of its own and then renames a small
-    pointer file over the old one.  A job that fails leaves the pointer, and so
-    the stored rows, as they were.
+    A change writes new tables into a folder of its own, claims the number after the one
+    that it read, and then renames its pointer file to that number.  A job that fails leaves
+    the pointers, and so the stored rows, as they were; of two changes that start from the
+    same number the second one fails with ``ConcurrentChange``.  The claim needs a file
+    system that creates a file once only, as HDFS does.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        path = self._path(f"{self.root}/pointers")
         self._files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._files.mkdirs(path)
 
-    def _pointers(self) -> dict[str, str]:
-        """Table folders of the last change; a new pointer counts once the old one is gone."""
-        for name in ("CURRENT", "_CURRENT.new"):
-            pointer = self._path(f"{self.root}/{name}")
-            if self._files.exists(pointer):
-                stream = self._files.open(pointer)
-                try:
-                    lines = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
-                finally:
-                    stream.close()
-                return dict(line.split("\t") for line in lines)
-        return {}
-
-    def read(self, name: str) -> DataFrame:
+    def version(self) -> int:
+        """The number of the last change, 0 before any."""
+        names = [f.getPath().getName() for f in self._files.listStatus(self._path(f"{self.root}/pointers"))]
+        return max((int(n) for n in names if n.isdigit()), default=0)
+
+    def _pointers(self, version: int) -> dict[str, str]:
+        """Table folders as of a change."""
+        if not version:
+            return {}
+        stream = self._files.open(self._path(f"{self.root}/pointers/{version}"))
+        try:
+            lines = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+        finally:
+            stream.close()
+        return dict(line.split("\t") for line in lines)
+
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        """A table as of a change, the last one by default."""
         schema = EMPTY_TABLES[name]
-        place = self._pointers().get(name)
+        place = self._pointers(self.version() if version is None else version).get(name)
         return self.spark.createDataFrame([], schema) if place is None else self.spark.read.schema(schema).parquet(f"{self.root}/{place}")
 
-    def commit(self, **tables: DataFrame) -> None:
-        """Replaces the named tables together."""
-        change, places = f"change-{uuid.uuid4().hex}", self._pointers()
+    def aside(self, df: DataFrame, place: str) -> DataFrame:
+        """A table written below the root and read again: intermediate rows that outlive lost executors."""
+        df.write.parquet(f"{self.root}/{place}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{place}")
+
+    def drop(self, place: str) -> None:
+        """Removes what ``aside`` wrote below a place."""
+        self._files.delete(self._path(f"{self.root}/{place}"), True)
+
+    def _put(self, path, text: str) -> None:
+        out = self._files.create(path, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+    def commit(self, base: int | None = None, **tables: DataFrame) -> None:
+        """Replaces the named tables together; ``base`` is the version that they were read from."""
+        base = self.version() if base is None else base
+        change, places = f"change-{uuid.uuid4().hex}", self._pointers(base)
         for name, df in tables.items():
-            names = [f.name for f in self.read(name).schema]
+            names = [f.name for f in self.read(name, base).schema]
             df.select(*names).write.parquet(f"{self.root}/{change}/{name}")
             places[name] = f"{change}/{name}"
-        out = self._files.create(self._path(f"{self.root}/_CURRENT.new"), True)
-        out.write(bytearray("".join(f"{k}\t{v}\n" for k, v in sorted(places.items())).encode()))
-        out.close()
-        self._files.delete(self._path(f"{self.root}/CURRENT"), False)
-        self._files.rename(self._path(f"{self.root}/_CURRENT.new"), self._path(f"{self.root}/CURRENT"))
+        claim, pointer = (self._path(f"{self.root}/pointers/{x}") for x in (f"claim-{base + 1}", f"new-{change}"))
+        try:
+            self._put(claim, change)
+        except Exception as error:  # the file system says in its own way that the file is there
+            if not self._files.exists(claim):
+                raise
+            raise ConcurrentChange(f"version {base} of {self.root} has been changed, or is being changed by the owner of {claim}") from error
+        try:
+            self._put(pointer, "".join(f"{k}\t{v}\n" for k, v in sorted(places.items())))
+            if not self._files.rename(pointer, self._path(f"{self.root}/pointers/{base + 1}")):
+                raise OSError(f"{pointer} can't be renamed")
+        except Exception:
+            self._files.delete(claim, False)
+            raise
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Removes change folders that none of the last ``keep`` versions names; run while nothing reads older ones."""
+        last = self.version()
+        held = {place.split("/")[0] for v in range(max(1, last - keep + 1), last + 1) for place in self._pointers(v).values()}
+        for f in self._files.listStatus(self._path(self.root)):
+            name = f.getPath().getName()
+            if name.startswith("change-") and name not in held:
+                self._files.delete(f.getPath(), True)

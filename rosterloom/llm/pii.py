@@ -489,7 +489,8 @@ def replace_entities(docs: DataFrame, key: bytes | None = None, scratch: Scratch
     scratch = scratch or Scratch(spark, "surrogates")
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     rows = docs.select(F.struct(*others).alias("kept"), "text")
-    likely = rows.filter(may_hold_entities(F.col("text"))).withColumn("digest", F.sha2("text", 256))
+    # written, so that its many tests of each text run once for detection and replacement
+    likely = scratch.save(rows.filter(may_hold_entities(F.col("text"))).withColumn("digest", F.sha2("text", 256)), "likely")
     found = scratch.save(likely.select("digest", "text").mapInArrow(_detect, ENTITY_SCHEMA).distinct(), "found")
     entities = scratch.save(with_genders(found), "entities")
     table = surrogate_table(entities, key or session_key(spark), scratch)

@@ -11,6 +11,8 @@ from ..functions.fields import field_quality
 from ..functions.text import identity_col, meaningful
 
 KEYS = ("code", "address", "entity")
+#: With equality of the whole row, which settles a shared entity.
+ALL_KEYS = ("code", "address", "exact", "entity")
 
 
 def cascade(incoming: DataFrame, stored: DataFrame, row_id: str, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -22,11 +24,15 @@ def cascade(incoming: DataFrame, stored: DataFrame, row_id: str, keys: tuple[str
     for key in keys:
         counted = stored.filter(F.coalesce(F.col(key) != "", F.lit(False))).groupBy(key).agg(F.count(F.lit(1)).alias(f"n_{key}"), F.min(row_id).alias(f"id_{key}"))
         out = out.join(counted, key, "left").withColumn(f"n_{key}", F.coalesce(f"n_{key}", F.lit(0)))
-    c, a, e = (F.col(f"n_{k}") for k in keys)
-    shared = (c > 1) | ((c == 0) & (a > 1)) | ((c == 0) & (a == 0) & (e > 1))
+    c, a, e = (F.col(f"n_{k}") for k in KEYS)
+    x = F.col("n_exact") if "exact" in keys else F.lit(0)
+    shared = (c > 1) | ((c == 0) & (a > 1)) | ((c == 0) & (a == 0) & (e > 1) & (x != 1))
     conflict = (c == 1) & ((a > 1) | ((a == 1) & (F.col("id_address") != F.col("id_code"))))
-    outcome = F.when(shared, "ambiguous").when(conflict, "conflict").when(c == 1, "code").when(a == 1, "address").when(e == 1, "entity").otherwise("new")
-    matched = F.when(~shared & ~conflict, F.when(c == 1, F.col("id_code")).when(a == 1, F.col("id_address")).when(e == 1, F.col("id_entity")))
+    steps = [(k, {"code": c == 1, "address": a == 1, "exact": x > 0, "entity": e == 1}[k]) for k in keys]
+    outcome, matched = F.when(shared, "ambiguous").when(conflict, "conflict"), F.when(shared | conflict, None)
+    for k, test in steps:
+        outcome, matched = outcome.when(test, k), matched.when(test, F.col(f"id_{k}"))
+    outcome = outcome.otherwise("new")
     return out.withColumn("outcome", outcome).withColumn("matched", matched)
 
 

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.text import address_identity, identity, is_meaningful, rx, trimmed
@@ -260,4 +261,7 @@ def reconcile_brands(candidates: DataFrame, locations: DataFrame) -> DataFrame:
         out = pd.DataFrame([dict.fromkeys(names) | r for r in rows], columns=names, dtype=object)
         return out.astype({"source_page": "Int32", "confidence": "float64", "changed": "boolean", "updated": "boolean", "contacts_changed": "boolean"})
 
-    return candidates.groupBy("brand_key").cogroup(locations.groupBy("brand_key")).applyInPandas(per_brand, RESULT_SCHEMA)
+    # aliases: two sides that are made from one table would share attributes, and a cogroup then drops columns of the second
+    sides = (df.select(*(F.col(c).alias(c) for c in ("brand_key", place, *LOCATION_FIELDS, "contacts"))) for df, place in ((candidates, "ordinal"), (locations, "id")))
+    new, old = (df.groupBy("brand_key") for df in sides)
+    return new.cogroup(old).applyInPandas(per_brand, RESULT_SCHEMA)

@@ -7,9 +7,6 @@ count is a long, and every limited sort is total.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -18,19 +15,9 @@ from ..functions import patterns as P
 from ..operators import directory, layout, matching
 from ..session import table
 from ..sources.documents import characters
+from .catalog import catalog
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
+QUERIES, ORACLE_SQL, query = catalog()
 
 
 def _customers(spark, d):

@@ -9,8 +9,10 @@ perceptual hash: the signs, against their median, of the 8 x 8 lowest
 frequencies of a 32 x 32 cosine transform.
 
 Defined results: a null or empty payload is stored as one row of spaces; equal
-payloads give equal files and hashes; broken files raise ``ValueError``; an
-empty table gives no rows; other columns are ignored.
+payloads give equal files and hashes; a payload of any length is one image, held
+whole by one task; repeated rows each get theirs, also with a null doc_id; broken
+files raise ``ValueError``; an empty table gives no rows; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations

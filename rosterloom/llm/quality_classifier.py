@@ -10,9 +10,11 @@ The sample holds at most ``TRAIN_ROWS`` labelled rows, those of least hash; the
 fit's cost does not grow with the corpus.
 
 Defined results: a null or empty text has statistics of zero and is scored by
-the rules like any other; repeated rows each get their row; without usable
+the rules like any other; a text of any length is measured whole; repeated rows
+each get their row, also with a null doc_id; without usable
 labels (none, or one class) every text gets the smoothed share of label 1;
-an empty table gives no rows; other columns are ignored.
+an empty table gives no rows; other columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations

@@ -14,8 +14,9 @@ documents alone overfill a shard, a hashed share of them is dealt out too.
 Law: ``bytes`` (sizes near equal).  Slots number each shard's rows from 0.
 
 Defined results: a null text has size 1 and is equal to other null texts only;
-repeated rows are placed one by one; ties go by hash of the id; an empty table
-gives no rows; other columns are ignored.
+repeated rows are placed one by one, also with a null doc_id; ties go by hash of
+the id; a text of any length counts by its size and hash alone; an empty table
+gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

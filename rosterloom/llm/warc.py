@@ -14,8 +14,10 @@ is tested against its digest.
 
 Defined results: a null payload is empty and always a response; a record written
 twice (repeated rows) is read twice; rows with a null id revisit like others and
-are the response only if no equal page has an id; a broken archive raises
-``ValueError``; an empty table gives no rows; other columns are ignored.
+are the response only if no equal page has an id; a payload of any length
+is cut into segments, and joined again by one task; a broken archive raises
+``ValueError``; an empty table gives no rows; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -36,6 +36,9 @@ LOW_CONFIDENCE = 0.72
 VISIBLE = ("Ready", "Needs review", "Completed")
 #: Documents that keep older ones of their brand from being committed.
 VERIFIED = ("Ready", "Needs review")
+#: The stage of a document's processing, and the one of an error before it could start.
+STAGE = "Text and table extraction"
+ERROR_STAGE = "Processing error"
 #: Counts of a brand's reconciliation.
 RECONCILED = ("added", "matched", "updated", "unchanged", "ambiguous", "collapsed", "removed")
 #: What scans give as the problem of a page that was over the budget, or that had no text; other values are error messages.
@@ -296,14 +299,19 @@ def process_documents(store: SnapshotStore, glyphs: DataFrame, ids: list[str] |
     one brand the newest is committed; older ones are superseded.  A document that fails a gate,
     or whose extraction fails, keeps the stored rows and gets a failed stage; one whose object
     was replaced meanwhile is skipped.  Stages are running until then; if the run itself fails,
-    so do they.  Intermediate tables are written below the store's root.
+    so do they, and if it can't start, failed stages say so.  Intermediate tables are written below the store's root.
     """
     base, place = store.version(), f"work-{uuid.uuid4().hex}"
     documents = store.read("documents", base)
     chosen = documents.filter(F.col("processing_status") == "Processing") if ids is None else documents.filter(F.col("id").isin(ids))
     chosen = store.aside(chosen.select(F.col("id").alias("document_id"), "filename", "object_path"), f"{place}/chosen")
     try:
-        started = _change(store, lambda version: _start(store, chosen, version, place))
+        try:
+            started = _change(store, lambda version: _start(store, chosen, version, place))
+        except Exception as error:
+            message = message_of(error).split("\n")[0]
+            _change(store, lambda version: _not_started(store, chosen, version, message))
+            raise
         try:
             summary, accepted = _read_documents(store, chosen, glyphs, scans, recognised, store.read("locations", base), place)
             _change(store, lambda version: _commit(store, summary, accepted, started, version, place))
@@ -315,18 +323,34 @@ def process_documents(store: SnapshotStore, glyphs: DataFrame, ids: list[str] |
         store.drop(place)
 
 
+def _new_stages(stages: DataFrame, chosen: DataFrame, stage: str, status: str, message: str | None = None) -> DataFrame:
+    """A stage for each document, numbered after the stored ones; finished unless it is running."""
+    first = stages.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    now = F.current_timestamp()
+    ended = F.lit(None).cast("timestamp") if status == "Running" else now
+    rows = directory.number_rows(chosen.select("document_id"), "document_id", first)
+    return rows.select("id", "document_id", F.lit(stage).alias("stage"), F.lit(status).alias("status"), F.lit(message).cast("string").alias("message"), now.alias("started_at"), ended.alias("finished_at"))
+
+
 def _start(store: SnapshotStore, chosen: DataFrame, base: int, place: str) -> DataFrame:
     """Adds a running stage for each document; returns their numbers."""
     stages = store.read("stages", base)
-    first = stages.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    rows = directory.number_rows(chosen.select("document_id"), "document_id", first)
-    none = F.lit(None)
-    running = rows.select("id", "document_id", F.lit("Extract").alias("stage"), F.lit("Running").alias("status"), none.cast("string").alias("message"), F.current_timestamp().alias("started_at"), none.cast("timestamp").alias("finished_at"))
-    started = store.aside(running, f"{place}/started-{base}")
+    started = store.aside(_new_stages(stages, chosen, STAGE, "Running"), f"{place}/started-{base}")
     store.commit(base, stages=stages.unionByName(started))
     return started.select("id", "document_id")
 
 
+def _failed(documents: DataFrame, chosen: DataFrame) -> DataFrame:
+    marks = chosen.select(F.col("document_id").alias("id"), F.lit(True).alias("_failed"))
+    return documents.join(marks, "id", "left").withColumn("processing_status", F.when(F.col("_failed"), "Failed").otherwise(F.col("processing_status"))).drop("_failed")
+
+
+def _not_started(store: SnapshotStore, chosen: DataFrame, base: int, message: str) -> None:
+    """Adds a failed stage for each document of a run that could not start."""
+    stages = store.read("stages", base)
+    store.commit(base, stages=stages.unionByName(_new_stages(stages, chosen, ERROR_STAGE, "Failed", message)), documents=_failed(store.read("documents", base), chosen))
+
+
 def _finish(stages: DataFrame, ends: DataFrame) -> DataFrame:
     """Stages with the status and message of ``ends`` (id, new_status, new_message)."""
     joined = stages.join(ends, "id", "left")
@@ -337,9 +361,7 @@ def _finish(stages: DataFrame, ends: DataFrame) -> DataFrame:
 def _fail(store: SnapshotStore, started: DataFrame, base: int, message: str) -> None:
     """Ends the stages and documents of a run that failed as a whole."""
     ends = started.select("id", F.lit("Failed").alias("new_status"), F.lit(message).alias("new_message"))
-    failed = started.select(F.col("document_id").alias("id"), F.lit(True).alias("_failed"))
-    documents = store.read("documents", base).join(failed, "id", "left").withColumn("processing_status", F.when(F.col("_failed"), "Failed").otherwise(F.col("processing_status")))
-    store.commit(base, stages=_finish(store.read("stages", base), ends), documents=documents.drop("_failed"))
+    store.commit(base, stages=_finish(store.read("stages", base), ends), documents=_failed(store.read("documents", base), started))
 
 
 def _read_documents(store: SnapshotStore, chosen: DataFrame, glyphs: DataFrame, scans: DataFrame | None, recognised: DataFrame | None, locations: DataFrame, place: str) -> tuple[DataFrame, DataFrame]:

@@ -70,6 +70,16 @@ def brand_detect(spark, d):
     return brand.document_brands(pages, rows).select(F.col("document_id").cast("long").alias("k"), "brand")
 
 
+_EVIDENCE_SQL = P.EVIDENCE.replace(P.EDGE, r"\b")
+
+
+@query(f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{_EVIDENCE_SQL}')) AS BIGINT) AS evidence, regexp_matches(text, '{_EVIDENCE_SQL}') AS credible FROM documents")
+def evidence_marks(spark, d):
+    """Marks of list rows in each text: states with ZIP codes, telephone numbers, agreement codes and e-mail addresses."""
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", F.regexp_count("text", F.lit(P.EVIDENCE)).cast("long").alias("evidence")).withColumn("credible", F.col("evidence") > 0)
+
+
 # ------------------------------------------------------------------ grammars
 
 _CITE = "CAST(30 AS BIGINT) AS source_page, '40' AS printed_page, 'F-1' AS source_exhibit, 'LIST OF CURRENT FRANCHISEES' AS source_section"
@@ -225,7 +235,7 @@ def process_commit(spark, d):
     documents, stages, locations, contacts = (store.read(t) for t in ("documents", "stages", "locations", "contacts"))
     rows = locations.groupBy("document_id").agg(F.count(F.lit(1)).alias("locations"), F.array_join(F.array_sort(F.collect_set("printed_page")), ",").alias("pages"), F.array_join(F.array_sort(F.collect_set("review_status")), ",").alias("reviews"))
     people = contacts.join(locations.select(F.col("id").alias("location_id"), "document_id"), "location_id").groupBy("document_id").agg(F.count(F.lit(1)).alias("contacts"))
-    ends = stages.filter("stage = 'Extract'").select("document_id", F.col("status").alias("stage"), "message")
+    ends = stages.filter(F.col("stage") == process.STAGE).select("document_id", F.col("status").alias("stage"), "message")
     whole = suppliers.join(documents, "filename").withColumnRenamed("id", "document_id")
     for part in (rows, people, ends):
         whole = whole.join(part, "document_id", "left")

@@ -143,7 +143,7 @@ def test_stats_search_and_detail(filled):
     assert filled.location("none").count() == 0
     assert [r.facet for r in filled.franchisors().collect()] == ["Quiet Mill"]
     d = filled.documents().first()
-    assert (d.location_count, d.record_counts, [x.stage for x in d.stages]) == (2, {"Current": 2}, ["Upload", "Extract"]) and d.upload_date.endswith("Z")
+    assert (d.location_count, d.record_counts, [x.stage for x in d.stages]) == (2, {"Current": 2}, ["Upload", "Text and table extraction"]) and d.upload_date.endswith("Z")
     shown = filled.display_rows(filled.store.read("locations")).first()
     assert shown.display_name == "Quiet Mill" and shown.confidence_percent == 95 and shown.source_link.endswith("#page=2")
     assert filled.filter_documents("MILL_2023").count() == 1 and filled.filter_documents("%").count() == 0

@@ -86,7 +86,7 @@ def test_a_replaced_upload_is_skipped_and_a_concurrent_change_is_kept(spark, wor
     monkeypatch.setattr(process, "_read_documents", replaced_meanwhile)
     process.process_documents(workspace.store, glyphs(spark, {key: book(ROWS)}))
     assert states(workspace) == {NAME: "Processing"} and workspace.store.read("locations").count() == 0
-    assert {(r.stage, r.status, r.message) for r in workspace.store.read("stages").collect()} == {("Upload", "Complete", None), ("Extract", "Skipped", "A newer replacement of this document is already processing")}
+    assert {(r.stage, r.status, r.message) for r in workspace.store.read("stages").collect()} == {("Upload", "Complete", None), ("Text and table extraction", "Skipped", "A newer replacement of this document is already processing")}
     assert sorted(r.id for r in workspace.store.read("stages").collect()) == [1, 2, 3]
 
 
@@ -135,3 +135,17 @@ def test_versions_refuse_a_change_of_what_has_changed(spark, workspace):
 def test_rows_are_numbered_without_gaps(spark):
     rows = spark.range(3000).select((F.col("id") % 700).cast("string").alias("k"), F.col("id").alias("v"))
     assert sorted(r.id for r in directory.number_rows(rows, "k", 10).select("id").collect()) == list(range(11, 3011))
+
+
+def test_a_run_that_cannot_start_leaves_failed_stages(spark, workspace, monkeypatch):
+    key = register(workspace, NAME)[NAME]
+
+    def fails(*args):
+        raise RuntimeError("no room for stages")
+
+    monkeypatch.setattr(process, "_start", fails)
+    with pytest.raises(RuntimeError):
+        process.process_documents(workspace.store, glyphs(spark, {key: book(ROWS)}))
+    assert states(workspace) == {NAME: "Failed"}
+    last = stage_of(workspace, NAME)
+    assert (last.stage, last.status, last.message) == ("Processing error", "Failed", "no room for stages") and last.finished_at is not None

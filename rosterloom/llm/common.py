@@ -105,6 +105,25 @@ class Scratch:
         target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: A key counts as heavy with more than this share of a table's rows, so that at most so many are heavy.
+HEAVY_KEYS = 10_000
+#: Keys of fewer rows are never heavy.
+HEAVY_ROWS = 100
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join with a table that has one row a key; keys with very many rows on the left don't shuffle.
+
+    Heavy keys are at most ``HEAVY_KEYS`` by what a heavy key is, so that their rows of
+    ``right`` are broadcast; all other keys are joined by a shuffle.  ``left`` is read
+    three times, so it should be a written table.  Keys are not null.
+    """
+    total = left.count()
+    heavy = left.groupBy(key).count().filter(F.col("count") > max(HEAVY_ROWS, total / HEAVY_KEYS)).select(key)
+    known = F.broadcast(heavy.join(right, key, "left"))
+    return left.join(known, key).unionByName(left.join(F.broadcast(heavy), key, "left_anti").join(right, key, "left"))
+
+
 # ---------------------------------------------------------------- Arrow blocks
 
 

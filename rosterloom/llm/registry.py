@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, jaccard_join, line_rules, media, packing, pii, quality_classifier, sharding, token_counts, warc
+from . import byte_bpe, filter_audit, jaccard_join, line_rules, media, merkle, oracles, packing, pii, quality_classifier, sharding, simhash, token_counts, warc
 from .common import Scratch, held_out, table
 
 TOKEN_LIMIT = 1024
@@ -68,6 +68,20 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_entities(docs).select("kept.doc_id", "text", "n_entities")
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = simhash.link_documents(table(spark, sf_dir, "documents"))
+    return linked.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checked = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, merkle.lower_ascii(F.col("text"))).otherwise(F.col("text"))
+    return merkle.prove_documents(table(spark, sf_dir, "documents"), checked)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_jaccard_join": op2_jaccard_join,
@@ -79,9 +93,14 @@ QUERIES = {
     "op8_media": op8_media,
     "op9_warc": op9_warc,
     "op10_pii_surrogates": op10_pii_surrogates,
+    "op11_simhash": op11_simhash,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op12_filter_audit": oracles.FILTER_AUDIT,
+    "op13_merkle": oracles.merkle_sql(),
     "op9_warc": """
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS payload, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages

@@ -1,24 +1,29 @@
-"""Reconciliation of extracted candidates with stored locations, one brand at a time.
+"""Reconciliation of extracted candidates with stored locations.
 
-Incoming rows are taken in order of emission, and each may match what an earlier
-one has added or changed.  That makes the operator sequential within a brand; brands
-are independent, so a brand is one group of a cogrouped plan.
+Incoming rows are taken in order of emission, and each may match what an earlier one has
+added or changed.  That makes the operator sequential among rows that can ever meet, and
+only there: a brand of many rows is split into groups that share no identity key, not
+even one that a merge could create, and each group is taken by itself (``split_brands``).
+Sorted groups stream through Arrow batches, many to a batch.
 """
 
 from __future__ import annotations
 
-import json
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.text import address_identity, identity, is_meaningful, rx, trimmed
 from ..schema import CONTACT_FIELDS
+from ..session import Aside
+from .contract import group_nodes
 from .people import merge_contacts
 
 MERGED_FIELDS = ("franchisee_entity", "address", "city", "state", "zip", "country", "phone", "email", "location_code", "exit_reason")
@@ -46,12 +51,14 @@ def quality(name: str, value: str | None) -> int:
     return 4 if pattern and rx(pattern).search(text) else otherwise
 
 
-def location_code(row: dict) -> str:
-    own = identity(row.get("location_code")).replace(" ", "")
-    if own:
-        return own
+def location_codes(row: dict) -> list[str]:
+    """The codes of a row: its own, if it has one, and the one in its source text, if there is one."""
     m = rx(P.LOCATION_CODE).search(row.get("raw_source_text") or "")
-    return identity(m[1]).replace(" ", "") if m else ""
+    return [code for code in (identity(x).replace(" ", "") for x in (row.get("location_code"), m and m[1])) if code]
+
+
+def location_code(row: dict) -> str:
+    return next(iter(location_codes(row)), "")
 
 
 def identity_keys(row: dict) -> dict[str, str]:
@@ -191,11 +198,11 @@ class Result:
     counts: dict[str, int]
 
 
-def reconcile(incoming: Iterable[tuple[dict, list[dict]]], stored: Iterable[tuple[str, dict, list[dict]]]) -> Result:
+def reconcile(incoming: Iterable[tuple[dict, list[dict]]], stored: Iterable[tuple[str, dict, list[dict]]], document: str | None = None) -> Result:
     """Reconciles candidates, in order, with stored (id, row, contacts).
 
-    Stored rows of the incoming document that nothing touched are deleted; those of
-    other documents are left alone.
+    Stored rows of ``document``, by default that of the first candidate, which nothing touched
+    are deleted; those of other documents are left alone.
     """
     ledger = Ledger()
     for stored_id, row, contacts in stored:
@@ -203,7 +210,8 @@ def reconcile(incoming: Iterable[tuple[dict, list[dict]]], stored: Iterable[tupl
     kept, incoming = list(ledger.records), list(incoming)
     for row, contacts in incoming:
         ledger.take(row, contacts)
-    document = incoming[0][0].get("document_id") if incoming else None
+    if document is None and incoming:
+        document = incoming[0][0].get("document_id")
     deleted = [r.stored_id for r in kept if document and not r.touched and r.row.get("document_id") == document]
     final = [r for r in ledger.records if r.stored_id is None or r.touched]
     matched, updated = sum(r.touched for r in kept), sum(r.updated for r in kept)
@@ -213,55 +221,164 @@ def reconcile(incoming: Iterable[tuple[dict, list[dict]]], stored: Iterable[tupl
     return Result(final, deleted, counts)
 
 
-# ------------------------------------------------------------------ the cogrouped plan
+# ------------------------------------------------------------------ groups that can't meet
 
-_COLUMNS = ", ".join(f"{c} {'int' if c == 'source_page' else 'double' if c == 'confidence' else 'string'}" for c in LOCATION_FIELDS)
-_CONTACT_ROWS = "array<struct<" + ",".join(f"{c}:string" for c in CONTACT_FIELDS) + ">>"
-RESULT_SCHEMA = f"brand_key string, action string, existing_id string, changed boolean, updated boolean, contacts_changed boolean, {_COLUMNS}, contacts {_CONTACT_ROWS}, counts string"
+#: Brands of at most so many rows are one group each.
+SMALL_BRAND = 2_000
+#: Most keys that the merges of one group are listed for; a brand with a larger group is taken whole.
+LISTED_KEYS = 100_000
+
+_KEYS_SCHEMA = "node long, brand_key string, keys array<long>, codes array<long>, street string, town string, region string, entity string"
+_KEYS_BATCH = pa.schema([("node", pa.int64()), ("brand_key", pa.string()), ("keys", pa.list_(pa.int64())), ("codes", pa.list_(pa.int64())), *((c, pa.string()) for c in ("street", "town", "region", "entity"))])
+
+
+def _key(brand: str | None, kind: str, value: str) -> int:
+    return xxhash.xxh64_intdigest(f"{brand}\x1f{kind}\x1f{value}") - (1 << 63)
 
 
-def _plain(value):
-    """A pandas value as a plain one: missing numbers and texts are None."""
-    return None if value is None or value != value else value
+def _row_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a row can be found by, and the values that a merge can combine with those of others.
 
+    The exact key stands for its source text alone, which every merge takes over whole.  Hashes
+    that fall together only make groups larger.
+    """
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            brand, street = row["brand_key"], address_identity(row["address"])
+            entity, town, region, raw = (identity(row[c]) for c in ("franchisee_entity", "city", "state", "raw_source_text"))
+            entity = entity if len(entity) >= 5 else None
+            coded = [_key(brand, "code", c) for c in dict.fromkeys(location_codes(row))]
+            # also where a part is a placeholder: a row of the same words may fill it
+            found = {"text": raw, "address": "|".join((street, town, region)) if street or town or region else "", "entity": "|".join((entity, town, region)) if entity else ""}
+            value = lambda name, text: text if is_meaningful(row[name]) else None  # noqa: B023, E731
+            out.append({
+                "node": row["node"], "brand_key": brand, "codes": coded, "keys": [*coded, *(_key(brand, k, v) for k, v in found.items() if v)],
+                "street": value("address", street), "town": value("city", town), "region": value("state", region), "entity": entity,
+            })
+        yield pa.RecordBatch.from_pylist(out, _KEYS_BATCH)
+
+
+def _created_keys(rows: DataFrame) -> DataFrame:
+    """(group, brand_key, kind, value, whole): keys that merges within a group may create; ``whole`` marks a group with too many.
+
+    Matches by address, entity and source text keep town and region, so that new combinations
+    need two rows of a group with one code.
+    """
+    codes = rows.select("group", F.explode("codes").alias("code")).groupBy("group", "code").count().filter("count > 1").select("group").distinct()
+    some = rows.join(codes, "group", "left_semi").groupBy("group", "brand_key").agg(*(F.collect_set(c).alias(c) for c in ("street", "town", "region", "entity")))
+    n = [F.size(c).cast("long") for c in ("street", "entity", "town", "region")]
+    some = some.withColumn("listed", (n[0] + n[1]) * n[2] * n[3]).filter("listed > 0").withColumn("whole", F.col("listed") > LISTED_KEYS)
+    heads = F.concat(F.transform("street", lambda x: F.struct(F.lit("address").alias("kind"), x.alias("head"))), F.transform("entity", lambda x: F.struct(F.lit("entity").alias("kind"), x.alias("head"))))
+    one = F.array(F.struct(F.lit("whole").alias("kind"), F.lit("").alias("head")))
+    listed = some.select("group", "brand_key", "whole", F.explode(F.when(F.col("whole"), one).otherwise(heads)).alias("h"), "town", "region")
+    blank = F.array(F.lit(""))
+    listed = listed.withColumn("t", F.explode(F.when(F.col("whole"), blank).otherwise(F.col("town")))).withColumn("s", F.explode(F.when(F.col("whole"), blank).otherwise(F.col("region"))))
+    return listed.select("group", "brand_key", F.col("h.kind").alias("kind"), F.when(F.col("whole"), "").otherwise(F.concat_ws("|", "h.head", "t", "s")).alias("value"), "whole")
 
-def _rows(part: pd.DataFrame) -> list[dict]:
-    rows = []
-    for r in part.to_dict("records"):
-        row = {c: _plain(r.get(c)) for c in LOCATION_FIELDS}
-        row["source_page"] = None if row["source_page"] is None else int(row["source_page"])
-        rows.append(row)
-    return rows
 
+def _hash_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [_key(*x) for x in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64())], names=["group", "key"])
 
-def _people(values) -> list[list[dict]]:
-    return [[{k: c[k] for k in CONTACT_FIELDS} for c in (list(v) if v is not None else [])] for v in values]
 
+def split_brands(rows: DataFrame, aside: Aside) -> DataFrame:
+    """(node, group) of rows (node, brand_key and the location fields) such that rows of different groups never meet in a reconciliation.
 
-def reconcile_brands(candidates: DataFrame, locations: DataFrame) -> DataFrame:
+    Rows with a common key are one group.  Keys that merges within a group can create are
+    listed and joined with the keys of all groups, until no group meets another.
+    """
+    keyed = aside.save(rows.select("node", "brand_key", *LOCATION_FIELDS).mapInArrow(_row_keys, _KEYS_SCHEMA), "keys")
+    nodes, links = keyed.select("node").distinct(), keyed.select(F.col("node").alias("a"), F.explode("keys").alias("b"))
+    groups = aside.save(group_nodes(nodes, links, aside), "groups")
+    while True:
+        rows = keyed.join(groups, "node")
+        created = aside.save(_created_keys(rows), "created")
+        taken = created.filter("whole").select("brand_key").distinct()
+        listed = created.filter("not whole").select("group", "brand_key", "kind", "value").mapInArrow(_hash_keys, "group long, key long")
+        owned = rows.select("group", F.explode("keys").alias("key")).union(rows.join(taken, "brand_key", "left_semi").select("group", F.xxhash64("brand_key").alias("key")))
+        held = owned.union(listed).distinct()
+        shared = held.groupBy("key").agg(F.min("group").alias("first"), F.max("group").alias("last")).filter("first <> last").select("key")
+        edges = aside.save(held.join(shared, "key").select(F.col("group").alias("a"), F.col("key").alias("b")), "meetings")
+        if edges.isEmpty():
+            return groups
+        merged = group_nodes(groups.select(F.col("group").alias("node")).distinct(), edges, aside)
+        groups = aside.save(groups.join(merged.select(F.col("node").alias("group"), F.col("group").alias("whole")), "group").select("node", F.col("whole").alias("group")), "groups")
+
+
+# ------------------------------------------------------------------ the plan
+
+_COLUMNS = ", ".join(f"{c} {'int' if c == 'source_page' else 'double' if c == 'confidence' else 'string'}" for c in LOCATION_FIELDS)
+_CONTACT_ROWS = "array<struct<" + ",".join(f"{c}:string" for c in CONTACT_FIELDS) + ">>"
+RESULT_SCHEMA = f"brand_key string, action string, existing_id string, changed boolean, updated boolean, contacts_changed boolean, ambiguous int, {_COLUMNS}, contacts {_CONTACT_ROWS}"
+_RESULT_BATCH = pa.schema([
+    *((c, pa.string()) for c in ("brand_key", "action", "existing_id")), *((c, pa.bool_()) for c in ("changed", "updated", "contacts_changed")), ("ambiguous", pa.int32()),
+    *((c, {"source_page": pa.int32(), "confidence": pa.float64()}.get(c, pa.string())) for c in LOCATION_FIELDS), ("contacts", pa.list_(pa.struct([(c, pa.string()) for c in CONTACT_FIELDS]))),
+])
+#: Rows of an Arrow batch; a batch has groups of any number.
+BATCH_ROWS = 2_000
+
+
+def _sorted_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        yield from batch.to_pylist()
+
+
+def _reconcile_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reconciles each group of rows, which come sorted by group, stored ones first."""
+    out = []
+    for _, rows in groupby(_sorted_rows(batches), lambda r: r["group"]):
+        rows = list(rows)
+        stored = [(r["id"], {c: r[c] for c in LOCATION_FIELDS}, r["contacts"] or []) for r in rows if not r["side"]]
+        incoming = [({c: r[c] for c in LOCATION_FIELDS}, r["contacts"] or []) for r in rows if r["side"]]
+        brand, result = {"brand_key": rows[0]["brand_key"]}, reconcile(incoming, stored, rows[0]["brand_document"])
+        ambiguous = result.counts["ambiguous"]
+        for r in result.records:
+            action = "added" if r.stored_id is None else "matched"
+            out.append(brand | r.row | {"action": action, "existing_id": r.stored_id, "changed": r.changed, "updated": r.updated, "contacts_changed": r.contacts_changed, "ambiguous": ambiguous, "contacts": r.contacts})
+            ambiguous = 0
+        out += [brand | {"action": "deleted", "existing_id": k, "ambiguous": 0} for k in result.deleted]
+        if len(out) >= BATCH_ROWS:
+            yield pa.RecordBatch.from_pylist(out, _RESULT_BATCH)
+            out = []
+    yield pa.RecordBatch.from_pylist(out, _RESULT_BATCH)
+
+
+def reconcile_brands(candidates: DataFrame, locations: DataFrame, aside: Aside | None = None, small: int = SMALL_BRAND) -> DataFrame:
     """Reconciles each brand's candidates with its locations.
 
     ``candidates`` has brand_key, ordinal, the location fields and contacts; ``locations`` has
     brand_key, id, the same fields and contacts.  A row of the result is a record kept (added, or
-    stored and touched) or a stored id to delete; each carries its brand's counts as JSON.
+    stored and touched) or a stored id to delete; ``brand_counts`` sums them up.  Brands of more
+    than ``small`` rows are split.
     """
-
-    def per_brand(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-        names = [f.split()[0] for f in RESULT_SCHEMA.split(f", contacts {_CONTACT_ROWS}")[0].split(", ")] + ["contacts", "counts"]
-        if new.empty:
-            return pd.DataFrame(columns=names)
-        new, old = new.sort_values("ordinal", kind="stable"), old.sort_values("id", kind="stable")
-        result = reconcile(zip(_rows(new), _people(new["contacts"]), strict=True), zip(old["id"], _rows(old), _people(old["contacts"]), strict=True))
-        brand, counts = new["brand_key"].iloc[0], json.dumps(result.counts)
-        rows = [
-            {"brand_key": brand, "action": "added" if r.stored_id is None else "matched", "existing_id": r.stored_id, "changed": r.changed, "updated": r.updated, "contacts_changed": r.contacts_changed, **r.row, "contacts": r.contacts, "counts": counts}
-            for r in result.records
-        ]
-        rows += [{"brand_key": brand, "action": "deleted", "existing_id": k, "counts": counts} for k in result.deleted]
-        out = pd.DataFrame([dict.fromkeys(names) | r for r in rows], columns=names, dtype=object)
-        return out.astype({"source_page": "Int32", "confidence": "float64", "changed": "boolean", "updated": "boolean", "contacts_changed": "boolean"})
-
-    # aliases: two sides that are made from one table would share attributes, and a cogroup then drops columns of the second
-    sides = (df.select(*(F.col(c).alias(c) for c in ("brand_key", place, *LOCATION_FIELDS, "contacts"))) for df, place in ((candidates, "ordinal"), (locations, "id")))
-    new, old = (df.groupBy("brand_key") for df in sides)
-    return new.cogroup(old).applyInPandas(per_brand, RESULT_SCHEMA)
+    aside = aside or Aside(candidates.sparkSession)
+    fields = [F.col(c) for c in ("brand_key", *LOCATION_FIELDS, "contacts")]
+    none = lambda kind: F.lit(None).cast(kind)
+    first = candidates.groupBy("brand_key").agg(F.min_by("document_id", "ordinal").alias("brand_document")).withColumnRenamed("brand_key", "_brand")
+    new = candidates.select(F.lit(1).alias("side"), F.col("ordinal").cast("long").alias("ordinal"), none("string").alias("id"), *fields)
+    old = locations.select(F.lit(0).alias("side"), none("long").alias("ordinal"), F.col("id").cast("string").alias("id"), *fields)
+    rows = new.unionByName(old).join(first, F.col("brand_key").eqNullSafe(F.col("_brand"))).drop("_brand")
+    rows = aside.save(rows.withColumn("node", F.xxhash64("brand_key", "side", "ordinal", "id")), "rows")
+    sizes = rows.groupBy("brand_key").count().filter(F.col("count") > small).select(F.col("brand_key").alias("_brand"), F.lit(True).alias("large"))
+    sizes = aside.save(sizes, "large-brands")
+    grouped = rows.withColumn("group", F.xxhash64("brand_key"))
+    if not sizes.isEmpty():
+        marked = rows.join(sizes, F.col("brand_key").eqNullSafe(F.col("_brand")), "left").drop("_brand")
+        groups = split_brands(marked.filter("large"), aside)
+        grouped = marked.join(groups, "node", "left").withColumn("group", F.coalesce("group", F.xxhash64("brand_key"))).drop("large")
+    # a small brand's group may have the number of another one's; the name keeps them apart
+    keys = ["brand_key", "group"]
+    ordered = grouped.repartition(*keys).sortWithinPartitions(*keys, "side", "ordinal", "id").drop("node")
+    return ordered.withColumn("group", F.struct(*keys)).mapInArrow(_reconcile_groups, RESULT_SCHEMA)
+
+
+def brand_counts(result: DataFrame) -> DataFrame:
+    """brand_key and counted, the counts of a brand's reconciliation."""
+    matched, updated = F.col("action") == "matched", F.coalesce("updated", F.lit(False))
+    counts = {
+        "added": F.count_if(F.col("action") == "added"), "matched": F.count_if(matched), "updated": F.count_if(matched & updated), "unchanged": F.count_if(matched & ~updated), "ambiguous": F.sum("ambiguous"),
+        "collapsed": F.lit(0).cast("long"), "removed": F.count_if(F.col("action") == "deleted"),
+    }
+    return result.groupBy("brand_key").agg(F.struct(*(v.alias(k) for k, v in counts.items())).alias("counted"))

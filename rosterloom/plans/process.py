@@ -1,7 +1,7 @@
 """Document processing: pages to candidates, gates, reconciliation and one commit.
 
 Pages and layout are windowed plans, extraction is a group per document, cleaning
-and scoring are column expressions, reconciliation is a group per brand, and the
+and scoring are column expressions, reconciliation is a group of rows that can meet, and the
 commit is one change of a ``SnapshotStore``.
 """
 
@@ -23,8 +23,9 @@ from ..functions import patterns as P
 from ..functions.text import rx
 from ..operators import brand, directory, grammars, layout, sections
 from ..operators.people import contacts_of
-from ..operators.reconcile import reconcile_brands
+from ..operators.reconcile import brand_counts, reconcile_brands
 from ..schema import CONTACT, CONTACT_FIELDS, LOCATION_TEXT
+from ..session import Aside
 from ..sources import ocr_tsv
 from ..sources.documents import has_enough_text, message_of
 from ..sources.store import ConcurrentChange, SnapshotStore
@@ -403,7 +404,7 @@ def _commit(store: SnapshotStore, summary: DataFrame, accepted: DataFrame, start
     incoming = accepted.filter("not duplicate").drop("brand").join(winners, "document_id")
     nested = contacts.groupBy("location_id").agg(F.collect_list(F.struct(*CONTACT_FIELDS)).alias("contacts"))
     stored = locations.withColumn("brand_key", F.lower("franchisor")).join(winners.select("brand_key").distinct(), "brand_key", "left_semi").join(nested, locations["id"] == nested["location_id"], "left").drop("location_id")
-    result = store.aside(reconcile_brands(incoming, stored), f"{place}/result-{base}")
+    result = store.aside(reconcile_brands(incoming, stored, Aside(store.spark, f"{store.root}/{place}")), f"{place}/result-{base}")
 
     # ids follow from content, so that a task that runs again mints the same ones
     parts = [F.coalesce(c, F.lit("\x1e")) for c in ("brand_key", *LOCATION_TEXT, F.col("source_page").cast("string"))]
@@ -415,7 +416,7 @@ def _commit(store: SnapshotStore, summary: DataFrame, accepted: DataFrame, start
     people = kept.select(F.col("new_id").alias("location_id"), F.posexplode("contacts").alias("k", "c")).select(F.concat_ws("/", "location_id", "k").alias("id"), "location_id", "c.*")
     old_people = contacts.join(minted.select(F.col("existing_id").alias("location_id")).filter("location_id is not null"), "location_id", "left_anti")
 
-    counted = result.groupBy("brand_key").agg(F.from_json(F.first("counts"), ", ".join(f"{c} bigint" for c in RECONCILED)).alias("counted"))
+    counted = brand_counts(result)
     late = ((c, text) for c, text in (("ambiguous", " possible duplicate matches require review"), ("collapsed", " existing duplicate records were safely consolidated"), ("removed", " stale rows from the replaced extraction were removed")))
     notes = F.array_compact(F.array(*(F.when(F.col(f"counted.{c}") > 0, F.concat(F.col(f"counted.{c}").cast("string"), F.lit(text))) for c, text in late)))
     summary = summary.join(counted.join(winners, "brand_key").drop("brand_key"), "document_id", "left").withColumn("warnings", F.concat("warnings", notes))

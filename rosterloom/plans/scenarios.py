@@ -6,14 +6,13 @@ decides the case.  The SQL states the results of every case by themselves, so it
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..operators import brand, matching, reconcile, sections
-from ..session import table
+from ..session import Aside, shared_folder, table
 from ..sources.store import SnapshotStore
 from . import process
 from .catalog import catalog
@@ -136,12 +135,12 @@ _NONE = f"cast(array() as array<struct<{','.join(f'{c}:string' for c in _PERSON)
 _STORED, _INCOMING = "case k % 8 when 4 then 0 when 5 then 2 when 6 then 2 else 1 end", "case k % 8 when 2 then 0 when 3 then 0 when 4 then 2 else 1 end"
 
 
-def _sides(spark, d):
-    """Incoming candidates and stored locations of brands of 20 customers; a customer's rows share a city of their own."""
+def _sides(rows):
+    """Incoming candidates and stored locations of rows (k, brand_key); the rows of a key share a city of their own."""
     people = f"""case when k % 8 = 0 then array({_person(phone="if(stored, '775-555-0100', '+1 (775) 555.0100')")})
                       when k % 8 = 7 and stored then array({_person("'Ann Gill'", "'775-555-0100'")})
                       when k % 8 = 7 then array({_person("'Bo Hu'", "'775-555-0100'")}, {_person("'Ann Gill'", email="'ann@x.example.com'")}) else {_NONE} end"""
-    both = _rows(spark, d, brand_key="concat('b', k div 20)", stored="explode(array(true, false))", row=f"explode_outer(if(if(stored, {_STORED}, {_INCOMING}) = 0, null, sequence(1, if(stored, {_STORED}, {_INCOMING}))))").filter("row is not null")
+    both = rows.withColumn("stored", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("row", F.expr(f"explode_outer(if(if(stored, {_STORED}, {_INCOMING}) = 0, null, sequence(1, if(stored, {_STORED}, {_INCOMING}))))")).filter("row is not null")
     values = {
         "document_id": "if(stored and k % 8 not in (1, 2), 'old', concat('new-', brand_key))", "franchise_name": "brand_key", "franchisor": "brand_key", "status": "if(k % 8 = 7 and not stored, 'Former', 'Current')",
         "franchisee_entity": "case when k % 8 = 0 or (k % 8 = 6 and stored and row = 1) then null else 'Kite Works LLC' end",
@@ -155,8 +154,9 @@ def _sides(spark, d):
     return both.filter("not stored"), both.filter("stored")
 
 
-@query(f"""
-    WITH c AS (SELECT c_custkey AS k, 'b' || (c_custkey // 20) AS brand_key, c_custkey % 8 AS s FROM customer),
+def _reconciled_sql(cases):
+    return f"""
+    WITH c AS ({cases}),
          n AS (SELECT brand_key, count(*) FILTER (WHERE s IN (4, 5, 6)) AS n_added, count(*) FILTER (WHERE s IN (0, 1, 7)) AS n_matched, count(*) FILTER (WHERE s IN (0, 7)) AS n_updated, count(*) FILTER (WHERE s = 1) AS n_unchanged,
                       count(*) FILTER (WHERE s IN (5, 6)) AS n_ambiguous, count(*) FILTER (WHERE s = 2) AS n_removed FROM c GROUP BY 1 HAVING count(*) FILTER (WHERE s NOT IN (2, 3)) > 0)
     SELECT brand_key, CASE WHEN s = 2 THEN 'deleted' WHEN s IN (0, 1, 7) THEN 'matched' ELSE 'added' END AS action, CASE WHEN s IN (0, 1, 2, 7) THEN k || '-1' END AS existing_id, CASE WHEN s <> 2 THEN s IN (0, 4, 7) END AS updated,
@@ -166,14 +166,29 @@ def _sides(spark, d):
            CASE s WHEN 2 THEN NULL WHEN 5 THEN '{P.AMBIGUOUS_ENTITY}' WHEN 6 THEN '{P.CONFLICTING_IDENTITY}' ELSE 'given' END AS review_reason, CAST(CASE WHEN s = 7 THEN 0.4 WHEN s <> 2 THEN 0.9 END AS DOUBLE) AS confidence,
            CASE WHEN s = 0 THEN '-/775-555-0100/-' WHEN s = 7 THEN 'Ann Gill/775-555-0100/-, Bo Hu/775-555-0100/-, Ann Gill/-/ann@x.example.com' WHEN s <> 2 THEN '' END AS people, n_added, n_matched, n_updated, n_unchanged, n_ambiguous, n_removed
     FROM c JOIN n USING (brand_key) WHERE s <> 3
-""")
-def reconcile_full(spark, d):
-    """Candidates of each brand against its stored rows and contacts: filled by code, kept by address, repeated in a batch, shared entities, conflicts, reviewed rows, and rows that go."""
-    done = reconcile.reconcile_brands(*_sides(spark, d))
-    counts = F.from_json("counts", ", ".join(f"{c} bigint" for c in process.RECONCILED))
+"""
+
+
+def _reconciled(rows):
+    aside = Aside(rows.sparkSession)
+    done = aside.save(reconcile.reconcile_brands(*_sides(rows), aside), "reconciled")
+    counts = reconcile.brand_counts(done)
     people = F.array_join(F.transform("contacts", lambda p: F.concat_ws("/", *(F.coalesce(p[c], F.lit("-")) for c in ("raw_name", "phone", "email")))), ", ")
     columns = ("brand_key", "action", "existing_id", "updated", "status", "address", "city", "phone", "location_code", "raw_source_text", "review_status", "review_reason", "confidence")
-    return done.withColumns({"_n": counts, "people": people}).select(*columns, "people", *(F.col(f"_n.{c}").alias(f"n_{c}") for c in process.RECONCILED if c != "collapsed"))
+    counted = counts.select("brand_key", *(F.col(f"counted.{c}").alias(f"n_{c}") for c in process.RECONCILED if c != "collapsed"))
+    return done.withColumn("people", people).select(*columns, "people").join(counted, "brand_key")
+
+
+@query(_reconciled_sql("SELECT c_custkey AS k, 'b' || (c_custkey // 20) AS brand_key, c_custkey % 8 AS s FROM customer"))
+def reconcile_full(spark, d):
+    """Candidates of each brand against its stored rows and contacts: filled by code, kept by address, repeated in a batch, shared entities, conflicts, reviewed rows, and rows that go."""
+    return _reconciled(_rows(spark, d, brand_key="concat('b', k div 20)"))
+
+
+@query(_reconciled_sql("SELECT o_orderkey AS k, 'all' AS brand_key, o_orderkey % 8 AS s FROM orders"))
+def reconcile_one_brand(spark, d):
+    """The same cases as one brand of all orders, which is split into groups that can't meet."""
+    return _reconciled(table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.lit("all").alias("brand_key")))
 
 
 _EXACT_SQL = """
@@ -204,9 +219,8 @@ def identity_match_exact(spark, d):
 
 
 def _store(spark) -> SnapshotStore:
-    """A new store in the shared folder of ``spark.checkpoint.dir``; a temporary one where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return SnapshotStore(spark, f"{shared or tempfile.mkdtemp(prefix='rosterloom-')}/directory-{uuid.uuid4().hex}")
+    """A new store in the shared folder."""
+    return SnapshotStore(spark, f"{shared_folder(spark)}/directory-{uuid.uuid4().hex}")
 
 
 @query(f"""

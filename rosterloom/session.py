@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,3 +46,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the supplied Parquet tables, by name."""
     share_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, as in tests, a new local one that goes with the driver."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    place = tempfile.TemporaryDirectory(prefix="rosterloom-")
+    atexit.register(place.cleanup)
+    return place.name
+
+
+class Aside:
+    """Intermediate tables, written to cut lineage and read again; they outlive lost executors and go with the driver."""
+
+    def __init__(self, spark: SparkSession, root: str | None = None) -> None:
+        self.spark, self.root, self.count = spark, f"{root or shared_folder(spark)}/aside-{uuid.uuid4().hex}", 0
+        atexit.register(self.clear)
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        self.count += 1
+        path = f"{self.root}/{self.count:03d}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        try:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # the JVM may be gone already when the driver ends
+            pass

@@ -12,7 +12,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import groupby
 
 import pyarrow as pa
 import xxhash
@@ -24,6 +23,7 @@ from ..functions.text import address_identity, identity, is_meaningful, rx, trim
 from ..schema import CONTACT_FIELDS
 from ..session import Aside
 from .contract import group_nodes
+from .grouped import map_groups
 from .people import merge_contacts
 
 MERGED_FIELDS = ("franchisee_entity", "address", "city", "state", "zip", "country", "phone", "email", "location_code", "exit_reason")
@@ -312,37 +312,17 @@ def split_brands(rows: DataFrame, aside: Aside) -> DataFrame:
 _COLUMNS = ", ".join(f"{c} {'int' if c == 'source_page' else 'double' if c == 'confidence' else 'string'}" for c in LOCATION_FIELDS)
 _CONTACT_ROWS = "array<struct<" + ",".join(f"{c}:string" for c in CONTACT_FIELDS) + ">>"
 RESULT_SCHEMA = f"brand_key string, action string, existing_id string, changed boolean, updated boolean, contacts_changed boolean, ambiguous int, {_COLUMNS}, contacts {_CONTACT_ROWS}"
-_RESULT_BATCH = pa.schema([
-    *((c, pa.string()) for c in ("brand_key", "action", "existing_id")), *((c, pa.bool_()) for c in ("changed", "updated", "contacts_changed")), ("ambiguous", pa.int32()),
-    *((c, {"source_page": pa.int32(), "confidence": pa.float64()}.get(c, pa.string())) for c in LOCATION_FIELDS), ("contacts", pa.list_(pa.struct([(c, pa.string()) for c in CONTACT_FIELDS]))),
-])
-#: Rows of an Arrow batch; a batch has groups of any number.
-BATCH_ROWS = 2_000
-
-
-def _sorted_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        yield from batch.to_pylist()
-
-
-def _reconcile_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reconciles each group of rows, which come sorted by group, stored ones first."""
-    out = []
-    for _, rows in groupby(_sorted_rows(batches), lambda r: r["group"]):
-        rows = list(rows)
-        stored = [(r["id"], {c: r[c] for c in LOCATION_FIELDS}, r["contacts"] or []) for r in rows if not r["side"]]
-        incoming = [({c: r[c] for c in LOCATION_FIELDS}, r["contacts"] or []) for r in rows if r["side"]]
-        brand, result = {"brand_key": rows[0]["brand_key"]}, reconcile(incoming, stored, rows[0]["brand_document"])
-        ambiguous = result.counts["ambiguous"]
-        for r in result.records:
-            action = "added" if r.stored_id is None else "matched"
-            out.append(brand | r.row | {"action": action, "existing_id": r.stored_id, "changed": r.changed, "updated": r.updated, "contacts_changed": r.contacts_changed, "ambiguous": ambiguous, "contacts": r.contacts})
-            ambiguous = 0
-        out += [brand | {"action": "deleted", "existing_id": k, "ambiguous": 0} for k in result.deleted]
-        if len(out) >= BATCH_ROWS:
-            yield pa.RecordBatch.from_pylist(out, _RESULT_BATCH)
-            out = []
-    yield pa.RecordBatch.from_pylist(out, _RESULT_BATCH)
+def _reconcile_group(rows: list[dict]) -> list[dict]:
+    """Reconciles one group of rows, stored ones first."""
+    stored = [(r["id"], {c: r[c] for c in LOCATION_FIELDS}, r["contacts"] or []) for r in rows if not r["side"]]
+    incoming = [({c: r[c] for c in LOCATION_FIELDS}, r["contacts"] or []) for r in rows if r["side"]]
+    brand, result = {"brand_key": rows[0]["brand_key"]}, reconcile(incoming, stored, rows[0]["brand_document"])
+    out, ambiguous = [], result.counts["ambiguous"]
+    for r in result.records:
+        action = "added" if r.stored_id is None else "matched"
+        out.append(brand | r.row | {"action": action, "existing_id": r.stored_id, "changed": r.changed, "updated": r.updated, "contacts_changed": r.contacts_changed, "ambiguous": ambiguous, "contacts": r.contacts})
+        ambiguous = 0
+    return out + [brand | {"action": "deleted", "existing_id": k, "ambiguous": 0} for k in result.deleted]
 
 
 def reconcile_brands(candidates: DataFrame, locations: DataFrame, aside: Aside | None = None, small: int = SMALL_BRAND) -> DataFrame:
@@ -369,9 +349,7 @@ def reconcile_brands(candidates: DataFrame, locations: DataFrame, aside: Aside |
         groups = split_brands(marked.filter("large"), aside)
         grouped = marked.join(groups, "node", "left").withColumn("group", F.coalesce("group", F.xxhash64("brand_key"))).drop("large")
     # a small brand's group may have the number of another one's; the name keeps them apart
-    keys = ["brand_key", "group"]
-    ordered = grouped.repartition(*keys).sortWithinPartitions(*keys, "side", "ordinal", "id").drop("node")
-    return ordered.withColumn("group", F.struct(*keys)).mapInArrow(_reconcile_groups, RESULT_SCHEMA)
+    return map_groups(grouped.drop("node"), ["brand_key", "group"], ["side", "ordinal", "id"], _reconcile_group, RESULT_SCHEMA)
 
 
 def brand_counts(result: DataFrame) -> DataFrame:

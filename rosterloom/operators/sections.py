@@ -12,11 +12,11 @@ from collections.abc import Iterable
 from dataclasses import asdict, dataclass, field
 from functools import cached_property
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..functions import patterns as P
 from ..functions.text import rx, squash
+from .grouped import map_groups
 
 #: Pages on which a table of contents may stand, and lines of a page that may hold its label.
 TOC_PAGES = 25
@@ -201,16 +201,15 @@ def discover_sections(pages: Iterable[tuple[int, str]]) -> Discovery:
     return out
 
 
+def _sections_of(rows: list[dict]) -> list[dict]:
+    found = discover_sections((r["pdf_page"], r["text"] or "") for r in rows)
+    head = {"document_id": rows[0]["document_id"], "from_toc": any(t.kind for t in found.toc)}
+    return [head | {"ordinal": k} | asdict(s) for k, s in enumerate(found.sections)]
+
+
 def discover(pages: DataFrame) -> DataFrame:
     """Sections of each document in ``pages`` (document_id, pdf_page, text), in order.
 
-    One task holds one document's page texts, which the page limit of a document bounds.
+    A task holds one document's page texts at a time, which the page limit of a document bounds.
     """
-
-    def per_document(part: pd.DataFrame) -> pd.DataFrame:
-        found = discover_sections(zip(part["pdf_page"].astype(int), part["text"].fillna(""), strict=True))
-        from_toc = any(t.kind for t in found.toc)
-        rows = [{"document_id": part["document_id"].iloc[0], "ordinal": k, **asdict(s), "from_toc": from_toc} for k, s in enumerate(found.sections)]
-        return pd.DataFrame(rows, columns=[f.split()[0] for f in SECTION_SCHEMA.split(", ")])
-
-    return pages.select("document_id", "pdf_page", "text").groupBy("document_id").applyInPandas(per_document, SECTION_SCHEMA)
+    return map_groups(pages.select("document_id", "pdf_page", "text"), ["document_id"], ["pdf_page"], _sections_of, SECTION_SCHEMA)

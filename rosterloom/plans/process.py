@@ -12,7 +12,6 @@ import time
 import uuid
 from collections.abc import Callable, Iterable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +21,7 @@ from ..functions import fields
 from ..functions import patterns as P
 from ..functions.text import rx
 from ..operators import brand, directory, grammars, layout, sections
+from ..operators.grouped import map_groups
 from ..operators.people import contacts_of
 from ..operators.reconcile import brand_counts, reconcile_brands
 from ..schema import CONTACT, CONTACT_FIELDS, LOCATION_TEXT
@@ -93,15 +93,12 @@ def extract_document(pages: Iterable[Page]) -> tuple[sections.Discovery, list[di
     return found, out, rejected, examined
 
 
-def _as_rows(document_id: str, found: sections.Discovery, candidates: list[dict], rejected: int, examined: list[int], error: str | None = None) -> pd.DataFrame:
+def _as_rows(document_id: str, found: sections.Discovery, candidates: list[dict], rejected: int, examined: list[int], error: str | None = None) -> list[dict]:
     """Candidate rows, and a first row (ordinal -1) with what holds for the document."""
-    names = [x.split()[0] for x in RAW_SCHEMA.split(", ")]
     label = lambda n: str(n) if n else None
     ranges = [{"section": s.heading, "status": s.status, "exhibit": s.exhibit, "printedStart": label(s.printed_start), "pdfStart": s.pdf_start or 1, "pdfEnd": s.pdf_end or s.pdf_start or 1} for s in found.sections]
-    rows = [{"document_id": document_id, "ordinal": -1, "rejected": rejected, "n_sections": len(found.sections), "pages_examined": sorted(set(examined)), "from_toc": any(t.kind for t in found.toc), "ranges": ranges, "error": error}]
-    rows += [{"document_id": document_id, "ordinal": k, **{n: c[n] for n in names if n in c}, "printed_page": label(c["printed_page"])} for k, c in enumerate(candidates)]
-    out = pd.DataFrame([dict.fromkeys(names) | r for r in rows], columns=names, dtype=object)
-    return out.astype({"source_page": "Int32", "rejected": "Int64", "n_sections": "Int64", "ordinal": "Int64", "from_toc": "boolean"})
+    head = {"document_id": document_id, "ordinal": -1, "rejected": rejected, "n_sections": len(found.sections), "pages_examined": sorted(set(examined)), "from_toc": any(t.kind for t in found.toc), "ranges": ranges, "error": error}
+    return [head, *(c | {"document_id": document_id, "ordinal": k, "printed_page": label(c["printed_page"])} for k, c in enumerate(candidates))]
 
 
 def page_payloads(pages: DataFrame, rows: DataFrame, lines: DataFrame) -> DataFrame:
@@ -114,21 +111,18 @@ def page_payloads(pages: DataFrame, rows: DataFrame, lines: DataFrame) -> DataFr
     return pages.join(cells, by_page, "left").join(columns, by_page, "left").select(*by_page, "text", "rows", "left", "right")
 
 
-def extract(payloads: DataFrame) -> DataFrame:
-    """Raw candidates of every document, one group a document; a document that fails has its first row only, with the error."""
+def _candidates_of(rows: list[dict]) -> list[dict]:
+    document_id = rows[0]["document_id"]
+    try:
+        pages = [(r["pdf_page"], r["text"] or "", r["rows"] or [], (r["left"] or [], r["right"] or [])) for r in rows]
+        return _as_rows(document_id, *extract_document(pages))
+    except Exception as error:  # one document's error leaves the others of the run alone
+        return _as_rows(document_id, sections.Discovery(), [], 0, [], message_of(error))
 
-    def per_document(part: pd.DataFrame) -> pd.DataFrame:
-        def plain(value):
-            return [] if value is None else [plain(v) if isinstance(v, np.ndarray | list) else v for v in value]
 
-        document_id = part["document_id"].iloc[0]
-        try:
-            pages = [(int(n), t or "", plain(r), (plain(a), plain(b))) for n, t, r, a, b in zip(part["pdf_page"], part["text"], part["rows"], part["left"], part["right"], strict=True)]
-            return _as_rows(document_id, *extract_document(pages))
-        except Exception as error:  # one document's error leaves the others of the run alone
-            return _as_rows(document_id, sections.Discovery(), [], 0, [], message_of(error))
-
-    return payloads.groupBy("document_id").applyInPandas(per_document, RAW_SCHEMA)
+def extract(payloads: DataFrame) -> DataFrame:
+    """Raw candidates of every document; a document that fails has its first row only, with the error."""
+    return map_groups(payloads.select("document_id", "pdf_page", "text", "rows", "left", "right"), ["document_id"], ["pdf_page"], _candidates_of, RAW_SCHEMA)
 
 
 def _contacts(entity: Column, raw: Column, phone: Column, email: Column) -> Column:

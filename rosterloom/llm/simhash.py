@@ -46,6 +46,8 @@ SHINGLE_WORDS = 3
 RADIUS = 3
 #: Jobs that emit variants with two flips.
 ROUNDS = 2
+#: Distinct fingerprints whose variants one task emits, about.
+EMITTED_PRINTS = 1 << 14
 #: Bytes of a text that are split into words at once.
 PIECE_BYTES = 1 << 20
 
@@ -96,6 +98,7 @@ def _variants(masks: list[int]) -> Column:
 def link_fingerprints(prints: DataFrame, scratch: Scratch) -> DataFrame:
     """(u, v): links whose components are those of all links of the distinct fingerprints ``prints`` (fp, long)."""
     near = lambda: F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS
+    prints = prints.repartition(prints.count() // EMITTED_PRINTS + 1, "fp")
     even, odd = (prints.filter(F.bit_count("fp") % 2 == k) for k in (0, 1))
     singles = _variants([1 << k for k in range(64)]).alias("variant")
     once = prints.select(singles, "fp").repartition("variant")

@@ -7,10 +7,8 @@ commit is one change of a ``SnapshotStore``.
 
 from __future__ import annotations
 
-import random
-import time
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,7 +26,7 @@ from ..schema import CONTACT, CONTACT_FIELDS, LOCATION_TEXT
 from ..session import Aside
 from ..sources import ocr_tsv
 from ..sources.documents import has_enough_text, message_of
-from ..sources.store import ConcurrentChange, SnapshotStore
+from ..sources.store import SnapshotStore
 
 #: The least recognition confidence to replace stored rows, and the one below which a warning is added.
 REPLACING_CONFIDENCE = 0.60
@@ -45,8 +43,8 @@ RECONCILED = ("added", "matched", "updated", "unchanged", "ambiguous", "collapse
 #: What scans give as the problem of a page that was over the budget, or that had no text; other values are error messages.
 BUDGET = "budget"
 EMPTY = "empty"
-#: How often a change is made anew after another one came first.
-COMMIT_ATTEMPTS = 5
+#: The scope of changes that number new stages.
+NUMBERS = "stage-numbers"
 
 RAW_SCHEMA = (
     "document_id string, ordinal long, status string, franchisee_entity string, address string, city string, state string, zip string, phone string, email string, source_page int, raw_source_text string, "
@@ -272,18 +270,6 @@ def assemble_pages(glyphs: DataFrame, scans: DataFrame | None, recognised: DataF
     return pages.select(*by_page, F.coalesce("text", F.lit("")).alias("text"), ocr.alias("ocr"), F.when(ocr, F.col("ocr_confidence")).alias("ocr_confidence"), "problem"), rows, lines
 
 
-def _change(store: SnapshotStore, change: Callable[[int], DataFrame | None]) -> DataFrame | None:
-    """Makes a change of the version it is given, anew if another change came first."""
-    for attempt in range(COMMIT_ATTEMPTS):
-        try:
-            return change(store.version())
-        except ConcurrentChange:
-            if attempt + 1 == COMMIT_ATTEMPTS:
-                raise
-            time.sleep(random.uniform(0, 2**attempt))
-    return None
-
-
 def process_documents(store: SnapshotStore, glyphs: DataFrame, ids: list[str] | None = None, scans: DataFrame | None = None, recognised: DataFrame | None = None) -> None:
     """Processes registered documents and commits the result as one change.
 
@@ -302,17 +288,18 @@ def process_documents(store: SnapshotStore, glyphs: DataFrame, ids: list[str] |
     chosen = store.aside(chosen.select(F.col("id").alias("document_id"), "filename", "object_path"), f"{place}/chosen")
     try:
         try:
-            started = _change(store, lambda version: _start(store, chosen, version, place))
+            started = store.attempt(lambda version: _start(store, chosen, version, place))
         except Exception as error:
             message = message_of(error).split("\n")[0]
-            _change(store, lambda version: _not_started(store, chosen, version, message))
+            store.attempt(lambda version: _not_started(store, chosen, version, message))
             raise
         try:
             summary, accepted = _read_documents(store, chosen, glyphs, scans, recognised, store.read("locations", base), place)
-            _change(store, lambda version: _commit(store, summary, accepted, started, version, place))
+            store.attempt(lambda version: _commit(store, summary, accepted, started, version, place))
+            store.compact()
         except Exception as error:
             message = message_of(error).split("\n")[0]
-            _change(store, lambda version: _fail(store, started, version, message))
+            store.attempt(lambda version: _fail(store, started, version, message))
             raise
     finally:
         store.drop(place)
@@ -327,36 +314,38 @@ def _new_stages(stages: DataFrame, chosen: DataFrame, stage: str, status: str, m
     return rows.select("id", "document_id", F.lit(stage).alias("stage"), F.lit(status).alias("status"), F.lit(message).cast("string").alias("message"), now.alias("started_at"), ended.alias("finished_at"))
 
 
+def document_scopes(store: SnapshotStore, documents: DataFrame) -> set[str]:
+    """What a change of documents (id, franchise_name) touches: their own buckets and those of their brands."""
+    return {f"document/{b}" for b in store.touched(documents, "id")} | {f"brand/{b}" for b in store.touched(documents, "franchise_name")}
+
+
 def _start(store: SnapshotStore, chosen: DataFrame, base: int, place: str) -> DataFrame:
     """Adds a running stage for each document; returns their numbers."""
-    stages = store.read("stages", base)
-    started = store.aside(_new_stages(stages, chosen, STAGE, "Running"), f"{place}/started-{base}")
-    store.commit(base, stages=stages.unionByName(started))
+    started = store.aside(_new_stages(store.read("stages", base), chosen, STAGE, "Running"), f"{place}/started-{base}")
+    store.change(base, [NUMBERS], stages=started)
     return started.select("id", "document_id")
 
 
-def _failed(documents: DataFrame, chosen: DataFrame) -> DataFrame:
-    marks = chosen.select(F.col("document_id").alias("id"), F.lit(True).alias("_failed"))
-    return documents.join(marks, "id", "left").withColumn("processing_status", F.when(F.col("_failed"), "Failed").otherwise(F.col("processing_status"))).drop("_failed")
+def _failed(store: SnapshotStore, chosen: DataFrame, base: int) -> DataFrame:
+    """The rows of the documents, failed."""
+    return store.read("documents", base).join(chosen.select(F.col("document_id").alias("id")), "id", "left_semi").withColumn("processing_status", F.lit("Failed"))
 
 
 def _not_started(store: SnapshotStore, chosen: DataFrame, base: int, message: str) -> None:
     """Adds a failed stage for each document of a run that could not start."""
-    stages = store.read("stages", base)
-    store.commit(base, stages=stages.unionByName(_new_stages(stages, chosen, ERROR_STAGE, "Failed", message)), documents=_failed(store.read("documents", base), chosen))
+    failed = _failed(store, chosen, base)
+    store.change(base, {NUMBERS} | document_scopes(store, failed), stages=_new_stages(store.read("stages", base), chosen, ERROR_STAGE, "Failed", message), documents=failed)
 
 
 def _finish(stages: DataFrame, ends: DataFrame) -> DataFrame:
-    """Stages with the status and message of ``ends`` (id, new_status, new_message)."""
-    joined = stages.join(ends, "id", "left")
-    ended = F.col("new_status").isNotNull()
-    return joined.withColumns({"status": F.coalesce("new_status", "status"), "message": F.when(ended, F.col("new_message")).otherwise(F.col("message")), "finished_at": F.when(ended, F.current_timestamp()).otherwise(F.col("finished_at"))}).drop("new_status", "new_message")
+    """The stages of ``ends`` (id, new_status, new_message) with their status and message."""
+    return stages.join(ends, "id").withColumns({"status": F.col("new_status"), "message": F.col("new_message"), "finished_at": F.current_timestamp()}).drop("new_status", "new_message")
 
 
 def _fail(store: SnapshotStore, started: DataFrame, base: int, message: str) -> None:
     """Ends the stages and documents of a run that failed as a whole."""
-    ends = started.select("id", F.lit("Failed").alias("new_status"), F.lit(message).alias("new_message"))
-    store.commit(base, stages=_finish(store.read("stages", base), ends), documents=_failed(store.read("documents", base), started))
+    ends, failed = started.select("id", F.lit("Failed").alias("new_status"), F.lit(message).alias("new_message")), _failed(store, started, base)
+    store.change(base, document_scopes(store, failed), stages=_finish(store.read("stages", base), ends), documents=failed)
 
 
 def _read_documents(store: SnapshotStore, chosen: DataFrame, glyphs: DataFrame, scans: DataFrame | None, recognised: DataFrame | None, locations: DataFrame, place: str) -> tuple[DataFrame, DataFrame]:
@@ -392,9 +381,11 @@ def _decide(summary: DataFrame, documents: DataFrame) -> DataFrame:
 def _commit(store: SnapshotStore, summary: DataFrame, accepted: DataFrame, started: DataFrame, base: int, place: str) -> None:
     """Reconciles the winners with the rows stored in a version and commits all tables."""
     now = F.current_timestamp()
-    documents, stages, locations, contacts = (store.read(t, base) for t in ("documents", "stages", "locations", "contacts"))
+    documents, stages = (store.read(t, base) for t in ("documents", "stages"))
     summary = store.aside(_decide(summary, documents), f"{place}/decided-{base}")
     winners = summary.filter("wins").select("document_id", "brand_key")
+    brands = store.touched(winners, "brand_key")
+    locations, contacts = (store.read(t, base, brands) for t in ("locations", "contacts"))
     incoming = accepted.filter("not duplicate").drop("brand").join(winners, "document_id")
     nested = contacts.groupBy("location_id").agg(F.collect_list(F.struct(*CONTACT_FIELDS)).alias("contacts"))
     stored = locations.withColumn("brand_key", F.lower("franchisor")).join(winners.select("brand_key").distinct(), "brand_key", "left_semi").join(nested, locations["id"] == nested["location_id"], "left").drop("location_id")
@@ -403,12 +394,14 @@ def _commit(store: SnapshotStore, summary: DataFrame, accepted: DataFrame, start
     # ids follow from content, so that a task that runs again mints the same ones
     parts = [F.coalesce(c, F.lit("\x1e")) for c in ("brand_key", *LOCATION_TEXT, F.col("source_page").cast("string"))]
     minted = result.withColumn("new_id", F.coalesce("existing_id", F.sha2(F.concat_ws("\x1f", *parts), 256)))
-    kept = minted.filter("action <> 'deleted'")
-    untouched = locations.join(minted.select(F.col("existing_id").alias("id")).filter("id is not null"), "id", "left_anti")
-    old = locations.select(F.col("id").alias("new_id"), "created_at", F.col("updated_at").alias("_before"))
-    rows = kept.join(old, "new_id", "left").select(F.col("new_id").alias("id"), *LOCATION_TEXT, "source_page", "confidence", F.coalesce("created_at", now).alias("created_at"), F.when(F.col("changed"), now).otherwise(F.coalesce("_before", now)).alias("updated_at"))
-    people = kept.select(F.col("new_id").alias("location_id"), F.posexplode("contacts").alias("k", "c")).select(F.concat_ws("/", "location_id", "k").alias("id"), "location_id", "c.*")
-    old_people = contacts.join(minted.select(F.col("existing_id").alias("location_id")).filter("location_id is not null"), "location_id", "left_anti")
+    kept, gone = minted.filter("action <> 'deleted'"), minted.filter("action = 'deleted'").select("existing_id")
+    old = locations.select(F.col("id").alias("new_id"), "created_at")
+    rows = kept.filter("changed").join(old, "new_id", "left").select(F.col("new_id").alias("id"), *LOCATION_TEXT, "source_page", "confidence", F.coalesce("created_at", now).alias("created_at"), now.alias("updated_at"))
+    deleted = lambda df: df.withColumn("_deleted", F.lit(True))
+    rows = rows.withColumn("_deleted", F.lit(False)).unionByName(deleted(locations.join(gone, locations["id"] == gone["existing_id"], "left_semi")))
+    new = kept.filter("contacts_changed").select(F.col("new_id").alias("location_id"), F.posexplode("contacts").alias("k", "c"), "franchisor").select(F.concat_ws("/", "location_id", "k").alias("id"), "location_id", "c.*", "franchisor", F.lit(False).alias("_deleted"))
+    left = minted.filter("action = 'deleted' OR contacts_changed").select(F.col("existing_id").alias("location_id"), F.coalesce("franchisor", "brand_key").alias("franchisor")).filter("location_id IS NOT NULL")
+    people = new.unionByName(deleted(contacts.join(left, "location_id").join(new.select("id"), "id", "left_anti")))
 
     counted = brand_counts(result)
     late = ((c, text) for c, text in (("ambiguous", " possible duplicate matches require review"), ("collapsed", " existing duplicate records were safely consolidated"), ("removed", " stale rows from the replaced extraction were removed")))
@@ -424,10 +417,12 @@ def _commit(store: SnapshotStore, summary: DataFrame, accepted: DataFrame, start
     )
     exhibits = F.array_join(F.array_distinct(F.array_compact(F.col("ranges.exhibit"))), ", ")
     won = lambda new, c: F.when(F.col("wins"), new).otherwise(F.col(c))
-    changed = joined.withColumns({
+    status_before = F.col("_before")
+    changed = joined.withColumn("_before", F.col("processing_status")).withColumns({
         "processing_status": status, "franchise_name": won(F.col("brand"), "franchise_name"), "page_count": won(F.col("new_pages"), "page_count"), "extraction_manifest": won(F.col("new_manifest"), "extraction_manifest"),
         "source_exhibit": won(F.nullif(exhibits, F.lit("")), "source_exhibit"), "last_processed_at": won(now, "last_processed_at"),
     })
+    changed = changed.filter((F.col("processing_status") != status_before) | F.col("outcome").isNotNull())
     text = lambda *parts: F.concat(*(F.lit(x) if i % 2 else x.cast("string") for i, x in enumerate(parts)))
     n = lambda c: F.col(f"counted.{c}")
     report = text(
@@ -439,4 +434,6 @@ def _commit(store: SnapshotStore, summary: DataFrame, accepted: DataFrame, start
         F.when(F.col("outcome") == "Failed", F.col("message")).when(F.col("stale"), "A newer replacement of this document is already processing").when(F.col("wins"), report)
         .otherwise(text(F.lit("A newer verified FDD ("), "", F.col("newer"), ") already supplies this franchisor's evidence")).alias("new_message"),
     )
-    store.commit(base, documents=changed, stages=_finish(stages, ends), locations=untouched.select(*rows.columns).unionByName(rows), contacts=old_people.select(*people.columns).unionByName(people))
+    changed = store.aside(changed, f"{place}/changed-{base}")
+    scopes = document_scopes(store, changed) | {f"brand/{b}" for b in store.touched(summary, "brand_key")}
+    store.change(base, scopes, documents=changed, stages=_finish(stages, ends), locations=rows, contacts=people)

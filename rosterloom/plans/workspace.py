@@ -13,7 +13,7 @@ from ..operators import directory
 from ..schema import CONTACT_FIELDS, DOCUMENTS
 from ..sources.documents import disposition
 from ..sources.store import SnapshotStore
-from .process import VISIBLE
+from .process import NUMBERS, VISIBLE, document_scopes
 
 #: What a search may ask for, and fields that a patch may change.
 LOCATION_STATUS = ("Current", "Former", "Planning")
@@ -111,60 +111,75 @@ class Workspace:
             raise ValueError("nothing to change")
         if known.get("status", "Current") not in LOCATION_STATUS or known.get("review_status", "Approved") not in REVIEW_STATUS:
             raise ValueError("unknown status")
-        base = self.store.version()
-        rows = self.store.read("locations", base)
-        if not rows.filter(F.col("id") == location_id).limit(1).count():
-            raise KeyError(location_id)
         row = [(location_id, list(known), *(known.get(c) for c in PATCHABLE))]
         patches = self.store.spark.createDataFrame(row, "id string, present array<string>, " + ", ".join(f"{c} string" for c in PATCHABLE))
-        patched = directory.patch_rows(rows, patches, "id", list(PATCHABLE))
-        self.store.commit(base, locations=patched.withColumn("updated_at", F.when(F.col("id") == location_id, F.current_timestamp()).otherwise(F.col("updated_at"))))
+
+        def change(base: int) -> None:
+            rows = self.store.read("locations", base).filter(F.col("id") == location_id)
+            if not (brands := self.store.touched(rows, "franchisor")):
+                raise KeyError(location_id)
+            patched = directory.patch_rows(rows, patches, "id", list(PATCHABLE))
+            self.store.change(base, [f"brand/{b}" for b in brands], locations=patched.withColumn("updated_at", F.current_timestamp()))
+
+        self.store.attempt(change)
         return self.location(location_id)
 
     def register(self, uploads: DataFrame) -> None:
         """Uploads (filename, object_path): known file names are replaced, new ones inserted; each gets a stage."""
-        base, now = self.store.version(), F.current_timestamp()
-        stored = self.store.read("documents", base)
+        self.store.attempt(lambda base: self._register(uploads, base))
+
+    def _register(self, uploads: DataFrame, base: int) -> None:
+        now = F.current_timestamp()
         newest = uploads.groupBy("filename").agg(F.max("object_path").alias("new_path"))
-        joined = stored.join(newest, "filename", "full")
-        arrived = F.col("new_path").isNotNull()
+        joined = newest.join(self.store.read("documents", base), "filename", "left")
         fresh = F.col("id").isNull()
         keyed = joined.withColumns({
             "franchise_name": F.when(fresh, fields.upload_name(F.col("filename"))).otherwise(F.col("franchise_name")), "fdd_year": F.when(fresh, fields.upload_year(F.col("filename"))).otherwise(F.col("fdd_year")),
-            "object_path": F.coalesce("new_path", "object_path"), "upload_date": F.when(arrived, now).otherwise(F.col("upload_date")), "processing_status": F.when(arrived, "Processing").otherwise(F.col("processing_status")),
+            "object_path": F.coalesce("new_path", "object_path"), "upload_date": now, "processing_status": F.lit("Processing"),
             "page_count": F.coalesce("page_count", F.lit(0)), "published_counts": F.coalesce("published_counts", F.create_map().cast("map<string,bigint>")), "created_at": F.coalesce("created_at", now),
             "id": F.coalesce("id", F.sha2("filename", 256)),
         })
-        stages = self.store.read("stages", base)
-        first = stages.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        numbered = directory.number_rows(keyed.filter(arrived).select(F.col("id").alias("document_id")), "document_id", first)
+        keyed = self.store.aside(keyed.select(*(x.strip().split(" ")[0] for x in _columns(DOCUMENTS))), f"uploads-{uuid.uuid4().hex}")
+        first = self.store.read("stages", base).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        numbered = directory.number_rows(keyed.select(F.col("id").alias("document_id")), "document_id", first)
         new = numbered.select("id", "document_id", F.lit("Upload").alias("stage"), F.lit("Complete").alias("status"), F.lit(None).cast("string").alias("message"), now.alias("started_at"), now.alias("finished_at"))
-        self.store.commit(base, documents=keyed.select(*(x.strip().split(" ")[0] for x in _columns(DOCUMENTS))), stages=stages.unionByName(new))
+        self.store.change(base, {NUMBERS} | document_scopes(self.store, keyed), documents=keyed, stages=new)
 
     def rerun(self, ids: DataFrame) -> DataFrame:
         """For each requested id: 404 unknown, 409 without a source or being processed, else 202 and set to Processing."""
-        base = self.store.version()
+        return self.store.attempt(lambda base: self._rerun(ids, base))
+
+    def _rerun(self, ids: DataFrame, base: int) -> DataFrame:
         docs = self.store.read("documents", base)
         found = ids.select("id").distinct().join(docs.select("id", "object_path", "processing_status"), "id", "left")
         code = F.when(F.col("processing_status").isNull(), 404).when(F.coalesce(F.col("object_path"), F.lit("")) == "", 409).when(F.col("processing_status") == "Processing", 409).otherwise(202)
         answers = self.store.aside(found.select("id", code.alias("code")), f"answers-{uuid.uuid4().hex}")
-        started = answers.filter("code = 202").select("id", F.lit(True).alias("_start"))
-        changed = docs.join(started, "id", "left").withColumn("processing_status", F.when(F.col("_start"), "Processing").otherwise(F.col("processing_status")))
-        self.store.commit(base, documents=changed.drop("_start"))
+        changed = docs.join(answers.filter("code = 202").select("id"), "id", "left_semi").withColumn("processing_status", F.lit("Processing"))
+        self.store.change(base, document_scopes(self.store, changed), documents=changed)
         return answers
 
     def finish_stage(self, stage_id: int, status: str, message: str | None = None) -> None:
-        base = self.store.version()
-        stages = self.store.read("stages", base)
-        mine = F.col("id") == stage_id
-        self.store.commit(base, stages=stages.withColumns({"status": F.when(mine, status).otherwise(F.col("status")), "message": F.when(mine, F.lit(message)).otherwise(F.col("message")), "finished_at": F.when(mine, F.current_timestamp()).otherwise(F.col("finished_at"))}))
+        def change(base: int) -> None:
+            mine = self.store.read("stages", base).filter(F.col("id") == stage_id)
+            ended = mine.withColumns({"status": F.lit(status), "message": F.lit(message).cast("string"), "finished_at": F.current_timestamp()})
+            self.store.change(base, [f"document/{b}" for b in self.store.touched(mine, "document_id")], stages=ended)
+
+        self.store.attempt(change)
 
     def backfill_franchisors(self) -> None:
-        """Missing franchisors taken from the documents' names."""
-        base = self.store.version()
-        names = self.store.read("documents", base).select(F.col("id").alias("document_id"), F.col("franchise_name").alias("_name"))
-        rows = directory.backfill(self.store.read("locations", base).join(names, "document_id", "left"), "franchisor", "_name", "franchisor")
-        self.store.commit(base, locations=rows.drop("_name"))
+        """Missing franchisors taken from the documents' names; rows and their contacts move to the bucket of the name."""
+
+        def change(base: int) -> None:
+            names = self.store.read("documents", base).select(F.col("id").alias("document_id"), F.col("franchise_name").alias("_name"))
+            missing = self.store.read("locations", base).filter(F.coalesce("franchisor", F.lit("")) == "")
+            filled = directory.backfill(missing.join(names, "document_id", "left"), "franchisor", "_name", "franchisor").filter("franchisor <> ''").drop("_name")
+            filled = self.store.aside(filled, f"filled-{uuid.uuid4().hex}")
+            people = self.store.read("contacts", base).join(filled.select(F.col("id").alias("location_id"), "franchisor"), "location_id")
+            moved = lambda df, old: df.withColumn("_deleted", F.lit(False)).unionByName(df.withColumns({"franchisor": F.lit(old), "_deleted": F.lit(True)}))
+            brands = {f"brand/{b}" for b in (*self.store.touched(filled, "franchisor"), *self.store.touched(missing, "franchisor"))}
+            self.store.change(base, brands, locations=moved(filled, ""), contacts=moved(people, ""))
+
+        self.store.attempt(change)
 
     def download_headers(self) -> DataFrame:
         return self.store.read("documents").select("id", disposition(F.col("filename")).alias("content_disposition"))

@@ -19,12 +19,6 @@ def workspace_counts(parents: DataFrame, children: DataFrame, parent_key: Column
     return joined.agg(F.count_distinct(parent_key).alias("documents"), *(F.count(F.when(visible & test, child_key)).alias(name) for name, test in counts.items()))
 
 
-def matches_any(term: str, columns: list[str]) -> Column:
-    """Whether any column holds a term, letters of either case alike; ``%`` and ``_`` in it are wildcards."""
-    tests = [F.coalesce(F.col(c).ilike(f"%{term}%"), F.lit(False)) for c in columns]
-    return reduce(lambda a, b: a | b, tests)
-
-
 def contains_any(term: str, columns: list[str]) -> Column:
     """The same for a literal term."""
     return reduce(lambda a, b: a | b, [F.coalesce(F.lower(c).contains(term.lower()), F.lit(False)) for c in columns])

@@ -41,4 +41,6 @@ def map_groups(df: DataFrame, keys: list[str], order: list[str], function: Calla
                 out = []
         yield pa.RecordBatch.from_pylist(out, batch_schema)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    # a number of its own: adaptive execution would merge partitions by bytes, and the work is not in the bytes
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

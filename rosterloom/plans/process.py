@@ -18,7 +18,7 @@ from pyspark.sql.window import Window as W
 from ..functions import fields
 from ..functions import patterns as P
 from ..functions.text import rx
-from ..operators import brand, directory, grammars, layout, sections
+from ..operators import brand, directory, grammars, grams, layout, sections
 from ..operators.grouped import map_groups
 from ..operators.people import contacts_of
 from ..operators.reconcile import brand_counts, reconcile_brands
@@ -26,7 +26,7 @@ from ..schema import CONTACT, CONTACT_FIELDS, LOCATION_TEXT
 from ..session import Aside
 from ..sources import ocr_tsv
 from ..sources.documents import has_enough_text, message_of
-from ..sources.store import SnapshotStore
+from ..sources.store import ALL, SnapshotStore
 
 #: The least recognition confidence to replace stored rows, and the one below which a warning is added.
 REPLACING_CONFIDENCE = 0.60
@@ -364,13 +364,24 @@ def _read_documents(store: SnapshotStore, chosen: DataFrame, glyphs: DataFrame,
     return store.aside(summary.withColumn("brand_key", F.lower(F.coalesce("brand", F.lit("")))), f"{place}/summary"), accepted
 
 
-def _decide(summary: DataFrame, documents: DataFrame) -> DataFrame:
+def brand_names(keys: DataFrame, names: DataFrame) -> DataFrame:
+    """(brand_key, name): the stored names (lower case) that each brand stands for.
+
+    A brand is a pattern: ``%`` and ``_`` in it are wildcards, letters of either case alike.  A name
+    that several brands stand for goes to the one that equals it, or else to the least.
+    """
+    pairs = grams.ilike_join(names.select(F.lower("name").alias("value")), keys.select(F.col("brand_key").alias("pattern")))
+    first = F.min_by("pattern", F.struct(F.col("pattern") != F.col("value"), "pattern"))
+    return pairs.groupBy("value").agg(first.alias("brand_key")).select("brand_key", F.col("value").alias("name"))
+
+
+def _decide(summary: DataFrame, documents: DataFrame, known: DataFrame) -> DataFrame:
     """Summaries with stale, wins, upload_date and the file name of a newer document of the brand."""
     current = documents.select(F.col("id").alias("document_id"), "upload_date", F.col("object_path").alias("_path"))
     out = summary.join(current, "document_id").withColumn("stale", F.col("_path").isNotNull() & ~F.col("_path").eqNullSafe(F.col("object_path"))).drop("_path")
     names = documents.select(F.col("id").alias("document_id"), "filename")
     verified = documents.filter(F.col("processing_status").isin(*VERIFIED) & F.col("last_processed_at").isNotNull())
-    stored = verified.groupBy(F.lower("franchise_name").alias("brand_key")).agg(F.max_by(F.struct("upload_date", "filename"), F.struct("upload_date", "id")).alias("stored"))
+    stored = verified.withColumn("name", F.lower("franchise_name")).join(known, "name").groupBy("brand_key").agg(F.max_by(F.struct("upload_date", "filename"), F.struct("upload_date", "id")).alias("stored"))
     passed = W.partitionBy("brand_key").orderBy(F.desc_nulls_last("upload_date"), F.desc("document_id"))
     ranked = out.filter("outcome <> 'Failed' AND NOT stale").join(names, "document_id").withColumns({"rank": F.row_number().over(passed), "first": F.first("filename").over(passed)}).join(stored, "brand_key", "left")
     behind = F.coalesce(F.col("stored.upload_date") > F.col("upload_date"), F.lit(False))
@@ -382,13 +393,20 @@ def _commit(store: SnapshotStore, summary: DataFrame, accepted: DataFrame, start
     """Reconciles the winners with the rows stored in a version and commits all tables."""
     now = F.current_timestamp()
     documents, stages = (store.read(t, base) for t in ("documents", "stages"))
-    summary = store.aside(_decide(summary, documents), f"{place}/decided-{base}")
+    # a pattern can stand for names that come at any time, so that its change meets all others
+    wild = not summary.filter(F.col("brand_key").rlike(grams.WILD)).isEmpty()
+    known = summary.select("brand_key", F.col("brand_key").alias("name")).distinct()
+    if wild:
+        names = known.select("name").union(documents.select("franchise_name")).union(store.read("locations", base).select("franchisor"))
+        known = store.aside(brand_names(known, names), f"{place}/names-{base}")
+    summary = store.aside(_decide(summary, documents, known), f"{place}/decided-{base}")
     winners = summary.filter("wins").select("document_id", "brand_key")
-    brands = store.touched(winners, "brand_key")
+    known = known.join(winners.select("brand_key"), "brand_key", "left_semi")
+    brands = store.touched(known, "name")
     locations, contacts = (store.read(t, base, brands) for t in ("locations", "contacts"))
     incoming = accepted.filter("not duplicate").drop("brand").join(winners, "document_id")
     nested = contacts.groupBy("location_id").agg(F.collect_list(F.struct(*CONTACT_FIELDS)).alias("contacts"))
-    stored = locations.withColumn("brand_key", F.lower("franchisor")).join(winners.select("brand_key").distinct(), "brand_key", "left_semi").join(nested, locations["id"] == nested["location_id"], "left").drop("location_id")
+    stored = locations.withColumn("name", F.lower("franchisor")).join(known, "name").drop("name").join(nested, locations["id"] == nested["location_id"], "left").drop("location_id")
     result = store.aside(reconcile_brands(incoming, stored, Aside(store.spark, f"{store.root}/{place}")), f"{place}/result-{base}")
 
     # ids follow from content, so that a task that runs again mints the same ones
@@ -409,8 +427,8 @@ def _commit(store: SnapshotStore, summary: DataFrame, accepted: DataFrame, start
     summary = summary.join(counted.join(winners, "brand_key").drop("brand_key"), "document_id", "left").withColumn("warnings", F.concat("warnings", notes))
 
     done = summary.select(F.col("document_id").alias("id"), "outcome", "stale", "wins", "brand", manifest().alias("new_manifest"), F.col("n_pages").cast("int").alias("new_pages"), "ranges")
-    superseded = summary.filter("wins").select("brand_key", F.col("document_id").alias("winner"), F.col("upload_date").alias("winner_date"))
-    joined = documents.join(done, "id", "left").join(superseded, F.lower(F.coalesce("brand", "franchise_name")) == superseded["brand_key"], "left")
+    superseded = summary.filter("wins").join(known, "brand_key").select("name", F.col("document_id").alias("winner"), F.col("upload_date").alias("winner_date"))
+    joined = documents.join(done, "id", "left").join(superseded, F.lower(F.coalesce("brand", "franchise_name")) == superseded["name"], "left")
     status = (
         F.when(F.col("wins"), F.col("outcome")).when(F.col("outcome") == "Failed", "Failed").when(F.col("stale"), F.col("processing_status")).when(F.col("outcome").isNotNull(), "Superseded")
         .when(F.col("winner").isNotNull() & (F.col("winner_date") >= F.col("upload_date")), "Superseded").otherwise(F.col("processing_status"))
@@ -435,5 +453,5 @@ def _commit(store: SnapshotStore, summary: DataFrame, accepted: DataFrame, start
         .otherwise(text(F.lit("A newer verified FDD ("), "", F.col("newer"), ") already supplies this franchisor's evidence")).alias("new_message"),
     )
     changed = store.aside(changed, f"{place}/changed-{base}")
-    scopes = document_scopes(store, changed) | {f"brand/{b}" for b in store.touched(summary, "brand_key")}
+    scopes = {ALL} if wild else document_scopes(store, changed) | {f"brand/{b}" for b in store.touched(summary, "brand_key")}
     store.change(base, scopes, documents=changed, stages=_finish(stages, ends), locations=rows, contacts=people)

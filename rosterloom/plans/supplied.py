@@ -7,13 +7,15 @@ count is a long, and every limited sort is total.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import fields, text
 from ..functions import patterns as P
-from ..operators import directory, layout, matching
-from ..session import table
+from ..operators import directory, grams, layout, matching
+from ..session import Aside, table
 from ..sources.documents import characters
 from .catalog import catalog
 
@@ -57,10 +59,43 @@ def status_counts_by_parent(spark, d):
 """)
 def search_ilike_any(spark, d):
     """Free text over several columns, one page of a total order."""
-    found = table(spark, d, "part").filter(directory.matches_any("re", ["p_name", "p_brand", "p_type"]))
+    found = table(spark, d, "part").filter(grams.matches_any("re", ["p_name", "p_brand", "p_type"]))
     return directory.page(found, ["p_brand", "p_type", "p_name"], "p_partkey", 100, 20).select("p_partkey", "p_name", "p_brand", "p_type")
 
 
+_SOUGHT = ("red w", "ZE", "g%t", "l_e", "#2", "%", "_", "nothing like it")
+
+
+@query(f"""
+    SELECT q.term, p_partkey, p_name, p_brand FROM part JOIN (VALUES {", ".join(f"('{x}')" for x in _SOUGHT)}) q(term) ON p_name ILIKE '%' || q.term || '%' OR p_brand ILIKE '%' || q.term || '%'
+""")
+def search_postings(spark, d):
+    """Free text by postings of three letters: terms of one letter to many, with wildcards, of wildcards only, and without a match."""
+    part = table(spark, d, "part").select("p_partkey", "p_name", "p_brand")
+    posted = Aside(spark).save(grams.postings(part, "p_partkey", ["p_name", "p_brand"]).sort("gram"), "postings")
+
+    def found(term):
+        keys = grams.candidates(posted, "p_partkey", term)
+        rows = part if keys is None else part.join(keys, "p_partkey", "left_semi")
+        return rows.filter(grams.matches_any(term, ["p_name", "p_brand"])).select(F.lit(term).alias("term"), *part.columns)
+
+    return reduce(lambda a, b: a.unionByName(b), map(found, _SOUGHT))
+
+
+_PATTERNS = """CASE p_partkey % 8 WHEN 0 THEN upper(p_name) || ' ' || p_partkey WHEN 1 THEN '_' || substr(p_name, 2) || ' ' || p_partkey WHEN 2 THEN substr(p_name, 1, 2) || '%' || p_partkey WHEN 3 THEN '% ' || p_partkey
+               WHEN 4 THEN p_name || ' ' || p_partkey || '_' WHEN 5 THEN '%g_%' || p_partkey || '%' WHEN 6 THEN p_name || ' ' || p_partkey || '%' ELSE '%Z% ' || p_partkey END"""
+
+
+@query(f"SELECT k.p_partkey AS key_of, k.pattern, n.p_partkey AS name_of, n.name FROM (SELECT p_partkey, {_PATTERNS} AS pattern FROM part) k JOIN (SELECT p_partkey, p_name || ' ' || p_partkey AS name FROM part) n ON n.name ILIKE k.pattern")
+def wildcard_keys(spark, d):
+    """Names found by keys that hold ``%`` and ``_``, through postings of their rarest letters."""
+    part = table(spark, d, "part").select("p_partkey", "p_name")
+    keys = part.select(F.col("p_partkey").alias("key_of"), F.expr(_PATTERNS).alias("pattern"))
+    names = part.select(F.col("p_partkey").alias("name_of"), F.expr("p_name || ' ' || p_partkey").alias("name"))
+    pairs = grams.ilike_join(names.select(F.col("name").alias("value")), keys).withColumnRenamed("value", "name")
+    return keys.join(pairs, "pattern").join(names, "name").select("key_of", "pattern", "name_of", "name")
+
+
 @query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def search_visible_only(spark, d):
     li, o = table(spark, d, "lineitem"), table(spark, d, "orders").filter("o_orderstatus = 'F'")

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fields
-from ..operators import directory
-from ..schema import CONTACT_FIELDS, DOCUMENTS
+from ..operators import directory, grams
+from ..schema import CONTACT_FIELDS, DOCUMENTS, SEARCHED
 from ..sources.documents import disposition
 from ..sources.store import SnapshotStore
 from .process import NUMBERS, VISIBLE, document_scopes
@@ -18,7 +18,6 @@ from .process import NUMBERS, VISIBLE, document_scopes
 #: What a search may ask for, and fields that a patch may change.
 LOCATION_STATUS = ("Current", "Former", "Planning")
 REVIEW_STATUS = ("Needs review", "Auto-verified", "Approved", "Rejected")
-SEARCHED = ("franchisor", "franchisee_entity", "city", "state", "address", "location_code")
 PATCHABLE = ("status", "franchisee_entity", "address", "city", "state", "zip", "phone", "email", "review_status", "exit_reason")
 
 
@@ -78,10 +77,20 @@ class Workspace:
         return self.store.read("documents").filter(directory.contains_any(term, ["franchise_name", "filename"]))
 
     def search(self, search: Search) -> DataFrame:
-        """One page of locations; a pinned document is shown whatever its status."""
-        rows = self.store.read("locations")
+        """One page of locations; a pinned document is shown whatever its status.
+
+        A term's postings say which ids can match and in which buckets they are; only those
+        buckets are read, and what is found is tested.
+        """
+        version = self.store.version()
+        if search.q and (found := self.store.postings(search.q, version)) is not None:
+            found = self.store.aside(found.select("at.*"), f"found-{uuid.uuid4().hex}")
+            buckets = [r[0] for r in found.select("held_in").distinct().collect()]
+            rows = self.store.read("locations", version, buckets).join(found.select("id"), "id", "left_semi")
+        else:
+            rows = self.store.read("locations", version)
         if search.q:
-            rows = rows.filter(directory.matches_any(search.q, list(SEARCHED)))
+            rows = rows.filter(grams.matches_any(search.q, list(SEARCHED)))
         equals = {k: getattr(search, k) for k in ("status", "franchisor", "state", "document_id", "review_status")}
         rows = directory.restrict(rows, equals, None if search.document_id else self._visible())
         found = directory.page(rows, ["franchise_name", "state", "city"], "id", search.limit, search.offset)

@@ -12,7 +12,8 @@ from typing import TypeVar
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import EMPTY_TABLES
+from ..operators import grams
+from ..schema import EMPTY_TABLES, SEARCHED
 
 T = TypeVar("T")
 
@@ -29,7 +30,7 @@ COMPACT_AT = 8
 ALL = "*"
 
 #: The column whose hash is a row's bucket; contacts go by the franchisor of their location.
-_PLACE = {"documents": "id", "stages": "document_id", "locations": "franchisor", "contacts": "franchisor"}
+_PLACE = {"documents": "id", "stages": "document_id", "locations": "franchisor", "contacts": "franchisor", "postings": "gram"}
 
 
 class ConcurrentChange(RuntimeError):
@@ -42,7 +43,8 @@ class SnapshotStore:
     A change writes only the rows that it adds, replaces or deletes, each into its bucket, and
     then adds one numbered manifest, which lists for each table and bucket the folders of its
     changes in order.  Readers take the last row of each id in buckets with several folders;
-    ``compact`` makes one of them again.
+    ``compact`` makes one of them again.  A change of locations also adds their postings of
+    three letters (``postings``, see ``grams``), by which searches find their buckets and ids.
 
     A change names what it was made from and what it touches as *scopes*, such as a brand's
     bucket.  If other changes came first, it is added after them as it is, provided that none
@@ -104,6 +106,18 @@ class SnapshotStore:
             entries = {b: entries[b] for b in map(str, buckets) if b in entries}
         return self._rows(name, entries)
 
+    def postings(self, term: str, version: int) -> DataFrame | None:
+        """id and held_in (a bucket) of the locations that ``%term%`` can match; None if that can be all of them."""
+        entries = self.manifest(version)["tables"].get("postings", {})
+        needed, _ = grams.term_grams(term)
+        if needed:
+            asked = self.touched(self.spark.createDataFrame([(g,) for g in needed], "gram string"), "gram")
+            entries = {b: entries[b] for b in map(str, asked) if b in entries}
+        places = [place for x in entries.values() for place, *_ in x]
+        schema = EMPTY_TABLES["postings"]
+        posted = self.spark.read.schema(schema).parquet(*(f"{self.root}/{p}" for p in places)) if places else self.spark.createDataFrame([], schema)
+        return grams.candidates(posted.withColumn("at", F.struct("id", "held_in")), "at", term)
+
     def _rows(self, name: str, entries: dict[str, list[list[str]]]) -> DataFrame:
         schema = EMPTY_TABLES[name]
         whole = [x[0][0] for x in entries.values() if len(x) == 1 and x[0][1] == "rows"]
@@ -154,6 +168,9 @@ class SnapshotStore:
         base = self.version() if base is None else base
         change = f"change-{uuid.uuid4().hex}"
         written = {name: self._write(name, df, change) for name, df in tables.items()}
+        if "locations" in written:
+            rows = self._rows("locations", {b: [[place, kind, 0]] for b, (place, kind) in written["locations"].items()})
+            written["postings"] = self._write("postings", self._posted(rows), change)
 
         def added(manifest: dict, number: int) -> dict:
             for name, places in written.items():
@@ -165,13 +182,17 @@ class SnapshotStore:
 
         return self._publish(base, sorted(set(scopes)), change, added)
 
+    def _posted(self, locations: DataFrame) -> DataFrame:
+        keyed = locations.select(F.struct("id", self.bucket(F.col("franchisor")).alias("held_in")).alias("at"), *SEARCHED)
+        return grams.postings(keyed, "at", list(SEARCHED)).select("at.*", "gram")
+
     def _write(self, name: str, df: DataFrame, change: str) -> dict[str, tuple[str, str]]:
         """Writes rows into their buckets; a bucket's folder has rows only, or also deletions."""
         columns = [f.name for f in self._rows(name, {}).schema]
         deletes = "_deleted" in df.columns
         rows = df.withColumn("_bucket", self.bucket(F.col(_PLACE[name]))).select(*columns, *(["_deleted"] if deletes else []), "_bucket")
         path = f"{self.root}/{change}/{name}"
-        rows.hint("rebalance", F.col("_bucket")).sortWithinPartitions("_bucket", "id").write.partitionBy("_bucket").parquet(path)
+        rows.hint("rebalance", F.col("_bucket")).sortWithinPartitions("_bucket", "gram" if name == "postings" else "id").write.partitionBy("_bucket").parquet(path)
         kind = "changes" if deletes else "rows"
         folders = (f.getPath().getName() for f in self._files.listStatus(self._path(path)))
         return {x.removeprefix("_bucket="): (f"{change}/{name}/{x}", kind) for x in folders if x.startswith("_bucket=")}
@@ -238,6 +259,11 @@ class SnapshotStore:
         change, written = f"change-{uuid.uuid4().hex}", {}
         for name, held in tables.items():
             rows = self._rows(name, held)
+            if name == "postings":  # each once, and none of locations that are gone
+                places = [f"{self.root}/{place}" for x in held.values() for place, *_ in x]
+                posted = self.spark.read.schema(EMPTY_TABLES[name]).parquet(*places).distinct()
+                now = self.read("locations", base)
+                rows = posted.join(now.select("id", self.bucket(F.col("franchisor")).alias("held_in")), ["id", "held_in"], "left_semi")
             if name == "contacts":
                 brands = self.read("locations", base, map(int, held)).select(F.col("id").alias("location_id"), "franchisor")
                 rows = rows.join(brands, "location_id", "left")

@@ -26,6 +26,7 @@ from ..schema import CONTACT, CONTACT_FIELDS, LOCATION_TEXT
 from ..session import Aside
 from ..sources import ocr_tsv
 from ..sources.documents import has_enough_text, message_of
+from ..sources.recognition import BUDGET, EMPTY
 from ..sources.store import ALL, SnapshotStore
 
 #: The least recognition confidence to replace stored rows, and the one below which a warning is added.
@@ -40,9 +41,6 @@ STAGE = "Text and table extraction"
 ERROR_STAGE = "Processing error"
 #: Counts of a brand's reconciliation.
 RECONCILED = ("added", "matched", "updated", "unchanged", "ambiguous", "collapsed", "removed")
-#: What scans give as the problem of a page that was over the budget, or that had no text; other values are error messages.
-BUDGET = "budget"
-EMPTY = "empty"
 #: The scope of changes that number new stages.
 NUMBERS = "stage-numbers"
 
@@ -270,7 +268,7 @@ def assemble_pages(glyphs: DataFrame, scans: DataFrame | None, recognised: DataF
     return pages.select(*by_page, F.coalesce("text", F.lit("")).alias("text"), ocr.alias("ocr"), F.when(ocr, F.col("ocr_confidence")).alias("ocr_confidence"), "problem"), rows, lines
 
 
-def process_documents(store: SnapshotStore, glyphs: DataFrame, ids: list[str] | None = None, scans: DataFrame | None = None, recognised: DataFrame | None = None) -> None:
+def process_documents(store: SnapshotStore, glyphs: DataFrame, ids: list[str] | None = None, scans: DataFrame | None = None, recognised: DataFrame | None = None, chosen: DataFrame | None = None) -> None:
     """Processes registered documents and commits the result as one change.
 
     ``glyphs`` are the positioned words of their pages; a row without a page gives the error of a
@@ -281,17 +279,19 @@ def process_documents(store: SnapshotStore, glyphs: DataFrame, ids: list[str] |
     or whose extraction fails, keeps the stored rows and gets a failed stage; one whose object
     was replaced meanwhile is skipped.  Stages are running until then; if the run itself fails,
     so do they, and if it can't start, failed stages say so.  Intermediate tables are written below the store's root.
+    ``chosen`` (document_id, filename, object_path) stands for ``ids`` where files were read before.
     """
     base, place = store.version(), f"work-{uuid.uuid4().hex}"
-    documents = store.read("documents", base)
-    chosen = documents.filter(F.col("processing_status") == "Processing") if ids is None else documents.filter(F.col("id").isin(ids))
-    chosen = store.aside(chosen.select(F.col("id").alias("document_id"), "filename", "object_path"), f"{place}/chosen")
+    if chosen is None:
+        documents = store.read("documents", base)
+        documents = documents.filter(F.col("processing_status") == "Processing") if ids is None else documents.filter(F.col("id").isin(ids))
+        chosen = documents.select(F.col("id").alias("document_id"), "filename", "object_path")
+    chosen = store.aside(chosen, f"{place}/chosen")
     try:
         try:
             started = store.attempt(lambda version: _start(store, chosen, version, place))
         except Exception as error:
-            message = message_of(error).split("\n")[0]
-            store.attempt(lambda version: _not_started(store, chosen, version, message))
+            run_failed(store, chosen, message_of(error).split("\n")[0])
             raise
         try:
             summary, accepted = _read_documents(store, chosen, glyphs, scans, recognised, store.read("locations", base), place)
@@ -331,6 +331,11 @@ def _failed(store: SnapshotStore, chosen: DataFrame, base: int) -> DataFrame:
     return store.read("documents", base).join(chosen.select(F.col("document_id").alias("id")), "id", "left_semi").withColumn("processing_status", F.lit("Failed"))
 
 
+def run_failed(store: SnapshotStore, chosen: DataFrame, message: str) -> None:
+    """Says of documents that their run could not start."""
+    store.attempt(lambda version: _not_started(store, chosen, version, message))
+
+
 def _not_started(store: SnapshotStore, chosen: DataFrame, base: int, message: str) -> None:
     """Adds a failed stage for each document of a run that could not start."""
     failed = _failed(store, chosen, base)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..operators import brand, matching, reconcile, sections
 from ..session import Aside, shared_folder, table
+from ..sources import ocr_tsv, recognition
 from ..sources.store import SnapshotStore
 from . import process
 from .catalog import catalog
@@ -223,6 +224,19 @@ def _store(spark) -> SnapshotStore:
     return SnapshotStore(spark, f"{shared_folder(spark)}/directory-{uuid.uuid4().hex}")
 
 
+_PROSE = "transform(sequence(1, 9), i -> concat('This is line ', i, ' of the disclosure, long enough to count as text.'))"
+
+
+def _glyphs(pages):
+    """The words of pages (document_id, page, lines) at places in rows and columns; cells are parted by bars."""
+    lines = pages.select("document_id", "page", F.posexplode("lines").alias("i", "line"))
+    cells = lines.select("document_id", "page", "i", F.posexplode(F.split("line", " [|] ")).alias("j", "text"))
+    return cells.select(
+        "document_id", F.col("page").alias("pdf_page"), (F.col("i") * 16 + F.col("j")).cast("long").alias("ordinal"), "text", (36.0 + 125 * F.col("j")).alias("x"), (760.0 - 24 * F.col("i")).alias("y"),
+        F.least(7 * F.length("text"), F.lit(100)).cast("double").alias("width"), F.lit(612.0).alias("page_width"), F.lit(792.0).alias("page_height"),
+    )
+
+
 @query(f"""
     WITH s AS (SELECT s_suppkey, s_name AS brand, s_suppkey % 5 > 0 AS ok, 1 + s_suppkey % 3 AS n FROM supplier)
     SELECT s_suppkey, brand, CASE WHEN ok THEN 'Ready' ELSE 'Failed' END AS processing_status, CASE WHEN ok THEN n END AS accepted, CASE WHEN ok THEN 'F-1' END AS source_exhibit, CASE WHEN ok THEN 'Complete' ELSE 'Failed' END AS stage,
@@ -237,15 +251,9 @@ def process_commit(spark, d):
     Workspace(store).register(suppliers.select("filename", F.concat(F.lit("/objects/"), "filename").alias("object_path")))
     ids = store.read("documents").select("filename", F.col("id").alias("document_id"))
     rows = "transform(sequence(1, cast(1 + s_suppkey % 3 as int)), i -> concat('Kite ', i, ' LLC | ', i, ' Elm St | Reno | NV | 89501 775-555-010', i))"
-    prose = "transform(sequence(1, 9), i -> concat('This is line ', i, ' of the disclosure, long enough to count as text.'))"
-    text = f"if(page = 1, concat({prose}, array('1')), if(s_suppkey % 5 = 0, array('Nothing is listed', '2'), concat(array('EXHIBIT F-1', 'LIST OF CURRENT FRANCHISEES'), {rows}, array('2'))))"
-    lines = suppliers.join(ids, "filename").withColumn("page", F.explode(F.array(F.lit(1), F.lit(2)))).select("document_id", "page", F.posexplode(F.expr(text)).alias("i", "line"))
-    cells = lines.select("document_id", "page", "i", F.posexplode(F.split("line", " [|] ")).alias("j", "text"))
-    glyphs = cells.select(
-        "document_id", F.col("page").alias("pdf_page"), (F.col("i") * 16 + F.col("j")).cast("long").alias("ordinal"), "text", (36.0 + 125 * F.col("j")).alias("x"), (760.0 - 24 * F.col("i")).alias("y"),
-        F.least(7 * F.length("text"), F.lit(100)).cast("double").alias("width"), F.lit(612.0).alias("page_width"), F.lit(792.0).alias("page_height"),
-    )
-    process.process_documents(store, glyphs)
+    text = f"if(page = 1, concat({_PROSE}, array('1')), if(s_suppkey % 5 = 0, array('Nothing is listed', '2'), concat(array('EXHIBIT F-1', 'LIST OF CURRENT FRANCHISEES'), {rows}, array('2'))))"
+    lines = suppliers.join(ids, "filename").withColumn("page", F.explode(F.array(F.lit(1), F.lit(2)))).select("document_id", "page", F.expr(text).alias("lines"))
+    process.process_documents(store, _glyphs(lines))
     documents, stages, locations, contacts = (store.read(t) for t in ("documents", "stages", "locations", "contacts"))
     rows = locations.groupBy("document_id").agg(F.count(F.lit(1)).alias("locations"), F.array_join(F.array_sort(F.collect_set("printed_page")), ",").alias("pages"), F.array_join(F.array_sort(F.collect_set("review_status")), ",").alias("reviews"))
     people = contacts.join(locations.select(F.col("id").alias("location_id"), "document_id"), "location_id").groupBy("document_id").agg(F.count(F.lit(1)).alias("contacts"))
@@ -255,3 +263,84 @@ def process_commit(spark, d):
         whole = whole.join(part, "document_id", "left")
     none = F.lit(0).cast("long")
     return whole.select("s_suppkey", F.col("franchise_name").alias("brand"), "processing_status", F.col("extraction_manifest.acceptedRows").alias("accepted"), "source_exhibit", "stage", "message", F.coalesce("locations", none).alias("locations"), F.coalesce("contacts", none).alias("contacts"), "pages", "reviews")
+
+
+@query("""
+    WITH p AS (SELECT c_custkey AS k, page FROM customer, range(1, 7) r(page) WHERE page <= 1 + c_custkey % 6)
+    SELECT k, page, CASE WHEN page > 4 THEN 'budget' WHEN page = 1 + k % 5 AND k % 2 = 0 THEN 'page ' || page || ' of ' || k || ' is torn' WHEN page = 1 + k % 5 THEN 'empty' END AS problem,
+           CASE WHEN page <= 4 AND page <> 1 + k % 5 THEN round((k % 50 + 50) / 100.0, 6) END AS confidence, CASE WHEN page <= 4 AND page <> 1 + k % 5 THEN k || ' Elm St' END AS text FROM p
+""")
+def recognition_budget(spark, d):
+    """Pages recognised within a document's time: a deadline after four pages, pages that fail, and pages without words."""
+    rows = _rows(spark, d).select(F.col("k").cast("string").alias("document_id"), F.encode(F.col("k").cast("string"), "UTF-8").alias("content"), F.col("k"))
+    needed = rows.select("document_id", F.explode(F.expr("sequence(1, cast(1 + k % 6 as int))")).alias("pdf_page"))
+    ticks = [0]
+
+    def clock():
+        ticks[0] += 125
+        return ticks[0]
+
+    def recogniser(content, page):
+        k = int(content)
+        if page == 1 + k % 5:
+            if k % 2 == 0:
+                raise ValueError(f"page {page} of {k} is torn")
+            return "level\tpage"
+        word = lambda n, text: f"5\t1\t1\t1\t1\t{n}\t{36 * n}\t60\t30\t20\t{k % 50 + 50}\t{text}"
+        return "\n".join(["level\tpage", "1\t1\t0\t0\t0\t0\t0\t0\t1200\t1600\t-1\t", word(1, k), word(2, "Elm"), word(3, "St")])
+
+    lines = Aside(spark).save(recognition.recognise(rows, needed, recogniser, clock), "lines")
+    scans, words = recognition.scans_and_words(lines)
+    found = scans.join(ocr_tsv.page_text(words), ["document_id", "pdf_page"], "left")
+    return found.select(F.col("document_id").cast("long").alias("k"), F.col("pdf_page").cast("long").alias("page"), "problem", F.round("ocr_confidence", 6).alias("confidence"), "text")
+
+
+_KEPT = "; existing location data was preserved"
+_NORMALIZED = "' locations normalized from 1 verified source pages. '"
+
+
+@query(f"""
+    WITH s AS (SELECT s_suppkey AS k, s_name AS brand, s_suppkey % 8 AS c FROM supplier),
+         d AS (SELECT k, c, brand || '_2022.pdf' AS filename, c IN (2, 3, 4, 6) AS failed, CASE WHEN c = 4 THEN 20 ELSE 3 END AS locations FROM s
+               UNION ALL SELECT k, 8, brand || '_2021.pdf', false, 0 FROM s WHERE c = 5)
+    SELECT k AS s_suppkey, filename, CASE WHEN failed THEN 'Failed' WHEN c = 8 THEN 'Superseded' ELSE 'Ready' END AS processing_status, CASE WHEN failed THEN 'Failed' WHEN c = 8 THEN 'Skipped' ELSE 'Complete' END AS stage,
+           CASE c WHEN 0 THEN '3' || {_NORMALIZED} || '0 added, 0 updated, 3 unchanged. 0 duplicates removed. coverage checks passed'
+                  WHEN 1 THEN '3' || {_NORMALIZED} || '1 added, 0 updated, 2 unchanged. 0 duplicates removed. 1 stale rows from the replaced extraction were removed'
+                  WHEN 2 THEN 'OCR quality was too low on source page 2 to replace the previously stored location data{_KEPT}' WHEN 3 THEN 'OCR did not complete on source page 2{_KEPT}'
+                  WHEN 4 THEN 'Extraction produced 10 rows versus 20 previously stored rows{_KEPT}' WHEN 5 THEN '3' || {_NORMALIZED} || '3 added, 0 updated, 0 unchanged. 0 duplicates removed. coverage checks passed' WHEN 6 THEN 'no page tree'
+                  WHEN 7 THEN '3' || {_NORMALIZED} || '0 added, 0 updated, 3 unchanged. 0 duplicates removed. OCR used on 1 page; Average OCR confidence was 65%; extracted rows require review; OCR quality is low; verify extracted rows against the source document'
+                  ELSE 'A newer verified FDD (' || replace(filename, '_2021', '_2022') || ') already supplies this franchisor''s evidence' END AS message,
+           CAST(locations AS BIGINT) AS locations, CASE WHEN c = 8 THEN NULL WHEN c = 7 THEN 'Needs review' ELSE 'Auto-verified' END AS reviews,
+           CASE WHEN c = 8 THEN NULL WHEN c = 1 THEN '2,3,4' WHEN c = 4 THEN '1,10,11,12,13,14,15,16,17,18,19,2,20,3,4,5,6,7,8,9' ELSE '1,2,3' END AS streets FROM d
+""")
+def process_gates(spark, d):
+    """A second run over stored rows: unchanged and replaced rows, weak and incomplete recognition, too few rows, a newer document of the brand, an unreadable file, and warnings in order."""
+    store = _store(spark)
+    workspace = Workspace(store)
+    suppliers = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), (F.col("s_suppkey") % 8).alias("c"), "s_name")
+    files = suppliers.withColumn("year", F.explode(F.expr("if(c = 5, array('2021', '2022'), array('2022'))"))).withColumn("filename", F.concat("s_name", F.lit("_"), "year", F.lit(".pdf")))
+    path = lambda turn: F.concat(F.lit(f"/objects/{turn}/"), "filename").alias("object_path")
+    for year in ("2021", "2022"):
+        workspace.register(files.filter(F.col("year") == year).select("filename", path(1)))
+    known = store.aside(files.join(store.read("documents").select("filename", F.col("id").alias("document_id")), "filename"), f"known-{uuid.uuid4().hex}")
+    row = "concat('Kite ', i, ' LLC | ', i, ' Elm St | Reno | NV | 89501 775-555-01', lpad(i, 2, '0'))"
+
+    def pages(documents, first, last):
+        listed = f"concat(array('EXHIBIT F-1', 'LIST OF CURRENT FRANCHISEES'), transform(sequence({first}, {last}), i -> {row}), array('2'))"
+        both = documents.withColumn("page", F.explode(F.array(F.lit(1), F.lit(2))))
+        return _glyphs(both.select("document_id", "page", F.expr(f"if(page = 1, concat({_PROSE}, array('1')), {listed})").alias("lines")))
+
+    process.process_documents(store, pages(known.filter("year = '2022'"), "1", "if(c = 4, 20, 3)"))
+    workspace.register(known.filter("c <> 5").select("filename", path(2)))
+    workspace.rerun(known.filter("year = '2021'").select(F.col("document_id").alias("id")))
+    again = pages(known.filter("c <> 6 AND (c <> 5 OR year = '2021')"), "if(c = 1, 2, 1)", "case c when 1 then 4 when 4 then 10 else 3 end")
+    blank = (F.lit(None).cast(again.schema[c].dataType).alias(c) for c in again.columns if c not in ("document_id", "text"))
+    unread = known.filter("c = 6").select("document_id", F.lit("no page tree").alias("text"), *blank)
+    scans = known.filter("c IN (2, 3, 7)").select("document_id", F.lit(2).alias("pdf_page"), F.expr("case c when 2 then 0.41D when 7 then 0.65D end").alias("ocr_confidence"), F.expr("if(c = 3, 'render timed out', null)").alias("problem"))
+    process.process_documents(store, again.unionByName(unread), scans=scans)
+
+    ends = workspace.latest_stages().select("document_id", F.col("status").alias("stage"), "message")
+    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    rows = store.read("locations").groupBy("document_id").agg(F.count(F.lit(1)).alias("locations"), joined(F.col("review_status")).alias("reviews"), joined(F.split("address", " ")[0]).alias("streets"))
+    whole = known.join(store.read("documents").select(F.col("id").alias("document_id"), "processing_status"), "document_id").join(ends, "document_id").join(rows, "document_id", "left")
+    return whole.select(F.col("k").alias("s_suppkey"), "filename", "processing_status", "stage", "message", F.coalesce("locations", F.lit(0).cast("long")).alias("locations"), "reviews", "streets")

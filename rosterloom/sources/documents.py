@@ -18,6 +18,9 @@ FEW_CHARACTERS = 80
 FEW_CHARACTERS_WITH_IMAGE = 400
 MAX_SCANNED_PAGES = 400
 
+#: Bytes of files in one Arrow batch, about; a larger file is a batch of its own.
+BATCH_BYTES = 16 << 20
+
 #: (document_id, content) to dictionaries of the glyph columns after document_id.
 GlyphReader = Callable[[bytes], Iterator[dict]]
 
@@ -32,23 +35,31 @@ def message_of(error: Exception) -> str:
     return str(error) or type(error).__name__
 
 
-def read_glyphs(binaries: DataFrame, reader: GlyphReader) -> DataFrame:
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of Arrow batches, so that many large files never share one."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def read_glyphs(binaries: DataFrame, reader: GlyphReader, images: bool = False) -> DataFrame:
     """Positioned words of documents by an injected reader, which runs on the workers.
 
     A document whose reader fails has one row without a page, whose text is the error's message.
+    With ``images`` the reader also says by ``has_image`` whether a word's page has an image.
     """
+    schema = f"{GLYPHS}, has_image boolean" if images else GLYPHS
 
     def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.split()[0] for f in GLYPHS.split(", ")]
+        names = [f.split()[0] for f in schema.split(", ")]
         for part in parts:
             for document_id, content in zip(part["document_id"], part["content"], strict=True):
                 try:
                     rows = [{"document_id": document_id, **g} for g in reader(bytes(content))]
                 except Exception as error:  # one unreadable document leaves the others alone
                     rows = [{"document_id": document_id, "text": message_of(error)}]
-                yield pd.DataFrame(rows, columns=names).astype({"pdf_page": "Int32", "ordinal": "Int64"})
+                yield pd.DataFrame(rows, columns=names).astype({"pdf_page": "Int32", "ordinal": "Int64"} | ({"has_image": "boolean"} if images else {}))
 
-    return binaries.select("document_id", "content").mapInPandas(parse, GLYPHS)
+    bounded_batches(binaries.sparkSession)
+    return binaries.select("document_id", "content").mapInPandas(parse, schema)
 
 
 def characters(text: Column) -> Column:

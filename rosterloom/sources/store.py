@@ -18,7 +18,7 @@ from ..schema import EMPTY_TABLES, SEARCHED
 T = TypeVar("T")
 
 #: Buckets of each table in a new store.
-BUCKETS = 64
+BUCKETS = 16
 #: How often a change is made anew after another one came first, and how often a number is tried for.
 ATTEMPTS = 5
 CLAIMS = 200

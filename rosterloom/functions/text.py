@@ -4,11 +4,11 @@ The Python forms serve the grouped state machines, so that a rule has one patter
 whichever side runs it.
 """
 
+import json
 import re
 import unicodedata
 from functools import cache, reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,18 +88,52 @@ def meaningful(c: Column) -> Column:
     return F.coalesce((F.length(text) > 0) & ~text.rlike(P.PLACEHOLDER), F.lit(False))
 
 
+@cache
+def _plain_letters() -> tuple[str, str, dict[str, str]]:
+    """What characters beyond ASCII are in an identity text, from the Unicode tables: those that
+    are one ASCII letter, digit or ampersand (followed by those that vanish), what they are, and
+    those that are several characters.  All others are blanks there.
+    """
+    single, gone, several = {}, [], {}
+    for code in (*range(0x80, 0xD800), *range(0xE000, 0x110000)):
+        plain = re.sub("[^a-z0-9&]+", " ", strip_accents(chr(code)).lower())
+        if not plain:
+            gone.append(chr(code))
+        elif len(plain) == 1 and plain != " ":
+            single[chr(code)] = plain
+        elif plain != " ":
+            several[chr(code)] = plain
+    return "".join([*single, *gone]), "".join(single.values()), several
+
+
+def _spans(letters: str, gap: int = 64) -> str:
+    """A class of few ranges that holds all the letters; beyond U+2000 those between near ones too."""
+    spans: list[list[int]] = []
+    for code in sorted(map(ord, letters)):
+        if spans and code - spans[-1][1] <= (gap if spans[-1][0] > 0x2000 else 1):
+            spans[-1][1] = code
+        else:
+            spans.append([code, code])
+    return "[" + "".join(rf"\x{{{lo:x}}}-\x{{{hi:x}}}" for lo, hi in spans) + "]"
+
+
 def _without_accents(c: Column) -> Column:
-    def strip(values: pd.Series) -> pd.Series:
-        return values.map(lambda x: x if x is None or x.isascii() else strip_accents(x), na_action="ignore")
+    """The text with ASCII letters for those that decompose into them; only texts beyond ASCII are looked at.
 
-    return F.pandas_udf(strip, "string")(c)
+    Characters that become several are rare: texts that may hold one are cut at them.
+    """
+    letters, plain, several = _plain_letters()
+    names, rare = F.from_json(F.lit(json.dumps(several)), "map<string,string>"), _spans("".join(several))
+    pieces = F.split(F.regexp_replace(F.translate(c, "\x01", " "), f"({rare})", "\x01$1\x01"), "\x01")
+    spelled = F.array_join(F.transform(pieces, lambda x: F.coalesce(F.try_element_at(names, x), x)), "")
+    known = F.when(c.rlike(rare), spelled).otherwise(c)
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(F.translate(known, letters, plain))
 
 
 def identity_col(c: Column, accents: bool = True) -> Column:
     """The column form of ``identity``; null gives an empty text.
 
-    Only accented text needs Python (Spark has no NFKD): with ``accents`` false
-    the whole expression stays in the JVM, for columns known to be ASCII.
+    With ``accents`` false, for columns known to be ASCII, nothing is looked up.
     """
     plain = _without_accents(c) if accents else c
     words = F.regexp_replace(F.replace(F.lower(plain), F.lit("&"), F.lit(" and ")), "[^a-z0-9]+", " ")

@@ -53,14 +53,17 @@ class Workspace:
         return self.store.read("documents").filter(F.col("processing_status").isin(*VISIBLE)).select(F.col("id").alias("document_id"))
 
     def stats(self) -> DataFrame:
-        d = self.store.read("documents").select(F.col("id").alias("doc"), "processing_status")
-        loc = self.store.read("locations").select(F.col("id").alias("loc"), "document_id", "status", "review_status")
+        """Documents, and locations of visible ones in all, by status and to be reviewed, from the sums that changes keep up."""
+        version = self.store.version()
+        d = self.store.read("documents", version).select(F.col("id").alias("document_id"), F.col("processing_status").isin(*VISIBLE).alias("visible"))
+        sums = d.join(self.store.tallies(version), "document_id", "left")
         tests = {"total_locations": F.lit(True), **{f"{s.lower()}_locations": F.col("status") == s for s in LOCATION_STATUS}, "needs_review": F.col("review_status") == "Needs review"}
-        return directory.workspace_counts(d, loc, d.doc, loc.document_id, d.processing_status.isin(*VISIBLE), tests)
+        total = lambda test: F.coalesce(F.sum(F.when(F.col("visible") & test, F.col("n"))), F.lit(0)).cast("long")
+        return sums.agg(F.count_distinct("document_id").alias("documents"), *(total(test).alias(name) for name, test in tests.items()))
 
     def documents(self) -> DataFrame:
         """Documents, newest first, with counts by status, their sum, and stages in order."""
-        by_status = self.store.read("locations").groupBy("document_id", "status").agg(F.count(F.lit(1)).alias("n"))
+        by_status = self.store.tallies().groupBy("document_id", "status").agg(F.sum("n").alias("n")).filter("n > 0")
         counts = by_status.groupBy("document_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("status", "n")))).alias("record_counts"))
         docs = self.store.read("documents").withColumn("document_id", F.col("id"))
         out = directory.with_children(docs, self.store.read("stages"), "document_id", "stages").join(counts, "document_id", "left")

@@ -20,6 +20,8 @@ LOCATIONS = "id string, " + ", ".join(f"{c} string" for c in LOCATION_TEXT) + ",
 CONTACTS = "id string, location_id string, " + ", ".join(f"{c} string" for c in CONTACT_FIELDS)
 #: Postings of what a search reads, with the bucket of their location; those of changed rows stay until the next compaction.
 POSTINGS = "id string, gram string, held_in int"
+#: Changes of the counts of locations by document and what is counted by; their sums are the counts.
+TALLIES = "id string, document_id string, status string, review_status string, n bigint"
 SEARCHED = ("franchisor", "franchisee_entity", "city", "state", "address", "location_code")
 PAGES = "document_id string, pdf_page int, text string, ocr boolean, ocr_confidence double"
 GLYPHS = "document_id string, pdf_page int, ordinal long, text string, x double, y double, width double, page_width double, page_height double"
@@ -27,4 +29,4 @@ CANDIDATES = (
     "document_id string, ordinal long, franchise_name string, franchisor string, status string, franchisee_entity string, address string, city string, state string, zip string, country string, phone string, email string, "
     "location_code string, exit_reason string, source_page int, printed_page string, source_exhibit string, source_section string, raw_source_text string, confidence double, review_status string, review_reason string"
 )
-EMPTY_TABLES = {"documents": DOCUMENTS, "stages": STAGES, "locations": LOCATIONS, "contacts": CONTACTS, "postings": POSTINGS}
+EMPTY_TABLES = {"documents": DOCUMENTS, "stages": STAGES, "locations": LOCATIONS, "contacts": CONTACTS, "postings": POSTINGS, "tallies": TALLIES}

@@ -30,7 +30,7 @@ COMPACT_AT = 8
 ALL = "*"
 
 #: The column whose hash is a row's bucket; contacts go by the franchisor of their location.
-_PLACE = {"documents": "id", "stages": "document_id", "locations": "franchisor", "contacts": "franchisor", "postings": "gram"}
+_PLACE = {"documents": "id", "stages": "document_id", "locations": "franchisor", "contacts": "franchisor", "postings": "gram", "tallies": "document_id"}
 
 
 class ConcurrentChange(RuntimeError):
@@ -44,7 +44,8 @@ class SnapshotStore:
     then adds one numbered manifest, which lists for each table and bucket the folders of its
     changes in order.  Readers take the last row of each id in buckets with several folders;
     ``compact`` makes one of them again.  A change of locations also adds their postings of
-    three letters (``postings``, see ``grams``), by which searches find their buckets and ids.
+    three letters (``postings``, see ``grams``), by which searches find their buckets and ids,
+    and what it changes in the counts by document and status (``tallies``).
 
     A change names what it was made from and what it touches as *scopes*, such as a brand's
     bucket.  If other changes came first, it is added after them as it is, provided that none
@@ -113,12 +114,16 @@ class SnapshotStore:
         if needed:
             asked = self.touched(self.spark.createDataFrame([(g,) for g in needed], "gram string"), "gram")
             entries = {b: entries[b] for b in map(str, asked) if b in entries}
-        places = [place for x in entries.values() for place, *_ in x]
-        schema = EMPTY_TABLES["postings"]
-        posted = self.spark.read.schema(schema).parquet(*(f"{self.root}/{p}" for p in places)) if places else self.spark.createDataFrame([], schema)
+        posted = self._rows_of("postings", entries)
         return grams.candidates(posted.withColumn("at", F.struct("id", "held_in")), "at", term)
 
+    def _rows_of(self, name: str, entries: dict[str, list[list[str]]], *more: str) -> DataFrame:
+        """All rows of folders as they were written."""
+        places, schema = [f"{self.root}/{place}" for x in entries.values() for place, *_ in x], ", ".join([EMPTY_TABLES[name], *more])
+        return self.spark.read.schema(schema).parquet(*places) if places else self.spark.createDataFrame([], schema)
+
     def _rows(self, name: str, entries: dict[str, list[list[str]]]) -> DataFrame:
+        """The last row of each id, unless it is deleted."""
         schema = EMPTY_TABLES[name]
         whole = [x[0][0] for x in entries.values() if len(x) == 1 and x[0][1] == "rows"]
         layered = [x for x in entries.values() if len(x) > 1 or x[0][1] != "rows"]
@@ -169,8 +174,10 @@ class SnapshotStore:
         change = f"change-{uuid.uuid4().hex}"
         written = {name: self._write(name, df, change) for name, df in tables.items()}
         if "locations" in written:
-            rows = self._rows("locations", {b: [[place, kind, 0]] for b, (place, kind) in written["locations"].items()})
+            rows = self._rows_of("locations", {b: [[place, kind, 0]] for b, (place, kind) in written["locations"].items()}, "_deleted boolean")
             written["postings"] = self._write("postings", self._posted(rows), change)
+            before = None if replace else self.read("locations", base, map(int, written["locations"]))
+            written["tallies"] = self._write("tallies", self._tallied(rows, before, change), change)
 
         def added(manifest: dict, number: int) -> dict:
             for name, places in written.items():
@@ -183,9 +190,23 @@ class SnapshotStore:
         return self._publish(base, sorted(set(scopes)), change, added)
 
     def _posted(self, locations: DataFrame) -> DataFrame:
-        keyed = locations.select(F.struct("id", self.bucket(F.col("franchisor")).alias("held_in")).alias("at"), *SEARCHED)
+        keyed = locations.filter(~F.coalesce("_deleted", F.lit(False))).select(F.struct("id", self.bucket(F.col("franchisor")).alias("held_in")).alias("at"), *SEARCHED)
         return grams.postings(keyed, "at", list(SEARCHED)).select("at.*", "gram")
 
+    def _tallied(self, rows: DataFrame, before: DataFrame | None, change: str) -> DataFrame:
+        """By how much written rows change the counts: what they are now, less what those with their ids were."""
+        by = ["document_id", "status", "review_status"]
+        counted = rows.filter(~F.coalesce("_deleted", F.lit(False))).select(*by, F.lit(1).alias("one"))
+        if before is not None:
+            counted = counted.unionByName(before.join(rows.select("id").distinct(), "id", "left_semi").select(*by, F.lit(-1).alias("one")))
+        sums = counted.groupBy(*by).agg(F.sum("one").cast("long").alias("n")).filter("n <> 0")
+        return sums.withColumn("id", F.sha2(F.to_json(F.struct(F.lit(change).alias("change"), *by)), 256))
+
+    def tallies(self, version: int | None = None) -> DataFrame:
+        """document_id, status, review_status and n, the number of locations, from the sums that changes keep up."""
+        entries = self.manifest(self.version() if version is None else version)["tables"].get("tallies", {})
+        return self._rows_of("tallies", entries).groupBy("document_id", "status", "review_status").agg(F.sum("n").alias("n")).filter("n <> 0")
+
     def _write(self, name: str, df: DataFrame, change: str) -> dict[str, tuple[str, str]]:
         """Writes rows into their buckets; a bucket's folder has rows only, or also deletions."""
         columns = [f.name for f in self._rows(name, {}).schema]
@@ -260,10 +281,12 @@ class SnapshotStore:
         for name, held in tables.items():
             rows = self._rows(name, held)
             if name == "postings":  # each once, and none of locations that are gone
-                places = [f"{self.root}/{place}" for x in held.values() for place, *_ in x]
-                posted = self.spark.read.schema(EMPTY_TABLES[name]).parquet(*places).distinct()
+                posted = self._rows_of(name, held).distinct()
                 now = self.read("locations", base)
                 rows = posted.join(now.select("id", self.bucket(F.col("franchisor")).alias("held_in")), ["id", "held_in"], "left_semi")
+            if name == "tallies":  # one row for each sum
+                sums = self._rows_of(name, held).groupBy("document_id", "status", "review_status").agg(F.sum("n").alias("n")).filter("n <> 0")
+                rows = sums.withColumn("id", F.sha2(F.to_json(F.struct(F.lit(change).alias("change"), "document_id", "status", "review_status")), 256))
             if name == "contacts":
                 brands = self.read("locations", base, map(int, held)).select(F.col("id").alias("location_id"), "franchisor")
                 rows = rows.join(brands, "location_id", "left")

@@ -128,3 +128,27 @@ def test_contacts_lie_with_their_locations(spark, store):
     for brand in ("Mill", "Kite"):
         bucket = store.touched(spark.createDataFrame([(brand,)], "b string"), "b")
         assert [r.location_id for r in store.read("contacts", buckets=bucket).collect()] == [f"{brand}0"]
+
+
+def counts_by_scan(store):
+    return {tuple(r) for r in store.read("locations").groupBy("document_id", "status", "review_status").count().collect()}
+
+
+def test_tallies_follow_every_change(spark, store):
+    """After rows are added, changed, deleted, moved and compacted, the sums are what a scan counts."""
+    with_status = lambda rows, status, review="Approved", doc="d": place(spark, rows).withColumns({"status": F.lit(status), "review_status": F.lit(review), "document_id": F.lit(doc)})
+    held = lambda: {tuple(r) for r in store.tallies().collect()}
+    assert held() == counts_by_scan(store) == {(None, None, None, 9)}
+    steps = [
+        with_status([("Mill0", "Mill", "Reno"), ("Mill7", "Mill", "Waco")], "Current"), with_status([("Mill7", "Mill", "Waco")], "Former"), with_status([("Mill7", "Mill", "Waco"), ("Mill8", "Mill", "X")], "Former", "Needs review", "e"),
+        place(spark, [("Mill1", "Mill", None), ("none", "Mill", None)]).withColumn("_deleted", F.lit(True)),
+        with_status([("Kite0", "Gill", "Waco")], "Current").withColumn("_deleted", F.lit(False)).unionByName(place(spark, [("Kite0", "Kite", None)]).withColumn("_deleted", F.lit(True))),
+    ]
+    for step in steps:
+        store.change(store.version(), ["brand/x"], locations=step)
+        assert held() == counts_by_scan(store)
+    want = held()
+    store.compact(1)
+    assert held() == want == counts_by_scan(store)
+    store.commit(locations=with_status([("a", "Mill", "Reno")], "Planning"))
+    assert held() == {("d", "Planning", "Approved", 1)}

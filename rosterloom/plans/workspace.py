@@ -100,10 +100,15 @@ class Workspace:
         return found.withColumn("contacts", F.array().cast(f"array<struct<{','.join(f'{c}:string' for c in CONTACT_FIELDS)}>>")).withColumn("source_document_filename", F.lit(None).cast("string"))
 
     def location(self, location_id: str) -> DataFrame:
-        """One location with its contacts and its document's file name; no row if there is none."""
-        row = self.store.read("locations").filter(F.col("id") == location_id).limit(1)
-        people = self.store.read("contacts").select(F.col("location_id").alias("id"), *CONTACT_FIELDS)
-        names = self.store.read("documents").select(F.col("id").alias("document_id"), F.col("filename").alias("source_document_filename"))
+        """One location with its contacts and its document's file name; no row if there is none.
+
+        The id's posting names the bucket, and only that is read.
+        """
+        version = self.store.version()
+        buckets = self.store.holders(location_id, version)
+        row = self.store.read("locations", version, buckets).filter(F.col("id") == location_id).limit(1)
+        people = self.store.read("contacts", version, buckets).filter(F.col("location_id") == location_id).select(F.col("location_id").alias("id"), *CONTACT_FIELDS)
+        names = self.store.read("documents", version).select(F.col("id").alias("document_id"), F.col("filename").alias("source_document_filename"))
         return directory.with_children(row, people, "id", "contacts").join(names, "document_id", "left")
 
     def franchisors(self) -> DataFrame:
@@ -127,7 +132,7 @@ class Workspace:
         patches = self.store.spark.createDataFrame(row, "id string, present array<string>, " + ", ".join(f"{c} string" for c in PATCHABLE))
 
         def change(base: int) -> None:
-            rows = self.store.read("locations", base).filter(F.col("id") == location_id)
+            rows = self.store.read("locations", base, self.store.holders(location_id, base)).filter(F.col("id") == location_id)
             if not (brands := self.store.touched(rows, "franchisor")):
                 raise KeyError(location_id)
             patched = directory.patch_rows(rows, patches, "id", list(PATCHABLE))

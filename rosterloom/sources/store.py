@@ -26,6 +26,8 @@ CLAIMS = 200
 CLAIM_SECONDS = 600
 #: Files of changes after which a bucket is rewritten.
 COMPACT_AT = 8
+#: The beginning of the posting by which a location is found by its id; no run of letters begins so.
+OWN = "\x04"
 #: What every change meets.
 ALL = "*"
 
@@ -191,7 +193,16 @@ class SnapshotStore:
 
     def _posted(self, locations: DataFrame) -> DataFrame:
         keyed = locations.filter(~F.coalesce("_deleted", F.lit(False))).select(F.struct("id", self.bucket(F.col("franchisor")).alias("held_in")).alias("at"), *SEARCHED)
-        return grams.postings(keyed, "at", list(SEARCHED)).select("at.*", "gram")
+        own = keyed.select("at.*", F.concat(F.lit(OWN), "at.id").alias("gram"))
+        return grams.postings(keyed, "at", list(SEARCHED)).select("at.*", "gram").unionByName(own)
+
+    def holders(self, location_id: str, version: int) -> list[int]:
+        """The buckets that a location is in, or was: one, but for rows that have moved."""
+        key = OWN + location_id
+        entries = self.manifest(version)["tables"].get("postings", {})
+        asked = self.touched(self.spark.createDataFrame([(key,)], "gram string"), "gram")
+        found = self._rows_of("postings", {b: entries[b] for b in map(str, asked) if b in entries}).filter(F.col("gram") == key)
+        return sorted(r[0] for r in found.select("held_in").distinct().collect())
 
     def _tallied(self, rows: DataFrame, before: DataFrame | None, change: str) -> DataFrame:
         """By how much written rows change the counts: what they are now, less what those with their ids were."""

@@ -66,6 +66,16 @@ def test_a_patch_writes_one_bucket(workspace):
     assert sum(after[b] != before.get(b) for b in after) == 1
 
 
+def test_a_lookup_reads_one_bucket(spark, workspace):
+    store = workspace.store
+    assert store.holders("3", store.version()) == store.touched(spark.createDataFrame([("100x Kite",)], "b string"), "b") and store.holders("none", store.version()) == []
+    assert len(store.read("locations", store.version(), store.holders("3", store.version())).inputFiles()) == 1
+    assert workspace.location("3").first().city == "Austin" and workspace.location("none").count() == 0
+    workspace.patch("4", {"city": "Sparks"})
+    store.compact(1)
+    assert workspace.location("4").first().city == "Sparks"
+
+
 def test_brands_are_patterns(spark):
     keys = spark.createDataFrame([("100% kite",), ("quiet mill",), ("q%",)], "brand_key string")
     names = spark.createDataFrame([("100x Kite",), ("100% Kite",), ("Quiet Mill",), ("Quick",), ("Other",), (None,)], "name string")

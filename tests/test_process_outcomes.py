@@ -1,5 +1,7 @@
 """Outcomes of processing besides success: errors, incomplete pages, replaced uploads, newer documents, concurrent changes."""
 
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 from test_process import DATE, ROWS, book, glyphs, register, states
@@ -149,3 +151,26 @@ def test_a_run_that_cannot_start_leaves_failed_stages(spark, workspace, monkeypa
     assert states(workspace) == {NAME: "Failed"}
     last = stage_of(workspace, NAME)
     assert (last.stage, last.status, last.message) == ("Processing error", "Failed", "no room for stages") and last.finished_at is not None
+
+
+def test_runs_of_two_brands_commit_at_once(spark, tmp_path, monkeypatch):
+    """Both runs read the same version; neither makes its commit anew.  With many buckets the two share none."""
+    workspace = Workspace(SnapshotStore(spark, str(tmp_path / "store"), buckets=4096))
+    first, second = "Quiet-Mill_2023.pdf", "Kite-Works_2023.pdf"
+    keys = {n: register(workspace, n)[n] for n in (first, second)}
+    commits, together, commit = [], threading.Barrier(2, timeout=120), process._commit
+
+    def counted(store, summary, accepted, started, base, place):
+        commits.append(base)
+        if len(commits) <= 2:
+            together.wait()
+        return commit(store, summary, accepted, started, base, place)
+
+    monkeypatch.setattr(process, "_commit", counted)
+    runs = [threading.Thread(target=process.process_documents, args=(workspace.store, glyphs(spark, {k: book(ROWS)}), [k])) for k in keys.values()]
+    for run in runs:
+        run.start()
+    for run in runs:
+        run.join()
+    assert states(workspace) == {first: "Ready", second: "Ready"} and len(commits) == 2
+    assert workspace.store.read("locations").count() == 4 and workspace.stats().first().total_locations == 4

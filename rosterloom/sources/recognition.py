@@ -14,6 +14,8 @@ from .documents import MAX_SCANNED_PAGES, bounded_batches, message_of
 
 #: Fixed value: seconds after which no further page of a document is recognised.
 MAX_SECONDS = 600
+#: Lines of an Arrow batch, about.
+LINES_AT_ONCE = 2_000
 #: What scans give as the problem of a page that was over the budget, or that had no text; other values are error messages.
 BUDGET = "budget"
 EMPTY = "empty"
@@ -31,10 +33,11 @@ def recognise(binaries: DataFrame, needed: DataFrame, recogniser: Recogniser, cl
     A document's pages are taken in order by an injected recogniser, which runs on the
     workers.  Before each page the pages tried so far and the seconds since the first are
     held against the budget; pages that are left over, and pages whose recogniser fails, have
-    one row without a line, which names the problem.  A page of a document is in memory at a time.
+    one row without a line, which names the problem.  About ``LINES_AT_ONCE`` lines are in memory at once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
@@ -50,7 +53,11 @@ def recognise(binaries: DataFrame, needed: DataFrame, recogniser: Recogniser, cl
                         except Exception as error:  # one page's error leaves the others alone
                             problem = message_of(error)
                     out = [{"document_id": row["document_id"], "pdf_page": page, "line_no": n, "line": line, "problem": None} for n, line in enumerate(lines)]
-                    yield pa.RecordBatch.from_pylist(out or [{"document_id": row["document_id"], "pdf_page": page, "line_no": None, "line": None, "problem": problem}], _BATCH)
+                    held += out or [{"document_id": row["document_id"], "pdf_page": page, "line_no": None, "line": None, "problem": problem}]
+                    if len(held) >= LINES_AT_ONCE:
+                        yield pa.RecordBatch.from_pylist(held, _BATCH)
+                        held = []
+        yield pa.RecordBatch.from_pylist(held, _BATCH)
 
     bounded_batches(binaries.sparkSession)
     pages = needed.groupBy("document_id").agg(F.sort_array(F.collect_set("pdf_page")).alias("pages"))

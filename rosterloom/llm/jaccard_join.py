@@ -15,19 +15,26 @@ each component.
    common token by token and part.
 3. *Stars.*  The pivot of a token is the class whose own tokens are the most
    common ones, which in a group of near copies is the least changed.  A class
-   that meets a pivot in so many tokens that the two may link is tested against
-   the one that it meets most often; links found here make components.  This
-   joins a large group of near copies in about one test a member.
-4. *Crossings.*  Of a class's prefix tokens, only those that lie in several
-   components can be common ones of a new link; a posting carries its place in the
-   order and how many of these are left from it on.  The first common token of a
-   link has as many of them left, in both sets, as the link needs, so postings meet
-   only at such tokens.  A class that has just a few tokens in common with a large
-   group is thus not paired with its members.
-5. *Filters.*  The pairs must then share enough prefix tokens in the first order,
+   that meets a pivot often is compared with the one that it meets most often;
+   links found here make components, and a class that isn't too far from its pivot,
+   linked or not, is near it from then on.
+4. *Rings.*  What a class lost and gained against its pivot decides links among
+   the classes near one pivot: those within 1/4 of it are in its component, and a
+   link of a class beyond needs changes in common (``_near``).  Each class without a
+   link is tested against the least changed ones that share its changes, in rounds
+   until few gain a link; then classes of different components meet at their first
+   common change, rare ones first, where bits of parity leave enough common ones possible.  The work grows with classes times changes, not
+   with pairs of a group.
+5. *Crossings* join classes that aren't near one pivot.  Of a class's prefix tokens,
+   only those that lie in several components can be common ones of a new link; a
+   posting carries its place in the order and how many of these are left from it on.
+   The first common token of a link has as many of them left, in both sets, as the
+   link needs, so postings meet only at such tokens.  A class that has just a few
+   tokens in common with a large group is thus not paired with its members.
+6. *Filters.*  The pairs must then share enough prefix tokens in the first order,
    and in a second and a third, random order.  All three are intersected before
    whole sets are read.
-6. *Verification* counts the common elements of the whole sets.
+7. *Verification* counts the common elements of the whole sets.
 
 A pair is left out only if it lies in one component already or if a filter
 proves that it can't link, so the components are those of all links.
@@ -50,7 +57,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import Scratch, blocks, bounded_batches, utf8
+from .common import Scratch, blocks, bounded_batches, join_unique, utf8
 from .components import connected_components
 from .shingles import mix, set_hash, shingle_sets
 
@@ -63,6 +70,15 @@ COMMON_TOKENS = 1 << 20
 #: Postings of one part of a token, about; a token with more is dealt to several parts.
 PART_POSTINGS = 1 << 16
 
+#: A class is near its pivot up to this many times the weight of changes at which they just link.
+NEAR = 3
+#: Least changed classes that a class without a link is tested against in one round.
+ASKED = 8
+#: Words of 64 bits that hold which of as many groups of changes are odd in a class.
+PARITY_WORDS = 8
+#: Rounds end with one that gives a link to less than one in this many of the classes that gained one.
+GAIN = 20
+
 #: Text hashed at once: each byte needs about 60 while its block is hashed.
 HASH_BLOCK_BYTES = 1 << 19
 
@@ -183,23 +199,29 @@ def _least_need(n: Column, lo: Column, hi: Column) -> Column:
     return F.when(lo <= hi, F.least(_prefix_needs(n, lo), _prefix_needs(n, hi)) - 1)
 
 
-def _verified(pairs: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
-    """Those pairs (u, v) whose whole sets link; only pairs that pass in all orders read them."""
+def _with_sets(pairs: DataFrame, members: DataFrame, *columns: str) -> DataFrame:
+    """Pairs (u, v) with these columns of both members, named by ``_u`` and ``_v``."""
+    side = lambda at: members.select(F.col("cls").alias(at), *(F.col(c).alias(f"{c}_{at}") for c in columns))
+    return pairs.join(side("v"), "v").join(side("u"), "u")
 
-    def both(some: DataFrame, *columns: str) -> DataFrame:
-        side = lambda at: members.select(F.col("cls").alias(at), *(F.col(c).alias(f"{c}_{at}") for c in columns))
-        return some.join(side("v"), "v").join(side("u"), "u")
 
+def _passes() -> Column:
+    """Whether a pair shares enough prefix tokens in all three orders."""
     # the prefixes hold halves of hashes, so that clashes can only let a pair pass
     size = lambda at: F.size(f"first_{at}").cast("long")
     shared = lambda name: F.size(F.array_intersect(f"{name}_u", f"{name}_v")) + _clashes(name)
-    counted = both(pairs.select("u", "v", "n_u", "n_v"), *_ORDERS)
     need = _prefix_needs(F.col("n_u"), F.col("n_v"))
     passed = F.lit(True)
     for name in reversed(_ORDERS):
         passed = F.when(F.least(size("u"), size("v")) < need, False).when(shared(name) < need, False).otherwise(passed)
-    likely = scratch.save(counted.filter(passed).select("u", "v", "n_u", "n_v"), "likely")
-    whole = both(likely, "elements")
+    return passed
+
+
+def _verified(pairs: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
+    """Those pairs (u, v) whose whole sets link; only pairs that pass in all orders read them."""
+    counted = _with_sets(pairs.select("u", "v", "n_u", "n_v"), members, *_ORDERS)
+    likely = scratch.save(counted.filter(_passes()).select("u", "v", "n_u", "n_v"), "likely")
+    whole = _with_sets(likely, members, "elements")
     links = scratch.save(whole.filter(F.size(F.array_intersect("elements_u", "elements_v")) >= _needed_overlap(F.col("n_u"), F.col("n_v"))).select("u", "v").distinct(), "links")
     scratch.drop(likely)
     return links
@@ -228,7 +250,7 @@ def _posted(docs: DataFrame, order, hot: DataFrame | None) -> DataFrame:
 
 
 def _stars(shared: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """(u, v, n_u, n_v): each class v with the pivot u that it may link to and meets most often."""
+    """(u, v, n_u, n_v): each class v with the pivot u that it meets most often, in half the tokens of a link at least."""
     central = shared.groupBy("cls").agg(F.sum("rows").alias("weight"))
     weighed = shared.select("token", "part", "cls", "n").join(central, "cls")
     rank = F.struct("weight", "cls", "n")
@@ -239,14 +261,105 @@ def _stars(shared: DataFrame, hot: DataFrame | None) -> DataFrame:
         tops = weighed.join(F.broadcast(hot.select("token")), "token", "left_semi").groupBy("token").agg(F.max(rank).alias("top"))
         met = weighed.withColumn("pivot", best).join(F.broadcast(tops), "token", "left").withColumn("pivot", F.coalesce("top", "pivot"))
     met = met.select("cls", "n", F.col("pivot.cls").alias("u"), F.col("pivot.n").alias("n_u")).filter("cls <> u").groupBy("cls", "n", "u", "n_u").count()
-    met = met.filter(_sizes_allow(F.col("n"), F.col("n_u")) & (F.col("count") >= _prefix_needs(F.col("n"), F.col("n_u"))))
+    met = met.filter(_sizes_allow(F.col("n"), F.col("n_u")) & (2 * F.col("count") >= _prefix_needs(F.col("n"), F.col("n_u"))))
     return met.groupBy("cls", "n").agg(F.max(F.struct("count", "u", "n_u")).alias("most")).select("most.u", F.col("cls").alias("v"), "most.n_u", F.col("n").alias("n_v"))
 
 
-def _crossings(shared: DataFrame, found: DataFrame, hot: DataFrame | None, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(u, v, n_u, n_v): pairs from different components that the first common token allows to link."""
-    rooted = shared.select("token", "part", "cls", "n", "place").join(found.withColumnRenamed("u", "cls"), "cls", "left").withColumn("root", F.coalesce("v", "cls")).drop("v")
-    tokens = rooted.groupBy("token").agg(F.min("root").alias("first_root"), F.max("root").alias("last_root"), F.min("n").alias("lo"), F.max("n").alias("hi")).filter("first_root <> last_root")
+def _near(stars: DataFrame, members: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Links of stars, and (hub, cls, h, weight, changes) of classes near their pivots.
+
+    With l elements of the hub's h lost and m gained, the weight is 4l + 3m.  A class
+    links to its hub if its weight is at most h, and two classes near one hub if 7 times
+    the number of their common changes is at least the sum of their weights minus h:
+    this is 7 |A and B| >= 3 (|A| + |B|) in these terms.
+    """
+    compared = _with_sets(stars.select("u", "v", "n_u", "n_v"), members, "elements", *_ORDERS)
+    compared = compared.withColumn("shared", F.size(F.array_intersect("elements_u", "elements_v")).cast("long")).withColumn("weight", 4 * F.col("n_u") + 3 * F.col("n_v") - 7 * F.col("shared"))
+    changes = F.concat(F.array_except("elements_u", "elements_v"), F.array_except("elements_v", "elements_u"))
+    links = (F.col("weight") <= F.col("n_u")) & _passes()
+    compared = compared.filter(links | (F.col("weight") <= NEAR * F.col("n_u")))
+    near = scratch.save(compared.select(F.col("u").alias("hub"), F.col("v").alias("cls"), F.col("n_u").alias("h"), "weight", links.alias("links"), changes.alias("changes")), "near")
+    return near.filter("links").select(F.col("hub").alias("u"), F.col("cls").alias("v")), near.drop("links")
+
+
+def _shared_needs(x: str, v: str) -> Column:
+    """Common changes of two classes near one hub that link, at least."""
+    return F.ceil((F.col(f"{x}weight") + F.col(f"{v}weight") - F.col(f"{x}h")) / 7)
+
+
+def _most_shared(x: str, v: str) -> Column:
+    """Common changes of two classes at most: an odd group of one that is even in the other holds a change that only one of them has."""
+    differ = sum((F.bit_count(F.col(f"{x}odd{k}").bitwiseXOR(F.col(f"{v}odd{k}"))) for k in range(PARITY_WORDS)), F.lit(0))
+    return F.least(f"{x}size", f"{v}size", F.floor((F.col(f"{x}size") + F.col(f"{v}size") - differ) / 2))
+
+
+def _tested(pairs: DataFrame, near: DataFrame) -> DataFrame:
+    """Those pairs (hub, x, v) of classes near one hub that link, as (u, v)."""
+    side = lambda at: near.select("hub", F.col("cls").alias(at), F.col("h").alias(f"{at}h"), F.col("weight").alias(f"{at}weight"), F.col("changes").alias(f"{at}changes"))
+    both = pairs.join(side("v"), ["hub", "v"]).join(side("x"), ["hub", "x"])
+    return both.filter(F.size(F.array_intersect("xchanges", "vchanges")) >= _shared_needs("x", "v")).select(F.col("x").alias("u"), "v").distinct()
+
+
+def _rings(near: DataFrame, links: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Components of the links of stars and of all links among classes near one hub, and the links found.
+
+    A link between two components has a class beyond its hub's links (weight over h), so it
+    needs at least (weight + 1) / 7 common changes for the other one, and, as
+    weights are at least 3 a change, (weight - h) / 4 for the class beyond.
+    """
+    far = near.filter("weight > h")
+    found = connected_components(links, scratch)
+    if far.isEmpty():
+        return found, links
+    posted = near.join(far.select("hub").distinct(), "hub", "left_semi").select("hub", "cls", "h", "weight", F.size("changes").cast("long").alias("size"), F.explode("changes").alias("change"))
+    posted = scratch.save(posted.withColumn("key", F.xxhash64("hub", "change")).drop("change"), "changes")
+    counted = join_unique(posted, posted.groupBy("key").agg(F.count(F.lit(1)).alias("rows")), "key")
+    word, bit = F.pmod("key", F.lit(64 * PARITY_WORDS)), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("key", F.lit(64)).cast("int"))
+    odd = {f"odd{k}": F.bit_xor(F.when(F.floor(word / 64) == k, bit).otherwise(0)).over(W.partitionBy("hub", "cls")) for k in range(PARITY_WORDS)}
+    placed = counted.withColumns(odd).withColumn("place", F.row_number().over(W.partitionBy("hub", "cls").orderBy("rows", "key")) - 1)
+    room = F.col("size") - F.col("place")  # changes at or behind this one
+    placed = placed.withColumn("meets", room >= F.ceil((F.col("weight") + 1) / 7)).withColumn("asks", (F.col("weight") > F.col("h")) & (room >= F.ceil((F.col("weight") - F.col("h")) / 4)))
+    placed = scratch.save(placed.filter("rows > 1 and (meets or asks)").drop("rows"), "placed")
+    scratch.drop(posted)
+
+    known = ["h", "weight", "size", *odd]
+    turn, gained, total = 0, 1, 0
+    while gained * GAIN > total:
+        turn += 1
+        linked = links.select(F.explode(F.array("u", "v")).alias("cls")).distinct()
+        free = scratch.save(placed.filter("asks").join(linked, "cls", "left_anti"), "asking")
+        least = placed.filter("meets").groupBy("key").agg(F.min(F.struct("weight", F.xxhash64("cls", F.lit(turn)).alias("turn"), "cls", "h", "size", *odd)).alias("least"))
+        met = join_unique(free, least, "key").filter("least.cls <> cls").select("hub", F.col("cls").alias("x"), F.col("least.cls").alias("v"), *(F.col(c).alias(f"x{c}") for c in known), *(F.col(f"least.{c}").alias(f"v{c}") for c in known))
+        met = met.filter(_most_shared("x", "v") >= _shared_needs("x", "v")).groupBy("hub", "x", "v").count()
+        asked = met.withColumn("rank", F.row_number().over(W.partitionBy("x").orderBy(F.desc("count"), "v"))).filter(F.col("rank") <= ASKED).select("hub", "x", "v")
+        more = scratch.save(_tested(asked, near), "ring-links")
+        gained = more.select("u").distinct().count()
+        total += gained
+        scratch.drop(free)
+        links = links.union(more)
+    found = connected_components(links, scratch)
+
+    rooted = placed.join(found.withColumnRenamed("u", "cls"), "cls", "left").withColumn("root", F.coalesce("v", "cls")).drop("v")
+    side = lambda at, role: rooted.filter(role).select("key", "hub", *(F.col(c).alias(f"{at}{c}") for c in ("cls", "root", *known)), (F.col("size") - F.col("place")).alias(f"{at}room"))
+    pairs = side("x", "asks").join(side("v", "meets"), ["key", "hub"]).filter("xroot <> vroot").filter(F.least("xroom", "vroom", _most_shared("x", "v")) >= _shared_needs("x", "v"))
+    pairs = scratch.save(pairs.select("hub", F.col("xcls").alias("x"), F.col("vcls").alias("v")).distinct(), "ring-pairs")
+    more = scratch.save(_tested(pairs, near), "ring-links")
+    scratch.drop(placed, pairs)
+    links = links.union(more)
+    return connected_components(found.select("u", "v").union(more), scratch), links
+
+
+def _homes(near: DataFrame) -> DataFrame:
+    """(cls, home): the one hub that a class is near; a hub that is near no other is its own."""
+    homes = near.select("cls", F.lit(1).alias("of"), F.col("hub").alias("home")).union(near.select("hub", F.lit(0), "hub").distinct())
+    return homes.groupBy("cls").agg(F.max(F.struct("of", "home")).alias("home")).select("cls", "home.home")
+
+
+def _crossings(shared: DataFrame, found: DataFrame, homes: DataFrame, hot: DataFrame | None, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(u, v, n_u, n_v): pairs from different components and hubs that the first common token allows to link."""
+    rooted = shared.select("token", "part", "cls", "n", "place").join(found.withColumnRenamed("u", "cls"), "cls", "left").withColumn("root", F.coalesce("v", "cls")).drop("v").join(homes, "cls", "left")
+    least_most = [side(c).alias(f"{at}_{c}") for c in ("root", "home") for at, side in (("first", F.min), ("last", F.max))]
+    tokens = rooted.groupBy("token").agg(*least_most, F.bool_or(F.isnull("home")).alias("homeless"), F.min("n").alias("lo"), F.max("n").alias("hi")).filter("first_root <> last_root and (homeless or first_home <> last_home)")
     rooted = rooted.join(tokens.select("token", "lo", "hi"), "token")
     rooted = rooted.withColumn("left", F.count(F.lit(1)).over(W.partitionBy("cls").orderBy(F.desc("place"))))  # tokens at or behind this one
     rooted = scratch.save(rooted.filter(F.col("left") >= _least_need(F.col("n"), F.col("lo"), F.col("hi"))).drop("lo", "hi"), "rooted")
@@ -257,7 +370,7 @@ def _crossings(shared: DataFrame, found: DataFrame, hot: DataFrame | None, scrat
     n_u, n_v = F.col("a.n"), F.col("b.n")
     elements = F.least(n_u - F.col("a.place"), n_v - F.col("b.place"))  # of the whole sets, at or behind the token
     may_link = _sizes_allow(n_u, n_v) & (F.least("a.left", "b.left") >= _prefix_needs(n_u, n_v)) & (elements >= _needed_overlap(n_u, n_v))
-    apart = (F.col("a.cls") < F.col("b.cls")) & (F.col("a.root") != F.col("b.root"))
+    apart = (F.col("a.cls") < F.col("b.cls")) & (F.col("a.root") != F.col("b.root")) & F.coalesce(F.col("a.home") != F.col("b.home"), F.lit(True))
     pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.part") == F.col("b.part")) & apart & may_link)
     return scratch.save(pairs.select(F.col("a.cls").alias("u"), F.col("b.cls").alias("v"), n_u.alias("n_u"), n_v.alias("n_v")).distinct(), "pairs"), rooted
 
@@ -280,17 +393,17 @@ def _linked(docs: DataFrame, scratch: Scratch) -> DataFrame:
     shared = scratch.save(_posted(docs, order, hot), "shared")
     stars = scratch.save(_stars(shared, hot), "star-pairs")
     members = _load_members(docs, stars, classes, order, scratch)
-    links = _verified(stars, members, scratch)
+    links, near = _near(stars, members, scratch)
     scratch.drop(members, stars)
-    found = connected_components(links, scratch)
+    found, links = _rings(near, links, scratch)
 
-    pairs, rooted = _crossings(shared, found, hot, scratch)
-    scratch.drop(shared, rooted)
+    pairs, rooted = _crossings(shared, found, _homes(near), hot, scratch)
+    scratch.drop(shared, rooted, near)
     members = _load_members(docs, pairs, classes, order, scratch)
     more = _verified(pairs, members, scratch)
     scratch.drop(members, pairs)
     parents = connected_components(found.select("u", "v").union(more), scratch)
-    scratch.drop(links, found, more)
+    scratch.drop(found, more)
 
     named = classes.join(parents.withColumnRenamed("u", "cls"), "cls", "left").select("cls", "least_id", F.coalesce("v", "cls").alias("root"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))

@@ -149,3 +149,41 @@ def test_components_of_paths_stars_and_loops(spark):
     want = {i: 0 for i in range(1, 41)} | {k: 100 for k in range(101, 130)} | {301: 300}
     assert got == want
     assert connected_components(spark.createDataFrame([], "u long, v long"), Scratch(spark, "test")).count() == 0
+
+
+def changed_copies(rng, count):
+    """A third near copies of one text of 80 words with 1 to 3 changed, a third with a common passage, a third unlike."""
+    base = [f"b{i}" for i in range(80)]
+    passage = [f"p{i}" for i in range(40)]
+    for k in range(count):
+        if k % 3 == 0:
+            words = list(base)
+            for at in rng.sample(range(80), rng.randint(1, 3)):
+                words[at] = f"c{rng.randrange(10_000)}"
+        else:
+            words = [f"w{rng.randrange(5000)}" for _ in range(80)]
+            if k % 3 == 1:
+                words[20:60] = passage
+        yield " ".join(words)
+
+
+def test_candidates_grow_with_the_rows(spark, monkeypatch):
+    """Twice as many near copies, many of which don't link to the middle of their group, give about twice the candidates."""
+    found = {}
+
+    class Counting(Scratch):
+        def save(self, df, name):
+            out = super().save(df, name)
+            if name.endswith("pairs") or name == "likely":
+                found[name] = found.get(name, 0) + out.count()
+            return out
+
+    counts = []
+    for count in (600, 1200):
+        found.clear()
+        rows = list(enumerate(changed_copies(random.Random(count), count)))
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        got = jaccard_join.link_documents(df, Counting(spark, "counting")).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
+        counts.append(sum(found.values()))
+    assert counts[1] < 2.5 * counts[0] and counts[1] < 2 * 1200

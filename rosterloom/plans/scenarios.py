@@ -247,7 +247,9 @@ def _glyphs(pages):
 def process_commit(spark, d):
     """Uploads registered, laid out, extracted, gated, reconciled and committed; a document without lists fails and leaves the others alone."""
     store = _store(spark)
-    suppliers = table(spark, d, "supplier").select("s_suppkey", "s_name", F.concat("s_name", F.lit("_2023.pdf")).alias("filename"))
+    # a file name gives its brand up to the first run of digits like a year, so letters stand for digits; with the key, no two suppliers share a brand
+    own = F.translate(F.concat("s_name", F.lit(" "), F.col("s_suppkey").cast("string")), "0123456789", "abcdefghij")
+    suppliers = table(spark, d, "supplier").select("s_suppkey", "s_name", own.alias("own")).withColumn("filename", F.concat("own", F.lit("_2023.pdf")))
     Workspace(store).register(suppliers.select("filename", F.concat(F.lit("/objects/"), "filename").alias("object_path")))
     ids = store.read("documents").select("filename", F.col("id").alias("document_id"))
     rows = "transform(sequence(1, cast(1 + s_suppkey % 3 as int)), i -> concat('Kite ', i, ' LLC | ', i, ' Elm St | Reno | NV | 89501 775-555-010', i))"
@@ -262,7 +264,8 @@ def process_commit(spark, d):
     for part in (rows, people, ends):
         whole = whole.join(part, "document_id", "left")
     none = F.lit(0).cast("long")
-    return whole.select("s_suppkey", F.col("franchise_name").alias("brand"), "processing_status", F.col("extraction_manifest.acceptedRows").alias("accepted"), "source_exhibit", "stage", "message", F.coalesce("locations", none).alias("locations"), F.coalesce("contacts", none).alias("contacts"), "pages", "reviews")
+    named = F.when(F.col("franchise_name") == F.col("own"), F.col("s_name")).otherwise(F.col("franchise_name"))
+    return whole.select("s_suppkey", named.alias("brand"), "processing_status", F.col("extraction_manifest.acceptedRows").alias("accepted"), "source_exhibit", "stage", "message", F.coalesce("locations", none).alias("locations"), F.coalesce("contacts", none).alias("contacts"), "pages", "reviews")
 
 
 @query("""

@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Aside
+
 START, END = "\x02", "\x03"
 WILD = "[%_]"
 
@@ -66,33 +68,75 @@ def matches_any(term: str, columns: list[str]) -> Column:
 # ------------------------------------------------------------------ many patterns
 
 
-def _value_keys(value: Column) -> Column:
-    """Runs of a value, their beginnings of one and two letters, and the empty key, under which a pattern without letters looks."""
-    found = runs(padded(value))
-    begins = lambda n: F.transform(found, lambda x: F.substring(x, 1, n))
-    return F.array_distinct(F.concat(found, begins(2), begins(1), F.array(F.lit(""))))
+#: Lengths of the runs under which values are posted for patterns, and the number of values up to which a key is rare enough.
+LENGTHS = (3, 5, 7, 14, 28)
+FEW = 32
+#: Most keys by which postings are filtered where they are made.
+SENT_KEYS = 10_000
+
+
+def _cut(rows: DataFrame, text: str, n: int, keep: str) -> DataFrame:
+    """(keep, gram): the runs of n letters of a column, each once; it is without lambdas, which Spark would interpret row by row."""
+    at = rows.filter(F.length(text) >= n).withColumn("_p", F.explode(F.sequence(F.lit(1), F.length(text) - (n - 1)))).withColumn("gram", F.expr(f"substring({text}, _p, {n})"))
+    return at.filter(F.expr(f"instr({text}, gram) = _p")).select(keep, "gram")
+
+
+def _value_keys(values: DataFrame, n: int) -> DataFrame:
+    """(value, key): hashes of a value's runs of n letters; with those of three also shorter ones and the empty one, under which a pattern without letters looks."""
+    rows = values.withColumn("_text", padded(F.col("value")))
+    grams = _cut(rows, "_text", n, "value")
+    if n == LENGTHS[0]:
+        grams = grams.unionByName(_cut(rows, "_text", 2, "value")).unionByName(_cut(rows, "_text", 1, "value")).unionByName(values.select("value", F.lit("").alias("gram")))
+    return grams.select("value", F.xxhash64("gram").alias("key"))
 
 
-def _pattern_keys(pattern: Column) -> Column:
-    pieces = F.filter(F.split(F.concat(F.lit(START), F.lower(pattern), F.lit(END)), WILD), lambda x: ~x.isin("", START, END))
-    keys = F.flatten(F.transform(pieces, lambda x: F.when(F.length(x) >= 3, runs(x)).otherwise(F.array(x))))
-    return F.when(F.size(keys) > 0, F.array_distinct(keys)).otherwise(F.array(F.lit("")))
+def _pattern_keys(patterns: DataFrame, n: int) -> DataFrame:
+    """(pattern, key) that every match must have: runs of n letters, and where n is three shorter pieces."""
+    pieces = patterns.select("pattern", F.explode(F.split(F.concat(F.lit(START), F.lower("pattern"), F.lit(END)), WILD)).alias("piece")).filter(~F.col("piece").isin("", START, END))
+    grams = _cut(pieces, "piece", n, "pattern")
+    if n == LENGTHS[0]:
+        bare = patterns.filter(~F.col("pattern").rlike("[^%_]")).select("pattern", F.lit("").alias("gram"))
+        grams = grams.unionByName(pieces.filter(F.length("piece") < n).select("pattern", F.col("piece").alias("gram"))).unionByName(bare)
+    return grams.select("pattern", F.xxhash64("gram").alias("key")).distinct()
 
 
-def ilike_join(values: DataFrame, patterns: DataFrame) -> DataFrame:
+def ilike_join(values: DataFrame, patterns: DataFrame, aside: Aside | None = None) -> DataFrame:
     """(value, pattern) of every distinct value (column ``value``) that is ILIKE a distinct pattern (column ``pattern``).
 
     Patterns without wildcards are joined by equality.  Each other pattern looks up the
     postings of the rarest of its keys and tests what it finds there, so that nothing is
-    compared with everything unless a pattern has no letter at all.  Null matches nothing.
+    compared with everything unless a pattern has no letter at all.  Keys are runs of three letters;
+    a pattern all of whose keys have over ``FEW`` values goes on to longer runs, which don't become frequent as values
+    become many.  Keys are hashes, and two that fall together only add tests.  Null matches nothing.
+    No side is broadcast.
     """
-    values = values.select("value").filter("value IS NOT NULL").distinct()
-    patterns = patterns.select("pattern").filter("pattern IS NOT NULL").distinct()
-    equal = values.withColumn("_k", F.lower("value")).join(patterns.filter(~F.col("pattern").rlike(WILD)).withColumn("_k", F.lower("pattern")), "_k").select("value", "pattern")
-    wanted = patterns.filter(F.col("pattern").rlike(WILD)).select("pattern", F.explode(_pattern_keys(F.col("pattern"))).alias("key"))
-    posted = values.select("value", F.explode(_value_keys(F.col("value"))).alias("key"))
-    sizes = posted.join(wanted.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    # a key that no value has is the rarest: the pattern matches nothing
-    rarest = wanted.join(sizes, "key", "left").groupBy("pattern").agg(F.min_by("key", F.struct(F.coalesce("n", F.lit(0)), "key")).alias("key"))
-    found = posted.join(rarest, "key").filter(F.ilike("value", literal(F.col("pattern")))).select("value", "pattern")
-    return equal.unionByName(found)
+    aside = aside or Aside(values.sparkSession)
+    # a number of its own: adaptive execution would merge partitions by bytes, and the work is not in the bytes
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = aside.save(values.select("value").filter("value IS NOT NULL").distinct(), "values")
+    patterns = aside.save(patterns.select("pattern").filter("pattern IS NOT NULL").distinct(), "patterns")
+    equal = values.withColumn("_k", F.lower("value")).hint("merge").join(patterns.filter(~F.col("pattern").rlike(WILD)).withColumn("_k", F.lower("pattern")), "_k").select("value", "pattern")
+    posted = lambda n: _value_keys(values.repartition(parts, "value"), n)
+    rarest = patterns.filter(F.col("pattern").rlike(WILD)).select("pattern", F.lit(None).cast("long").alias("key"), F.lit(None).cast("long").alias("n"), F.lit(0).alias("length"))
+    for length in LENGTHS:
+        going_on = rarest.filter(F.coalesce(F.col("n") > FEW, F.lit(True)))
+        wanted = _pattern_keys(going_on.select("pattern").repartition(parts, "pattern"), length)
+        if length > LENGTHS[0] and wanted.isEmpty():
+            break
+        sizes = posted(length).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        # a key that no value has is the rarest: the pattern matches nothing
+        found = wanted.hint("merge").join(sizes, "key", "left").select("pattern", "key", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.lit(length).alias("length"))
+        best = F.min_by(F.struct("key", "n", "length"), F.struct("n", "length", "key")).alias("best")
+        rarest = aside.save(rarest.filter("key IS NOT NULL").unionByName(found).groupBy("pattern").agg(best).select("pattern", "best.*"), f"rarest-{length}")
+    out = equal
+    for length in LENGTHS:
+        asked = rarest.filter((F.col("length") == length) & (F.col("n") > 0)).select("pattern", "key")
+        keys = asked.select("key").distinct()
+        rows = posted(length)
+        n_keys = keys.limit(SENT_KEYS + 1).count()
+        if not n_keys:
+            continue
+        if n_keys <= SENT_KEYS:
+            rows = rows.join(F.broadcast(keys), "key", "left_semi")
+        out = out.unionByName(rows.hint("merge").join(asked, "key").filter(F.ilike("value", literal(F.col("pattern")))).select("value", "pattern"))
+    return out

@@ -369,13 +369,13 @@ def _read_documents(store: SnapshotStore, chosen: DataFrame, glyphs: DataFrame,
     return store.aside(summary.withColumn("brand_key", F.lower(F.coalesce("brand", F.lit("")))), f"{place}/summary"), accepted
 
 
-def brand_names(keys: DataFrame, names: DataFrame) -> DataFrame:
+def brand_names(keys: DataFrame, names: DataFrame, aside: Aside | None = None) -> DataFrame:
     """(brand_key, name): the stored names (lower case) that each brand stands for.
 
     A brand is a pattern: ``%`` and ``_`` in it are wildcards, letters of either case alike.  A name
     that several brands stand for goes to the one that equals it, or else to the least.
     """
-    pairs = grams.ilike_join(names.select(F.lower("name").alias("value")), keys.select(F.col("brand_key").alias("pattern")))
+    pairs = grams.ilike_join(names.select(F.lower("name").alias("value")), keys.select(F.col("brand_key").alias("pattern")), aside)
     first = F.min_by("pattern", F.struct(F.col("pattern") != F.col("value"), "pattern"))
     return pairs.groupBy("value").agg(first.alias("brand_key")).select("brand_key", F.col("value").alias("name"))
 
@@ -403,7 +403,7 @@ def _commit(store: SnapshotStore, summary: DataFrame, accepted: DataFrame, start
     known = summary.select("brand_key", F.col("brand_key").alias("name")).distinct()
     if wild:
         names = known.select("name").union(documents.select("franchise_name")).union(store.read("locations", base).select("franchisor"))
-        known = store.aside(brand_names(known, names), f"{place}/names-{base}")
+        known = store.aside(brand_names(known, names, Aside(store.spark, f"{store.root}/{place}")), f"{place}/names-{base}")
     summary = store.aside(_decide(summary, documents, known), f"{place}/decided-{base}")
     winners = summary.filter("wins").select("document_id", "brand_key")
     known = known.join(winners.select("brand_key"), "brand_key", "left_semi")

@@ -93,7 +93,8 @@ def wildcard_keys(spark, d):
     keys = part.select(F.col("p_partkey").alias("key_of"), F.expr(_PATTERNS).alias("pattern"))
     names = part.select(F.col("p_partkey").alias("name_of"), F.expr("p_name || ' ' || p_partkey").alias("name"))
     pairs = grams.ilike_join(names.select(F.col("name").alias("value")), keys).withColumnRenamed("value", "name")
-    return keys.join(pairs, "pattern").join(names, "name").select("key_of", "pattern", "name_of", "name")
+    # no broadcast: repeated names make small files, so that whole tables would pass through the driver
+    return keys.hint("merge").join(pairs, "pattern").hint("merge").join(names, "name").select("key_of", "pattern", "name_of", "name")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")

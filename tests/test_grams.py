@@ -81,3 +81,20 @@ def test_brands_are_patterns(spark):
     names = spark.createDataFrame([("100x Kite",), ("100% Kite",), ("Quiet Mill",), ("Quick",), ("Other",), (None,)], "name string")
     got = {(r.brand_key, r.name) for r in process.brand_names(keys, names).collect()}
     assert got == {("100% kite", "100x kite"), ("100% kite", "100% kite"), ("quiet mill", "quiet mill"), ("q%", "quick")}
+
+
+def test_long_patterns_go_on_to_longer_runs(spark, monkeypatch):
+    monkeypatch.setattr(grams, "FEW", 3)
+    values = [f"{'quiet' if k % 3 else 'Old'} mill of the north {k}" for k in range(400)] + ["aaaaaaaa", "aaaaaaaaa", "a", ""]
+    patterns = [f"% {k}" for k in range(0, 400, 7)] + [f"_uiet%north {k}_" for k in range(40)] + [f"%{k}%" for k in range(0, 400, 31)] + ["%aaaaaaa%", "aaaaaaa_", "%mill of the north 1_", "%QUIET mill of the north 12%", "%mill of the south%", "_", "%"]
+    got = grams.ilike_join(spark.createDataFrame([(v,) for v in values], "value string"), spark.createDataFrame([(p,) for p in patterns], "pattern string")).collect()
+    want = {(v, p) for v in values for p in patterns if like(v, p)}
+    assert set(map(tuple, got)) == want and len(got) == len(want)
+
+
+def test_wildcard_keys_send_no_table_to_the_driver(spark, medium):
+    from rosterloom.plans import supplied
+
+    plan = supplied.QUERIES["wildcard_keys"](spark, medium)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
+    assert all("LeftSemi" in line for line in joins) and "SortMergeJoin" in plan  # keys of which there are at most SENT_KEYS

@@ -20,8 +20,10 @@ def group_nodes(nodes: DataFrame, edges: DataFrame, aside: Aside) -> DataFrame:
     labels, turn = nodes.select("node", F.col("node").alias("group")), 0
     edges = aside.save(edges.filter("a <> b").distinct(), "edges")
     while not edges.isEmpty():
-        ends = edges.select("a", "b").union(edges.select("b", "a")).union(edges.select("a", "a")).union(edges.select("b", "b")).toDF("from", "to")
-        moves = aside.save(ends.groupBy("from").agg(F.min_by("to", F.struct(F.xxhash64(F.lit(turn), "to"), "to")).alias("to")), f"moves-{turn}")
+        ends = edges.select("a", "b").union(edges.select("b", "a")).toDF("from", "to")
+        order = lambda c: F.struct(F.xxhash64(F.lit(turn), c), F.col(c).alias("to"))  # noqa: B023, E731
+        moves = ends.groupBy("from").agg(F.min(order("to")).alias("m"))
+        moves = aside.save(moves.select("from", F.least(F.col("m"), order("from"))["to"].alias("to")), f"moves-{turn}")
         for end in ("a", "b"):
             edges = edges.join(moves.withColumnRenamed("from", end), end).drop(end).withColumnRenamed("to", end)
         labels = labels.join(moves.withColumnRenamed("from", "group"), "group", "left").select("node", F.coalesce("to", "group").alias("group"))

@@ -103,3 +103,12 @@ def test_groups_of_chains_and_stars(spark):
     got = {r.node: r.group for r in group_nodes(spark.createDataFrame([(n,) for n in nodes], "node long"), spark.createDataFrame(edges, "a long, b long"), Aside(spark)).collect()}
     sets = lambda root: {frozenset(m for m in nodes if root(m) == root(n)) for n in nodes}
     assert sets(got.get) == sets(find)
+
+
+def test_only_shared_keys_are_contracted(spark, monkeypatch):
+    counted = []
+    monkeypatch.setattr(rec, "group_nodes", lambda nodes, edges, aside: counted.append(edges.count()) or group_nodes(nodes, edges, aside))
+    rows = [row(raw_source_text=f"text {k}", address=f"{k if k > 1 else 0} Oak St", city="Reno", state="NV") for k in range(12)]
+    df = spark.createDataFrame([(k, "b", *(r[c] for c in rec.LOCATION_FIELDS)) for k, r in enumerate(rows)], f"node long, brand_key string, {FIELDS}")
+    groups = {r.node: r.group for r in rec.split_brands(df, Aside(spark)).collect()}
+    assert groups[0] == groups[1] and counted == [1]

@@ -292,10 +292,8 @@ def recognition_budget(spark, d):
         word = lambda n, text: f"5\t1\t1\t1\t1\t{n}\t{36 * n}\t60\t30\t20\t{k % 50 + 50}\t{text}"
         return "\n".join(["level\tpage", "1\t1\t0\t0\t0\t0\t0\t0\t1200\t1600\t-1\t", word(1, k), word(2, "Elm"), word(3, "St")])
 
-    lines = Aside(spark).save(recognition.recognise(rows, needed, recogniser, clock), "lines")
-    scans, words = recognition.scans_and_words(lines)
-    found = scans.join(ocr_tsv.page_text(words), ["document_id", "pdf_page"], "left")
-    return found.select(F.col("document_id").cast("long").alias("k"), F.col("pdf_page").cast("long").alias("page"), "problem", F.round("ocr_confidence", 6).alias("confidence"), "text")
+    found = recognition.read_pages(recognition.recognise(rows, needed, recogniser, clock))
+    return found.select(F.col("document_id").cast("long").alias("k"), F.col("pdf_page").cast("long").alias("page"), "problem", F.round("ocr_confidence", 6).alias("confidence"), ocr_tsv.text_of("words").alias("text"))
 
 
 _KEPT = "; existing location data was preserved"

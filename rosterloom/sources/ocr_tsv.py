@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fields of a TSV line, and the level of the line that gives the page's size.
@@ -11,28 +11,44 @@ PAGE_LEVEL = "1"
 MIN_CONFIDENCE = 0
 
 
-def _fields(lines: DataFrame) -> DataFrame:
-    parts = F.split("line", "\t")
-    finite = lambda k: F.when(~F.isnan(x := F.get(parts, F.lit(k)).try_cast("double")) & (F.abs(x) < float("inf")), x)
-    split = lines.filter(F.col("line_no") > 0).withColumn("_n", F.size(parts)).filter(F.col("_n") >= FIELDS)
-    names = ("left", "top", "width", "height", "confidence")
-    return split.select(
-        *lines.columns, F.get(parts, F.lit(0)).alias("level"), F.array_join(F.slice(parts, 2, 4), ":").alias("line_key"), *(finite(k).alias(n) for k, n in enumerate(names, 6)), F.trim(F.array_join(F.slice(parts, FIELDS, F.greatest(F.col("_n") - FIELDS + 1, F.lit(0))), "\t")).alias("text")
-    )
-
-
-def read_words(lines: DataFrame) -> DataFrame:
-    """Words of recognised pages: ``lines`` has document_id, pdf_page, line_no (0 is the header) and line.
+def with_words(pages: DataFrame) -> DataFrame:
+    """Pages with ``lines``, structs of line_no (0 is the header) and line in order, and their ``words`` as structs instead.
 
     Lines with fewer than twelve fields, blank text, or figures that are missing or
     negative in confidence are left out; the last page-level line gives the page's size.
+    A page is read within its row, so that no line is shuffled or sorted with those of others.
     """
-    rows = _fields(lines)
-    size = rows.filter(F.col("level") == PAGE_LEVEL).groupBy("document_id", "pdf_page").agg(F.max_by("width", "line_no").alias("page_width"), F.max_by("height", "line_no").alias("page_height"))
-    figures = F.col("left").isNotNull() & F.col("top").isNotNull() & F.col("width").isNotNull() & F.col("height").isNotNull()
-    words = rows.filter((F.col("text") != "") & figures & (F.col("confidence") >= MIN_CONFIDENCE))
+    parts = F.transform("lines", lambda i: F.struct(i["line_no"].alias("ordinal"), F.split(i["line"], "\t").alias("f")))
+    parts = F.filter(parts, lambda p: (p["ordinal"] > 0) & (F.size(p["f"]) >= FIELDS))
+    finite = lambda x: F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+    # left, top, width, height and confidence
+    figures = lambda f: F.transform(F.transform(F.slice(f, 7, 5), lambda x: x.try_cast("double")), finite)
+    read = F.transform(parts, lambda p: F.struct(
+        p["ordinal"].alias("ordinal"), F.get(p["f"], F.lit(0)).alias("level"), F.array_join(F.slice(p["f"], 2, 4), ":").alias("line_key"), figures(p["f"]).alias("n"),
+        F.trim(F.array_join(F.slice(p["f"], FIELDS, F.size(p["f"]) - FIELDS + 1), "\t")).alias("text"),
+    ))
+    sizes = F.transform(F.filter("_read", lambda r: r["level"] == PAGE_LEVEL), lambda r: r["n"])
+    kept = F.filter("_read", lambda r: (r["text"] != "") & ~F.exists(F.slice(r["n"], 1, 4), lambda x: x.isNull()) & (r["n"][4] >= MIN_CONFIDENCE))
+    height = F.col("_size")[3]
     # recognisers count downwards from the top of the page
-    return words.join(size, ["document_id", "pdf_page"], "left").select("document_id", "pdf_page", F.col("line_no").alias("ordinal"), "text", F.col("left").alias("x"), F.coalesce(F.col("page_height") - F.col("top"), -F.col("top")).alias("y"), "width", "confidence", "page_width", "page_height", "line_key")
+    words = F.transform(kept, lambda r: F.struct(
+        r["ordinal"].alias("ordinal"), r["text"].alias("text"), r["n"][0].alias("x"), F.coalesce(height - r["n"][1], -r["n"][1]).alias("y"), r["n"][2].alias("width"), r["n"][4].alias("confidence"),
+        F.col("_size")[2].alias("page_width"), height.alias("page_height"), r["line_key"].alias("line_key"),
+    ))
+    sized = pages.withColumn("_read", read).withColumn("_sizes", sizes).withColumn("_size", F.get("_sizes", F.size("_sizes") - 1))
+    return sized.withColumn("words", words).drop("lines", "_read", "_sizes", "_size")
+
+
+def read_words(lines: DataFrame) -> DataFrame:
+    """Words of recognised pages: ``lines`` has document_id, pdf_page, line_no (0 is the header) and line."""
+    pages = lines.groupBy("document_id", "pdf_page").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("lines"))
+    return with_words(pages).select("document_id", "pdf_page", F.inline("words"))
+
+
+def mean_confidence(words: str) -> Column:
+    """The mean confidence of a column of word structs as a share; null without words."""
+    total = F.aggregate(words, F.lit(0.0), lambda a, w: a + w["confidence"])
+    return F.when(F.size(words) > 0, total / F.size(words) / 100)
 
 
 def page_confidence(words: DataFrame) -> DataFrame:
@@ -40,12 +56,18 @@ def page_confidence(words: DataFrame) -> DataFrame:
     return words.groupBy("document_id", "pdf_page").agg((F.avg("confidence") / 100).alias("ocr_confidence"))
 
 
+def text_of(words: str) -> Column:
+    """The text of a page from a column of word structs in order of their ordinals; null without words."""
+    line = lambda key: F.sort_array(F.transform(F.filter(words, lambda w: w["line_key"].eqNullSafe(key)), lambda w: F.struct(w["x"].alias("x"), w["ordinal"].alias("ordinal"), w["text"].alias("text"))))
+    keys = F.array_distinct(F.transform(words, lambda w: w["line_key"]))
+    lines = F.transform(keys, lambda key: F.array_join(F.transform(line(key), lambda w: w["text"]), " "))
+    return F.when(F.size(words) > 0, F.array_join(lines, "\n"))
+
+
 def page_text(words: DataFrame) -> DataFrame:
     """document_id, pdf_page and text: recognised lines in order of their first words, words from the left."""
-    in_line = F.sort_array(F.collect_list(F.struct("x", "ordinal", "text")))
-    lines = words.groupBy("document_id", "pdf_page", "line_key").agg(F.min("ordinal").alias("first"), F.array_join(F.transform(in_line, lambda w: w["text"]), " ").alias("line"))
-    ordered = F.sort_array(F.collect_list(F.struct("first", "line")))
-    return lines.groupBy("document_id", "pdf_page").agg(F.array_join(F.transform(ordered, lambda i: i["line"]), "\n").alias("text"))
+    pages = words.groupBy("document_id", "pdf_page").agg(F.sort_array(F.collect_list(F.struct("ordinal", "x", "text", "line_key"))).alias("words"))
+    return pages.select("document_id", "pdf_page", text_of("words").alias("text"))
 
 
 def to_page(words: DataFrame, sizes: DataFrame) -> DataFrame:

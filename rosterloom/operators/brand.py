@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.text import rx, squash
+from ..session import SHUFFLED
 
 #: Fixed value: pages that may name the brand.
 BRAND_PAGES = 5
@@ -54,7 +55,7 @@ def document_brands(pages: DataFrame, documents: DataFrame) -> DataFrame:
     from ..functions.fields import brand_from_filename
 
     first = pages.filter(F.col("pdf_page") <= BRAND_PAGES).groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("pdf_page", "text"))).alias("p"))
-    rows = documents.select("document_id", brand_from_filename(F.col("filename")).alias("start")).join(first, "document_id", "left")
+    rows = documents.select("document_id", brand_from_filename(F.col("filename")).alias("start")).join(first.hint(SHUFFLED), "document_id", "left")
 
     def fold(starts: pd.Series, texts: pd.Series) -> pd.Series:
         out = []

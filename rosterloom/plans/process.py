@@ -23,7 +23,7 @@ from ..operators.grouped import map_groups
 from ..operators.people import contacts_of
 from ..operators.reconcile import brand_counts, reconcile_brands
 from ..schema import CONTACT, CONTACT_FIELDS, LOCATION_TEXT
-from ..session import Aside
+from ..session import SHUFFLED, Aside
 from ..sources import ocr_tsv
 from ..sources.documents import has_enough_text, message_of
 from ..sources.recognition import BUDGET, EMPTY
@@ -104,7 +104,7 @@ def page_payloads(pages: DataFrame, rows: DataFrame, lines: DataFrame) -> DataFr
     cells = rows.groupBy(*by_page).agg(F.transform(down("cells"), lambda r: r["cells"]).alias("rows"))
     side = lambda k: F.transform(F.sort_array(F.collect_list(F.when(F.col("side") == k, F.struct("part", (-F.col("y")).alias("k"), "line")))), lambda r: r["line"])
     columns = lines.filter("line <> ''").groupBy(*by_page).agg(side(0).alias("left"), side(1).alias("right"))
-    return pages.join(cells, by_page, "left").join(columns, by_page, "left").select(*by_page, "text", "rows", "left", "right")
+    return pages.join(cells.hint(SHUFFLED), by_page, "left").join(columns.hint(SHUFFLED), by_page, "left").select(*by_page, "text", "rows", "left", "right")
 
 
 def _candidates_of(rows: list[dict]) -> list[dict]:
@@ -161,7 +161,7 @@ def summarize(documents: DataFrame, raw: DataFrame, accepted: DataFrame, pages:
     unread = F.col("unread") if "unread" in documents.columns else F.lit(None).cast("string")
     out = documents.select("document_id", unread.alias("unread"))
     for part in (has_enough_text(pages), head, counts, repeats, scans, doubtful, recognition_notes(pages), previous):
-        out = out.join(part, "document_id", "left")
+        out = out.join(part.hint(SHUFFLED), "document_id", "left")
     zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("rejected", "n_sections", "accepted", "missing_address", "missing_contact", "duplicates", "low_pages", "previous_rows")}
     out = out.withColumn("error", F.coalesce("unread", "error")).drop("unread")
     return with_outcome(out.withColumns(zero | {"enough": F.coalesce("enough", F.lit(False))}))
@@ -255,15 +255,15 @@ def assemble_pages(glyphs: DataFrame, scans: DataFrame | None, recognised: DataF
     sizes = glyphs.groupBy(*by_page).agg(F.max("page_width").alias("page_width"), F.max("page_height").alias("page_height"))
     keys = sizes.select(*by_page).union(scans.select(*by_page))
     if recognised is not None:
-        words = recognised.join(scans.filter("problem IS NULL").select(*by_page), by_page, "left_semi")
+        words = recognised.join(scans.filter("problem IS NULL").select(*by_page).hint(SHUFFLED), by_page, "left_semi")
         # a page without native words has the size of its document's others
         general = sizes.groupBy("document_id").agg(F.max("page_width").alias("_w"), F.max("page_height").alias("_h"))
-        sized = keys.distinct().join(sizes, by_page, "left").join(general, "document_id", "left").select(*by_page, F.coalesce("page_width", "_w").alias("page_width"), F.coalesce("page_height", "_h").alias("page_height"))
+        sized = keys.distinct().join(sizes.hint(SHUFFLED), by_page, "left").join(general.hint(SHUFFLED), "document_id", "left").select(*by_page, F.coalesce("page_width", "_w").alias("page_width"), F.coalesce("page_height", "_h").alias("page_height"))
         placed = ocr_tsv.to_page(words, sized)
         rows, lines = (old.unionByName(part(placed).withColumn("part", F.lit(1))) for old, part in ((rows, layout.page_rows), (lines, layout.column_lines)))
         text = text.join(ocr_tsv.page_text(words).withColumnRenamed("text", "_recognised"), by_page, "full").select(*by_page, F.concat_ws("\n", F.nullif("text", F.lit("")), F.nullif("_recognised", F.lit(""))).alias("text"))
     marks = scans.withColumn("_scan", F.lit(True))
-    pages = keys.distinct().join(text, by_page, "left").join(marks, by_page, "left")
+    pages = keys.distinct().join(text.hint(SHUFFLED), by_page, "left").join(marks.hint(SHUFFLED), by_page, "left")
     ocr = F.col("_scan").isNotNull() & F.col("problem").isNull()
     return pages.select(*by_page, F.coalesce("text", F.lit("")).alias("text"), ocr.alias("ocr"), F.when(ocr, F.col("ocr_confidence")).alias("ocr_confidence"), "problem"), rows, lines
 
@@ -388,10 +388,10 @@ def _decide(summary: DataFrame, documents: DataFrame, known: DataFrame) -> DataF
     verified = documents.filter(F.col("processing_status").isin(*VERIFIED) & F.col("last_processed_at").isNotNull())
     stored = verified.withColumn("name", F.lower("franchise_name")).join(known, "name").groupBy("brand_key").agg(F.max_by(F.struct("upload_date", "filename"), F.struct("upload_date", "id")).alias("stored"))
     passed = W.partitionBy("brand_key").orderBy(F.desc_nulls_last("upload_date"), F.desc("document_id"))
-    ranked = out.filter("outcome <> 'Failed' AND NOT stale").join(names, "document_id").withColumns({"rank": F.row_number().over(passed), "first": F.first("filename").over(passed)}).join(stored, "brand_key", "left")
+    ranked = out.filter("outcome <> 'Failed' AND NOT stale").join(names, "document_id").withColumns({"rank": F.row_number().over(passed), "first": F.first("filename").over(passed)}).join(stored.hint(SHUFFLED), "brand_key", "left")
     behind = F.coalesce(F.col("stored.upload_date") > F.col("upload_date"), F.lit(False))
     newer = F.when(behind, F.col("stored.filename")).when(F.col("rank") > 1, F.col("first"))
-    return out.join(ranked.select("document_id", newer.alias("newer"), newer.isNull().alias("wins")), "document_id", "left").withColumn("wins", F.coalesce("wins", F.lit(False)))
+    return out.join(ranked.select("document_id", newer.alias("newer"), newer.isNull().alias("wins")).hint(SHUFFLED), "document_id", "left").withColumn("wins", F.coalesce("wins", F.lit(False)))
 
 
 def _commit(store: SnapshotStore, summary: DataFrame, accepted: DataFrame, started: DataFrame, base: int, place: str) -> None:
@@ -429,11 +429,11 @@ def _commit(store: SnapshotStore, summary: DataFrame, accepted: DataFrame, start
     counted = brand_counts(result)
     late = ((c, text) for c, text in (("ambiguous", " possible duplicate matches require review"), ("collapsed", " existing duplicate records were safely consolidated"), ("removed", " stale rows from the replaced extraction were removed")))
     notes = F.array_compact(F.array(*(F.when(F.col(f"counted.{c}") > 0, F.concat(F.col(f"counted.{c}").cast("string"), F.lit(text))) for c, text in late)))
-    summary = summary.join(counted.join(winners, "brand_key").drop("brand_key"), "document_id", "left").withColumn("warnings", F.concat("warnings", notes))
+    summary = summary.join(counted.join(winners.hint(SHUFFLED), "brand_key").drop("brand_key"), "document_id", "left").withColumn("warnings", F.concat("warnings", notes))
 
     done = summary.select(F.col("document_id").alias("id"), "outcome", "stale", "wins", "brand", manifest().alias("new_manifest"), F.col("n_pages").cast("int").alias("new_pages"), "ranges")
-    superseded = summary.filter("wins").join(known, "brand_key").select("name", F.col("document_id").alias("winner"), F.col("upload_date").alias("winner_date"))
-    joined = documents.join(done, "id", "left").join(superseded, F.lower(F.coalesce("brand", "franchise_name")) == superseded["name"], "left")
+    superseded = summary.filter("wins").join(known.hint(SHUFFLED), "brand_key").select("name", F.col("document_id").alias("winner"), F.col("upload_date").alias("winner_date"))
+    joined = documents.join(done.hint(SHUFFLED), "id", "left").join(superseded.hint(SHUFFLED), F.lower(F.coalesce("brand", "franchise_name")) == superseded["name"], "left")
     status = (
         F.when(F.col("wins"), F.col("outcome")).when(F.col("outcome") == "Failed", "Failed").when(F.col("stale"), F.col("processing_status")).when(F.col("outcome").isNotNull(), "Superseded")
         .when(F.col("winner").isNotNull() & (F.col("winner_date") >= F.col("upload_date")), "Superseded").otherwise(F.col("processing_status"))

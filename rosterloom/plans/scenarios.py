@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..operators import brand, matching, reconcile, sections
-from ..session import Aside, shared_folder, table
+from ..session import SHUFFLED, Aside, shared_folder, table
 from ..sources import ocr_tsv, recognition
 from ..sources.store import SnapshotStore
 from . import process
@@ -224,6 +224,11 @@ def _store(spark) -> SnapshotStore:
     return SnapshotStore(spark, f"{shared_folder(spark)}/directory-{uuid.uuid4().hex}")
 
 
+def _own():
+    """A brand for each supplier: a file name gives its brand up to the first run of digits like a year, so letters stand for digits; with the key, no two share a brand."""
+    return F.translate(F.concat("s_name", F.lit(" "), F.col("s_suppkey").cast("string")), "0123456789", "abcdefghij")
+
+
 _PROSE = "transform(sequence(1, 9), i -> concat('This is line ', i, ' of the disclosure, long enough to count as text.'))"
 
 
@@ -247,9 +252,7 @@ def _glyphs(pages):
 def process_commit(spark, d):
     """Uploads registered, laid out, extracted, gated, reconciled and committed; a document without lists fails and leaves the others alone."""
     store = _store(spark)
-    # a file name gives its brand up to the first run of digits like a year, so letters stand for digits; with the key, no two suppliers share a brand
-    own = F.translate(F.concat("s_name", F.lit(" "), F.col("s_suppkey").cast("string")), "0123456789", "abcdefghij")
-    suppliers = table(spark, d, "supplier").select("s_suppkey", "s_name", own.alias("own")).withColumn("filename", F.concat("own", F.lit("_2023.pdf")))
+    suppliers = table(spark, d, "supplier").select("s_suppkey", "s_name", _own().alias("own")).withColumn("filename", F.concat("own", F.lit("_2023.pdf")))
     Workspace(store).register(suppliers.select("filename", F.concat(F.lit("/objects/"), "filename").alias("object_path")))
     ids = store.read("documents").select("filename", F.col("id").alias("document_id"))
     rows = "transform(sequence(1, cast(1 + s_suppkey % 3 as int)), i -> concat('Kite ', i, ' LLC | ', i, ' Elm St | Reno | NV | 89501 775-555-010', i))"
@@ -262,7 +265,7 @@ def process_commit(spark, d):
     ends = stages.filter(F.col("stage") == process.STAGE).select("document_id", F.col("status").alias("stage"), "message")
     whole = suppliers.join(documents, "filename").withColumnRenamed("id", "document_id")
     for part in (rows, people, ends):
-        whole = whole.join(part, "document_id", "left")
+        whole = whole.join(part.hint(SHUFFLED), "document_id", "left")
     none = F.lit(0).cast("long")
     named = F.when(F.col("franchise_name") == F.col("own"), F.col("s_name")).otherwise(F.col("franchise_name"))
     return whole.select("s_suppkey", named.alias("brand"), "processing_status", F.col("extraction_manifest.acceptedRows").alias("accepted"), "source_exhibit", "stage", "message", F.coalesce("locations", none).alias("locations"), F.coalesce("contacts", none).alias("contacts"), "pages", "reviews")
@@ -318,8 +321,8 @@ def process_gates(spark, d):
     """A second run over stored rows: unchanged and replaced rows, weak and incomplete recognition, too few rows, a newer document of the brand, an unreadable file, and warnings in order."""
     store = _store(spark)
     workspace = Workspace(store)
-    suppliers = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), (F.col("s_suppkey") % 8).alias("c"), "s_name")
-    files = suppliers.withColumn("year", F.explode(F.expr("if(c = 5, array('2021', '2022'), array('2022'))"))).withColumn("filename", F.concat("s_name", F.lit("_"), "year", F.lit(".pdf")))
+    suppliers = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), (F.col("s_suppkey") % 8).alias("c"), "s_name", _own().alias("own"))
+    files = suppliers.withColumn("year", F.explode(F.expr("if(c = 5, array('2021', '2022'), array('2022'))"))).withColumn("filename", F.concat("own", F.lit("_"), "year", F.lit(".pdf")))
     path = lambda turn: F.concat(F.lit(f"/objects/{turn}/"), "filename").alias("object_path")
     for year in ("2021", "2022"):
         workspace.register(files.filter(F.col("year") == year).select("filename", path(1)))
@@ -344,4 +347,8 @@ def process_gates(spark, d):
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     rows = store.read("locations").groupBy("document_id").agg(F.count(F.lit(1)).alias("locations"), joined(F.col("review_status")).alias("reviews"), joined(F.split("address", " ")[0]).alias("streets"))
     whole = known.join(store.read("documents").select(F.col("id").alias("document_id"), "processing_status"), "document_id").join(ends, "document_id").join(rows, "document_id", "left")
-    return whole.select(F.col("k").alias("s_suppkey"), "filename", "processing_status", "stage", "message", F.coalesce("locations", F.lit(0).cast("long")).alias("locations"), "reviews", "streets")
+    # the supplier's name stands only where the message holds the file name that was given
+    newer, named = (F.concat(F.lit("("), name, F.lit("_2022.pdf)")) for name in ("own", "s_name"))
+    message = F.when(F.contains("message", newer), F.replace("message", newer, named)).otherwise(F.col("message"))
+    filename = F.concat("s_name", F.lit("_"), "year", F.lit(".pdf"))
+    return whole.select(F.col("k").alias("s_suppkey"), filename.alias("filename"), "processing_status", "stage", message.alias("message"), F.coalesce("locations", F.lit(0).cast("long")).alias("locations"), "reviews", "streets")

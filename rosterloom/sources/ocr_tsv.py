@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import SHUFFLED
+
 #: Fields of a TSV line, and the level of the line that gives the page's size.
 FIELDS = 12
 PAGE_LEVEL = "1"
@@ -77,7 +79,7 @@ def to_page(words: DataFrame, sizes: DataFrame) -> DataFrame:
     a size has that of its image, and an image without a size the scale 1.
     """
     image = words.withColumnsRenamed({"page_width": "_image_width", "page_height": "_image_height"})
-    both = image.join(sizes.select("document_id", "pdf_page", "page_width", "page_height"), ["document_id", "pdf_page"], "left")
+    both = image.join(sizes.select("document_id", "pdf_page", "page_width", "page_height").hint(SHUFFLED), ["document_id", "pdf_page"], "left")
     ratio = lambda side: F.coalesce(F.col(f"page_{side}") / F.nullif(F.col(f"_image_{side}"), F.lit(0.0)), F.lit(1.0))
     # without an image height the words' heights count down from 0 at the top
     bottom = F.when(F.col("_image_height").isNull(), F.coalesce("page_height", F.lit(0.0))).otherwise(0.0)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import grams
 from ..schema import EMPTY_TABLES, SEARCHED
+from ..session import SHUFFLED
 
 T = TypeVar("T")
 
@@ -103,11 +104,14 @@ class SnapshotStore:
         return sorted(r[0] for r in df.select(self.bucket(F.col(column)).alias("b")).distinct().collect())
 
     def read(self, name: str, version: int | None = None, buckets: Iterable[int] | None = None) -> DataFrame:
-        """A table as of a change, the last one by default; of some of its buckets only, if they are given."""
+        """A table as of a change, the last one by default; of some of its buckets only, if they are given.
+
+        Joins with it shuffle and never broadcast (``SHUFFLED``).
+        """
         entries = self.manifest(self.version() if version is None else version)["tables"].get(name, {})
         if buckets is not None:
             entries = {b: entries[b] for b in map(str, buckets) if b in entries}
-        return self._rows(name, entries)
+        return self._rows(name, entries).hint(SHUFFLED)
 
     def postings(self, term: str, version: int) -> DataFrame | None:
         """id and held_in (a bucket) of the locations that ``%term%`` can match; None if that can be all of them."""
@@ -148,7 +152,7 @@ class SnapshotStore:
     def aside(self, df: DataFrame, place: str) -> DataFrame:
         """A table written below the root and read again: intermediate rows that outlive lost executors."""
         df.write.parquet(f"{self.root}/{place}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{place}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{place}").hint(SHUFFLED)
 
     def drop(self, place: str) -> None:
         """Removes what ``aside`` wrote below a place."""
@@ -216,7 +220,7 @@ class SnapshotStore:
     def tallies(self, version: int | None = None) -> DataFrame:
         """document_id, status, review_status and n, the number of locations, from the sums that changes keep up."""
         entries = self.manifest(self.version() if version is None else version)["tables"].get("tallies", {})
-        return self._rows_of("tallies", entries).groupBy("document_id", "status", "review_status").agg(F.sum("n").alias("n")).filter("n <> 0")
+        return self._rows_of("tallies", entries).groupBy("document_id", "status", "review_status").agg(F.sum("n").alias("n")).filter("n <> 0").hint(SHUFFLED)
 
     def _write(self, name: str, df: DataFrame, change: str) -> dict[str, tuple[str, str]]:
         """Writes rows into their buckets; a bucket's folder has rows only, or also deletions."""

@@ -19,7 +19,7 @@ from . import patterns as P
 
 @cache
 def rx(pattern: str) -> re.Pattern:
-    return re.compile(pattern.replace(P.END, r"\Z"))
+    return re.compile(pattern.replace(P.END, r"\Z"), re.ASCII)
 
 
 def squash(text: str | None) -> str:
@@ -64,7 +64,8 @@ def squash_col(c: Column) -> Column:
 
 
 def trim_col(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{P.S}+|{P.S}+\z", "")
+    # white space is a class of many parts; most texts have none at their ends
+    return F.when(c.rlike(r"^[^!-~]|[^!-~]\z"), F.regexp_replace(c, rf"^{P.S}+|{P.S}+\z", "")).otherwise(c)
 
 
 def find(c: Column, pattern: str) -> Column:
@@ -83,9 +84,12 @@ def replace_first(c: Column, pattern: str, by: str) -> Column:
     return F.regexp_replace(c, rf"{flags}^(.*?)(?:{body})", f"$1{by}")
 
 
+#: A placeholder or nothing, between white space; most values end at their first character, as no placeholder begins with it.
+_BLANK = P.PLACEHOLDER.replace("^", f"^(?![a-mo-tv-z0-9]){P.S}*").replace(P.END, f"?{P.S}*{P.END}")
+
+
 def meaningful(c: Column) -> Column:
-    text = trim_col(c)
-    return F.coalesce((F.length(text) > 0) & ~text.rlike(P.PLACEHOLDER), F.lit(False))
+    return F.coalesce(~c.rlike(_BLANK), F.lit(False))
 
 
 @cache
@@ -142,4 +146,5 @@ def identity_col(c: Column, accents: bool = True) -> Column:
 
 def abbreviate_col(words: Column) -> Column:
     """Address words of an identity text, abbreviated."""
-    return reduce(lambda out, pair: F.regexp_replace(out, rf"{P.EDGE}(?:{pair[0]}){P.EDGE}", pair[1]), P.ADDRESS_WORDS, words)
+    short = F.create_map(*(F.lit(x) for names, by in P.ADDRESS_WORDS for name in names.split("|") if name != by for x in (name, by)))
+    return F.array_join(F.transform(F.split(words, " "), lambda x: F.coalesce(F.try_element_at(short, x), x)), " ")

@@ -15,17 +15,22 @@ from pyspark.sql import functions as F
 from ..session import Aside
 
 
-def group_nodes(nodes: DataFrame, edges: DataFrame, aside: Aside) -> DataFrame:
-    """(node, group) of every node (long) by edges (a, b); nodes without edges are groups of their own."""
-    labels, turn = nodes.select("node", F.col("node").alias("group")), 0
-    edges = aside.save(edges.filter("a <> b").distinct(), "edges")
+def group_nodes(nodes: DataFrame | None, edges: DataFrame, aside: Aside) -> DataFrame:
+    """(node, group) of every node (long) by edges (a, b); nodes without edges are groups of their own, or left out where ``nodes`` is None."""
+    edges, turns = aside.save(edges.filter("a <> b").distinct(), "edges"), []
     while not edges.isEmpty():
+        turn = len(turns)
+        # as they are at first, which ends stars around a least node at once; xxhash64 of one long never gives two the same place
+        order = lambda c: F.xxhash64(F.lit(turn), F.col(c)) if turn else F.col(c)  # noqa: B023, E731
         ends = edges.select("a", "b").union(edges.select("b", "a")).toDF("from", "to")
-        order = lambda c: F.struct(F.xxhash64(F.lit(turn), c), F.col(c).alias("to"))  # noqa: B023, E731
-        moves = ends.groupBy("from").agg(F.min(order("to")).alias("m"))
-        moves = aside.save(moves.select("from", F.least(F.col("m"), order("from"))["to"].alias("to")), f"moves-{turn}")
+        least = ends.groupBy("from").agg(F.min_by("to", order("to")).alias("to"), F.min(order("to")).alias("first"))
+        moves = aside.save(least.select("from", F.when(F.col("first") < order("from"), F.col("to")).otherwise(F.col("from")).alias("to")), f"moves-{turn}")
         for end in ("a", "b"):
             edges = edges.join(moves.withColumnRenamed("from", end), end).drop(end).withColumnRenamed("to", end)
-        labels = labels.join(moves.withColumnRenamed("from", "group"), "group", "left").select("node", F.coalesce("to", "group").alias("group"))
-        edges, turn = aside.save(edges.filter("a <> b").select("a", "b").distinct(), f"edges-{turn}"), turn + 1
-    return labels
+        edges = aside.save(edges.filter("a <> b").select("a", "b").distinct(), f"edges-{turn}")
+        turns.append(moves)
+    # from the last round, which has the fewest nodes, to the first
+    found = edges.toDF("node", "group")
+    for moves in reversed(turns):
+        found = moves.join(found.withColumnRenamed("node", "to"), "to", "left").select(F.col("from").alias("node"), F.coalesce("group", "to").alias("group"))
+    return found if nodes is None else nodes.join(found, "node", "left").select("node", F.coalesce("group", "node").alias("group"))

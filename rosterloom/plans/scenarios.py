@@ -170,14 +170,15 @@ def _reconciled_sql(cases):
 """
 
 
-def _reconciled(rows):
+def _reconciled(rows, told=lambda counted: counted):
+    """Results with the counts of their brand, which ``told`` may hint at how to join."""
     aside = Aside(rows.sparkSession)
     done = aside.save(reconcile.reconcile_brands(*_sides(rows), aside), "reconciled")
     counts = reconcile.brand_counts(done)
     people = F.array_join(F.transform("contacts", lambda p: F.concat_ws("/", *(F.coalesce(p[c], F.lit("-")) for c in ("raw_name", "phone", "email")))), ", ")
     columns = ("brand_key", "action", "existing_id", "updated", "status", "address", "city", "phone", "location_code", "raw_source_text", "review_status", "review_reason", "confidence")
     counted = counts.select("brand_key", *(F.col(f"counted.{c}").alias(f"n_{c}") for c in process.RECONCILED if c != "collapsed"))
-    return done.withColumn("people", people).select(*columns, "people").join(counted, "brand_key")
+    return done.withColumn("people", people).select(*columns, "people").join(told(counted), "brand_key")
 
 
 @query(_reconciled_sql("SELECT c_custkey AS k, 'b' || (c_custkey // 20) AS brand_key, c_custkey % 8 AS s FROM customer"))
@@ -188,8 +189,8 @@ def reconcile_full(spark, d):
 
 @query(_reconciled_sql("SELECT o_orderkey AS k, 'all' AS brand_key, o_orderkey % 8 AS s FROM orders"))
 def reconcile_one_brand(spark, d):
-    """The same cases as one brand of all orders, which is split into groups that can't meet."""
-    return _reconciled(table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.lit("all").alias("brand_key")))
+    """The same cases as one brand of all orders, which is split into groups that can't meet; its counts are one row."""
+    return _reconciled(table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.lit("all").alias("brand_key")), F.broadcast)
 
 
 _EXACT_SQL = """

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: The hint for joins of tables that grow with the input: Spark takes a table for as small as its files or shuffled blocks,
 #: and rows that repeat much pack into far less than they are, so that it would send whole tables through the driver.
 SHUFFLED = "merge"
+#: The same where rows of two numbers, each of them once, are looked up by wide ones, which then need no sort.
+HASHED = "shuffle_hash"
 
 
 def build_session(app: str = "rosterloom", master: str | None = None, partitions: int | None = None, **extra: str) -> SparkSession:
